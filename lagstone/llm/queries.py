@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from lagstone.llm.bpe import op1_bpe
 from lagstone.llm.media import op5_media
+from lagstone.llm.quality import op3_quality
 from lagstone.llm.sharding import op2_sharding
 from lagstone.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op5_media, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op5_media, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
