@@ -5,19 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch.  Texts can be very long, so batches are kept short.
-BATCH_ROWS = 256
+#: Bounds of one Arrow batch.  Texts can be very long, so bytes count too.
+BATCH_ROWS, BATCH_BYTES = 16_384, 1 << 21
 
 #: Stands in for a null doc_id inside operators; it sorts before every other id.
 NULL_ID = -(2**63)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the plans that the session runs."""
+    """Bound the rows and bytes of an Arrow batch for the plans that the session runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +51,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)
