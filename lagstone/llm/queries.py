@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from lagstone.llm.bpe import op1_bpe
 from lagstone.llm.jaccard import op8_jaccard_join
+from lagstone.llm.materialise import op6_materialise
 from lagstone.llm.media import op5_media
+from lagstone.llm.mixing import OP4_SQL, op4_mixing
 from lagstone.llm.quality import op3_quality
 from lagstone.llm.sharding import op2_sharding
 from lagstone.llm.suffix_dedup import op7_suffix_dedup
 from lagstone.llm.token_counts import op10_token_counts
 from lagstone.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op5_media, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality, op4_mixing, op5_media, op6_materialise, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}

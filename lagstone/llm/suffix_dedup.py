@@ -15,7 +15,7 @@ aggregation and a join, so that no task holds them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +213,10 @@ def covered_windows(rows: list[tuple[int, int, int, bytes, int]], length: int =
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id, h and text: rows of one doc_id with other texts are told apart by 23 bits of a hash of the text."""
+def _keyed(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """id, h, text and the ``keep`` columns under other names: rows of one doc_id with other texts are told apart by 23 bits of a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("h"), text.alias("text"), *(F.col(c).alias(f"__{c}") for c in keep))
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -361,23 +361,26 @@ def removed_mask(data: np.ndarray, places: list[int], spans: list[tuple[int, int
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts earlier (smaller doc_id, or earlier in the document).
 
     Returns doc_id, n_bytes, n_removed, n_spans (long), kept_sha256 and, with ``keep_text``, text: what remains, read as UTF-8 with bytes
-    that a cut left incomplete dropped.  A null text counts as empty; a null doc_id comes before all others; of rows with one doc_id
+    that a cut left incomplete dropped, and the ``keep`` columns.  A null text counts as empty; a null doc_id comes before all others; of rows with one doc_id
     the order is that of a hash of their texts, and of rows equal in both the first stays; texts under ``length`` bytes stay whole.
     Other columns are ignored.
     """
-    base, found = covered(docs, length=length, gram=gram, hot=hot)
+    _, found = covered(docs, length=length, gram=gram, hot=hot)
+    base = _keyed(docs, keep)
+    hidden = [f"__{c}" for c in keep]
     per_doc = found.groupBy("id", "h").agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("spans"))
-    joined = base.join(per_doc, ["id", "h"], "left").select("id", "h", "text", "places", "spans")
-    fields = "id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    joined = base.join(per_doc, ["id", "h"], "left").select("id", "h", "text", "places", "spans", *hidden)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.select(*hidden).schema) if hidden else ""
+    fields = "id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text + kinds
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, h, text, places, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, h, text, places, spans in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
                 data = _bytes(text)
                 mask = removed_mask(data, places or [], [(x["begin"], x["end"]) for x in spans or []], length, gram) if places or spans else np.zeros(len(data), bool)
                 kept = data[~mask].tobytes()
@@ -386,7 +389,8 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
                 rows.append(row + [kept.decode("utf-8", "ignore")] * keep_text)
             types = [*[pa.int64()] * 5, pa.string(), *[pa.string()] * keep_text]
             names = ["id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[5:]], names=[*names, *hidden])
 
     out = joined.mapInArrow(apply, fields)
     # rows equal in doc_id and text: all but one are copies
@@ -402,7 +406,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
         empty = hashlib.sha256(b"").hexdigest()
         for name, value in (("n_removed", F.col("n_bytes")), ("n_spans", F.lit(1).cast("long")), ("kept_sha256", F.lit(empty)), *[("text", F.lit(""))] * keep_text):
             out = out.withColumn(name, F.when(F.col("copy"), value).otherwise(F.col(name)))
-    return out.select(doc, *columns)
+    return out.select(doc, *columns, *(F.col(f"__{c}").alias(c) for c in keep))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
