@@ -1,6 +1,485 @@
-"""All queries by name, and the SQL that states their results."""
+"""Queries over the driver tables that apply the operators, and the SQL that states their results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lagstone.functions import grades, text
+from lagstone.operators import correlate, matching, summary
+from lagstone.sources import files, probe, sinks
+from lagstone.sources.scratch import scratch_path
+from lagstone.streaming import runs
+
+#: Hours of a head or tail, hours that one needs more than, and the milliseconds that an hour of the event series stands for.
+SEGMENT, LEAST, UNIT = 168, 24, 10
+
+# ---------------------------------------------------------------- tables and common parts
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def hourly_series(events: DataFrame) -> DataFrame:
+    """id and samples: events per hour of each user, from the first hour to the last.
+
+    Counted before they are collected, so a user's row holds one entry an hour.
+    """
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    counts = events.where("ts IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id", hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    user = counts.groupBy("user_id").agg(F.min("hour").alias("first"), F.max("hour").alias("last"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("by_hour"))
+    samples = F.transform(F.sequence("first", "last"), lambda h: F.coalesce(F.try_element_at("by_hour", h), F.lit(0)).cast("double"))
+    return user.select(F.col("user_id").alias("id"), samples.alias("samples"))
+
+
+def _neighbours(signals: DataFrame) -> DataFrame:
+    p = signals.select(F.col("id").alias("p_id"), F.col("samples").alias("p"))
+    s = signals.select(F.col("id").alias("s_id"), F.col("samples").alias("s"))
+    return p.join(s, F.col("s_id") == F.col("p_id") + 1)
+
+
+_SERIES_SQL = """
+hourly AS (SELECT user_id AS id, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
+spans AS (SELECT id, min(hour) AS first, max(hour) - min(hour) + 1 AS dur FROM hourly GROUP BY id),
+series AS (SELECT s.id, g.i AS i, coalesce(h.n, 0) AS x, s.dur FROM spans s, LATERAL (SELECT unnest(range(0, s.dur)) AS i) g LEFT JOIN hourly h ON h.id = s.id AND h.hour = s.first + g.i)
+"""
+
+
+def _offsets_sql(exact: bool = False) -> str:
+    between = f"greatest(0, p_dur - {SEGMENT}) - greatest(0, s_dur - {SEGMENT})" if exact else "p_dur - s_dur"
+    return f"""WITH {_SERIES_SQL},
+pairs AS (SELECT a.id AS p_id, b.id AS s_id, a.dur AS p_dur, b.dur AS s_dur, least(a.dur, b.dur, {SEGMENT}) AS n FROM spans a JOIN spans b ON b.id = a.id + 1),
+parts AS (SELECT p_id, s_id, n, 'head' AS part, 0 AS p_off, 0 AS s_off FROM pairs UNION ALL SELECT p_id, s_id, n, 'tail', greatest(0, p_dur - {SEGMENT}), greatest(0, s_dur - {SEGMENT}) FROM pairs),
+usable AS (SELECT * FROM parts WHERE n > {LEAST}),
+p AS (SELECT u.p_id, u.s_id, part, x.i - p_off AS i, x.x - avg(x.x) OVER w AS c, stddev_pop(x.x) OVER w AS d FROM usable u JOIN series x ON x.id = u.p_id AND x.i >= p_off AND x.i < p_off + n WINDOW w AS (PARTITION BY u.p_id, u.s_id, part)),
+s AS (SELECT u.p_id, u.s_id, part, x.i - s_off AS i, x.x - avg(x.x) OVER w AS c, stddev_pop(x.x) OVER w AS d FROM usable u JOIN series x ON x.id = u.s_id AND x.i >= s_off AND x.i < s_off + n WINDOW w AS (PARTITION BY u.p_id, u.s_id, part)),
+corr AS (SELECT p_id, s_id, part, p.i - s.i AS lag, round(sum((CASE WHEN p.d > 1e-8 THEN p.c / p.d ELSE p.c END) * (CASE WHEN s.d > 1e-8 THEN s.c / s.d ELSE s.c END)), 6) AS r FROM p JOIN s USING (p_id, s_id, part) GROUP BY 1, 2, 3, 4),
+best AS (SELECT p_id, s_id, part, lag FROM (SELECT *, row_number() OVER (PARTITION BY p_id, s_id, part ORDER BY r DESC, lag) AS k FROM corr) WHERE k = 1),
+delays AS (SELECT q.p_id, q.s_id, CAST(h.lag * {UNIT} AS DOUBLE) AS start_delay_ms, CAST((t.lag + {between}) * {UNIT} AS DOUBLE) AS end_delay_ms,
+  CASE WHEN n <= {LEAST} THEN 'Insufficient audio at start for analysis.' END AS error
+  FROM pairs q LEFT JOIN best h ON h.p_id = q.p_id AND h.s_id = q.s_id AND h.part = 'head' LEFT JOIN best t ON t.p_id = q.p_id AND t.s_id = q.s_id AND t.part = 'tail')
+"""
+
+
+_CONFIDENCE_SQL = "CASE WHEN abs({0} - {1}) < 50 THEN 'high' WHEN abs({0} - {1}) < 500 THEN 'medium' ELSE 'low' END"
+
+
+def sync_series_events(spark: SparkSession, d: str, *, exact: bool = False) -> DataFrame:
+    """Offsets of the hourly event counts of neighbouring users, from head and tail, with confidence."""
+    got = correlate.series_offsets(_neighbours(hourly_series(_t(spark, d, "events"))), rate=1000 / UNIT, segment=SEGMENT, least=LEAST, exact=exact)
+    rounded = {c: F.round(c, 3) for c in ("start_delay_ms", "end_delay_ms")}
+    return got.withColumns(rounded).select("p_id", "s_id", "start_delay_ms", "end_delay_ms", "error", grades.confidence("start_delay_ms", "end_delay_ms").alias("confidence"))
+
+
+def tail_correction(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the tail corrected by the offsets that were used."""
+    return sync_series_events(spark, d, exact=True)
+
+
+def head_tail_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and sums of heads and tails, and whether they suffice."""
+    x = hourly_series(_t(spark, d, "events"))
+    h, t = correlate.head("samples", SEGMENT), correlate.tail("samples", SEGMENT)
+
+    def total(a):
+        return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+
+    return x.select("id", F.size(h).cast("long").alias("head_n"), F.size(t).cast("long").alias("tail_n"), total(h).alias("head_sum"), total(t).alias("tail_sum"), (F.size(h) > LEAST).alias("usable"))
+
+
+def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = _t(spark, d, "embeddings")
+    ids = e.select("vec_id")
+    pairs = ids.select(F.col("vec_id").alias("p_id")).join(ids.select(F.col("vec_id").alias("s_id")), F.col("s_id") == F.col("p_id") + 1)
+    return e, pairs
+
+
+def xcorr_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e, pairs = _embeddings(spark, d)
+    return correlate.lags_sql(e, pairs, id_col="vec_id", samples="embedding").select("p_id", "s_id", "lag")
+
+
+def xcorr_embeddings_udf(spark: SparkSession, d: str) -> DataFrame:
+    e, pairs = _embeddings(spark, d)
+    return correlate.lags_arrow(e, pairs, id_col="vec_id", samples="embedding")
+
+
+def batch_one_to_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector of a label against the label's first."""
+    e = _t(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("s_id"), F.col("embedding").alias("s")), "vec_id").alias("one"))
+    rows = e.join(first, "label").select(F.col("vec_id").alias("p_id"), F.col("one.s_id").alias("s_id"), F.col("embedding").cast("array<double>").alias("p"), F.col("one.s").cast("array<double>").alias("s"))
+    return rows.select("p_id", "s_id", correlate.estimate_lag("p", "s").alias("lag"))
+
+
+def degenerate_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Flat signals: the lag is the least possible, and says nothing."""
+    flat = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.array_repeat(F.col("r_regionkey").cast("double"), 16).alias("x"))
+    return flat.select("id", correlate.estimate_lag("x", "x").alias("lag"), correlate.degenerate(F.col("x")).alias("degenerate"))
+
+
+def znorm_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and sum of squares of the normalised vectors."""
+    x = _t(spark, d, "embeddings").select("vec_id", correlate.znormalise(F.col("embedding").cast("array<double>")).alias("z"))
+
+    def total(f):
+        return F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + f(v)), 4)
+
+    return x.select("vec_id", (total(lambda v: v) + 0.0).alias("z_sum"), total(lambda v: v * v).alias("z_squares"))
+
+
+def _xcorr_sql(pairs: str) -> str:
+    return f"""WITH x AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+z AS (SELECT id, i, CASE WHEN stddev_pop(v) OVER w > 1e-8 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE v - avg(v) OVER w END AS z FROM x WINDOW w AS (PARTITION BY id)),
+pairs AS ({pairs}),
+c AS (SELECT p_id, s_id, p.i - s.i AS lag, round(sum(p.z * s.z), 6) AS r FROM pairs JOIN z p ON p.id = p_id JOIN z s ON s.id = s_id GROUP BY 1, 2, 3)
+SELECT p_id, s_id, lag FROM (SELECT *, row_number() OVER (PARTITION BY p_id, s_id ORDER BY r DESC, lag) AS k FROM c) WHERE k = 1"""
+
+
+_NEXT_SQL = "SELECT a.vec_id AS p_id, b.vec_id AS s_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+_FIRST_SQL = "SELECT vec_id AS p_id, min(vec_id) OVER (PARTITION BY label) AS s_id FROM embeddings"
+
+# ---------------------------------------------------------------- pairing
+
+_URL = r"/([a-z]{2})/(\d+)"
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with an even and with an odd id, as two lists of paths."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("path"), "page_id")
+    return pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")
+
+
+def _lang_key():
+    return matching.match_key(F.col("path"), r"/([a-z]{2})/")
+
+
+def pair_regex_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of one language and number, on any host, the last path of each key on either side."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("path"))
+    key = matching.match_key(F.col("path"), _URL)
+    left, right = matching.keyed(pages.where("path LIKE 'https:%'"), key), matching.keyed(pages, key)
+    return matching.join_keys(left, right).orderBy("primary_path", "secondary_path")
+
+
+def pair_dedupe_last(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return matching.join_keys(matching.keyed(a, _lang_key()), matching.keyed(b, _lang_key()))
+
+
+def pair_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (matching.first_wins(matching.keyed(x, _lang_key())) for x in _sides(spark, d))
+    return a.withColumnRenamed("path", "primary_path").join(b.withColumnRenamed("path", "secondary_path"), "key").select("primary_path", "secondary_path")
+
+
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers as recordings of a series."""
+    n = F.lpad((F.col("n") % 40).cast("string"), 2, "0")
+    p = _t(spark, d, "customer").select(F.col("c_custkey").alias("n")).select(F.concat(F.lit("/video/Show S01E"), n, F.lit(" take "), F.col("n").cast("string"), F.lit(".mkv")).alias("path"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("n")).select(F.concat(F.lit("/audio/show_s01e"), n, F.lit("_dub"), F.col("n").cast("string"), F.lit(".aac")).alias("path"))
+    return p, s
+
+
+def pair_waterfall(spark: SparkSession, d: str) -> DataFrame:
+    """Series names paired by the first pattern that meets."""
+    return matching.pair_files(*_named(spark, d))
+
+
+def pair_one_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a single plan, with the rank of the pattern."""
+    return matching.pair_in_one_plan(*_named(spark, d)).withColumn("pattern_rank", F.col("pattern_rank").cast("long"))
+
+
+def pair_digits_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers with the same digits."""
+    c = matching.keyed(_t(spark, d, "customer").select(F.col("c_name").alias("path")), matching.digits_key(F.col("path")))
+    s = matching.keyed(_t(spark, d, "supplier").select(F.col("s_name").alias("path")), matching.digits_key(F.col("path")))
+    return matching.join_keys(c, s)
+
+
+def preview_left_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer with the first supplier of its padded key."""
+    p, s = (x.select(text.basename("path").alias("name")) for x in _named(spark, d))
+    return matching.preview(p, s)
+
+
+def key_intersection(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (matching.keyed(x, _lang_key()).select("key").distinct() for x in _sides(spark, d))
+    return a.intersect(b).select(F.get("key", F.lit(0)).alias("key"))
+
+
+_NAMED_SQL = """p AS (SELECT '/video/Show S01E' || lpad(CAST(c_custkey % 40 AS VARCHAR), 2, '0') || ' take ' || c_custkey || '.mkv' AS path FROM customer),
+s AS (SELECT '/audio/show_s01e' || lpad(CAST(s_suppkey % 40 AS VARCHAR), 2, '0') || '_dub' || s_suppkey || '.aac' AS path FROM supplier)"""
+_EPISODES_SQL = f"""WITH {_NAMED_SQL},
+a AS (SELECT regexp_extract(path, '[Ss](\\d+)[Ee](\\d+)', 1) || '/' || regexp_extract(path, '[Ss](\\d+)[Ee](\\d+)', 2) AS key, max(path) AS path FROM p GROUP BY 1),
+b AS (SELECT regexp_extract(path, '[Ss](\\d+)[Ee](\\d+)', 1) || '/' || regexp_extract(path, '[Ss](\\d+)[Ee](\\d+)', 2) AS key, max(path) AS path FROM s GROUP BY 1)"""
+
+
+def _dedupe_sql(pick: str) -> str:
+    side = "SELECT regexp_extract(url, '/([a-z]{{2}})/', 1) AS key, {0}(url) AS path FROM pages WHERE page_id % 2 = {1} AND regexp_matches(url, '/([a-z]{{2}})/') GROUP BY 1"
+    return f"SELECT a.path AS primary_path, b.path AS secondary_path FROM ({side.format(pick, 0)}) a JOIN ({side.format(pick, 1)}) b USING (key)"
+
+
+# ---------------------------------------------------------------- grades over order and shipping dates
+
+
+def day_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results whose delays are days of shipping after 1998 and, where the order is found, of ordering; some have errors."""
+    line = _t(spark, d, "lineitem").where("l_linenumber = 1")
+    orders = _t(spark, d, "orders").where("o_orderpriority IS NULL OR o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    day = F.to_date(F.lit("1998-01-01"))
+    return rows.select(
+        F.concat(F.lit("/v/"), F.col("l_orderkey").cast("string"), F.lit(".mkv")).alias("primary_path"),
+        F.concat(F.lit("/a/"), F.col("l_suppkey").cast("string"), F.lit(".aac")).alias("secondary_path"),
+        F.date_diff(F.to_date("l_shipdate"), day).cast("double").alias("start_delay_ms"),
+        F.date_diff(F.to_date("o_orderdate"), day).cast("double").alias("end_delay_ms"),
+        F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "").alias("error"),
+        F.col("l_orderkey").alias("elapsed_ms"),
+    )
+
+
+def _graded_days(spark: SparkSession, d: str) -> DataFrame:
+    return day_results(spark, d).withColumn("confidence", grades.confidence("start_delay_ms", "end_delay_ms"))
+
+
+_DAYS_SQL = f"""r AS (SELECT '/v/' || l_orderkey || '.mkv' AS primary_path, '/a/' || l_suppkey || '.aac' AS secondary_path, CAST(date_diff('day', DATE '1998-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS start_delay_ms,
+  CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS end_delay_ms, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN '' END AS error, l_orderkey AS elapsed_ms
+  FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority <> '5-LOW') ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+g AS (SELECT *, {_CONFIDENCE_SQL.format("start_delay_ms", "end_delay_ms")} AS confidence FROM r)"""
+_BAD_SQL = "coalesce(error, '') <> ''"
+
+
+def confidence_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return _graded_days(spark, d).select("primary_path", "secondary_path", grades.drift("start_delay_ms", "end_delay_ms").alias("drift"), "confidence")
+
+
+def outlier_flag(spark: SparkSession, d: str) -> DataFrame:
+    return day_results(spark, d).select("primary_path", "secondary_path", grades.outlier("start_delay_ms", "end_delay_ms").alias("is_outlier"))
+
+
+def status_cli(spark: SparkSession, d: str) -> DataFrame:
+    from lagstone.operators.pairs import report
+
+    return report(day_results(spark, d))
+
+
+def result_counts(spark: SparkSession, d: str) -> DataFrame:
+    return summary.result_counts(_graded_days(spark, d))
+
+
+def success_counts(spark: SparkSession, d: str) -> DataFrame:
+    return summary.success_counts(day_results(spark, d))
+
+
+def warn_any_low(spark: SparkSession, d: str) -> DataFrame:
+    return summary.any_low(_graded_days(spark, d))
+
+
+def filter_by_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return summary.by_confidence(_graded_days(spark, d), "medium").orderBy("primary_path").select("primary_path", "secondary_path", "confidence")
+
+
+def format_delay_ui(spark: SparkSession, d: str) -> DataFrame:
+    x = day_results(spark, d).withColumn("ms", F.col("end_delay_ms") / 8)
+    return x.select("primary_path", "secondary_path", text.format_delay("ms").alias("shown"), text.format_delay("ms", plus_zero=True, null="—").alias("shown_table"))
+
+
+def format_delay_cli(spark: SparkSession, d: str) -> DataFrame:
+    x = day_results(spark, d).withColumn("ms", F.col("end_delay_ms") / 8)
+    return x.select("primary_path", "secondary_path", text.format_delay_cli("ms").alias("shown"))
+
+
+# ---------------------------------------------------------------- sizes, paths, progress
+
+
+def format_size(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", text.format_size(F.col("n_chars") * F.pow(F.lit(32), F.col("doc_id") % 6)).alias("size"))
+
+
+def total_size_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return summary.total_size(_t(spark, d, "documents"), "lang", size="n_chars")
+
+
+def unique_parent(spark: SparkSession, d: str) -> DataFrame:
+    """The folder that all pages share, if there is one, and that all English ones of one host do."""
+    pages = _t(spark, d, "pages")
+    one = pages.where(F.col("url").contains("/en/")).orderBy("url").limit(1)
+    return summary.unique_parent(pages, path="url").withColumn("of", F.lit("all")).unionByName(summary.unique_parent(one, path="url").withColumn("of", F.lit("first")))
+
+
+def basename_ext(spark: SparkSession, d: str) -> DataFrame:
+    page = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".MKV").when(F.col("page_id") % 3 == 1, ".eac3").otherwise(""))
+    rows = _t(spark, d, "pages").select("page_id", page.alias("path"))
+    return rows.select("page_id", text.basename("path").alias("name"), text.parent_folder("path").alias("parent"), text.has_extension("path", files.VIDEO_EXTENSIONS).alias("is_video"))
+
+
+def progress_running(spark: SparkSession, d: str) -> DataFrame:
+    """Processed, total and percent of each user's events in order."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts")
+    return summary.progress(e, order="ts", by="user_id").select("event_id", "processed", "total", "percent")
+
+
+def format_eta(spark: SparkSession, d: str) -> DataFrame:
+    """Time left after each event of a user, from the time so far."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts")
+    first = F.min("ts").over(Window.partitionBy("user_id"))
+    elapsed = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 1000).cast("double")
+    rows = summary.progress(e.withColumn("elapsed", elapsed), order="ts", by="user_id")
+    return rows.select("event_id", text.format_eta(summary.eta_ms("elapsed", "processed", "total")).alias("eta"), text.seconds_text("elapsed").alias("seconds"))
+
+
+def remove_selected(spark: SparkSession, d: str) -> DataFrame:
+    return files.remove_ids(_t(spark, d, "documents").select("doc_id", "lang"), _t(spark, d, "labels"), "doc_id")
+
+
+def toggle_selection(spark: SparkSession, d: str) -> DataFrame:
+    clicked = _t(spark, d, "documents").where("lang = 'fr'")
+    return files.toggle(_t(spark, d, "labels"), clicked, "doc_id")
+
+
+def probe_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of events: the number in the properties decides what streams there are."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    streams = F.when(k % 3 == 0, '[{"codec_type":"audio"},{"codec_type":"video"}]').when(k % 3 == 1, '[{"codec_type":"audio"}]').otherwise("[]")
+    length = F.when(k % 5 == 0, "N/A").otherwise(k.cast("string"))
+    json = F.when(k % 7 == 0, "not json").otherwise(F.concat(F.lit('{"streams":'), streams, F.lit(',"format":{"duration":"'), length, F.lit('"}}')))
+    rows = _t(spark, d, "events").select("event_id", json.alias("json"))
+    return probe.parse_probes(rows, keep=("event_id",))
+
+
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's latest event."""
+    return probe.latest(_t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), key="user_id").select("user_id", "event_id", "event_type")
+
+
+def log_tail_200(spark: SparkSession, d: str) -> DataFrame:
+    return summary.last_lines(_t(spark, d, "events").select("event_id", "ts", "event_type"), order="ts").select("event_id", "event_type")
+
+
+# ---------------------------------------------------------------- history, sinks, streams
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as runs, their turns as results."""
+    turn = F.struct(
+        F.col("turn"), F.col("role").alias("videoFile"), F.lit("x").alias("audioFile"), F.col("turn").cast("double").alias("startDelay"), (F.col("turn") * F.lit(40.0)).alias("endDelay"), F.lit(None).cast("string").alias("error"), F.length("text").cast("long").alias("elapsed_ms")
+    )
+    runs_ = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    results = F.transform("turns", lambda t: F.struct(*(t.getField(n).alias(n) for n in ("videoFile", "audioFile", "startDelay", "endDelay", "error", "elapsed_ms"))))
+    return runs_.select(F.col("conv_id").cast("string").alias("id"), F.timestamp_seconds(F.col("conv_id") * 3600).alias("date"), F.lit("series").alias("mode"), results.alias("results"), F.size("turns").cast("long").alias("fileCount"))
+
+
+def history_top20(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.newest(_history(spark, d)).select("id", "fileCount")
+
+
+def history_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.flatten_history(_history(spark, d)).select("id", "videoFile", "startDelay", "elapsed_ms")
+
+
+def high_per_run(spark: SparkSession, d: str) -> DataFrame:
+    return summary.high_per_run(_history(spark, d)).withColumn("high", F.col("high").cast("long"))
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Results written as CSV and read back."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(day_results(spark, d), path, sinks.CSV_EXPORT)
+    names = ("video", "audio", "start_delay", "end_delay", "elapsed", "error")
+    return sinks.read_csv(spark, path, sinks.CSV_EXPORT).toDF(*names)
+
+
+def stream_file_drop(spark: SparkSession, d: str) -> DataFrame:
+    """Event drops streamed through a projection; the result table is what a batch would give."""
+    drops, out, marks = (scratch_path(spark, x) for x in ("drops", "out", "marks"))
+    events = _t(spark, d, "events").select("event_id", "user_id", "value")
+    events.where("event_id % 2 = 0").write.parquet(drops)
+    events.where("event_id % 2 = 1").write.mode("append").parquet(drops)
+    runs.stream_table(spark, drops, events.schema, lambda x: x.select("event_id", text.format_delay("value").alias("shown")), out, marks).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def event_protocol(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by type of the event lines of all results."""
+    return runs.events_of(day_results(spark, d), batch=0).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("elapsed_ms").alias("with_elapsed"), F.count("percent").alias("with_percent"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        sync_series_events, tail_correction, head_tail_slices, xcorr_embeddings, xcorr_embeddings_udf, batch_one_to_many, degenerate_signals, znorm_stats, pair_regex_groups, pair_waterfall, pair_one_plan,
+        pair_digits_fallback, pair_dedupe_last, pair_dedupe_first, preview_left_join, key_intersection, confidence_tiers, outlier_flag, status_cli, result_counts, success_counts, warn_any_low, filter_by_confidence,
+        format_delay_ui, format_delay_cli, format_size, format_eta, progress_running, total_size_by_type, unique_parent, basename_ext, remove_selected, toggle_selection, probe_streams, history_top20,
+        history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, event_protocol,
+    )
+}
+
+_UI_SQL = "CASE WHEN ms IS NULL THEN '{1}' ELSE CASE WHEN ms {0} 0 THEN '+' ELSE '' END || printf('%.1fms', round(ms, 1)) END"
+_CLI_SQL = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE printf('%+.1f', round_even({0}, 1)) END"
+_PARENT_SQL = "nullif(regexp_extract(replace({0}, '\\', '/'), '^(.+)/[^/]*$', 1), '')"
+
+ORACLES: dict[str, str] = {
+    "sync_series_events": f"{_offsets_sql()} SELECT *, {_CONFIDENCE_SQL.format('start_delay_ms', 'end_delay_ms')} AS confidence FROM delays",
+    "tail_correction": f"{_offsets_sql(True)} SELECT *, {_CONFIDENCE_SQL.format('start_delay_ms', 'end_delay_ms')} AS confidence FROM delays",
+    "head_tail_slices": f"""WITH {_SERIES_SQL} SELECT id, CAST(least(max(dur), {SEGMENT}) AS BIGINT) AS head_n, CAST(least(max(dur), {SEGMENT}) AS BIGINT) AS tail_n,
+      CAST(coalesce(sum(x) FILTER (i < {SEGMENT}), 0) AS DOUBLE) AS head_sum, CAST(coalesce(sum(x) FILTER (i >= dur - {SEGMENT}), 0) AS DOUBLE) AS tail_sum, least(max(dur), {SEGMENT}) > {LEAST} AS usable FROM series GROUP BY id""",
+    "xcorr_embeddings": _xcorr_sql(_NEXT_SQL),
+    "xcorr_embeddings_udf": _xcorr_sql(_NEXT_SQL),
+    "batch_one_to_many": _xcorr_sql(_FIRST_SQL),
+    "degenerate_signals": "SELECT r_regionkey AS id, CAST(-15 AS BIGINT) AS lag, true AS degenerate FROM region",
+    "znorm_stats": """WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY 1)
+      SELECT vec_id, round(sum(CASE WHEN sd > 1e-8 THEN (v - m) / sd ELSE v - m END), 4) + 0.0 AS z_sum, round(sum(pow(CASE WHEN sd > 1e-8 THEN (v - m) / sd ELSE v - m END, 2)), 4) AS z_squares FROM x JOIN s USING (vec_id) GROUP BY vec_id""",
+    "pair_regex_groups": """WITH k AS (SELECT url, regexp_extract(url, '/([a-z]{2})/(\\d+)', 0) AS key FROM pages WHERE regexp_matches(url, '/([a-z]{2})/(\\d+)'))
+      SELECT a.path AS primary_path, b.path AS secondary_path FROM (SELECT key, max(url) AS path FROM k WHERE url LIKE 'https:%' GROUP BY key) a JOIN (SELECT key, max(url) AS path FROM k GROUP BY key) b USING (key)""",
+    "pair_waterfall": f"{_EPISODES_SQL} SELECT a.path AS primary_path, b.path AS secondary_path FROM a JOIN b USING (key)",
+    "pair_one_plan": f"{_EPISODES_SQL} SELECT a.path AS primary_path, b.path AS secondary_path, CAST(0 AS BIGINT) AS pattern_rank FROM a JOIN b USING (key)",
+    "pair_digits_fallback": """SELECT a.path AS primary_path, b.path AS secondary_path FROM (SELECT regexp_extract_all(c_name, '\\d+') AS key, max(c_name) AS path FROM customer GROUP BY 1) a
+      JOIN (SELECT regexp_extract_all(s_name, '\\d+') AS key, max(s_name) AS path FROM supplier GROUP BY 1) b USING (key) WHERE len(key) > 0""",
+    "pair_dedupe_last": _dedupe_sql("max"),
+    "pair_dedupe_first": _dedupe_sql("min"),
+    "preview_left_join": f"""WITH {_NAMED_SQL}, n AS (SELECT regexp_extract(path, '[^/]+$', 0) AS name, regexp_extract(path, '(?i)S(\\d+)E(\\d+)', 1) || '-' || regexp_extract(path, '(?i)S(\\d+)E(\\d+)', 2) AS key FROM p),
+      m AS (SELECT min(regexp_extract(path, '[^/]+$', 0)) AS other, regexp_extract(path, '(?i)S(\\d+)E(\\d+)', 1) || '-' || regexp_extract(path, '(?i)S(\\d+)E(\\d+)', 2) AS key FROM s GROUP BY 2)
+      SELECT name AS primary_name, coalesce(other, 'No match') AS secondary_name, CASE WHEN other IS NULL THEN 'missing' ELSE 'matched' END AS status FROM n LEFT JOIN m USING (key)""",
+    "key_intersection": """SELECT regexp_extract(url, '/([a-z]{2})/', 1) AS key FROM pages WHERE page_id % 2 = 0 AND regexp_matches(url, '/([a-z]{2})/')
+      INTERSECT SELECT regexp_extract(url, '/([a-z]{2})/', 1) FROM pages WHERE page_id % 2 = 1 AND regexp_matches(url, '/([a-z]{2})/')""",
+    "confidence_tiers": f"WITH {_DAYS_SQL} SELECT primary_path, secondary_path, abs(start_delay_ms - end_delay_ms) AS drift, confidence FROM g",
+    "outlier_flag": f"WITH {_DAYS_SQL} SELECT primary_path, secondary_path, coalesce(abs(start_delay_ms - end_delay_ms) > 500, true) AS is_outlier FROM r",
+    "status_cli": f"""WITH {_DAYS_SQL} SELECT substr(primary_path, 4) AS "primary", substr(secondary_path, 4) AS secondary, CASE WHEN {_BAD_SQL} OR start_delay_ms IS NULL THEN '-' ELSE {_CLI_SQL.format('start_delay_ms')} END AS start_delay,
+      CASE WHEN {_BAD_SQL} OR start_delay_ms IS NULL THEN '-' ELSE {_CLI_SQL.format('end_delay_ms')} END AS end_delay,
+      CASE WHEN NOT ({_BAD_SQL}) AND start_delay_ms IS NOT NULL AND end_delay_ms IS NOT NULL THEN upper(confidence[1]) || confidence[2:] ELSE '-' END AS confidence,
+      CASE WHEN {_BAD_SQL} THEN 'ERROR: ' || error WHEN start_delay_ms IS NOT NULL THEN 'OK' ELSE 'Failed' END AS status FROM g""",
+    "result_counts": f"WITH {_DAYS_SQL} SELECT count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER ({_BAD_SQL}) AS error, count(*) AS total FROM g",
+    "success_counts": f"WITH {_DAYS_SQL} SELECT count(*) FILTER (NOT ({_BAD_SQL})) AS success, count(*) FILTER ({_BAD_SQL}) AS failed FROM r",
+    "warn_any_low": f"WITH {_DAYS_SQL} SELECT coalesce(bool_or(confidence = 'low' OR start_delay_ms IS NULL OR end_delay_ms IS NULL), false) AS warn FROM g",
+    "filter_by_confidence": f"WITH {_DAYS_SQL} SELECT primary_path, secondary_path, confidence FROM g WHERE confidence = 'medium'",
+    "format_delay_ui": f"WITH {_DAYS_SQL}, m AS (SELECT *, end_delay_ms / 8 AS ms FROM r) SELECT primary_path, secondary_path, {_UI_SQL.format('>', '--')} AS shown, {_UI_SQL.format('>=', '—')} AS shown_table FROM m",
+    "format_delay_cli": f"WITH {_DAYS_SQL}, m AS (SELECT *, end_delay_ms / 8 AS ms FROM r) SELECT primary_path, secondary_path, {_CLI_SQL.format('ms')} AS shown FROM m",
+    "format_size": """SELECT doc_id, CASE WHEN n IS NULL OR n <= 0 THEN '--' WHEN n < 1024 THEN printf('%.0fB', n) WHEN n < pow(1024, 2) THEN printf('%.1fKB', round(n / 1024, 1))
+      WHEN n < pow(1024, 3) THEN printf('%.1fMB', round(n / pow(1024, 2), 1)) ELSE printf('%.1fGB', round(n / pow(1024, 3), 1)) END AS size FROM (SELECT doc_id, n_chars * pow(32.0, doc_id % 6) AS n FROM documents)""",
+    "format_eta": """WITH e AS (SELECT event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1000.0 AS elapsed, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS p, count(*) OVER (PARTITION BY user_id) AS t FROM events),
+      r AS (SELECT event_id, elapsed, CAST(greatest(0, floor(elapsed / p * (t - p) / 1000 + 0.5)) AS BIGINT) AS s FROM e)
+      SELECT event_id, (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS eta, printf('%.1f', round(elapsed / 1000, 1)) AS seconds FROM r""",
+    "progress_running": """SELECT event_id, processed, total, CAST(floor(processed * 100.0 / total + 0.5) AS INTEGER) AS percent
+      FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS processed, count(*) OVER (PARTITION BY user_id) AS total FROM events)""",
+    "total_size_by_type": "SELECT lang, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total_size FROM documents GROUP BY lang",
+    "unique_parent": f"""WITH a AS (SELECT {_PARENT_SQL.format('url')} AS p FROM pages), b AS (SELECT {_PARENT_SQL.format('url')} AS p FROM (SELECT url FROM pages WHERE contains(url, '/en/') ORDER BY url LIMIT 1))
+      SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END AS parent, 'all' AS of FROM a UNION ALL SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END, 'first' FROM b""",
+    "basename_ext": f"""WITH x AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.MKV' WHEN 1 THEN '.eac3' ELSE '' END AS path FROM pages)
+      SELECT page_id, regexp_extract(path, '[^/]*$', 0) AS name, {_PARENT_SQL.format('path')} AS parent, lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1)) IN ('mp4', 'mkv', 'webm', 'avi', 'mov', 'eac3', 'ac3') AS is_video FROM x""",
+    "remove_selected": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "toggle_selection": """SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE lang = 'fr') GROUP BY doc_id HAVING count(*) = 1""",
+    "probe_streams": """SELECT event_id, k % 7 <> 0 AND k % 3 <> 2 AS has_audio, k % 7 <> 0 AND k % 3 = 0 AS has_video, CASE WHEN k % 7 <> 0 AND k % 5 <> 0 THEN CAST(k AS DOUBLE) END AS duration
+      FROM (SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events)""",
+    "history_top20": "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS fileCount FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 20",
+    "history_flatten": "SELECT CAST(conv_id AS VARCHAR) AS id, role AS videoFile, CAST(turn AS DOUBLE) AS startDelay, CAST(length(text) AS BIGINT) AS elapsed_ms FROM conversations",
+    "high_per_run": "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (turn * 39.0 < 50) AS high FROM conversations GROUP BY conv_id",
+    "log_tail_200": "SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 200",
+    "upsert_latest": "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id",
+    "csv_round_trip": f"""WITH {_DAYS_SQL} SELECT substr(primary_path, 4) AS video, substr(secondary_path, 4) AS audio, printf('%.1f', start_delay_ms) AS start_delay, CASE WHEN end_delay_ms IS NOT NULL THEN printf('%.1f', end_delay_ms) END AS end_delay,
+      CAST(elapsed_ms AS VARCHAR) AS elapsed, nullif(error, '') AS error FROM r""",
+    "stream_file_drop": "SELECT event_id, CASE WHEN value IS NULL THEN '--' ELSE CASE WHEN value > 0 THEN '+' ELSE '' END || printf('%.1fms', round(value, 1)) END AS shown FROM events",
+    "event_protocol": f"""WITH {_DAYS_SQL}, k AS (SELECT unnest(['file_start', 'file_progress', 'file_progress', 'file_end', 'progress', 'result']) AS type)
+      SELECT type, count(*) AS n, count(*) FILTER (type IN ('file_end', 'result')) AS with_elapsed, count(*) FILTER (type = 'file_progress') AS with_percent FROM r, k GROUP BY type""",
+}
