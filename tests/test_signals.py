@@ -1,0 +1,136 @@
+from __future__ import annotations
+
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lagstone.operators import correlate, pairs
+from lagstone.plans import api
+from lagstone.sources import decode
+from lagstone.sources.requests import SyncRequest
+
+RATE = 8000
+rng = np.random.default_rng(5)
+NOISE = rng.integers(-9000, 9000, RATE * 6).astype(np.int16)
+
+
+def write(path, samples, rate=RATE, channels=1):
+    with wave.open(str(path), "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(np.repeat(samples, channels).astype("<i2").tobytes())
+    return str(path)
+
+
+def delayed(ms, seconds=3):
+    return np.concatenate([np.zeros(ms * RATE // 1000, np.int16), NOISE])[: RATE * seconds]
+
+
+def test_algebra():
+    a, b = rng.normal(size=300), rng.normal(size=300)
+    assert correlate.lag(a, a) == 0
+    assert correlate.lag(np.roll(a, 7), a) == 7
+    assert correlate.lag(a, b) == -correlate.lag(b, a)
+    assert correlate.lag(a * 5 + 3, b) == correlate.lag(a, b)
+    assert correlate.lag(np.zeros(16000), np.zeros(16000)) / RATE * 1000 == -1999.875
+    full = np.correlate(correlate.normalise(a), correlate.normalise(b), "full")
+    assert np.allclose(correlate.correlation(correlate.normalise(a), correlate.normalise(b)), full)
+
+
+def test_sql_equals_arrow(spark):
+    rows = [(i, rng.normal(size=int(rng.integers(1, 20))).tolist()) for i in range(12)] + [(12, [3.0] * 5), (13, [1.0, 2.0] * 4)]
+    x = spark.createDataFrame(rows, "id int, v array<double>")
+    ids = x.select(F.col("id").alias("p_id")).join(x.select(F.col("id").alias("s_id")), F.col("s_id") == F.col("p_id") + 1)
+    a = correlate.lags_sql(x, ids, id_col="id", samples="v").select("p_id", "s_id", "lag").collect()
+    b = correlate.lags_arrow(x, ids, id_col="id", samples="v").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert len(a) == 13
+
+
+@pytest.mark.parametrize(("p", "s", "start", "end"), [(100, 0, 100.0, 100.0), (0, 100, -100.0, -100.0), (0, 0, 0.0, 0.0)])
+def test_offsets(tmp_path, p, s, start, end):
+    a, b = write(tmp_path / "a.wav", delayed(p)), write(tmp_path / "b.wav", delayed(s))
+    got = pairs.process(a, b, 300)
+    assert (got["start_delay_ms"], got["end_delay_ms"], got["error"]) == (start, end, None)
+
+
+def test_clamp_and_silence(tmp_path):
+    a, b = write(tmp_path / "a.wav", delayed(0, 3)), write(tmp_path / "b.wav", delayed(0, 2))
+    assert pairs.process(a, b, 300)["end_delay_ms"] == 1000.0
+    assert pairs.process(a, b, 300, exact=True)["end_delay_ms"] == 0.0
+    quiet = write(tmp_path / "q.wav", np.zeros(16000, np.int16))
+    got = pairs.process(quiet, quiet, 300)
+    assert (got["start_delay_ms"], got["degenerate"]) == (-1999.875, True)
+
+
+def test_decoding(tmp_path):
+    stereo = write(tmp_path / "s.wav", NOISE[:16000], channels=2)
+    assert np.allclose(decode.load(stereo, RATE), NOISE[:16000] / 32768)
+    assert np.allclose(decode.load(stereo, RATE, 0.5, 1.0), NOISE[8000:12000] / 32768)
+    assert np.allclose(decode.load("file://" + stereo, RATE, 0.5, 1.0), NOISE[8000:12000] / 32768)
+    assert decode.duration(stereo) == 2.0
+    tone = (8000 * np.sin(np.arange(32000) * 2 * np.pi * 440 / 16000)).astype(np.int16)
+    x = decode.load(write(tmp_path / "t.wav", tone, rate=16000), RATE)
+    assert len(x) == 16000
+    assert np.allclose(x[100:-100], tone[::2][100:-100] / 32768, atol=1e-3)
+    assert decode.load(str(tmp_path / "none.wav"), RATE) is None
+    assert decode.duration(str(tmp_path / "none.wav")) is None
+
+
+LONG, SHORT = NOISE[:16001].astype(np.float32), NOISE[:8000].astype(np.float32)
+LADDER = [
+    ([None], [], None, "Failed to load start of primary: p.mkv"),
+    ([LONG, None], [], None, "Failed to load start of secondary: s.aac"),
+    ([LONG, SHORT], [], None, "Insufficient audio at start for analysis."),
+    ([LONG, LONG], [2.0, None], 0.0, "Could not get duration for end analysis."),
+    ([LONG, LONG, None], [2.0, 2.0], 0.0, "Failed to load end of primary: p.mkv"),
+    ([LONG, LONG, LONG, None], [2.0, 2.0], 0.0, "Failed to load end of secondary: s.aac"),
+    ([LONG, LONG, LONG, SHORT], [2.0, 2.0], 0.0, "Insufficient audio at end for analysis."),
+    ([LONG, LONG, ValueError("broken")], [2.0, 2.0], 0.0, "broken"),
+]
+
+
+@pytest.mark.parametrize(("loads", "durations", "start", "error"), LADDER)
+def test_ladder(loads, durations, start, error):
+    loads, durations = iter(loads), iter(durations)
+
+    def load(*_):
+        x = next(loads)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    got = pairs.process("/x/p.mkv", "/x/s.aac", 300, load=load, duration=lambda _: next(durations))
+    assert (got["start_delay_ms"], got["end_delay_ms"], got["error"]) == (start, None, error)
+
+
+def test_just_enough():
+    got = pairs.process("p", "s", 300, load=lambda *_: LONG[:8001], duration=lambda _: 1.0)
+    assert got["error"] is None
+
+
+def test_runs(spark, tmp_path):
+    v, a = tmp_path / "v", tmp_path / "a"
+    v.mkdir(), a.mkdir()
+    for k, ms in enumerate((0, 50, 250)):
+        write(v / f"Show.S01E0{k}.WAV", delayed(ms))
+        write(a / f"dub_s01e0{k}.wav", delayed(0))
+    series = api.run(spark, SyncRequest("series", video_folder=f"file://{v}", audio_folder=f"file://{a}")).orderBy("primary_name").collect()
+    assert [(r.start_delay_ms, r.confidence, r.error) for r in series] == [(0.0, "high", None), (50.0, "high", None), (250.0, "high", None)]
+    batch = api.run(spark, SyncRequest("batch", video_folder=f"file://{v}", audio_file=f"file://{a}/dub_s01e00.wav")).orderBy("primary_name").collect()
+    assert [r.start_delay_ms for r in batch] == [0.0, 50.0, 250.0]
+    shown = pairs.report(api.run(spark, SyncRequest("single", video_files=[str(v / "Show.S01E02.WAV")], audio_file="/nowhere/x.wav"))).collect()
+    assert [tuple(r) for r in shown] == [("Show.S01E02.WAV", "x.wav", "-", "-", "-", "ERROR: Failed to load start of secondary: x.wav")]
+    assert api.run(spark, SyncRequest("movie", video_folder=f"file://{v}", audio_file="x.wav")).count() == 0
+
+
+def test_series_offsets(spark):
+    x = rng.poisson(3, 400).astype(float)
+    rows = [(x[:300].tolist(), x[5:300].tolist()), (x[:10].tolist(), x[:300].tolist())]
+    got = correlate.series_offsets(spark.createDataFrame(rows, "p array<double>, s array<double>"), rate=1, segment=168, least=24).collect()
+    assert (got[0].start_delay_ms, got[0].end_delay_ms) == (5000.0, 5000.0)
+    assert got[1].start_delay_ms is None
+    assert got[1].error == "Insufficient audio at start for analysis."
