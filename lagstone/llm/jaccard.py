@@ -1,19 +1,20 @@
 """Operator 8: n-gram Jaccard join over prefix trees.
 
-Each distinct n-gram set is a node.  All sets are ordered by one global order: classes of frequency, read from a count sketch of fixed
-size, then hashes; so very common n-grams come last.  Two sets that are similar enough share an n-gram of their prefixes.  All nodes
-that share a prefix n-gram form a group around the least of them, the centre, and a pair of nodes may meet in one group or more, so
-groups are merged by centre before any text moves.  In a group the ordered sets are stored in a path-compressed trie; a probe
-traverses it once, sharing the overlap of common beginnings, and a subtree is left as soon as the remaining lengths can't reach the
-overlap that its shortest set needs.  Probes are the centre and all that it isn't linked to; pairs already connected in the group are
-passed by, so no group is expanded into pairs.
-
-Groups over ``BLOCK`` nodes are dealt over several tasks, each with the centre; what isn't linked to the centre then meets the other
-blocks in a second round.  Links are joined to components by star rounds.
+Each distinct n-gram set is a node, ordered by one global order, that of the n-grams' hashes.  The range of hashes is cut into so many
+parts that two sets that are similar enough differ in fewer of them, so at least one part is the same in both; nodes that have a part
+in common form a group around the least of them, the centre.  Groups are merged by centre before any text moves.  In a group the
+ordered sets are stored in a path-compressed trie; a probe traverses it once, sharing the overlap of common beginnings, and a subtree
+is left as soon as the remaining lengths can't reach the overlap that its shortest set needs.  Probes are the centre and all that
+it isn't linked to; pairs already connected in the group are passed by, so no group is expanded into pairs.
+
+The number of parts follows from the sizes: sets are dealt to classes of size, and a set near the end of its class takes part in the
+next one too.  Groups over ``BLOCK`` nodes are dealt over several tasks, each with the centre; what isn't linked to the centre then
+meets the other blocks in a second round.  Links are joined to components by star rounds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ from lagstone.llm import common
 from lagstone.llm.components import components
 
 WORDS, SIMILAR = 3, 90
-#: Counters of the frequency sketch (half a megabyte), and the nodes of one block of a group.
-SKETCH, BLOCK = 1 << 16, 2048
+#: Nodes of one block of a group.
+BLOCK = 2048
+#: Ratio of the bounds of a class of sizes.
+RATIO = 1.5
 #: Tokens of a trie edge that are compared before the bound is looked at again.
 STEP = 64
 
@@ -49,19 +52,40 @@ def ngram_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def node_of(hashes: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+def node_of(hashes: np.ndarray) -> int | None:
+    """A 64-bit hash of the set, by which it is known; none of an empty set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
-def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set in the global order: class of frequency in the upper 8 bits, then 56 bits of hash."""
-    rank = classes[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
-    return np.sort((rank << np.uint64(56)) | (hashes >> np.uint64(8)))
+#: The largest size in each class.
+_LARGEST = sorted({int(RATIO**k) for k in range(1, 60)})
 
 
-def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    mean = max(counts.sum() / SKETCH, 1)
-    return np.floor(np.log2(np.maximum(counts / mean, 1))).astype(np.uint8)
+def signatures(hashes: np.ndarray, similar: int) -> np.ndarray:
+    """Hashes of the parts of a set, in its class of sizes and, if it is near the end of that, in the next.
+
+    In a class whose sets have ``top`` n-grams at most, similar ones differ in ``off`` n-grams at most.  There are more parts than that by
+    ``spare``: so many and one more are the same, and one of them has n-grams unless over ``spare`` parts of the set are empty.  Empty
+    parts count only then.
+    """
+    n, out = len(hashes), []
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(29)), dtype=np.uint64)])
+    k = bisect_left(_LARGEST, n)
+    for c in [k, k + 1] if 100 * n >= similar * (_LARGEST[k] + 1) else [k]:
+        off = (100 - similar) * 2 * _LARGEST[c] // (100 + similar)
+        spare = 1 + off // 20
+        parts = off + 1 + spare
+        edges = np.searchsorted(hashes >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+        edges[-1] = n
+        size = np.diff(edges)
+        use = np.arange(parts) if (size == 0).sum() > spare else np.flatnonzero(size)
+        with np.errstate(over="ignore"):
+            x = (sums[edges[use + 1]] - sums[edges[use]] + np.uint64(c * 1_000_003 + 1)) * _M + use.astype(np.uint64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(27)))
+    return np.concatenate(out)
 
 
 class Trie:
@@ -159,7 +183,7 @@ def link_group(sets: list[np.ndarray], probes: list[int], similar: int) -> list[
     return links
 
 
-def _link_blocks(rows: DataFrame, classes, words: int, similar: int) -> DataFrame:
+def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
     """From (center, block, node, text, role), sorted by center, block, role: links a, b, and with b null what the centre isn't linked to.
 
     Roles: 0 the centre, 1 a probe from another block, 2 a member.
@@ -169,7 +193,7 @@ def _link_blocks(rows: DataFrame, classes, words: int, similar: int) -> DataFram
         out: list[tuple] = []
 
         def close(key, group) -> None:
-            sets = [ordered(ngram_hashes(t, words), classes.value) for _, _, t in group]
+            sets = [ngram_hashes(t, words) for _, _, t in group]
             nodes, roles = [n for n, _, _ in group], [r for _, r, _ in group]
             foreign = [i for i, r in enumerate(roles) if r == 1]
             first = [i for i, r in enumerate(roles) if r == 0] if not foreign else foreign
@@ -185,7 +209,7 @@ def _link_blocks(rows: DataFrame, classes, words: int, similar: int) -> DataFram
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["center", "block", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["center", "block", "a", "b"])
 
         key, group = None, []
         for batch in batches:
@@ -202,49 +226,23 @@ def _link_blocks(rows: DataFrame, classes, words: int, similar: int) -> DataFram
         yield flush()
 
     rows = rows.repartition("center", "block").sortWithinPartitions("center", "block", "role", "node")
-    return rows.select("center", "block", "node", "text", "role").mapInArrow(run, "center binary, block int, a binary, b binary")
-
-
-def ngram_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """The staged table doc_id, n_shingles, node, and the frequency classes of the sketch's counters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n_shingles", "node", "counter", "n"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-        for batch in batches:
-            sizes, nodes = [], []
-            for t in batch.column(1).to_pylist():
-                h = ngram_hashes(t or "", words)
-                counts += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(h) > 4096 else 0
-                if len(h) <= 4096:
-                    np.add.at(counts, (h & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                sizes.append(len(h))
-                nodes.append(node_of(h))
-            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *none], names=names)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in types[:3]), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
-
-    out = common.stage(docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, counter int, n long"), "ngram-sets")
-    counts = np.zeros(SKETCH, np.int64)
-    sums = out.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    return out.where("counter IS NULL").select("doc_id", "n_shingles", "node"), frequency_classes(counts)
+    return rows.select("center", "block", "node", "text", "role").mapInArrow(run, "center long, block int, a long, b long")
 
 
 def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The sets (doc_id, n_shingles, node) and links (a, b) that connect all pairs of nodes similar enough."""
-    spark = docs.sparkSession
-    common.prepare(spark)
+    common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets, classes = ngram_sets(docs, words)
-    shared = spark.sparkContext.broadcast(classes)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [ngram_hashes(t or "", words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            tokens, nodes = [], []
+            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for t in batch.column(0).to_pylist():
                 h = ngram_hashes(t or "", words)
                 node = node_of(h)
@@ -253,14 +251,27 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                x = ordered(h, shared.value)[: len(h) - -(-len(h) * similar // 100) + 1]
-                tokens.append(x.view(np.int64))
-                nodes += [node] * len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), pa.array(nodes, pa.binary())], names=["token", "node"])
-
-    rows = common.stage(docs.select("text").mapInArrow(prefixes, "token long, node binary"), "prefixes")
-    groups = rows.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last").select("token", "center")
-    pairs = common.stage(rows.join(groups, "token").where("node != center").select("center", "node").distinct(), "groups")
+                keys.append(signatures(h, similar))
+                nodes.append(np.full(len(keys[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["part", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by part and node: every node with the first of its part."""
+        part, center = None, None
+        for batch in batches:
+            p, n = (c.to_numpy() for c in batch.columns)
+            if not len(p):
+                continue
+            first = np.concatenate([[part is None or p[0] != part], p[1:] != p[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(p)), -1))
+            centers = np.where(at >= 0, n[np.maximum(at, 0)], center if center is not None else 0)
+            part, center = p[-1], centers[-1]
+            got = np.unique(np.stack([centers, n], axis=1)[centers != n], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["center", "node"])
+
+    sets = common.stage(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "ngram-sets")
+    rows = docs.select("text").mapInArrow(parts, "part long, node long").repartition("part").sortWithinPartitions("part", "node")
+    pairs = common.stage(rows.mapInArrow(meet, "center long, node long").distinct(), "groups")
     # one text for each node that is in a group
     wanted = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
     wanted = sets.join(wanted, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(common.NULL_ID))).alias("id"))
@@ -270,13 +281,13 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
             keep = [n == node_of(ngram_hashes(t or "", words)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, "id").select("node", "text").mapInArrow(pick, "node binary, text string")
+    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, "id").select("node", "text").mapInArrow(pick, "node long, text string")
     texts = common.stage(texts.dropDuplicates(["node"]), "texts")
     sizes = pairs.groupBy("center").agg((F.count(F.lit(1)) / block).cast("int").alias("last"))
     sizes = common.stage(sizes, "group-sizes")
     members = pairs.join(sizes, "center").select("center", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int").alias("block"), "node", F.lit(2).alias("role"))
     centers = sizes.select("center", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.col("center").alias("node"), F.lit(0).alias("role"))
-    found = common.stage(_link_blocks(members.unionByName(centers).join(texts, "node"), shared, words, similar), "links")
+    found = common.stage(_link_blocks(members.unionByName(centers).join(texts, "node"), words, similar), "links")
     links = found.where("b IS NOT NULL").select("a", "b")
     # second round, for groups of several blocks: what the centre isn't linked to meets the other blocks
     large = sizes.where("last > 0")
@@ -284,7 +295,7 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
         rest = found.where("b IS NULL").select("center", F.col("block").alias("own"), F.col("a").alias("node")).join(large, "center")
         probes = rest.select("center", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "own", "node").where("block != own").select("center", "block", "node", F.lit(1).alias("role"))
         met = probes.select("center", "block").distinct()
-        more = _link_blocks(members.join(met, ["center", "block"], "left_semi").unionByName(probes).join(texts, "node"), shared, words, similar)
+        more = _link_blocks(members.join(met, ["center", "block"], "left_semi").unionByName(probes).join(texts, "node"), words, similar)
         links = links.unionByName(common.stage(more.where("b IS NOT NULL").select("a", "b"), "links"))
     return sets, links
 
