@@ -66,8 +66,9 @@ class Automaton:
         self.cut: dict[int, int] = {}  # arc (a, b), as a * n + b -> the rank of the merge that removed it
         self.dead: set[int] = set()
         self.table: dict[int, bool] = {}
+        used: set[int] = set()  # tokens of the halves so far, which no later merge may make
         for rank, merge in enumerate(merges, 1):
-            self._gadget(rank, *merge)
+            self._gadget(rank, *merge, used)
         self.widths = list(map(len, self.arcs))
         self.suffixes: dict[str, int] = {}  # what arcs end with -> the token, or -1
         for i, x in enumerate(self.arcs):
@@ -76,8 +77,9 @@ class Automaton:
                     self.suffixes.setdefault(x[begin:], -1)
                 self.suffixes[x] = i
 
-    def _gadget(self, rank: int, a: int, b: int, w: int) -> None:
-        if self.created[w] or max(self.created[a], self.created[b]) >= rank:
+    def _gadget(self, rank: int, a: int, b: int, w: int, used: set[int]) -> None:
+        used.update((a, b))
+        if self.created[w] or w in used:
             raise ValueError(f"merge {rank} is not a proper one")
         alive = a not in self.dead and b not in self.dead and self._has_arc(a, b)
         self.created[w], self.left[w], self.right[w] = rank, a, b
