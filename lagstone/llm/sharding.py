@@ -100,3 +100,33 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return shard_documents(common.table(spark, sf_dir, "documents"))
+
+
+def _choose_sql(key: str, tree: tuple[Shard, ...]) -> str:
+    """The descent as a SQL expression: the least draw at each level."""
+
+    def least(level: str, weights: dict[int, float]) -> str:
+        if len(weights) == 1:
+            return str(next(iter(weights)))
+        draws = [f"{{'draw': -ln((CAST(('0x' || substr(md5({key} || '|{level}{k}'), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0) / {w:.1f}, 'node': {k}}}" for k, w in weights.items()]
+        return f"list_min([{', '.join(draws)}]).node"
+
+    regions, racks, shards = {}, {}, {}
+    for x in tree:
+        regions[x.region] = regions.get(x.region, 0) + x.weight
+        racks.setdefault(x.region, {})
+        racks[x.region][x.rack] = racks[x.region].get(x.rack, 0) + x.weight
+        shards.setdefault(x.rack, {})[x.shard] = x.weight
+    by_rack = " ".join(f"WHEN {r} THEN {least('shard', w)}" for r, w in shards.items())
+    by_region = " ".join(f"WHEN {r} THEN (CASE {least('rack', w)} {by_rack} END)" for r, w in racks.items())
+    return f"CAST(CASE {least('region', regions)} {by_region} END AS INTEGER)"
+
+
+OP2_SQL = rf"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, k, n + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) AS text_crc32, CAST(('0x' || substr(md5(k || '|slot'), 1, 12)) AS BIGINT) % (SELECT least(1 + count(*) // {BUCKET_ROWS}, {BUCKETS}) FROM documents) AS bucket FROM d, t),
+s AS (SELECT *, {_choose_sql("k", topology(8))} AS shard, {_choose_sql("k", topology(9))} AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard, shard // 4 AS region, shard // 2 AS rack FROM s
+"""
