@@ -73,13 +73,14 @@ def temperature(tokens: dict, *, repeat_limit: float, target_entropy: float | No
 
 
 def mix(docs: DataFrame, *, repeat_limit: float = REPEAT_LIMIT, target_entropy: float | None = None, budget: float | None = None, seed: str = "mix") -> DataFrame:
-    """The columns of ``docs`` and n_words, repetition (double), copies (long) and block (long) of every document.
+    """The columns of ``docs`` and n_words, repetition (double), copies (long) and block (long) of every document; these replace
+    columns of ``docs`` of the same names.
 
     ``copies`` is how often the document stands in the mixture.  Words are counted in the whole text (null: none).  A null source is a
     source of its own; a source without words is used once; a null doc_id takes part; repeated rows are separate documents, of which
     the permutation may take one more than another.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_words", "repetition", "copies", "block")]
     rows = docs.withColumn("__words", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long"))
     sums = rows.groupBy("source").agg(F.sum("__words").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
