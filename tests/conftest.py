@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(__file__)))
+    root = os.path.dirname(os.path.dirname(__file__))
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     conf = {
         "spark.master": "local[4]",
         "spark.sql.shuffle.partitions": "4",
