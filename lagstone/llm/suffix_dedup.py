@@ -236,13 +236,25 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
                 p, g, a = anchors(_bytes(text), length, gram)
                 for k, x in enumerate((g.view(np.int64), a.view(np.int64), np.full(len(p), doc), (h << 40) | p)):
                     out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], names=["gram", "around", "id", "hp"])
+            g, a, d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            # combined before the shuffle: what repeats earlier surroundings of this batch is settled; it is passed on under a key of its own
+            order = np.lexsort((p, d, a, g))
+            g, a, d, p = g[order], a[order], d[order], p[order]
+            again = np.concatenate([[False], (g[1:] == g[:-1]) & (a[1:] == a[:-1])]) if len(g) else np.zeros(0, bool)
+            again[1:] &= (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+            g[again], a[again] = _mix((d[again] ^ (p[again] << 1)).view(_U)).view(np.int64), 0
+            p[again] = ~p[again]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, a, d, p)], names=["gram", "around", "id", "hp"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by gram, around, id, hp.  Kind 0 repeats its surroundings; kind 1 is the first of one of several."""
         last = None  # the previous row, and whether it has been passed on
         for batch in batches:
             g, a, d, p = (c.to_numpy() for c in batch.columns)
+            settled = p < 0
+            if settled.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(settled.sum(), np.int32)), *(pa.array(c[settled]) for c in (g, d, ~p))], names=["kind", "gram", "id", "hp"])
+                g, a, d, p = (c[~settled] for c in (g, a, d, p))
             if not len(g):
                 continue
             if last is not None:
@@ -290,17 +302,24 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
     joined = base.join(wanted, ["id", "h"]).select("id", "h", "text", "places")
     reach = length - gram
 
-    def cut(batches: Iterator[pa.RecordBatch], of_hot: bool) -> Iterator[tuple]:
-        for batch in batches:
-            for doc, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                yield from ((x["gram"], doc, (h << 40) | x["pos"], data[max(0, x["pos"] - reach) : x["pos"] + length], min(reach, x["pos"])) for x in places if x["hot"] == of_hot)
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            yield from ((x["gram"], doc, (h << 40) | x["pos"], data[max(0, x["pos"] - reach) : x["pos"] + length], min(reach, x["pos"]), x["hot"]) for x in places)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["gram", "id", "hp", "around", "off"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        """Rows of ordinary buckets with their surroundings; of heavy ones a row for each suffix with the hash of its beginning."""
+        names = ["gram", "id", "hp", "around", "off", "key", "begin"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         for batch in batches:
-            rows = list(cut([batch], False))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=names)
+            out = []
+            for bucket, doc, hp, around, off, heavy in cut(batch):
+                if not heavy:
+                    out.append((bucket, doc, hp, around, off, None, None))
+                    continue
+                found = np.flatnonzero(minimisers(Hashes(np.frombuffer(around, np.uint8)), length, gram) == off)
+                out += [(None, doc, hp, None, None, xxhash.xxh3_128_digest(around[s : s + length]), (hp & ((1 << 40) - 1)) - off + s) for s in found.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
@@ -319,20 +338,11 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
                     size += 1
         yield close()
 
-    cuts = joined.mapInArrow(surroundings, "gram long, id long, hp long, around binary, off int")
-    cuts = cuts.repartition("gram").sortWithinPartitions("gram", "id", "hp")
-    windows = cuts.mapInArrow(settle, "id long, h long, begin long, end long")
+    cuts = common.stage(joined.mapInArrow(surroundings, "gram long, id long, hp long, around binary, off int, key binary, begin long"), "surroundings")
+    light = cuts.where("key IS NULL").select("gram", "id", "hp", "around", "off").repartition("gram").sortWithinPartitions("gram", "id", "hp")
+    windows = light.mapInArrow(settle, "id long, h long, begin long, end long")
     if any_hot:
-
-        def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for _, doc, hp, around, off in cut([batch], True):
-                    found = np.flatnonzero(minimisers(Hashes(np.frombuffer(around, np.uint8)), length, gram) == off)
-                    out += [(xxhash.xxh3_128_digest(around[s : s + length]), doc, hp >> 40, (hp & ((1 << 40) - 1)) - off + s) for s in found.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.binary(), *[pa.int64()] * 3), strict=True)], names=["key", "id", "h", "begin"])
-
-        keys = common.stage(joined.mapInArrow(beginnings, "key binary, id long, h long, begin long").distinct(), "beginnings")
+        keys = cuts.where("key IS NOT NULL").select("key", "id", F.shiftright("hp", 40).alias("h"), "begin")
         first = keys.groupBy("key").agg(F.min(F.struct("id", "h", "begin")).alias("first"))
         later = keys.join(first, "key").where(F.struct("id", "h", "begin") > F.col("first")).select("id", "h", "begin", (F.col("begin") + length).alias("end"))
         windows = windows.unionByName(later)
