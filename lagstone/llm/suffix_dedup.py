@@ -422,3 +422,18 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents."""
     return dedup(common.table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100),
+f AS (SELECT substr(h, 2 * s + 1, 200) AS w, count(*) AS k, min({'d': doc_id, 's': s}) AS first FROM p GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT p.doc_id, p.s FROM p JOIN f ON f.w = substr(p.h, 2 * p.s + 1, 200) WHERE {'d': p.doc_id, 's': p.s} > f.first),
+r AS (SELECT doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -101) > 100 AS starts FROM c),
+g AS (SELECT doc_id, s, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
+x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, b AS from_, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), -1) AS to_ FROM x UNION ALL SELECT doc_id, 0, min(a) FROM x GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (CASE WHEN to_ < 0 THEN n ELSE to_ END - from_)), '' ORDER BY from_) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+m AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
