@@ -88,72 +88,76 @@ def signatures(hashes: np.ndarray, similar: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+class _Node:
+    """A path of tokens from depth ``start`` to ``end``; ``single``: all members below are known to be connected."""
+
+    __slots__ = ("children", "end", "first", "here", "least", "most", "single", "start")
+
+    def __init__(self, start: int, end: int, first: int, least: int, most: int, single: bool):
+        self.start, self.end, self.first, self.least, self.most, self.single = start, end, first, least, most, single
+        self.children: list[_Node] = []
+        self.here: list[int] = []
+
+
 class Trie:
-    """A path-compressed prefix tree of ordered sets.  Nodes: (tokens, depth, least size, members below, children, members here)."""
+    """A path-compressed prefix tree of ordered sets."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+        self.sets, self.sizes = sets, [len(x) for x in sets]
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = self._build(order, 0)
-
-    def _common(self, a: np.ndarray, b: np.ndarray, start: int) -> int:
-        n = min(len(a), len(b))
-        off = np.flatnonzero(a[start:n] != b[start:n])
-        return start + int(off[0]) if len(off) else n
-
-    def _build(self, order: list[int], depth: int):
-        root = [depth, depth, None, order, [], []]
-        work = [(root, order, depth)]
+        self.root = self._node(order, 0)
+        self.root.end = 0
+        work = [(self.root, order)]
         while work:
-            node, members, start = work.pop()
-            first, last = self.sets[members[0]], self.sets[members[-1]]
-            end = self._common(first, last, start) if len(members) > 1 else len(first)
-            if node is root:
-                end = start
-            node[0], node[1] = start, end
-            node[2] = first
-            node[5] = [i for i in members if len(self.sets[i]) == end]
-            rest = [i for i in members if len(self.sets[i]) > end]
+            node, members = work.pop()
+            node.here = [i for i in members if self.sizes[i] == node.end]
+            rest = [i for i in members if self.sizes[i] > node.end]
             at = 0
             while at < len(rest):
-                token, to = self.sets[rest[at]][end], at
-                while to < len(rest) and self.sets[rest[to]][end] == token:
+                token, to = sets[rest[at]][node.end], at + 1
+                while to < len(rest) and sets[rest[to]][node.end] == token:
                     to += 1
-                child = [end, end, None, rest[at:to], [], []]
-                node[4].append(child)
-                work.append((child, rest[at:to], end))
+                child = self._node(rest[at:to], node.end)
+                node.children.append(child)
+                work.append((child, rest[at:to]))
                 at = to
-        return root
 
-    def probe(self, q: np.ndarray, similar: int, passed) -> Iterator[int]:
-        """Members whose similarity to ``q`` is at least ``similar`` percent; ``passed(member)`` ones are left out."""
+    def _node(self, members: list[int], start: int) -> _Node:
+        a, b = self.sets[members[0]], self.sets[members[-1]]
+        n = min(len(a), len(b))
+        off = np.flatnonzero(a[start:n] != b[start:n])
+        sizes = [self.sizes[i] for i in members]
+        return _Node(start, start + int(off[0]) if len(off) else n, members[0], min(sizes), max(sizes), len(members) == 1)
+
+    def probe(self, q: np.ndarray, similar: int, find=None, own: int = 0) -> Iterator[int]:
+        """Members whose similarity to ``q`` is at least ``similar`` percent; with ``find``, those connected to ``own`` are left out."""
         n = len(q)
         stack = [(self.root, 0)]
         while stack:
             node, overlap = stack.pop()
-            start, end, source, members, children, here = node
-            if all(map(passed, members)):
-                continue
-            least = min(len(self.sets[i]) for i in members)
-            most = max(len(self.sets[i]) for i in members)
-            if 100 * min(n, most) < similar * max(n, least):
+            if 100 * min(n, node.most) < similar * max(n, node.least):
                 continue
-            alive = True
-            for at in range(start, end, STEP):
-                part = source[at : min(at + STEP, end)]
-                pos = np.searchsorted(q, part)
-                overlap += int((q[np.minimum(pos, n - 1)] == part).sum())
-                left = min(n - int(np.searchsorted(q, part[-1], "right")), most - at - len(part))
-                best = overlap + left
-                if best * (100 + similar) < similar * (n + least):
+            if find is not None:
+                if not node.single and all(c.single for c in node.children):
+                    node.single = len({find(i) for i in (*node.here, *(c.first for c in node.children))}) == 1
+                if node.single and find(node.first) == find(own):
+                    continue
+            alive, source = True, self.sets[node.first]
+            for at in range(node.start, node.end, STEP):
+                part = source[at : min(at + STEP, node.end)]
+                pos = q.searchsorted(part)
+                hit = q[np.minimum(pos, n - 1)] == part
+                overlap += int(np.count_nonzero(hit))
+                left = min(n - int(pos[-1]) - int(hit[-1]), node.most - at - len(part))
+                if (overlap + left) * (100 + similar) < similar * (n + node.least):
                     alive = False
                     break
             if not alive:
                 continue
-            for i in here:
-                if not passed(i) and 100 * overlap >= similar * (n + len(self.sets[i]) - overlap):
+            for i in node.here:
+                if 100 * overlap >= similar * (n + self.sizes[i] - overlap) and (find is None or find(i) != find(own)):
                     yield i
-            stack += [(c, overlap) for c in children]
+            stack += [(c, overlap) for c in node.children]
 
 
 class _Sets:
@@ -176,10 +180,9 @@ def link_group(sets: list[np.ndarray], probes: list[int], similar: int) -> list[
     """Links that connect what is similar among a group: each of ``probes`` against all members, in order."""
     trie, parts, links = Trie(sets), _Sets(len(sets)), []
     for p in probes:
-        for i in trie.probe(sets[p], similar, lambda i, p=p: parts.find(i) == parts.find(p)):
-            if parts.find(i) != parts.find(p):
-                parts.join(i, p)
-                links.append((p, i))
+        for i in trie.probe(sets[p], similar, parts.find, p):
+            parts.join(i, p)
+            links.append((p, i))
     return links
 
 
