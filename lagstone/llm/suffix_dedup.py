@@ -87,26 +87,28 @@ def minimisers(hashes: Hashes, length: int, gram: int) -> np.ndarray:
     return (low[: n - length + 1] & _U((1 << _POS_BITS) - 1)).astype(np.int64)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the minimisers of a text, the hashes of their k-grams and of their surroundings."""
-    reach, n = length - gram, len(data)
-    places, grams, around = [], [], []
-    step = PIECE - 3 * length
-    for start in range(0, max(n - length + 1, 1), step):
+def _found(data: np.ndarray, length: int, gram: int, hashes: bool = False) -> Iterator[tuple]:
+    """Pieces of a text: the first suffix, and the minimisers of this and the following ones; with the piece's hashes and beginning."""
+    reach, n, step = length - gram, len(data), PIECE - 3 * length
+    for start in range(0, n - length + 1, step):
         # the stretches that begin in [start, start + step), and the surroundings of their minimisers
         begin, end = max(0, start - reach), min(n, start + step + 2 * length)
         h = Hashes(data[begin:end])
-        found = minimisers(h, length, gram)[start - begin : start - begin + step]
-        p = np.unique(found)
-        if not len(p):
-            continue
+        found = minimisers(h, length, gram)[start - begin : start - begin + step] + begin
+        yield (start, found, h, begin) if hashes else (start, found)
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the minimisers of a text, the hashes of their k-grams and of their surroundings."""
+    reach = length - gram
+    places, grams, around = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
+    for _, found, h, begin in _found(data, length, gram, hashes=True):
+        p = np.unique(found) - begin
         left, right = np.maximum(p - reach, 0), np.minimum(p + length, h.n)
         places.append(p + begin)
         grams.append(_mix(h.of(p, p + gram)))
         with np.errstate(over="ignore"):
             around.append(_mix(h.of(left, right) * _U(0xD6E8FEB86659FD93) + (p - left).astype(_U) * _U(65537) + (right - p).astype(_U)))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
     p, g, a = map(np.concatenate, (places, grams, around))
     p, first = np.unique(p, return_index=True)
     return p, g[first], a[first]
@@ -178,18 +180,29 @@ class SuffixSort:
         return same
 
 
-def covered_windows(rows: list[tuple[int, int, int, bytes, int]], length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """From (bucket, id, hp, surroundings, offset of the minimiser), in order: (id, h, begin, end) of what repeats an earlier row."""
-    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    at, row, off, bucket = 0, [], [], []
-    for i, r in enumerate(rows):
-        found = np.flatnonzero(minimisers(Hashes(np.frombuffer(r[3], np.uint8)), length, gram) == r[4])
-        row.append(np.full(len(found), i))
-        off.append(found)
-        bucket.append(np.full(len(found), r[0]))
-    if not row:
+def suffixes_of(data: np.ndarray, places: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted places of minimisers the first suffix whose minimiser it is, and the one after the last."""
+    first, last = np.full(len(places), len(data)), np.zeros(len(places), np.int64)
+    for start, found in _found(data, length, gram):
+        low, high = np.searchsorted(places, [found[0], found[-1] + 1])  # minimisers of later suffixes are never earlier
+        p = places[low:high]
+        a, b = start + np.searchsorted(found, p, "left"), start + np.searchsorted(found, p, "right")
+        some = b > a
+        first[low:high][some] = np.minimum(first[low:high], a)[some]
+        last[low:high][some] = np.maximum(last[low:high], b)[some]
+    return first, last
+
+
+def covered_windows(rows: list[tuple[int, int, int, bytes, int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
+    """From (bucket, id, hp, surroundings, offset of the minimiser, first suffix and number of suffixes in the surroundings), in order:
+    (id, h, begin, end) of what repeats an earlier row."""
+    if not rows:
         return []
-    row, off, bucket = np.concatenate(row), np.concatenate(off), np.concatenate(bucket)
+    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    many = np.array([r[6] for r in rows], np.int64)
+    row = np.repeat(np.arange(len(rows)), many)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.array([r[5] for r in rows], np.int64), many)
+    bucket = np.repeat(np.array([r[0] for r in rows], np.int64), many)
     bases = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])[:-1]
     marks = np.array([r[4] for r in rows])
     ahead = marks[row] - off
@@ -207,7 +220,7 @@ def covered_windows(rows: list[tuple[int, int, int, bytes, int]], length: int =
     breaks = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (ahead[1:] != ahead[:-1] - 1)])) if len(row) else []
     out = []
     for a, b in zip(breaks, [*breaks[1:], len(row)], strict=True):
-        _, doc, hp, _, _ = rows[row[a]]
+        _, doc, hp, *_ = rows[row[a]]
         pos = hp & ((1 << 40) - 1)
         out.append((doc, hp >> 40, int(pos - ahead[a]), int(pos - ahead[b - 1]) + length))
     return out
@@ -302,30 +315,30 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
     joined = base.join(wanted, ["id", "h"]).select("id", "h", "text", "places")
     reach = length - gram
 
-    def cut(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for doc, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            yield from ((x["gram"], doc, (h << 40) | x["pos"], data[max(0, x["pos"] - reach) : x["pos"] + length], min(reach, x["pos"]), x["hot"]) for x in places)
-
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of ordinary buckets with their surroundings; of heavy ones a row for each suffix with the hash of its beginning."""
-        names = ["gram", "id", "hp", "around", "off", "key", "begin"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+        names = ["gram", "id", "hp", "around", "off", "first", "many", "key", "begin"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
         for batch in batches:
             out = []
-            for bucket, doc, hp, around, off, heavy in cut(batch):
-                if not heavy:
-                    out.append((bucket, doc, hp, around, off, None, None))
-                    continue
-                found = np.flatnonzero(minimisers(Hashes(np.frombuffer(around, np.uint8)), length, gram) == off)
-                out += [(None, doc, hp, None, None, xxhash.xxh3_128_digest(around[s : s + length]), (hp & ((1 << 40) - 1)) - off + s) for s in found.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
+            for doc, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                places = sorted(places, key=lambda x: x["pos"])
+                first, last = suffixes_of(np.frombuffer(data, np.uint8), np.array([x["pos"] for x in places], np.int64), length, gram)
+                for x, a, b in zip(places, first.tolist(), last.tolist(), strict=True):
+                    pos, hp = x["pos"], (h << 40) | x["pos"]
+                    if x["hot"]:
+                        out += [(None, doc, hp, None, None, None, None, xxhash.xxh3_128_digest(data[s : s + length]), s) for s in range(a, b)]
+                    else:
+                        left = max(0, pos - reach)
+                        out.append((x["gram"], doc, hp, data[left : pos + length], pos - left, a - left, b - a, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
 
         def close() -> pa.RecordBatch:
-            got = covered_windows(group, length, gram)
+            got = covered_windows(group, length)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * 4)], names=["id", "h", "begin", "end"])
 
         for batch in batches:
@@ -338,8 +351,8 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
                     size += 1
         yield close()
 
-    cuts = common.stage(joined.mapInArrow(surroundings, "gram long, id long, hp long, around binary, off int, key binary, begin long"), "surroundings")
-    light = cuts.where("key IS NULL").select("gram", "id", "hp", "around", "off").repartition("gram").sortWithinPartitions("gram", "id", "hp")
+    cuts = common.stage(joined.mapInArrow(surroundings, "gram long, id long, hp long, around binary, off int, first int, many int, key binary, begin long"), "surroundings")
+    light = cuts.where("key IS NULL").select("gram", "id", "hp", "around", "off", "first", "many").repartition("gram").sortWithinPartitions("gram", "id", "hp")
     windows = light.mapInArrow(settle, "id long, h long, begin long, end long")
     if any_hot:
         keys = cuts.where("key IS NOT NULL").select("key", "id", F.shiftright("hp", 40).alias("h"), "begin")
@@ -358,11 +371,8 @@ def removed_mask(data: np.ndarray, places: list[int], spans: list[tuple[int, int
     if places:
         wanted = np.zeros(n, bool)
         wanted[places] = True
-        step = PIECE - 3 * length
-        for start in range(0, n - length + 1, step):
-            begin, end = max(0, start - (length - gram)), min(n, start + step + 2 * length)
-            found = minimisers(Hashes(data[begin:end]), length, gram)[start - begin : start - begin + step]
-            s = np.flatnonzero(wanted[found + begin]) + start
+        for start, found in _found(data, length, gram):
+            s = np.flatnonzero(wanted[found]) + start
             np.add.at(change, s, 1)
             np.add.at(change, s + length, -1)
     for a, b in spans:
