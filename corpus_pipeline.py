@@ -24,7 +24,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows equal in doc_id and text are one document.  A text without words stands alone; so does one of a group without any doc_id.
     """
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), words=5, similar=80)
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), words=5, similar=80, merge=True)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"])
 

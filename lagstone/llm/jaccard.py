@@ -221,7 +221,8 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
                     if len(group) > 1:
                         close(key, group)
                     key, group = (center, block), []
-                group.append((node, role, text))
+                if not group or group[-1][:2] != (node, role):  # repeated rows bring a text twice
+                    group.append((node, role, text))
             if len(out) > 1000:
                 yield flush()
         if len(group) > 1:
@@ -232,8 +233,12 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
     return rows.select("center", "block", "node", "text", "role").mapInArrow(run, "center long, block int, a long, b long")
 
 
-def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The sets (doc_id, n_shingles, node) and links (a, b) that connect all pairs of nodes similar enough."""
+def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, n_shingles, node) and links (a, b) that connect all pairs of nodes similar enough.
+
+    With ``merge`` groups that share a node become one, so each text moves once; where parts are small, as at lower similarities, a node
+    would otherwise move with many centres.
+    """
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -275,6 +280,9 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
     sets = common.stage(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "ngram-sets")
     rows = docs.select("text").mapInArrow(parts, "part long, node long").repartition("part").sortWithinPartitions("part", "node")
     pairs = common.stage(rows.mapInArrow(meet, "center long, node long").distinct(), "groups")
+    if merge:
+        joined = components(pairs, "center", "node")
+        pairs = common.stage(joined.where("node != component").select(F.col("component").alias("center"), "node"), "merged-groups")
     # one text for each node that is in a group
     wanted = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
     wanted = sets.join(wanted, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(common.NULL_ID))).alias("id"))
@@ -285,7 +293,7 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, "id").select("node", "text").mapInArrow(pick, "node long, text string")
-    texts = common.stage(texts.dropDuplicates(["node"]), "texts")
+    texts = common.stage(texts, "texts")
     sizes = pairs.groupBy("center").agg((F.count(F.lit(1)) / block).cast("int").alias("last"))
     sizes = common.stage(sizes, "group-sizes")
     members = pairs.join(sizes, "center").select("center", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int").alias("block"), "node", F.lit(2).alias("role"))
@@ -303,14 +311,14 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
     return sets, links
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK, merge: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Texts with white space only, and null ones, have no n-grams and stand alone; so does a text whose set no other set reaches; equal
     sets are linked.  A null doc_id is kept and counts as the smallest id only among null ids; repeated rows fall into one component;
     other columns are ignored.
     """
-    sets, links = ngram_links(docs, words=words, similar=similar, block=block)
+    sets, links = ngram_links(docs, words=words, similar=similar, block=block, merge=merge)
     least = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     parts = components(links)
     least = least.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))

@@ -59,6 +59,8 @@ def test_against_all_pairs(make, seed, words, similar, block):
     rows = near_copies(seed)
     got = jaccard.near_duplicates(make(rows), words=words, similar=similar, block=block).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, words, similar)
+    got = jaccard.near_duplicates(make(rows), words=words, similar=similar, block=block, merge=True).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, words, similar)
 
 
 def test_similar_sets_share_a_signature():
