@@ -4,7 +4,8 @@ A character 5-gram model with modified Kneser-Ney smoothing is counted by Spark
 whole n-grams, counts of distinct left neighbours for shorter ones, three discounts for each order.  Its log probabilities and
 back-off weights are stored as two arrays, sorted hashes and values.  Hashes have ``HASH_BITS`` bits, so the arrays have a proven bound
 whatever the corpus; of two n-grams with one hash the more frequent stays.  A document is rejected if its log perplexity lies outside
-its language's band: the median plus or minus a multiple of the median absolute deviation.
+the band of its language and length.  Short texts scatter far more than long ones, so a length class is a power of two of characters.
+A band reaches from the median up by a multiple of the median deviation of those above it, and down by that of those below it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SEGMENT = 1 << 20
 GATHER = 1 << 21
 #: Stands before the first character of a text.
 PAD = 2
-#: Width of the band on either side, in median absolute deviations, and the least width in nats per character.
-BAND, LEAST = 8.0, 0.25
+#: Width of the band on either side, in median deviations of that side; in nats per character only where no text of the language deviates.
+BAND, LEAST = 5.0, 0.25
+#: Documents with which a length class has a band of its own; the language's, scaled to the length, is taken for smaller ones.
+CLASS_DOCS = 50
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 # White space between words, and the characters counted as symbols.
@@ -258,10 +261,10 @@ _INVERSE = np.uint64(pow(int(_M), -1, 2**64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, the base features and log_ppl double (nats per character; null for empty texts)."""
+    """The ``keep`` columns, the base features, log_ppl double (nats per character; null for empty texts) and __size, the length class."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "log_ppl double"]
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "log_ppl double", "__size int"]
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,23 +274,44 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]
             features = np.array([base_features(t) for t in texts], np.int64).reshape(len(texts), 5)
             ll = log_likelihoods(shared.value, texts, langs)
             ppl = [-x / len(t) if t else None for x, t in zip(ll.tolist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(features[:, k]) for k in range(5)), pa.array(ppl, pa.float64())], names=[*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(features[:, k]) for k in range(5)), pa.array(ppl, pa.float64()), pa.array([len(t).bit_length() for t in texts], pa.int32())], names=[*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "__size"])
 
     return docs.select(*keep, F.col("text").alias("__text"), F.col("lang").alias("__lang")).mapInArrow(run, ", ".join(fields))
 
 
 def _with_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """Left join on the language; the bands are broadcast only if they are few."""
+    """Left join on the language and the length class; the bands are broadcast only if they are few."""
     bands = F.broadcast(bands) if bands.count() <= 10_000 else bands
-    return rows.join(bands, F.col("lang").eqNullSafe(F.col("__of")), "left").drop("__of")
+    return rows.join(bands, F.col("lang").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__at")), "left").drop("__of", "__at")
+
+
+def _bands(good: DataFrame, band: float, least: float) -> DataFrame:
+    """__of, __at, low and high of every language and length class of texts with log_ppl; class -1 stands for all lengths of a language."""
+    rows = good.select("lang", "log_ppl", F.col("__size").alias("__length"), F.explode(F.array("__size", F.lit(-1))).alias("__size"))
+    middle = rows.groupBy(F.col("lang").alias("__of"), F.col("__size").alias("__at")).agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"))
+    off = F.col("log_ppl") - F.col("mid")
+    scaled = off * F.pow(2.0, F.col("__length") / 2)  # deviations shrink with the root of the length
+    sides = [F.percentile_approx(F.when(sign * off > 0, sign * x), 0.5, 10_000).alias(name) for sign, x, name in ((1, off, "up"), (-1, off, "down"), (1, scaled, "scaled_up"), (-1, scaled, "scaled_down"))]
+    spread = common.stage(_with_bands(rows, common.stage(middle, "medians")).groupBy("lang", "__size", "mid").agg(F.count(F.lit(1)).alias("docs"), *sides), "spreads")
+    whole = spread.where("__size = -1").select(F.col("lang").alias("__of"), *(F.col(c).alias(f"all_{c}") for c in ("mid", "up", "down", "scaled_up", "scaled_down")))
+    spread = spread.where("__size >= 0").join(whole, F.col("lang").eqNullSafe(F.col("__of"))).drop("__of")
+    own = F.col("docs") >= CLASS_DOCS
+
+    def width(side: str) -> F.Column:
+        other = "down" if side == "up" else "up"
+        whole = [F.greatest(F.col(f"all_{x}"), F.col(f"all_scaled_{x}") * F.pow(2.0, -F.col("__size") / 2)) for x in (side, other)]
+        return F.coalesce(band * F.coalesce(F.when(own, F.col(side)), *whole), F.lit(least))
+
+    mid = F.when(own, F.col("mid")).otherwise(F.col("all_mid"))
+    return spread.select(F.col("lang").alias("__of"), F.col("__size").alias("__at"), (mid - width("down")).alias("low"), (mid + width("up")).alias("high"))
 
 
 def quality(docs: DataFrame, *, keep: list[str] | None = None, band: float = BAND, least: float = LEAST) -> DataFrame:
     """Quality verdicts over all documents.
 
     Returns the ``keep`` columns (doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
-    (boolean), log_ppl, low and high (double; the language's band).  A null or empty text has no words, fails the base rules and has a
-    null log_ppl; a null language is a language of its own; a band exists wherever a text passes the base rules; repeated rows give
+    (boolean), log_ppl, low and high (double; the band of the language and the length class).  A null or empty text has no words, fails the base rules and has a
+    null log_ppl; a null language is a language of its own; a band exists wherever a text of the class passes the base rules; repeated rows give
     repeated verdicts; other columns are ignored.
     """
     keep = keep or ["doc_id"]
@@ -299,12 +323,7 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, band: float = BAN
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = common.stage(rows.withColumn("base_failed", failed), "perplexities")
     good = rows.where(~F.col("base_failed"))
-    middle = good.groupBy(F.col("lang").alias("__of")).agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"))
-    off = _with_bands(good.select("lang", "log_ppl"), common.stage(middle, "medians"))
-    spread = off.groupBy("lang", "mid").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 10_000).alias("mad"))
-    width = F.greatest(F.lit(least), band * F.col("mad"))
-    bands = spread.select(F.col("lang").alias("__of"), (F.col("mid") - width).alias("low"), (F.col("mid") + width).alias("high"))
-    out = _with_bands(rows, common.stage(bands, "bands"))
+    out = _with_bands(rows, common.stage(_bands(good, band, least), "bands"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high")))
     return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"), "log_ppl", "low", "high")
 

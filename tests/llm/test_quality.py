@@ -109,3 +109,23 @@ def test_verdicts(spark, make, corpus, odd_rows):
             assert tuple(got[doc])[1:6] == brute_features(text or "")
     assert quality.quality(make(rows)).count() == len(rows)
     assert quality.quality(make(rows).limit(0)).count() == 0
+
+
+def test_bands_reject_symbols_and_menus(spark, make):
+    r = random.Random(8)
+    syllables = ["the", "rea", "son", "sing", "ing", "on", "wards", "at", "tic", "out", "side", "sto", "nes", "mor", "ri", "ver", "kit", "chen", "ta", "ble"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(400)]
+    clean = [" ".join(r.choice(words) for _ in range(60 * 2 ** (i % 4) + r.randint(0, 40))) + "." for i in range(600)]
+    symbols = [" ".join(r.choice(words) + r.choice(["&&&", "%%%", "***", "$$$", "###"]) for _ in range(300)) for _ in range(12)]
+    menus = [" | ".join("".join(r.choices(syllables, k=3)).title() for _ in range(300)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(1000 + i, t) for i, t in enumerate(symbols + menus)]
+    got = {x.doc_id: x for x in quality.quality(make(rows)).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert sum(got[i].kept for i in range(600)) >= 594
+    assert not any(x.kept for i, x in got.items() if i >= 1000)
+    assert all(x.high - x.low < 0.5 for x in got.values())
+
+
+def test_bands_of_equal_texts(spark, make, corpus):
+    got = quality.quality(make([(i, corpus[0]) for i in range(5)])).collect()
+    assert all(x.kept for x in got)
