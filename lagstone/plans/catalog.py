@@ -225,7 +225,10 @@ def _dedupe_sql(pick: str) -> str:
 
 
 def day_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results whose delays are days of shipping after 1998 and, where the order is found, of ordering; some have errors."""
+    """Results whose delays are days of shipping after 1998 and, where the order is found, of ordering; some have errors.
+
+    Only the first line of each order, as in the SQL; the other lines are left out.
+    """
     line = _t(spark, d, "lineitem").where("l_linenumber = 1")
     orders = _t(spark, d, "orders").where("o_orderpriority IS NULL OR o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderdate", "o_orderstatus")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
