@@ -1,28 +1,37 @@
 """Operator 3: quality rules with n-gram perplexity.
 
 A character 5-gram model with modified Kneser-Ney smoothing is counted by Spark over all documents, one per language: raw counts for
-whole n-grams, counts of distinct left neighbours for shorter ones, three discounts for each order.  Its log probabilities and
-back-off weights are stored as two arrays, sorted hashes and values.  Hashes have ``HASH_BITS`` bits, so the arrays have a proven bound
-whatever the corpus; of two n-grams with one hash the more frequent stays.  A document is rejected if its log perplexity lies outside
-the band of its language and length.  Short texts scatter far more than long ones, so a length class is a power of two of characters.
-A band reaches from the median up by a multiple of the median deviation of those above it, and down by that of those below it.
+whole n-grams, counts of distinct left neighbours for shorter ones, three discounts for each order.  Probabilities are joined per
+distinct n-gram, with back-off where a text brings n-grams that the model lacks.  To score texts, the log probabilities of the most
+frequent n-grams, a fixed number of them, are stored as two arrays, sorted 64-bit hashes and values, and broadcast; all the others are
+joined by a shuffle on the n-gram itself.  Together that is exact, no n-gram is left out however large the corpus, and values are
+whole numbers (millionths of a nat), so neither the bound nor the order of sums shows in a result.
+
+A document is rejected if its log perplexity lies outside the band of its language and length.  Short texts scatter far more than long
+ones, so a length class is a power of two of characters.  A band reaches from the median up by a multiple of the median deviation of
+those above it, and down by that of those below it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone.llm import common
 
 ORDER = 5
-HASH_BITS = 24
+#: N-grams whose values are broadcast (12 MB at this bound).
+FREQUENT = 1 << 20
+#: Values are whole multiples of a nat over this.
+SCALE = 1_000_000
+#: The probability of a character in a language that the model lacks.
+UNKNOWN = 2.0**-20
 #: Characters worked on at a time.
 SEGMENT = 1 << 20
 #: Distinct n-grams that a task gathers before it passes them on.
@@ -64,15 +73,6 @@ def _seed(lang: str | None) -> int:
     return int.from_bytes(hashlib.blake2b((lang or "").encode() + b"\0" * (lang is None), digest_size=8).digest(), "little")
 
 
-def _keys(h: np.ndarray, order: int, kind: int) -> np.ndarray:
-    """Mixed and folded to HASH_BITS; kind 0 for probabilities, 1 for back-off weights."""
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0xD1B54A32D192ED03 * (2 * order + kind + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-
-
 def _layout(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one array of code points, each after ORDER - 1 pads; where each begins; its language's seed."""
     parts, starts, at = [], [], 0
@@ -181,102 +181,130 @@ def _smooth(grams: DataFrame, order: int, lower: DataFrame) -> tuple[DataFrame,
     return p, contexts.select(F.col("clang").alias("lang"), F.col("ccontext").alias("gram"), F.col("total").alias("n"), F.col("gamma").alias("p"))
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model of all documents: sorted hashes (int32) and values (float32), 2 ** HASH_BITS of them at most."""
+class Model(NamedTuple):
+    """By order, ``probability``: lang, gram, n and p; by length of the context, ``weight``: lang, gram and the back-off weight p; ``counts``: what both were made of."""
+
+    probability: dict[int, DataFrame]
+    weight: dict[int, DataFrame]
+    counts: list[DataFrame]
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all documents, as tables in the shared folder that grow with the corpus."""
     counts = {ORDER: common.stage(count_ngrams(docs), "ngrams")}
     for n in range(ORDER - 1, 0, -1):
         shorter = counts[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         counts[n] = common.stage(shorter, f"ngrams{n}")
-    p = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v")).select("lang", F.lit("").alias("gram"), F.lit(1).cast("long").alias("n"), (1.0 / (F.col("v") + 1)).alias("p"))
-    entries = p.select("*", F.lit(0).alias("order"), F.lit(0).alias("kind"))
+    empty = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v")).select("lang", F.lit("").alias("gram"), F.lit(1).cast("long").alias("n"), (1.0 / (F.col("v") + 1)).alias("p"))
+    model = Model({0: common.stage(empty, "p0")}, {}, list(counts.values()))
     for n in range(1, ORDER + 1):
-        p, gamma = _smooth(counts[n], n, p)
-        p, gamma = common.stage(p, f"p{n}"), common.stage(gamma, f"gamma{n}")
-        entries = entries.unionByName(p.select("*", F.lit(n).alias("order"), F.lit(0).alias("kind"))).unionByName(gamma.select("*", F.lit(n - 1).alias("order"), F.lit(1).alias("kind")))
+        p, weight = _smooth(counts[n], n, model.probability[n - 1])
+        model.probability[n], model.weight[n - 1] = common.stage(p, f"p{n}"), weight
+    return model
+
+
+def values(grams: DataFrame, model: Model) -> DataFrame:
+    """lang, gram, n and value (the log probability, int) of n-grams of the full order, by back-off where the model lacks one."""
+    out = grams.select("lang", "gram", "n").withColumns({"p": F.lit(None).cast("double"), "w": F.lit(1.0)})
+
+    def with_(table: DataFrame, first: int, length: int) -> DataFrame:
+        table = table.select(F.col("lang").alias("of"), F.col("gram").alias("part"), F.col("p").alias("found"))
+        return out.join(table, F.col("lang").eqNullSafe(F.col("of")) & (F.substring("gram", first, length) == F.col("part")), "left").drop("of", "part")
+
+    for k in range(ORDER, -1, -1):
+        out = with_(model.probability[k], ORDER - k + 1, k).withColumn("p", F.coalesce("p", F.col("w") * F.col("found"))).drop("found")
+        if k:
+            out = with_(model.weight[k - 1], ORDER - k + 1, k - 1).withColumn("w", F.col("w") * F.coalesce("found", F.lit(1.0))).drop("found")
+    return out.select("lang", "gram", "n", _value(F.coalesce("p", F.lit(UNKNOWN))))
+
+
+def _value(p: Column) -> Column:
+    return F.round(F.log(p) * SCALE).cast("int").alias("value")
+
+
+def _table(values_: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Sorted hashes and values of the most frequent n-grams, ``frequent`` of them at most, and a table with all the others, if there are any."""
+    bucket = F.floor(F.log2("n") * 16).cast("int")  # 1,024 of them at most
+    least, total = None, 0
+    sizes = sorted(map(tuple, values_.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
+    for b, n in sizes:
+        if total + n > frequent:
+            break
+        least, total = b, total + n
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, gram, n, p, order, kind = b.columns
+            lang, gram, value = b.columns
             seeds = {x: np.uint64(_seed(x)) for x in lang.unique().to_pylist()}
             h = np.array([seeds[x] for x in lang.to_pylist()], np.uint64)
-            order, kind, p, gram = order.to_numpy(), kind.to_numpy(), p.to_numpy(), np.array(gram.to_pylist(), object)
-            for o in range(1, ORDER + 1):
-                at = np.flatnonzero(order == o)
-                codes = np.frombuffer("".join(gram[at]).encode("utf-32-le"), np.uint32).reshape(len(at), o).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(o):
-                        h[at] += (codes[:, o - 1 - k] + np.uint64(1)) * np.uint64(pow(int(_M), k, 2**64))
-            keys = np.zeros(len(h), np.int32)
-            for o in range(ORDER + 1):
-                for k in (0, 1):
-                    at = (order == o) & (kind == k)
-                    keys[at] = _keys(h[at], o, k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), n, pa.array(np.log(p).astype(np.float32))], names=["key", "n", "value"])
-
-    folded = entries.select("lang", "gram", "n", "p", "order", "kind").mapInArrow(hashed, "key int, n long, value float")
-    model = folded.groupBy("key").agg(F.max(F.struct("n", "value")).alias("x")).select("key", "x.value").toArrow()
-    keys, values = model.column(0).to_numpy(), model.column(1).to_numpy()
+            codes = np.frombuffer("".join(gram.to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(h), ORDER).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(ORDER):
+                    h += (codes[:, ORDER - 1 - k] + np.uint64(1)) * np.uint64(pow(int(_M), k, 2**64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), value], names=["key", "value"])
+
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), values_ if sizes else None
+    got = values_.where(bucket >= least).select("lang", "gram", "value").mapInArrow(hashed, "key long, value int").toArrow()
+    keys, found = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _find(model: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-    u, inv = np.unique(keys, return_inverse=True)
-    at = np.minimum(np.searchsorted(model[0], u), len(model[0]) - 1)
-    return np.where(model[0][at] == u, model[1][at], np.float32(missing))[inv]
-
-
-def log_likelihoods(model: tuple[np.ndarray, np.ndarray], texts: list[str], langs: list[str | None]) -> np.ndarray:
-    """The natural log likelihood of each whole text under its language's model."""
-    total = np.zeros(len(texts))
-    for _, hashes, owner, at in _segments(texts, langs):
-        score = np.zeros(len(owner))
-        todo = at
-        for n in range(ORDER, -1, -1):
-            if not len(todo):
-                break
-            if n:
-                value = _find(model, _keys(hashes[n - 1][todo], n, 0), np.nan)
-            else:
-                seeds = np.array([_seed(x) for x in langs], np.uint64)
-                value = _find(model, _keys(seeds[owner[todo]], 0, 0), -math.log(2**HASH_BITS))
-            hit = ~np.isnan(value)
-            score[todo[hit]] += value[hit]
-            todo = todo[~hit]
-            if n > 1 and len(todo):  # the context: the hash of order n without its last character
-                with np.errstate(over="ignore"):
-                    seeds = np.array([_seed(x) for x in langs], np.uint64)[owner[todo]]
-                    first = hashes[0][todo] - seeds
-                    context = seeds + (hashes[n - 1][todo] - seeds - first) * _INVERSE
-                score[todo] += _find(model, _keys(context, n - 1, 1), 0.0)
-            elif n == 1 and len(todo):
-                seeds = np.array([_seed(x) for x in langs], np.uint64)[owner[todo]]
-                score[todo] += _find(model, _keys(seeds, 0, 1), 0.0)
-        total += np.bincount(owner, score, len(texts))
-    return total
-
-
-#: The inverse of the multiplier modulo 2 ** 64: division by it takes the last character off a hash.
-_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, the base features, log_ppl double (nats per character; null for empty texts) and __size, the length class."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keys, found = keys[order], found[order]
+    twice = np.zeros(len(keys), bool)
+    twice[1:] = keys[1:] == keys[:-1]
+    twice[:-1] |= twice[1:]
+    others = values_ if twice.any() else values_.where(bucket < least) if least > sizes[-1][0] else None
+    return keys[~twice], found[~twice], others
+
+
+def score(docs: DataFrame, values_: DataFrame, keep: list[str], *, frequent: int = FREQUENT) -> DataFrame:
+    """The ``keep`` columns, the base features, log_ppl double (nats per character; null for empty texts) and __size, the length class.
+
+    ``values_`` must have every n-gram of ``docs``.
+    """
+    keys, found, others = _table(values_, frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, found))
     schema = docs.select(*keep).schema
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "log_ppl double", "__size int"]
+    features = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rest_type = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{x} long" for x in features), "__lang string", "__chars long", "__sum long", "__size int", "__rest array<struct<gram:string,times:bigint>>"]
     at = len(keep)
 
+    def sums(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Of each text the sum of the values that are broadcast, and the other n-grams with their numbers."""
+        keys, found = shared.value
+        total, rest = np.zeros(len(texts), np.int64), [[] for _ in texts]
+        for c, hashes, owner, inside in _segments(texts, langs):
+            if not len(inside):
+                continue
+            u, inv = np.unique(hashes[-1][inside], return_inverse=True)
+            pos = np.minimum(np.searchsorted(keys, u), max(len(keys) - 1, 0))
+            hit = keys[pos] == u if len(keys) else np.zeros(len(u), bool)
+            value = np.where(hit, found[pos] if len(keys) else 0, 0)[inv]
+            total += np.bincount(owner[inside], value, len(texts)).astype(np.int64)
+            missing = np.flatnonzero(~hit[inv])
+            if len(missing):
+                _, first, n = np.unique(np.stack([owner[inside][missing], inv[missing]]), axis=1, return_index=True, return_counts=True)
+                for i, times in zip(inside[missing[first]].tolist(), n.tolist(), strict=True):
+                    rest[owner[i]].append({"gram": c[i : i + ORDER].tobytes().decode("utf-32-le", "surrogatepass"), "times": times})
+        return total, rest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            langs = batch.column(at + 1).to_pylist()
-            features = np.array([base_features(t) for t in texts], np.int64).reshape(len(texts), 5)
-            ll = log_likelihoods(shared.value, texts, langs)
-            ppl = [-x / len(t) if t else None for x, t in zip(ll.tolist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(features[:, k]) for k in range(5)), pa.array(ppl, pa.float64()), pa.array([len(t).bit_length() for t in texts], pa.int32())], names=[*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "__size"])
-
-    return docs.select(*keep, F.col("text").alias("__text"), F.col("lang").alias("__lang")).mapInArrow(run, ", ".join(fields))
+            base = np.array([base_features(t) for t in texts], np.int64).reshape(len(texts), 5)
+            total, rest = sums(texts, batch.column(at + 1).to_pylist())
+            columns = [*batch.columns[:at], *(pa.array(base[:, k]) for k in range(5)), batch.column(at + 1), pa.array(list(map(len, texts)), pa.int64()), pa.array(total), pa.array([len(t).bit_length() for t in texts], pa.int32()), pa.array(rest, rest_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *features, "__lang", "__chars", "__sum", "__size", "__rest"])
+
+    rows = docs.select(*keep, F.col("text").alias("__text"), F.col("lang").alias("__lang")).mapInArrow(run, ", ".join(fields))
+    if others is not None:
+        parts = common.stage(rows.withColumn("__row", F.monotonically_increasing_id()), "partly-scored")
+        rare = parts.select("__row", "__lang", F.explode("__rest").alias("x")).select("__row", "__lang", "x.gram", "x.times")
+        rare = rare.join(others.select(F.col("lang").alias("of"), F.col("gram").alias("part"), "value"), F.col("__lang").eqNullSafe(F.col("of")) & (F.col("gram") == F.col("part")))
+        rare = rare.groupBy("__row").agg(F.sum(F.col("times") * F.col("value")).alias("__more"))
+        rows = parts.join(rare, "__row", "left").withColumn("__sum", F.col("__sum") + F.coalesce("__more", F.lit(0)))
+    log_ppl = (-F.col("__sum") / F.lit(float(SCALE)) / F.nullif(F.col("__chars"), F.lit(0))).alias("log_ppl")
+    return rows.select(*keep, *features, log_ppl, "__size")
 
 
 def _with_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
@@ -306,8 +334,8 @@ def _bands(good: DataFrame, band: float, least: float) -> DataFrame:
     return spread.select(F.col("lang").alias("__of"), F.col("__size").alias("__at"), (mid - width("down")).alias("low"), (mid + width("up")).alias("high"))
 
 
-def quality(docs: DataFrame, *, keep: list[str] | None = None, band: float = BAND, least: float = LEAST) -> DataFrame:
-    """Quality verdicts over all documents.
+def quality(docs: DataFrame, *, reference: DataFrame | None = None, keep: list[str] | None = None, band: float = BAND, least: float = LEAST, frequent: int = FREQUENT) -> DataFrame:
+    """Quality verdicts over all documents, by the model of all ``reference`` documents (those that are judged, if none are given).
 
     Returns the ``keep`` columns (doc_id), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept
     (boolean), log_ppl, low and high (double; the band of the language and the length class).  A null or empty text has no words, fails the base rules and has a
@@ -316,12 +344,14 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, band: float = BAN
     """
     keep = keep or ["doc_id"]
     common.prepare(docs.sparkSession)
-    docs = docs.withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")})
-    model = fit(docs)
-    extra = [c for c in ["lang"] if c not in keep]
-    rows = score(docs, model, [*keep, *extra])
+    docs, reference = (x.withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")}) if x is not None else None for x in (docs, reference))
+    model = fit(docs if reference is None else reference)
+    # n-grams of the documents that were counted are all in the model
+    known = model.probability[ORDER].select("lang", "gram", "n", _value(F.col("p"))) if reference is None else common.stage(values(count_ngrams(docs), model), "values")
+    rows = score(docs, known, [*keep, *(c for c in ["lang"] if c not in keep)], frequent=frequent)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = common.stage(rows.withColumn("base_failed", failed), "perplexities")
+    common.drop(*model.probability.values(), *model.counts, known)
     good = rows.where(~F.col("base_failed"))
     out = _with_bands(rows, common.stage(_bands(good, band, least), "bands"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high")))

@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from lagstone.llm import quality
@@ -70,25 +69,46 @@ def corpus():
     return [" ".join(r.choice(words) for _ in range(80)) + "." for _ in range(40)]
 
 
-def test_model(spark, make, corpus):
+def log_likelihoods(make, model, texts, **how):
+    docs = make(list(enumerate(texts)))
+    rows = quality.score(docs, quality.values(quality.count_ngrams(docs), model), ["doc_id"], **how).collect()
+    return [-r.log_ppl * len(texts[r.doc_id]) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+@pytest.mark.parametrize("frequent", [0, 300, 1 << 20])
+def test_model(spark, make, corpus, frequent):
     docs = make([(i, t) for i, t in enumerate(corpus)])
     model = quality.fit(docs.select("text", "lang"))
-    assert (np.diff(model[0]) > 0).all()
     p, counts = brute_model(corpus)
     seen = sorted(set("".join(corpus)))
     assert abs(sum(p("the " + c) for c in seen) - 1) < 0.02
     tests = [corpus[0], corpus[3][:7], "the zebra", "e", "QQ"]
-    got = quality.log_likelihoods(model, tests, ["en"] * len(tests))
+    got = log_likelihoods(make, model, tests, frequent=frequent)
     for t, x in zip(tests, got, strict=True):
         padded = chr(quality.PAD) * (quality.ORDER - 1) + t
         assert math.isclose(x, sum(math.log(p(padded[i : i + quality.ORDER])) for i in range(len(t))), rel_tol=1e-4), t
 
 
+def test_values_of_the_corpus(make, corpus):
+    docs = make([(i, t) for i, t in enumerate(corpus)])
+    model = quality.fit(docs.select("text", "lang"))
+    assert {tuple(r) for r in quality.values(quality.count_ngrams(docs), model).collect()} == {(r.lang, r.gram, r.n, round(math.log(r.p) * quality.SCALE)) for r in model.probability[quality.ORDER].collect()}
+
+
 def test_long_texts_in_segments(monkeypatch, spark, make, corpus):
     model = quality.fit(make([(i, t) for i, t in enumerate(corpus)]).select("text", "lang"))
-    whole = quality.log_likelihoods(model, corpus[:3], ["en"] * 3)
+    whole = log_likelihoods(make, model, corpus[:3])
     monkeypatch.setattr(quality, "SEGMENT", 50)
-    assert np.allclose(quality.log_likelihoods(model, corpus[:3], ["en"] * 3), whole)
+    assert log_likelihoods(make, model, corpus[:3]) == whole
+
+
+def test_the_bound_does_not_show(make, corpus, odd_rows):
+    """No n-gram is left out: broadcast or joined, the verdicts are the same, and so they are with a reference of the same texts."""
+    docs = make([(100 + i, t, "en" if i % 3 else "fr") for i, t in enumerate(corpus)] + odd_rows)
+    want = sorted(map(tuple, quality.quality(docs).collect()), key=repr)
+    for frequent in (0, 50, 1000):
+        assert sorted(map(tuple, quality.quality(docs, frequent=frequent).collect()), key=repr) == want
+    assert sorted(map(tuple, quality.quality(docs, reference=docs).collect()), key=repr) == want
 
 
 def test_verdicts(spark, make, corpus, odd_rows):
