@@ -20,7 +20,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node has smaller neighbours only
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = common.stage(small.where("u != v").distinct(), "edges")
+        before, edges = edges, common.stage(small.where("u != v").distinct(), "edges")
+        common.drop(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break

@@ -1,15 +1,21 @@
 """Operator 8: n-gram Jaccard join over prefix trees.
 
 Each distinct n-gram set is a node, ordered by one global order, that of the n-grams' hashes.  The range of hashes is cut into so many
-parts that two sets that are similar enough differ in fewer of them, so at least one part is the same in both; nodes that have a part
-in common form a group around the least of them, the centre.  Groups are merged by centre before any text moves.  In a group the
-ordered sets are stored in a path-compressed trie; a probe traverses it once, sharing the overlap of common beginnings, and a subtree
-is left as soon as the remaining lengths can't reach the overlap that its shortest set needs.  Probes are the centre and all that
-it isn't linked to; pairs already connected in the group are passed by, so no group is expanded into pairs.
-
-The number of parts follows from the sizes: sets are dealt to classes of size, and a set near the end of its class takes part in the
-next one too.  Groups over ``BLOCK`` nodes are dealt over several tasks, each with the centre; what isn't linked to the centre then
-meets the other blocks in a second round.  Links are joined to components by star rounds.
+parts that two sets that are similar enough differ in fewer of them, so several parts are the same in both; nodes that have a part in
+common form a group around the least of them, the centre.  In a group the ordered sets are stored in a path-compressed trie; a probe
+traverses it once, sharing the overlap of common beginnings, and a subtree is left as soon as the remaining lengths can't reach the
+overlap that its shortest set needs.  Probes are the centre and all that it isn't linked to; pairs already connected in the group are
+passed by, so no group is expanded into pairs.
+
+The number of parts follows from the sizes: sets are dealt to classes of size, and a set takes part in the next class too if a set
+of that can be similar to it.  There are more parts than differences, by two quotas.  A set leaves out its smallest parts up to the one quota:
+they are what unrelated texts have in common.  It leaves out the parts that most sets have up to the other: so a passage of very many
+texts makes no group.  Similar sets have more equal parts than both quotas, and each leaves out a beginning of the same order, so one
+equal part stays in both.
+
+Groups that are large by sets or n-grams are dealt over several tasks, each with the centre; what isn't linked to the centre then
+meets the other blocks in a second round.  Only node ids travel until then; a text is fetched once for its node.  Links are joined to
+components by star rounds.
 """
 
 from __future__ import annotations
@@ -20,17 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagstone.llm import common
 from lagstone.llm.components import components
 
 WORDS, SIMILAR = 3, 90
-#: Nodes of one block of a group.
-BLOCK = 2048
+#: Nodes and n-grams of one block of a group, about.
+BLOCK, BLOCK_NGRAMS = 2048, 1 << 21
 #: Ratio of the bounds of a class of sizes.
-RATIO = 1.5
+RATIO = 1.25
 #: Tokens of a trie edge that are compared before the bound is looked at again.
 STEP = 64
 
@@ -58,34 +64,36 @@ def node_of(hashes: np.ndarray) -> int | None:
 
 
 #: The largest size in each class.
-_LARGEST = sorted({int(RATIO**k) for k in range(1, 60)})
+_LARGEST = sorted({int(RATIO**k) for k in range(1, 130)})
 
 
-def signatures(hashes: np.ndarray, similar: int) -> np.ndarray:
-    """Hashes of the parts of a set, in its class of sizes and, if it is near the end of that, in the next.
+def signatures(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts of a set in each of its classes, without the smallest; with each the class and its quota of common parts, as one number.
 
-    In a class whose sets have ``top`` n-grams at most, similar ones differ in ``off`` n-grams at most.  There are more parts than that by
-    ``spare``: so many and one more are the same, and one of them has n-grams unless over ``spare`` parts of the set are empty.  Empty
-    parts count only then.
+    In a class whose sets have ``top`` n-grams at most, similar ones differ in ``off`` n-grams at most, and so in no more parts.
     """
-    n, out = len(hashes), []
+    n, out, quotas = len(hashes), [], []
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(29)), dtype=np.uint64)])
-    k = bisect_left(_LARGEST, n)
-    for c in [k, k + 1] if 100 * n >= similar * (_LARGEST[k] + 1) else [k]:
+    c = bisect_left(_LARGEST, n)
+    while True:
         off = (100 - similar) * 2 * _LARGEST[c] // (100 + similar)
-        spare = 1 + off // 20
-        parts = off + 1 + spare
+        small, common_ = 1 + off * 3 // 20, 1 + off // 20
+        parts = off + 1 + small + common_
         edges = np.searchsorted(hashes >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
         edges[-1] = n
         size = np.diff(edges)
-        use = np.arange(parts) if (size == 0).sum() > spare else np.flatnonzero(size)
+        # whole levels of size are left out, so that another set leaves out the same parts of those that are equal
+        use = np.flatnonzero(size >= np.searchsorted(np.cumsum(np.bincount(size)), small, "right"))
         with np.errstate(over="ignore"):
             x = (sums[edges[use + 1]] - sums[edges[use]] + np.uint64(c * 1_000_003 + 1)) * _M + use.astype(np.uint64)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(x ^ (x >> np.uint64(27)))
-    return np.concatenate(out)
+        quotas.append(np.full(len(use), (c << 32) | common_, np.int64))
+        if 100 * n < similar * (_LARGEST[c] + 1):
+            return np.concatenate(out), np.concatenate(quotas)
+        c += 1
 
 
 class _Node:
@@ -233,68 +241,107 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
     return rows.select("center", "block", "node", "text", "role").mapInArrow(run, "center long, block int, a long, b long")
 
 
-def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK, merge: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sets (doc_id, n_shingles, node) and links (a, b) that connect all pairs of nodes similar enough.
+def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by part and node: every node with the first of its part (kind 0), and parts of over ``block`` nodes with their size (kind 1)."""
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "center", "node"])
+
+    part = center = node = None
+    size = 0  # nodes of the current part so far
+    for batch in batches:
+        p, n = (c.to_numpy() for c in batch.columns)
+        if not len(p):
+            continue
+        first = np.concatenate([[part is None or p[0] != part], p[1:] != p[:-1]])
+        again = np.concatenate([[not first[0] and n[0] == node], ~first[1:] & (n[1:] == n[:-1])])
+        starts = np.flatnonzero(first)
+        at = np.maximum.accumulate(np.where(first, np.arange(len(p)), -1))
+        centers = np.where(at >= 0, n[np.maximum(at, 0)], center if center is not None else 0)
+        sizes = np.add.reduceat(~again, np.concatenate([[0], starts[starts > 0]])).astype(np.int64)
+        sizes[0] += 0 if first[0] else size
+        parts = p[np.concatenate([[0], starts[starts > 0]])]
+        ended = []
+        if first[0] and size > block:
+            ended.append((part, size))
+        part, center, node, size = p[-1], centers[-1], n[-1], int(sizes[-1])
+        full = np.flatnonzero(sizes[:-1] > block)
+        ended += zip(parts[full].tolist(), sizes[full].tolist(), strict=True)
+        if ended:
+            yield out(1, *(np.array(x, np.int64) for x in zip(*ended, strict=True)))
+        got = np.unique(np.stack([centers, n], axis=1)[centers != n], axis=0)
+        yield out(0, got[:, 0], got[:, 1])
+    if size > block:
+        yield out(1, np.array([part]), np.array([size]))
+
+
+def _groups(rows: DataFrame, block: int) -> DataFrame:
+    """center and node from the parts of nodes (part, node, quota).
+
+    Where parts of over ``block`` nodes are found, each node leaves out its most common ones up to its quota, and the others are grouped again.
+    """
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select("part", "node").repartition("part").sortWithinPartitions("part", "node")
+        return common.stage(rows.mapInArrow(lambda batches: _meet(batches, block), "kind int, center long, node long").distinct(), name)
+
+    found = grouped(rows, "groups")
+    large = found.where("kind = 1").select(F.col("center").alias("part"), F.col("node").alias("nodes"))
+    if large.limit(1).count():
+        mine = rows.join(large, "part")
+        order = Window.partitionBy("node", "quota").orderBy(F.col("nodes").desc(), "part")
+        # repeated rows of one node and part count once
+        mine = mine.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("quota").bitwiseAND(F.lit((1 << 32) - 1)))
+        few = rows.join(large, "part", "left_anti")
+        before, found = found, grouped(few.select("part", "node").unionByName(mine.select("part", "node")), "regrouped")
+        common.drop(before)
+    return found.where("kind = 0").select("center", "node")
+
 
-    With ``merge`` groups that share a node become one, so each text moves once; where parts are small, as at lower similarities, a node
-    would otherwise move with many centres.
+def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, th, n_shingles, node) and links (a, b) that connect all pairs of nodes similar enough; both are staged.
+
+    th is ``xxhash64`` of the text.
     """
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [ngram_hashes(t or "", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set, with the parts of those that the task hasn't seen before."""
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for t in batch.column(0).to_pylist():
+            sizes, nodes, parts, quotas, ends = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
+            for t in batch.column(2).to_pylist():
                 h = ngram_hashes(t or "", words)
-                node = node_of(h)
-                if node is None or node in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(node)
-                keys.append(signatures(h, similar))
-                nodes.append(np.full(len(keys[-1]), node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["part", "node"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by part and node: every node with the first of its part."""
-        part, center = None, None
-        for batch in batches:
-            p, n = (c.to_numpy() for c in batch.columns)
-            if not len(p):
-                continue
-            first = np.concatenate([[part is None or p[0] != part], p[1:] != p[:-1]])
-            at = np.maximum.accumulate(np.where(first, np.arange(len(p)), -1))
-            centers = np.where(at >= 0, n[np.maximum(at, 0)], center if center is not None else 0)
-            part, center = p[-1], centers[-1]
-            got = np.unique(np.stack([centers, n], axis=1)[centers != n], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["center", "node"])
-
-    sets = common.stage(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "ngram-sets")
-    rows = docs.select("text").mapInArrow(parts, "part long, node long").repartition("part").sortWithinPartitions("part", "node")
-    pairs = common.stage(rows.mapInArrow(meet, "center long, node long").distinct(), "groups")
-    if merge:
-        joined = components(pairs, "center", "node")
-        pairs = common.stage(joined.where("node != component").select(F.col("component").alias("center"), "node"), "merged-groups")
-    # one text for each node that is in a group
+                node, n = node_of(h), 0
+                if node is not None and node not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(node)
+                    x, q = signatures(h, similar)
+                    parts.append(x)
+                    quotas.append(q)
+                    n = len(x)
+                sizes.append(len(h))
+                nodes.append(node)
+                ends.append(ends[-1] + n)
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).view(np.int64))) for x in (parts, quotas)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "th", "n_shingles", "node", "parts", "quotas"])
+
+    known = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    described = common.stage(known.mapInArrow(describe, "doc_id long, th long, n_shingles long, node long, parts array<long>, quotas array<long>"), "ngram-parts")
+    rows = described.select("node", F.explode(F.arrays_zip(F.col("parts").alias("part"), F.col("quotas").alias("quota"))).alias("x")).select("x.part", "node", "x.quota")
+    pairs = _groups(rows, block)
+    sets = described.select("doc_id", "th", "n_shingles", "node")
+    # one text for each node that is in a group, with the size of its set
     wanted = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
-    wanted = sets.join(wanted, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(common.NULL_ID))).alias("id"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # where a doc_id stands for several texts, the one with the node
-            keep = [n == node_of(ngram_hashes(t or "", words)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, "id").select("node", "text").mapInArrow(pick, "node long, text string")
-    texts = common.stage(texts, "texts")
-    sizes = pairs.groupBy("center").agg((F.count(F.lit(1)) / block).cast("int").alias("last"))
+    key = F.struct(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "th")
+    wanted = sets.join(wanted, "node").groupBy("node", "n_shingles").agg(F.min(key).alias("key"))
+    wanted = common.stage(wanted.select("node", "n_shingles", "key.id", "key.th"), "wanted")
+    texts = known.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, ["id", "th"]).groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = common.stage(texts.select("node", "text"), "texts")
+    sizes = pairs.join(wanted.select("node", "n_shingles"), "node").groupBy("center").agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / BLOCK_NGRAMS).cast("int").alias("last"))
     sizes = common.stage(sizes, "group-sizes")
     members = pairs.join(sizes, "center").select("center", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int").alias("block"), "node", F.lit(2).alias("role"))
     centers = sizes.select("center", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.col("center").alias("node"), F.lit(0).alias("role"))
@@ -308,24 +355,45 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
         met = probes.select("center", "block").distinct()
         more = _link_blocks(members.join(met, ["center", "block"], "left_semi").unionByName(probes).join(texts, "node"), words, similar)
         links = links.unionByName(common.stage(more.where("b IS NOT NULL").select("a", "b"), "links"))
+    sets, links = common.stage(sets, "ngram-sets"), common.stage(links, "all-links")
+    common.drop(described, wanted, texts, sizes, found)
     return sets, links
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK, merge: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Texts with white space only, and null ones, have no n-grams and stand alone; so does a text whose set no other set reaches; equal
-    sets are linked.  A null doc_id is kept and counts as the smallest id only among null ids; repeated rows fall into one component;
-    other columns are ignored.
+    sets are linked.  A null doc_id is kept and counts as the smallest id only among null ids (-2 ** 63 may stand for null where a
+    text is fetched, which changes no result); repeated rows fall into one component; other columns are ignored.
     """
-    sets, links = ngram_links(docs, words=words, similar=similar, block=block, merge=merge)
+    sets, links = ngram_links(docs, words=words, similar=similar, block=block)
     least = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     parts = components(links)
     least = least.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     ids = common.stage(least.groupBy("part").agg(F.min("first").alias("component_id")).join(least.select("part", "node"), "part").select("node", "component_id"), "classes")
+    common.drop(links)
     return sets.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """Of the rows of ``docs`` that links connect, the one with the smallest doc_id; all columns are kept.
+
+    A null doc_id comes after all others, and of rows with one doc_id the one with the least hash of its text stays.  A text without words,
+    empty or null, stands alone.  Rows equal in doc_id and text are one document, and one of them stays.
+    """
+    sets, links = ngram_links(docs.select("doc_id", "text"), words=words, similar=similar, block=block)
+    key = [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")]
+    rows = sets.select(*key, F.col("th").alias("__th"), "node")
+    parts = components(links)
+    grouped = rows.where("node IS NOT NULL").join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(F.struct("__none", "__id", "__th")).alias("first"))
+    stay = common.stage(grouped.select("first.*").unionByName(rows.where("node IS NULL").select("__none", "__id", "__th").distinct()), "first-of-groups")
+    common.drop(sets, links)
+    keyed = docs.select("*", *key, F.xxhash64(F.col("text").cast("string")).alias("__th"))
+    names = ["__none", "__id", "__th"]
+    return keyed.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose word-triple sets are 90 percent alike."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagstone.llm import jaccard
@@ -59,8 +60,6 @@ def test_against_all_pairs(make, seed, words, similar, block):
     rows = near_copies(seed)
     got = jaccard.near_duplicates(make(rows), words=words, similar=similar, block=block).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, words, similar)
-    got = jaccard.near_duplicates(make(rows), words=words, similar=similar, block=block, merge=True).collect()
-    assert sorted(map(tuple, got), key=repr) == brute(rows, words, similar)
 
 
 def test_similar_sets_share_a_signature():
@@ -73,7 +72,61 @@ def test_similar_sets_share_a_signature():
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[k // 2 :]], rng.integers(0, 2**63, k - k // 2, dtype=np.int64).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= similar * (len(a) + len(b) - both):
-                assert len(np.intersect1d(jaccard.signatures(a, similar), jaccard.signatures(b, similar)))
+                assert len(np.intersect1d(jaccard.signatures(a, similar)[0], jaccard.signatures(b, similar)[0]))
+
+
+def test_common_parts_can_be_left_out():
+    """Whatever order of parts is taken for the most common, similar sets keep an equal part when each leaves out its quota."""
+    rng = np.random.default_rng(3)
+    for _ in range(1500):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        k = int(rng.integers(0, max(1, int(len(a) * 0.2)) + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[k // 2 :]], rng.integers(0, 2**63, k - k // 2, dtype=np.int64).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        salt, kept = rng.integers(0, 2**62), []
+        for x in (a, b):
+            parts, quotas = jaccard.signatures(x, 80)
+            left = []
+            for q in np.unique(quotas):
+                mine = parts[quotas == q]
+                left.append(mine[np.argsort(mine ^ np.uint64(salt))][int(q) & 0xFFFFFFFF :])
+            kept.append(np.concatenate(left))
+        assert len(np.intersect1d(*kept))
+
+
+def test_meet():
+    rows = [(1, 5), (1, 6), (1, 6), (1, 7), (2, 5), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)]
+    want = [(0, 5, 6), (0, 5, 7), (0, 1, 2), (0, 0, 1), (0, 0, 2), (0, 0, 3), (1, 1, 3), (1, 4, 4)]
+    for step in (1, 2, 3, 5, 20):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step], strict=True)], names=["part", "node"]) for i in range(0, len(rows), step))
+        assert {tuple(x.values()) for b in jaccard._meet(batches, 2) for x in b.to_pylist()} == set(want)
+
+
+def test_many_null_ids(make):
+    """Null doc_ids in great numbers: neither their count nor repeated rows multiply the work."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(2500)]
+    near = [t.rsplit(" ", 1)[0] + " end" for t in texts]
+    rows = [(None, t) for t in texts] + [(None, t) for t in near] + [(None, texts[0])] * 500
+    got = jaccard.near_duplicates(make(rows), words=3, similar=90).collect()
+    assert len(got) == len(rows)
+    _, links = jaccard.ngram_links(make(rows), words=3, similar=90)
+    assert links.distinct().count() == len(texts)
+
+
+def test_one_part_of_very_many_sets(make):
+    """A passage of 20,000 otherwise different texts: no group forms around it, and near copies among them are still found."""
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    passage = " ".join(r.choice(vocabulary) for _ in range(12))
+    rows = [(i, passage + " " + " ".join(r.choice(vocabulary) for _ in range(60))) for i in range(20000)]
+    rows += [(100_000 + i, rows[i][1].rsplit(" ", 1)[0] + " end") for i in range(0, 20000, 400)]
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(make(rows), words=3, similar=90, block=256).collect()}
+    assert got == {i: i if i < 100_000 else i - 100_000 for i, _ in rows}
 
 
 def test_trie():
@@ -109,3 +162,18 @@ def test_odd_rows(make, odd_rows):
     want = [x for x in brute(odd_rows, 3, 90) if x[1]] + [(r[0], 0, r[0]) for r in empty]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert jaccard.near_duplicates(make(odd_rows).limit(0)).count() == 0
+
+
+def test_one_of_each_group(make, odd_rows):
+    r = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(40)) for _ in range(60)]
+    near = [t.rsplit(" ", 1)[0] + " end" for t in texts]
+    rows = [(100 + i, t) for i, t in enumerate(near)] + [(None, t) for t in texts] + [(None, t.rsplit(" ", 1)[0] + " stop") for t in texts[:30]] + [(None, "alone " + " ".join(vocabulary[:50]))] * 3
+    got = jaccard.one_of_each_group(make(rows), words=3, similar=90)
+    assert got.columns == make(rows).columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted([(100 + i, t) for i, t in enumerate(near)] + [rows[-1]], key=repr)
+    want = {(a, b) for a, b, *_ in odd_rows}
+    got = [(x.doc_id, x.text) for x in jaccard.one_of_each_group(make(odd_rows), words=3, similar=90).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want - {(6, "twice the same row")}
