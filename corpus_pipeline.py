@@ -15,18 +15,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts are rejected, repeated rows are judged alike."""
     return quality.quality(docs.select(*COLUMNS), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by n-gram Jaccard similarity (five words, 0.8), the one with the smallest doc_id.
+    """Of documents linked by n-gram Jaccard similarity (five words, 0.8), the one with the smallest doc_id; null doc_ids come last.
 
-    Rows equal in doc_id and text are one document.  A text without words stands alone; so does one of a group without any doc_id.
+    Rows equal in doc_id and text are one document.  A text without words stands alone, as a null one does.
     """
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"), words=5, similar=80, merge=True)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return jaccard.one_of_each_group(docs.select(*COLUMNS), words=5, similar=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +35,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least, and documents of small sources twice at most."""
+    """Every document once at least, and documents of small sources twice at most; a null source is a source, null texts and repeated rows take part."""
     return mixing.realise(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text of the mixture."""
+    """Token ids of every text of the mixture, row by row; a null text has none."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "source"])
