@@ -31,7 +31,7 @@ from lagstone.llm import common
 #: Ends the last symbol of a word in vocabularies that mark word ends (a private-use character, never produced by byte symbols).
 WORD_END = ""
 #: Words remembered by a worker, in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 
 # White space as the tokenizers' regular expressions define it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -222,7 +222,7 @@ class Tokenizer:
         self.any = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.ascii = re.compile(WORD_PATTERN_ASCII if self.words else BYTE_PATTERN_ASCII, re.ASCII)
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.packed = WordCache(lambda w: struct.pack(f"<{len(x := self.encode_piece(w))}I", *x))
+        self.packed = {code: WordCache(lambda w, code=code: struct.pack(f"<{len(x := self.encode_piece(w))}{code}", *x)) for code in "IH"}
 
     def __getstate__(self):
         out = {k: v for k, v in self.__dict__.items() if k in ("words", "special", "automaton", "decoder")}
@@ -255,11 +255,12 @@ class Tokenizer:
         word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes_to_symbols)
         return self.automaton.encode_word(word + WORD_END if self.words else word)
 
-    def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+    def encode_packed(self, text: str, code: str = "I") -> bytes:
+        """The ids of a text as little-endian unsigned integers of 32 bits, or with code H of 16 bits."""
+        get = self.packed[code].__getitem__
         if "<|" not in text and not any(x in text for x in self.special):
-            return b"".join(map(self.packed.__getitem__, self.pieces(text)))
-        return b"".join(struct.pack("<I", i) if i >= 0 else b"".join(map(self.packed.__getitem__, self.pieces(x))) for x, i in self.parts(text))
+            return b"".join(map(get, self.pieces(text)))
+        return b"".join(struct.pack(f"<{code}", i) if i >= 0 else b"".join(map(get, self.pieces(x))) for x, i in self.parts(text))
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_packed(text)

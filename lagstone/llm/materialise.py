@@ -1,9 +1,14 @@
 """Operator 6: materialisation in training order.
 
-Texts are encoded and cut into sequences of a fixed number of ids.  Sequence i of N gets slot f(i), where f is a keyed permutation of
-0 .. N - 1: a balanced Feistel network over the next even number of bits, applied again while its result is N or more (cycle-walking).
-Slots are dealt to ranges, one or more per task; each range is a shard file of records of one length, in the order of slots.  So the
-record of a slot is at ``slot % SHARD * STRIDE`` of file ``slot // SHARD``, and a reader resumes at any slot with one seek.
+Texts are encoded and cut into sequences of a fixed number of ids.  Sequence k of input partition p has the index p * LOCAL + k, and
+its slot is f(index), where f is a keyed permutation of 0 .. PARTITIONS * LOCAL - 1: a balanced Feistel network over the next even
+number of bits, applied again while its result is too large (cycle-walking).  So every sequence has a global slot as soon as it is
+encoded, without a count of all sequences first: ids travel once, and are never stored between.
+
+Ranges of slots are shards, one file each with its records in the order of slots; all records have one length.  The slots in use
+are spread evenly over a space far larger than their number, so a record's position in the training order is the number of records
+in the shards before it, which follows from the sizes of the files, plus its place in its own.  A reader resumes at any position with one
+look at the list of files and one seek.
 
 A record: slot and doc_id (int64), flag for a doc_id (uint8), number of the sequence in its text and number of ids (int32), the ids
 (uint16), filled with 0, and a line end.  Little-endian.  The files are written by Spark's text sink, so they can lie on any file system.
@@ -12,17 +17,27 @@ A record: slot and doc_id (int64), flag for a doc_id (uint8), number of the sequ
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
+from bisect import bisect_right
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone.llm import bpe, common
 
-LENGTH, SHARD, ROUNDS, KEY = 512, 4096, 4, 20_240_229
+#: Ids of a record, and records of a shard, about.
+LENGTH, SHARD = 512, 16_384
+ROUNDS, KEY = 4, 20_240_229
+#: The space of indices: input partitions, and sequences of each.
+PARTITIONS, LOCAL = 10**6, 10**12
+_HEAD = "<qqBii"
 
 
 def _round(x: np.ndarray, key: int, mask: int) -> np.ndarray:
@@ -52,85 +67,97 @@ def record_type(length: int) -> np.dtype:
     return np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("known", "u1"), ("seq", "<i4"), ("n", "<i4"), ("ids", "<u2", (length,)), ("end", "u1")])
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, *, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> int:
-    """Write the shards of all whole texts to ``path`` and return the number of sequences.
+def write_shards(docs: DataFrame, vocabulary: str, path: str, *, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> None:
+    """Write the shards of all whole texts to ``path``.
 
     A null or empty text is one sequence without ids; repeated rows are separate sequences; a null doc_id is written as unknown; other
-    columns are ignored; an empty table writes nothing.  The order is a function of the key and of the rows' order in the input's partitions.
+    columns are ignored; an empty table writes no shard.  The order is a function of the key and of the rows' order in the input's
+    partitions.  The number of shards follows from the texts' bytes, at three a token.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(bpe.load(vocabulary))
     if len(bpe.load(vocabulary).automaton.labels) > 1 << 16:
         raise ValueError("ids must fit 16 bits")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    about = source.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / (3 * length))))).first()[0] or 0
+    files = max(1, -(-about // shard))
+    space = PARTITIONS * LOCAL
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
+        if part >= PARTITIONS:
+            raise ValueError("the input has too many partitions")
+        step = 2 * length
         for batch in batches:
-            doc, seq, ids = [], [], []
+            heads, ids = [], []
             for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(shared.value.encode_packed(t or ""), "<u4").astype("<u2").tobytes()
-                for k in range(max(1, -(-len(x) // (2 * length)))):
-                    doc.append(d)
-                    seq.append(k)
-                    ids.append(x[2 * length * k : 2 * length * (k + 1)])
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(ids, pa.binary())], names=["part", "local", "doc_id", "seq", "ids"])
+                x = shared.value.encode_packed(t or "", "H")
+                for k in range(max(1, -(-len(x) // step))):
+                    heads.append((d or 0, d is not None, k))
+                    ids.append(x[step * k : step * (k + 1)])
+            n = len(ids)
+            slots = permute(np.arange(at, at + n) + part * LOCAL, space, key)
             at += n
+            records = [struct.pack(_HEAD, s, d, known, k, len(x) // 2) + x for s, (d, known, k), x in zip(slots.tolist(), heads, ids, strict=True)]
+            # both steps keep the order of slots, so shards are ranges of them
+            shards = np.minimum((slots / space * files).astype(np.int64), files - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(slots), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.stage(source.mapInArrow(encode, "part int, local long, doc_id long, seq int, ids binary"), "sequences")
-    # one number for each input partition
-    counts = sorted(map(tuple, rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()))
-    starts, n = {}, 0
-    for part, m in counts:
-        starts[part], n = n, n + m
-    if not n:
-        return 0
-    first = spark.sparkContext.broadcast(starts)
-    kind = record_type(length)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, local, doc, seq, ids = batch.columns
-            if not len(part):
-                continue
-            index = local.to_numpy() + np.array([first.value[p] for p in part.to_pylist()], np.int64)
-            out = np.zeros(len(index), kind)
-            out["slot"] = permute(index, n, key)
-            known = ~np.array(doc.is_null())
-            out["doc_id"], out["known"], out["seq"] = doc.fill_null(0).to_numpy(), known, seq.to_numpy()
-            for i, x in enumerate(ids.to_pylist()):
-                x = np.frombuffer(x, "<u2")
-                out["ids"][i, : len(x)] = x
-                out["n"][i] = len(x)
-            raw = out.tobytes()
-            records = [raw[i : i + kind.itemsize - 1] for i in range(0, len(raw), kind.itemsize)]
-            yield pa.RecordBatch.from_arrays([pa.array(out["slot"] // shard), pa.array(out["slot"]), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
-
-    files = -(-n // shard)
+    placed = source.mapInArrow(encode, "shard long, slot long, record binary")
     tasks = min(files, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = rows.mapInArrow(place, "shard long, slot long, record binary")
     ranges = placed.repartitionById(tasks, (F.col("shard") * tasks / files).cast("int")).sortWithinPartitions("shard", "slot")
-    ranges.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path, lineSep="\n")
-    return n
+    # filled up here: only ids travel
+    whole = F.expr(f"rpad(record, {record_type(length).itemsize - 1}, X'00')").cast("string").alias("value")
+    ranges.select(whole, "shard").write.partitionBy("shard").text(path, lineSep="\n")
+
 
+def manifest(spark: SparkSession, path: str, *, length: int = LENGTH) -> list[tuple[int, int, str]]:
+    """Of each shard the position of its first record, its number of records and its file, in order: a list of files, not of records."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
+    rows = sorted((int(r.path.rsplit("shard=", 1)[1].split("/")[0]), r.length // record_type(length).itemsize, r.path) for r in files.collect())
+    out, first = [], 0
+    for _, n, name in rows:
+        out.append((first, n, name))
+        first += n
+    return out
 
-def read_shards(spark: SparkSession, path: str, *, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """slot, shard, offset (of the record in its file), doc_id, seq, n_tokens and ids_sha256 of every record."""
+
+def read_from(shards: list[tuple[int, int, str]], position: int, *, length: int = LENGTH, block: int = 1024) -> Iterator[np.ndarray]:
+    """Blocks of records from ``position`` on, in training order: opens the shard that has it and seeks; then shard after shard."""
+    kind = record_type(length)
+    k = max(0, bisect_right([first for first, _, _ in shards], position) - 1)
+    for first, n, name in shards[k:]:
+        files, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+        with files.open_input_file(unquote(at)) as f:
+            place = max(0, position - first)
+            f.seek(place * kind.itemsize)
+            while place < n:
+                got = np.frombuffer(f.read(min(block, n - place) * kind.itemsize), kind)
+                yield got
+                place += len(got)
+
+
+def read_shards(spark: SparkSession, path: str, *, length: int = LENGTH) -> DataFrame:
+    """position, slot, shard, offset (of the record in its file), doc_id, seq, n_tokens and ids_sha256 of every record."""
     kind = record_type(length)
+    first = spark.sparkContext.broadcast({name: (k, at) for k, (at, _, name) in enumerate(manifest(spark, path, length=length))})
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                got = np.frombuffer(content, kind)
-                hashes = [hashlib.sha256(x[:n].astype("<u4").tobytes()).hexdigest() for x, n in zip(got["ids"], got["n"].tolist(), strict=True)]
-                doc = pa.array(got["doc_id"].astype(np.int64), mask=got["known"] == 0)
-                at = np.arange(len(got), dtype=np.int64) * kind.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array(got["slot"].astype(np.int64)), pa.array(got["slot"].astype(np.int64) // shard), pa.array(at), doc, pa.array(got["seq"].astype(np.int32)), pa.array(got["n"].astype(np.int64)), pa.array(hashes, pa.string())], names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids_sha256"])
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = np.frombuffer(content, kind)
+                shard, begin = first.value[name]
+                for at in range(0, len(whole), 4096):
+                    got = whole[at : at + 4096]
+                    place = np.arange(at, at + len(got))
+                    hashes = [hashlib.sha256(x[:n].astype("<u4").tobytes()).hexdigest() for x, n in zip(got["ids"], got["n"].tolist(), strict=True)]
+                    doc = pa.array(got["doc_id"].astype(np.int64), mask=got["known"] == 0)
+                    columns = [pa.array(begin + place), pa.array(got["slot"].astype(np.int64)), pa.array(np.full(len(got), shard)), pa.array(place * kind.itemsize), doc, pa.array(got["seq"].astype(np.int32)), pa.array(got["n"].astype(np.int64)), pa.array(hashes, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["position", "slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids_sha256"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, "slot long, shard long, offset long, doc_id long, seq int, n_tokens long, ids_sha256 string")
+    return files.select("path", "content").mapInArrow(parse, "position long, slot long, shard long, offset long, doc_id long, seq int, n_tokens long, ids_sha256 string")
 
 
 def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +165,5 @@ def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = common.new_path(spark, "shards")
-    docs = common.table(spark, sf_dir, "documents")
-    if not write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), path):
-        return spark.createDataFrame([], "slot long, shard long, offset long, doc_id long, seq int, n_tokens long, ids_sha256 string")
+    write_shards(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_shards(spark, path)
