@@ -32,6 +32,8 @@ WIDTH, STRIDE = 32, 24
 LANDMARKS = 128
 #: Bounds of the training sample: labelled documents of either class, taken in the order of a hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+#: Characters of a labelled document in the sample; all are scored, whatever their length.
+CHARS = 50_000
 FOLDS = 5
 ROUNDS = 3
 
@@ -225,13 +227,21 @@ def train(bags: list[tuple[int, list[list[str]]]]) -> Model:
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Train on labelled documents outside the held-out fold, at most ``toxic_rows`` and ``clean_rows`` of either class."""
+def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, chars: int = CHARS) -> Model:
+    """Train on labelled documents outside the held-out fold: at most ``toxic_rows`` and ``clean_rows`` of either class, of at most ``chars``
+    characters each, so what reaches the driver is bounded.
+
+    Of rows with one doc_id the one with the least hash of its text is taken, and if labels of one doc_id differ it counts as toxic; rows
+    without doc_id or label are not.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(fold != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    short = source.where(F.col("doc_id").isNotNull() & (F.length("text") <= chars)).groupBy("doc_id").agg(F.min("th").alias("th"))
+    known = known.join(short, "doc_id")
     picked = known.where("toxic = 1").orderBy("draw", "doc_id").limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy("draw", "doc_id").limit(clean_rows))
-    picked = common.stage(picked.select("doc_id", "toxic"), "labelled")
+    picked = common.stage(picked.select("doc_id", "th", "toxic"), "labelled")
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = TOXIC_ROWS, cle
             out = [[list(dict.fromkeys(words_of(s))) for s in _SENTENCE.split(t or "") if s.strip()] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "sentences"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    rows = source.join(F.broadcast(picked), ["doc_id", "th"]).select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
     got = rows.mapInArrow(sentences, "doc_id long, toxic int, sentences array<array<string>>").toArrow().sort_by("doc_id")
     return train(list(zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)))
 

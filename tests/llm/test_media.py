@@ -54,3 +54,37 @@ def test_documents(spark, make, odd_rows):
     want = sorted((r[1] or "").encode() for r in odd_rows)
     assert sorted(media.read_wav(bytes(r.media))[0][: r.n_bytes] for r in got) == want
     assert media.media_columns(make(odd_rows).limit(0)).count() == 0
+
+
+def brute_fingerprints(samples):
+    """Frames, transforms, landmarks and pairs, one after the other, straight from the definitions."""
+    x = samples.astype(float) - 128
+    landmarks, at = [], 0
+    window = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)])
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    while at == 0 or at * media.HOP + media.FRAME - media.HOP < len(x):
+        frame = np.zeros(media.FRAME)
+        part = x[at * media.HOP : at * media.HOP + media.FRAME]
+        frame[: len(part)] = part
+        size = np.round(np.abs(turns @ (frame * window)), 3)
+        mean, low = size[1:].mean(), 1
+        for high in media.BANDS:
+            best = max(range(low, high), key=lambda k: (size[k], -k))
+            if size[best] > mean:
+                landmarks.append((at, best))
+            low = high
+        at += 1
+    pairs = []
+    for i, (t, f) in enumerate(landmarks):
+        for u, g in landmarks[i + 1 : i + 1 + media.FAN]:
+            pairs.append((t << 32) | (f << 20) | (g << 8) | min(u - t, 255))
+    return sorted(pairs)
+
+
+def test_fingerprints_against_brute_force():
+    rng = np.random.default_rng(31)
+    for n in (64, 128, 256, 320, 1000, 4096):
+        x = rng.integers(0, 256, n, dtype=np.uint8)
+        assert media.fingerprints(x).tolist() == brute_fingerprints(x)
+    text = np.frombuffer(("some ordinary text, with words " * 40).encode(), np.uint8)
+    assert media.fingerprints(text).tolist() == brute_fingerprints(text)
