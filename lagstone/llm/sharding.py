@@ -84,9 +84,10 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit("|slot"))), 1, 12), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # numbered in buckets; the text counts too, as very many rows can have one doc_id or none
+    draw = F.md5(F.concat(key, F.lit("|slot|"), F.col("text_crc32").cast("string")))
+    rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring(draw, 1, 12), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     rows = descend(rows, key, topology(shards), "shard")
     rows = common.stage(descend(rows, key, topology(shards + 1), "grown_shard"), "shards")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -126,7 +127,7 @@ OP2_SQL = rf"""
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
 c AS (SELECT doc_id, k, n + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
-  lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) AS text_crc32, CAST(('0x' || substr(md5(k || '|slot'), 1, 12)) AS BIGINT) % (SELECT least(1 + count(*) // {BUCKET_ROWS}, {BUCKETS}) FROM documents) AS bucket FROM d, t),
-s AS (SELECT *, {_choose_sql("k", topology(8))} AS shard, {_choose_sql("k", topology(9))} AS grown_shard FROM c)
+  lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) AS text_crc32 FROM d, t),
+s AS (SELECT *, CAST(('0x' || substr(md5(k || '|slot|' || text_crc32), 1, 12)) AS BIGINT) % (SELECT least(1 + count(*) // {BUCKET_ROWS}, {BUCKETS}) FROM documents) AS bucket, {_choose_sql("k", topology(8))} AS shard, {_choose_sql("k", topology(9))} AS grown_shard FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard, shard // 4 AS region, shard // 2 AS rack FROM s
 """

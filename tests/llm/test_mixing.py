@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from lagstone.llm import mixing
 
@@ -41,3 +42,25 @@ def test_documents(spark, make, odd_rows):
     half = mixing.mix(make(rows[:3000]), budget=5000.0, repeat_limit=5.0).collect()
     assert abs(sum(r.copies * r.n_words for r in half) - 5000) < 100
     assert mixing.mix(make(rows).limit(0)).count() == 0
+
+
+def test_very_many_sources(make, odd_rows):
+    """Sources that are not collected get the same plan."""
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 40 if i % 3 else 0}") for i in range(2000)] + odd_rows
+    for how in ({}, {"target_entropy": 2.5}, {"budget": 30000.0, "repeat_limit": 9.0}):
+        want, got = (sorted(((r.doc_id, r.source, r.copies, r.block, r.place, round(r.repetition, 6)) for r in mixing.mix(make(rows), max_sources=n, **how).collect()), key=repr) for n in (10_000, 3))
+        assert got == want
+    with pytest.raises(ValueError, match="limit"):
+        mixing.mix(make(rows), max_sources=3, budget=1e9).collect()
+
+
+def test_tokens_and_places(make):
+    rows = [(None if i % 2 else i, f"text {i}", "en", "s") for i in range(3000)]
+    docs = make(rows).withColumn("tokens", F.length("text"))
+    got = mixing.mix(docs, tokens="tokens").collect()
+    assert all(r.n_words == len(r.text) for r in got)
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.block, []).append(r.place)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in blocks.values())
+    assert max(map(len, blocks.values())) < 1500
