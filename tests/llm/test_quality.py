@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pytest
 
@@ -149,3 +150,61 @@ def test_bands_reject_symbols_and_menus(spark, make):
 def test_bands_of_equal_texts(spark, make, corpus):
     got = quality.quality(make([(i, corpus[0]) for i in range(5)])).collect()
     assert all(x.kept for x in got)
+
+
+def middle(x):
+    """The element in the middle, the lower of two; none of nothing."""
+    return sorted(x)[(len(x) + 1) // 2 - 1] if x else None
+
+
+def brute_kept(rows):
+    """Whether each of (doc_id, text, lang) is kept: base rules, a model per language and bands, straight from the definitions."""
+    models = {}
+    for lang in {r[2] for r in rows}:
+        p, _ = brute_model([r[1] or "" for r in rows if r[2] == lang])
+        models[lang] = lru_cache(None)(lambda g, p=p: round(math.log(p(g)) * quality.SCALE))
+    good = {}
+    for i, (_, text, lang) in enumerate(rows):
+        n, *_, repeats = brute_features(text or "")
+        if n >= 50 and 100 * repeats <= 50 * n:
+            padded = chr(quality.PAD) * (quality.ORDER - 1) + text
+            good[i] = (lang, len(text).bit_length(), -sum(models[lang](padded[j : j + quality.ORDER]) for j in range(len(text))) / quality.SCALE / len(text))
+
+    def sides(group):
+        mid = middle([x for _, _, x in group])
+        off = [(x - mid, k) for _, k, x in group]
+        out = {"mid": mid, "n": len(group)}
+        for name, sign in (("up", 1), ("down", -1)):
+            out[name] = middle([sign * d for d, _ in off if sign * d > 0])
+            out["scaled_" + name] = middle([sign * d * 2 ** (k / 2) for d, k in off if sign * d > 0])
+        return out
+
+    def width(own, whole, side, k):
+        found = own[side] if own["n"] >= quality.CLASS_DOCS else None
+        for x in (side, "down" if side == "up" else "up"):
+            if found is None and whole[x] is not None:
+                found = max(whole[x], whole["scaled_" + x] * 2 ** (-k / 2))
+        return quality.LEAST if found is None else quality.BAND * found
+
+    kept = []
+    for i in range(len(rows)):
+        if i in good:
+            lang, k, x = good[i]
+            own, whole = (sides([g for g in good.values() if g[0] == lang and size in (g[1], None)]) for size in (k, None))
+            mid = own["mid"] if own["n"] >= quality.CLASS_DOCS else whole["mid"]
+            kept.append(mid - width(own, whole, "down", k) <= x <= mid + width(own, whole, "up", k))
+        else:
+            kept.append(False)
+    return kept
+
+
+def test_verdicts_against_brute_force(make, corpus, odd_rows):
+    r = random.Random(16)
+    words = " ".join(corpus).split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([55, 70, 130]))), r.choice(["en", "fr"])) for i in range(160)]
+    rows += [(500 + i, " ".join(r.choice(words) + "%%" * (i % 4) for _ in range(80)), "en") for i in range(12)] + [(600, "qzx vvk " * 30 + " ".join(words[:80]), "fr")]
+    rows += [(None if x[0] is None else 1000 + x[0], x[1], x[2] if len(x) > 2 else "en") for x in odd_rows]
+    want = brute_kept(rows)
+    got = quality.quality(make(rows)).collect()
+    assert sorted(((x.doc_id, x.kept) for x in got), key=repr) == sorted(((x[0], k) for x, k in zip(rows, want, strict=True)), key=repr)
+    assert not all(k for x, k in zip(rows, want, strict=True) if len(brute_features(x[1] or "")) and brute_features(x[1] or "")[0] >= 50)
