@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def _delay(p: np.ndarray, s: np.ndarray, rate: int) -> tuple[float, bool] | None
 def process(primary: str, secondary: str, segment: float, *, rate: int = RATE, exact: bool = False, load: Callable = decode.load, duration: Callable = decode.duration) -> dict:
     """One pair's result.  Never raises: an error is text, beside whatever was found before it.
 
-    ``degenerate`` marks flat signals, whose delay says nothing.
+    ``degenerate`` marks flat signals, whose delay says nothing.  The error texts are fixed values.
     """
     out = {"start_delay_ms": None, "end_delay_ms": None, "error": None, "degenerate": None}
     pair = (("primary", primary), ("secondary", secondary))
@@ -68,35 +69,51 @@ def process(primary: str, secondary: str, segment: float, *, rate: int = RATE, e
     return out
 
 
-def process_pairs(pairs: DataFrame, *, segment: float = 300.0, rate: int = RATE, exact: bool = False, tasks: int | None = None) -> DataFrame:
-    """Results of all pairs.  Only paths travel; a task decodes what it works on.
+class Windows:
+    """Decoded windows: those of the last secondary stay, since many primaries may share it; a primary's are for its pair only."""
 
-    Pairs with one secondary are dealt together, and a task keeps the last secondary's windows, so a shared one is decoded once a task.
-    """
-    spark = pairs.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism * 2
+    def __init__(self, load: Callable = decode.load):
+        self.decode, self.secondary, self.kept = load, None, {}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
+    def of(self, secondary: str) -> Callable:
+        """A loader for a pair with this secondary."""
+        if secondary != self.secondary:
+            self.secondary, self.kept = secondary, {}
 
         def load(path: str, rate: int, duration: float | None = None, offset: float = 0.0):
-            key = (path, duration, offset)
-            if key not in kept:
-                if len(kept) >= 4:
-                    kept.pop(next(iter(kept)))
-                kept[key] = decode.load(path, rate, duration, offset)
-            return kept[key]
+            if path != secondary:
+                return self.decode(path, rate, duration, offset)
+            key = (rate, duration, offset)
+            if key not in self.kept:
+                self.kept[key] = self.decode(path, rate, duration, offset)
+            return self.kept[key]
+
+        return load
+
 
+def process_pairs(pairs: DataFrame, *, segment: float = 300.0, rate: int = RATE, exact: bool = False, tasks: int | None = None, done: Accumulator | None = None) -> DataFrame:
+    """Results of all pairs, with the time of completion.  Only paths travel; a task decodes what it works on.
+
+    Pairs are dealt round robin, so a secondary that all primaries share is no one task's work; within a task the pairs of a secondary
+    follow each other, and its windows are decoded once.  ``done`` counts finished pairs, for a driver that shows progress (a repeated
+    task counts again).
+    """
+    tasks = tasks or pairs.sparkSession.sparkContext.defaultParallelism * 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = Windows()
         for frame in frames:
             rows = []
             for p, s in zip(frame.primary_path, frame.secondary_path, strict=True):
                 began = time.perf_counter()
-                got = process(p, s, segment, rate=rate, exact=exact, load=load)
-                rows.append((p, s, got["start_delay_ms"], got["end_delay_ms"], got["error"], int((time.perf_counter() - began) * 1000), got["degenerate"]))
+                got = process(p, s, segment, rate=rate, exact=exact, load=windows.of(s))
+                rows.append((p, s, got["start_delay_ms"], got["end_delay_ms"], got["error"], int((time.perf_counter() - began) * 1000), got["degenerate"], pd.Timestamp.now(tz="UTC")))
+                if done is not None:
+                    done.add(1)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.RESULTS.split(", ")]).astype({"start_delay_ms": "float64", "end_delay_ms": "float64", "degenerate": "object"})
 
-    # round robin: a secondary that all primaries share must not be one task's work
-    return pairs.select("primary_path", "secondary_path").repartition(tasks).mapInPandas(run, schemas.RESULTS)
+    dealt = pairs.select("primary_path", "secondary_path").repartition(tasks).sortWithinPartitions("secondary_path", "primary_path")
+    return dealt.mapInPandas(run, schemas.RESULTS)
 
 
 def graded(results: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstone.functions import grades, text
+from lagstone.sources.scratch import scratch_path
 
 
 def result_counts(results: DataFrame) -> DataFrame:
@@ -33,18 +36,40 @@ def total_size(files: DataFrame, *by: str, size: str = "size") -> DataFrame:
     return files.groupBy(*by).agg(F.sum(F.coalesce(size, F.lit(0))).alias("total_size"))
 
 
-def unique_parent(files: DataFrame, *, path: str = "path") -> DataFrame:
-    """The parent folder that all files share, or null."""
-    parents = files.select(text.parent_folder(path).alias("p"))
-    return parents.agg(F.when(F.count_distinct("p") == 1, F.max("p")).alias("parent"))
-
-
-def progress(events: DataFrame, *, order: str, by: str | None = None) -> DataFrame:
-    """Adds processed, total and percent of each event, in order, by ``by``: counts run within its windows."""
-    part = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    done = F.row_number().over(part.orderBy(order)).cast("long")
-    total = F.count(F.lit(1)).over(part)
-    return events.withColumns({"processed": done, "total": total}).withColumn("percent", text.percent("processed", "total"))
+def unique_parent(files: DataFrame, *by: str, path: str = "path") -> DataFrame:
+    """The parent folder that all files share, or all of each ``by``; null if there are several.
+
+    The least and the greatest parent are compared, so no set of distinct folders is held.
+    """
+    parents = files.select(*by, text.parent_folder(path).alias("p"))
+    return parents.groupBy(*by).agg(F.when(F.min("p") == F.max("p"), F.max("p")).alias("parent"))
+
+
+def progress(events: DataFrame, *, order: str | Sequence[str], by: str | None = None, before: int = 0) -> DataFrame:
+    """Adds processed, total and percent of each event, in order; with ``by`` the counts run within each of its values.
+
+    Over a whole table the events are dealt to ranges of the order and written; the counts of the ranges, one number a task, say where each
+    range begins, so no task sees all events.  ``before`` have been processed already and count in both.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    if by:
+        part = Window.partitionBy(by)
+        done, total = F.row_number().over(part.orderBy(*order)).cast("long"), F.count(F.lit(1)).over(part)
+        return events.withColumns({"processed": done, "total": total}).withColumn("percent", text.percent("processed", "total"))
+    spark = events.sparkSession
+    path = scratch_path(spark, "ranges")
+    ranged = events.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    starts, total = [], before
+    for r, n in sorted(map(tuple, ranged.groupBy("__range").count().collect())):
+        starts.append((r, total))
+        total += n
+    starts = spark.createDataFrame(starts, "__range int, __start long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = ranged.withColumn("__place", place).join(F.broadcast(starts), "__range")
+    out = out.withColumns({"processed": F.col("__start") + F.col("__place"), "total": F.lit(total).cast("long")}).drop("__range", "__start", "__place")
+    return out.withColumn("percent", text.percent("processed", "total"))
 
 
 def eta_ms(elapsed_ms, processed, total) -> Column:

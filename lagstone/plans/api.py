@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+from datetime import datetime, timezone
+
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 
 from lagstone import schemas
 from lagstone.operators import matching, pairs
-from lagstone.sources import files
+from lagstone.sources import files, sinks
 from lagstone.sources.requests import SyncRequest
+from lagstone.streaming import runs
 
 
 def plan_pairs(spark: SparkSession, request: SyncRequest) -> DataFrame:
@@ -22,6 +27,22 @@ def plan_pairs(spark: SparkSession, request: SyncRequest) -> DataFrame:
     return matching.pair_files(files.list_folder(spark, r.video_folder), files.list_folder(spark, r.audio_folder, kind="audio"), r.match_pattern)
 
 
-def run(spark: SparkSession, request: SyncRequest, *, exact: bool = False) -> DataFrame:
-    """Graded results of a request; no pairs, no rows."""
-    return pairs.graded(pairs.process_pairs(plan_pairs(spark, request), segment=request.segment_duration, exact=exact))
+def run(spark: SparkSession, request: SyncRequest, *, exact: bool = False, done: Accumulator | None = None, verbose: bool = False) -> DataFrame:
+    """Graded results of a request; no pairs, no rows.
+
+    ``done`` counts finished pairs for the driver; ``verbose`` logs the request and the plan of its pairs.
+    """
+    found = plan_pairs(spark, request)
+    if verbose:
+        logging.getLogger(__name__).info("%s\n%s", request, found._jdf.queryExecution().simpleString())
+    return pairs.graded(pairs.process_pairs(found, segment=request.segment_duration, exact=exact, done=done))
+
+
+def run_to(spark: SparkSession, request: SyncRequest, folder: str, *, started: datetime | None = None, **how) -> str:
+    """Run a request once and keep all its output under a path of its own, which is returned: results, event lines and the CSV report."""
+    path = sinks.run_path(folder, request.mode, started or datetime.now(timezone.utc))
+    run(spark, request, **how).write.parquet(f"{path}/results")
+    results = spark.read.parquet(f"{path}/results")
+    sinks.write_events(runs.run_events(results, request).orderBy("number", "step").drop("number", "step"), f"{path}/events")
+    sinks.write_csv(results, f"{path}/csv", sinks.CSV_MOVIE if request.mode == "movie" else sinks.CSV_SERIES, one_file=True)
+    return path

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lagstone.functions import grades, text
 from lagstone.operators import correlate, matching, summary
-from lagstone.sources import files, probe, sinks
+from lagstone.operators import pairs as pair_ops
+from lagstone.sources import files, probe, requests, sinks
+from lagstone.sources.requests import SyncRequest
 from lagstone.sources.scratch import scratch_path
 from lagstone.streaming import runs
 
@@ -24,19 +32,27 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def hourly_series(events: DataFrame) -> DataFrame:
     """id and samples: events per hour of each user, from the first hour to the last.
 
-    Counted before they are collected, so a user's row holds one entry an hour.
+    Counted before they are collected, so a user's row holds one entry an hour; each entry then brings the zeros up to the next one, in one
+    pass over the sorted entries.
     """
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     counts = events.where("ts IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id", hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    user = counts.groupBy("user_id").agg(F.min("hour").alias("first"), F.max("hour").alias("last"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("by_hour"))
-    samples = F.transform(F.sequence("first", "last"), lambda h: F.coalesce(F.try_element_at("by_hour", h), F.lit(0)).cast("double"))
-    return user.select(F.col("user_id").alias("id"), samples.alias("samples"))
+    user = counts.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("hour", "n"))).alias("hours"))
+
+    def filled(entry, k):
+        gap = F.coalesce(F.get("hours", k + 1)["hour"] - entry["hour"] - 1, F.lit(0)).cast("int")
+        return F.concat(F.array(entry["n"].cast("double")), F.array_repeat(F.lit(0.0), gap))
+
+    return user.select("id", F.flatten(F.transform("hours", filled)).alias("samples"))
 
 
 def _neighbours(signals: DataFrame) -> DataFrame:
-    p = signals.select(F.col("id").alias("p_id"), F.col("samples").alias("p"))
-    s = signals.select(F.col("id").alias("s_id"), F.col("samples").alias("s"))
-    return p.join(s, F.col("s_id") == F.col("p_id") + 1)
+    """p_id, s_id, p and s of signals with ids k and k + 1: each signal is made once and sent to both pairs that it belongs to."""
+    own, last = F.struct(F.col("id").alias("p_id"), F.col("samples").alias("p"), F.lit(None).alias("s")), F.struct((F.col("id") - 1).alias("p_id"), F.lit(None).alias("p"), F.col("samples").alias("s"))
+    kind = "array<struct<p_id:bigint,p:array<double>,s:array<double>>>"
+    sides = signals.select(F.explode(F.array(own.cast(kind[6:-1]), last.cast(kind[6:-1]))).alias("x")).select("x.*")
+    pairs = sides.groupBy("p_id").agg(F.first("p", ignorenulls=True).alias("p"), F.first("s", ignorenulls=True).alias("s"))
+    return pairs.where("p IS NOT NULL AND s IS NOT NULL").select("p_id", (F.col("p_id") + 1).alias("s_id"), "p", "s")
 
 
 _SERIES_SQL = """
@@ -156,10 +172,10 @@ def _lang_key():
 
 
 def pair_regex_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of one language and number, on any host, the last path of each key on either side."""
-    pages = _t(spark, d, "pages").select(F.col("url").alias("path"))
+    """Pages of one language and number, on any host: the last path of each key with the last copy of each."""
+    pages = _t(spark, d, "pages")
     key = matching.match_key(F.col("path"), _URL)
-    left, right = matching.keyed(pages.where("path LIKE 'https:%'"), key), matching.keyed(pages, key)
+    left, right = (matching.keyed(pages.select(c.alias("path")), key) for c in (F.col("url"), F.concat(F.col("url"), F.lit("#copy"))))
     return matching.join_keys(left, right).orderBy("primary_path", "secondary_path")
 
 
@@ -225,21 +241,20 @@ def _dedupe_sql(pick: str) -> str:
 
 
 def day_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results whose delays are days of shipping after 1998 and, where the order is found, of ordering; some have errors.
-
-    Only the first line of each order, as in the SQL; the other lines are left out.
-    """
-    line = _t(spark, d, "lineitem").where("l_linenumber = 1")
-    orders = _t(spark, d, "orders").where("o_orderpriority IS NULL OR o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    """A result for each line of each order: the delays are days of shipping and of ordering after 1998; orders of low priority have no
+    end delay yet, and some results have errors."""
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    rows = _t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     day = F.to_date(F.lit("1998-01-01"))
+    ordered = F.when(F.coalesce("o_orderpriority", F.lit("")) != "5-LOW", F.to_date("o_orderdate"))
     return rows.select(
-        F.concat(F.lit("/v/"), F.col("l_orderkey").cast("string"), F.lit(".mkv")).alias("primary_path"),
+        F.concat(F.lit("/v/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".mkv")).alias("primary_path"),
         F.concat(F.lit("/a/"), F.col("l_suppkey").cast("string"), F.lit(".aac")).alias("secondary_path"),
         F.date_diff(F.to_date("l_shipdate"), day).cast("double").alias("start_delay_ms"),
-        F.date_diff(F.to_date("o_orderdate"), day).cast("double").alias("end_delay_ms"),
+        F.date_diff(ordered, day).cast("double").alias("end_delay_ms"),
         F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "").alias("error"),
         F.col("l_orderkey").alias("elapsed_ms"),
+        F.timestamp_seconds("l_orderkey").alias("completed_at"),
     )
 
 
@@ -247,9 +262,9 @@ def _graded_days(spark: SparkSession, d: str) -> DataFrame:
     return day_results(spark, d).withColumn("confidence", grades.confidence("start_delay_ms", "end_delay_ms"))
 
 
-_DAYS_SQL = f"""r AS (SELECT '/v/' || l_orderkey || '.mkv' AS primary_path, '/a/' || l_suppkey || '.aac' AS secondary_path, CAST(date_diff('day', DATE '1998-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS start_delay_ms,
-  CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS end_delay_ms, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN '' END AS error, l_orderkey AS elapsed_ms
-  FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority <> '5-LOW') ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+_DAYS_SQL = f"""r AS (SELECT '/v/' || l_orderkey || '-' || l_linenumber || '.mkv' AS primary_path, '/a/' || l_suppkey || '.aac' AS secondary_path, CAST(date_diff('day', DATE '1998-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS start_delay_ms,
+  CASE WHEN coalesce(o_orderpriority, '') <> '5-LOW' THEN CAST(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) END AS end_delay_ms, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN '' END AS error, l_orderkey AS elapsed_ms
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
 g AS (SELECT *, {_CONFIDENCE_SQL.format("start_delay_ms", "end_delay_ms")} AS confidence FROM r)"""
 _BAD_SQL = "coalesce(error, '') <> ''"
 
@@ -306,10 +321,10 @@ def total_size_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_parent(spark: SparkSession, d: str) -> DataFrame:
-    """The folder that all pages share, if there is one, and that all English ones of one host do."""
-    pages = _t(spark, d, "pages")
-    one = pages.where(F.col("url").contains("/en/")).orderBy("url").limit(1)
-    return summary.unique_parent(pages, path="url").withColumn("of", F.lit("all")).unionByName(summary.unique_parent(one, path="url").withColumn("of", F.lit("first")))
+    """The folder that all pages share, if there is one, and that all pages of each host, and of each host and language, do."""
+    pages = _t(spark, d, "pages").select("url", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
+    by_host, by_both = (summary.unique_parent(pages, *by, path="url") for by in (("host",), ("host", "lang")))
+    return summary.unique_parent(pages, path="url").unionByName(by_host, True).unionByName(by_both, True)
 
 
 def basename_ext(spark: SparkSession, d: str) -> DataFrame:
@@ -404,9 +419,181 @@ def stream_file_drop(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _days_run(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_events(day_results(spark, d), SyncRequest("series", video_folder="/v", audio_folder="/a", match_pattern="x"))
+
+
+def _by_type(events: DataFrame) -> DataFrame:
+    counts = {"with_elapsed": "elapsed_ms", "with_file": "file", "with_current": "current", "with_video": "videoFile", "with_message": "message"}
+    sums = [F.sum(F.col(c).cast("long")).alias(f"{c}_sum") for c in ("percent", "processed", "total")]
+    return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(n) for n, c in counts.items()), *sums, F.max(F.size("results")).cast("long").alias("listed"))
+
+
 def event_protocol(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by type of the event lines of all results."""
-    return runs.events_of(day_results(spark, d), batch=0).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("elapsed_ms").alias("with_elapsed"), F.count("percent").alias("with_percent"))
+    """Rows by type of all events of a run over all results."""
+    return _by_type(_days_run(spark, d))
+
+
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same written as lines, with blank lines and others that are no events between them, and read back; those have a null type."""
+    path = scratch_path(spark, "lines")
+    sinks.write_events(_days_run(spark, d).drop("number", "step"), path)
+    _t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.concat(F.lit("no event "), "n_name")).alias("value")).write.mode("append").text(path)
+    return _by_type(requests.read_events(spark, path))
+
+
+def event_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The progress events of a run."""
+    return runs.events_of(day_results(spark, d)).where("type = 'progress'").select("processed", "total", "current")
+
+
+# ---------------------------------------------------------------- recordings, listings, layouts
+
+
+def _recordings(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each nation, of as many bytes as its key; some are hidden, and there is a subfolder."""
+    folder, k = scratch_path(spark, "recordings"), F.col("n_nationkey")
+    kind = F.element_at(F.array(*(F.lit(x) for x in (".mkv", ".wav", ".EAC3", ".txt"))), (k % 4 + 1).cast("int"))
+    name = F.concat(F.when(k % 5 == 4, ".").otherwise(""), F.translate("n_name", " ", "_"), kind)
+    rows = _t(spark, d, "nation").select(name.alias("name"), F.expr("CAST(repeat('x', CAST(n_nationkey AS INT)) AS BINARY)").alias("content"))
+    files.write_files(rows, folder)
+    files.write_files(rows.limit(0).unionByName(spark.createDataFrame([("in.mkv", bytearray(b"x"))], "name string, content binary")), f"{folder}/below")
+    return folder
+
+
+def list_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """The listings of one folder, by kind of listing."""
+    folder = _recordings(spark, d)
+    all_ = files.list_folder(spark, folder)
+    given = [r.n_name for r in _t(spark, d, "nation").select("n_name").collect()]
+    listings = {
+        "entries": files.list_entries(spark, folder), "folder": all_, "audio": files.as_audio(all_), "batch": files.list_batch(spark, folder), "movies": files.list_movies(spark, folder),
+        "explicit": files.list_movies(spark, folder, [f"/given/{n}.avi" for n in given]), "first": files.first_file(all_), "missing": files.list_folder(spark, f"{folder}/none"),
+        "dropped": files.drop_files(files.as_audio(files.list_movies(spark, folder)), all_, mode="series", kind="audio"),
+        "one dropped": files.drop_files(files.as_audio(files.list_movies(spark, folder)), all_, mode="movie", kind="audio"),
+    }
+    rows = [x.select(F.lit(k).alias("listing"), "name", "type", "size") for k, x in listings.items()]
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.unionByName(x)
+    counted = files.count_by_extension(all_).select(F.lit("mp4 and mkv").alias("listing"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("type"), F.col("n").alias("size"))
+    return out.unionByName(counted)
+
+
+@F.pandas_udf(BinaryType())
+def _noise(seed: pd.Series, late: pd.Series, n: pd.Series) -> pd.Series:
+    """WAV files of 16 bits at 8 kHz: ``n`` samples of the noise of a seed, whose content stands ``late`` samples later."""
+
+    def one(k: int, s: int, m: int) -> bytes:
+        x = np.random.default_rng(int(k)).integers(-8000, 8000, 26_000).astype("<i2")
+        raw = io.BytesIO()
+        with wave.open(raw, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(2)
+            f.setframerate(8000)
+            f.writeframes(x[1000 - int(s) : 1000 - int(s) + int(m)].tobytes())
+        return raw.getvalue()
+
+    return pd.Series([one(*x) for x in zip(seed, late, n, strict=True)])
+
+
+def wav_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A pair of recordings for each nation, the first of them late by a known time: too short for every fifth nation, and without a second
+    file for every seventh."""
+    folder, k = scratch_path(spark, "wav"), F.col("n_nationkey")
+    name = F.translate("n_name", " ", "_")
+    n = F.when(k % 5 == 1, 4000).otherwise(24_000)
+    nation = _t(spark, d, "nation")
+    first = nation.select(F.concat(F.lit("v_"), name, F.lit(".wav")).alias("name"), _noise(k, k * 7, n).alias("content"))
+    second = nation.where("n_nationkey % 7 <> 3").select(F.concat(F.lit("a_"), name, F.lit(".wav")).alias("name"), _noise(k, F.lit(0), n).alias("content"))
+    files.write_files(first.unionByName(second), folder)
+    pairs = nation.select(F.concat(F.lit(f"{folder}/v_"), name, F.lit(".wav")).alias("primary_path"), F.concat(F.lit(f"{folder}/a_"), name, F.lit(".wav")).alias("secondary_path"))
+    got = pair_ops.graded(pair_ops.process_pairs(pairs, segment=1.5))
+    return got.select("primary_name", "secondary_name", "start_delay_ms", "end_delay_ms", "error", "degenerate", "confidence", "is_outlier", F.col("completed_at").isNotNull().alias("completed"))
+
+
+def _styled(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Names that meet by the second pattern, by the third, by all digits, and not at all, as the digit of an extension counts."""
+    n = F.col("n").cast("string")
+    k = (F.col("n") % 40).cast("string")
+    c, s = _t(spark, d, "customer").select(F.col("c_custkey").alias("n")), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
+    styles = {
+        "cross": (("/v/Show ", n, " of 1x", k, ".mkv"), ("/a/dub", n, " 1x", k, ".aac")), "part": (("/v/Show.", k, ".take", n, ".mkv"), ("/a/dub_", k, "_by", n, ".aac")),
+        "digits": (("/v/Show", n, ".mkv"), ("/a/dub", n, ".aac")), "none": (("/v/Show", n, ".mp4"), ("/a/dub", n, ".mp3")),
+    }
+    return {x: tuple(side.select(F.concat(*(F.lit(y) if isinstance(y, str) else y for y in parts)).alias("path")) for side, parts in zip((c, s), both, strict=True)) for x, both in styles.items()}
+
+
+def _each_style(spark: SparkSession, d: str, pair) -> DataFrame:
+    out = None
+    for style, sides in _styled(spark, d).items():
+        rows = pair(*sides).withColumn("style", F.lit(style))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def waterfall_styles(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of names in four styles, each by its own step of the waterfall."""
+    return _each_style(spark, d, lambda p, s: matching.pair_files(p, s).withColumn("step", F.lit(matching.choose_keys(p, s)[2])))
+
+
+def one_plan_styles(spark: SparkSession, d: str) -> DataFrame:
+    """The same as single plans, with the rank of the step."""
+    return _each_style(spark, d, lambda p, s: matching.pair_in_one_plan(p, s).withColumn("pattern_rank", F.col("pattern_rank").cast("long")))
+
+
+def preview_movie(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer with one audio file, and with none."""
+    p = _t(spark, d, "customer").select(F.concat("c_name", F.lit(".mkv")).alias("name"))
+    return matching.preview_movie(p, "dub.aac").unionByName(matching.preview_movie(p, None))
+
+
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Extensions, capitals, dates and matches that ignore case, of all pages and events."""
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".MKV").when(F.col("page_id") % 3 == 1, "/.Hidden").otherwise(""))
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("id"), text.extension(path).alias("a"), text.capitalise(text.basename("url")).alias("b"), text.contains_ignoring_case(F.upper("url"), "Example").alias("c"))
+    events = _t(spark, d, "events").select(F.col("event_id").alias("id"), text.date_text(F.col("ts").cast("timestamp")).alias("a"), text.capitalise("event_type").alias("b"), text.contains_ignoring_case("event_type", "CLICK").alias("c"))
+    return pages.withColumn("of", F.lit("page")).unionByName(events.withColumn("of", F.lit("event")))
+
+
+def result_status(spark: SparkSession, d: str) -> DataFrame:
+    return day_results(spark, d).select("primary_path", grades.result_status("error").alias("status"))
+
+
+def probe_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with the probe of its properties; every third one has none."""
+    names = F.col("event_id").cast("string").alias("path")
+    probes = _t(spark, d, "events").where("event_id % 3 <> 0").select(names, F.lit('{"streams":[{"codec_type":"audio"}],"format":{"duration":"1.5"}}').alias("json"))
+    return probe.with_probes(_t(spark, d, "events").select(names), probe.parse_probes(probes))
+
+
+def csv_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Results in both console layouts, as files and as one file."""
+    out = None
+    for layout, one in ((sinks.CSV_SERIES, False), (sinks.CSV_MOVIE, True)):
+        path = scratch_path(spark, "csv")
+        sinks.write_csv(day_results(spark, d), path, layout, one_file=one)
+        rows = sinks.read_csv(spark, path, layout).toDF("a", "b", "start_delay", "end_delay", "error").withColumn("layout", F.lit(layout[0]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def history_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All runs kept one after the other, of which 20 stay, and the ten that are shown; a missing history has none."""
+    path, all_ = scratch_path(spark, "history"), _history(spark, d)
+    none = requests.read_history(spark, path).select("id")
+    sinks.keep_history(spark, path, all_.where("CAST(id AS BIGINT) % 2 = 0"))
+    sinks.keep_history(spark, path, all_.where("CAST(id AS BIGINT) % 2 = 1"))
+    kept = requests.read_history(spark, path)
+    shown = sinks.newest(kept, 10).select("id")
+    return kept.select("id", F.lit("kept").alias("list")).unionByName(shown.withColumn("list", F.lit("shown"))).unionByName(none.withColumn("list", F.lit("none")))
+
+
+def history_export(spark: SparkSession, d: str) -> DataFrame:
+    """The results of all runs written as CSV and read back."""
+    path = scratch_path(spark, "export")
+    sinks.export_history(_history(spark, d), path)
+    return sinks.read_csv(spark, path, sinks.CSV_EXPORT).toDF("video", "audio", "start_delay", "end_delay", "elapsed", "error")
 
 
 QUERIES = {
@@ -415,10 +602,25 @@ QUERIES = {
         sync_series_events, tail_correction, head_tail_slices, xcorr_embeddings, xcorr_embeddings_udf, batch_one_to_many, degenerate_signals, znorm_stats, pair_regex_groups, pair_waterfall, pair_one_plan,
         pair_digits_fallback, pair_dedupe_last, pair_dedupe_first, preview_left_join, key_intersection, confidence_tiers, outlier_flag, status_cli, result_counts, success_counts, warn_any_low, filter_by_confidence,
         format_delay_ui, format_delay_cli, format_size, format_eta, progress_running, total_size_by_type, unique_parent, basename_ext, remove_selected, toggle_selection, probe_streams, history_top20,
-        history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, event_protocol,
+        history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, event_protocol, event_lines,
+        event_progress, list_recordings, wav_pairs, waterfall_styles, one_plan_styles, preview_movie, text_forms, result_status, probe_missing, csv_layouts, history_round_trip, history_export,
     )
 }
 
+_EVENTS_SQL = _DAYS_SQL + """,
+o AS (SELECT *, row_number() OVER (ORDER BY elapsed_ms, primary_path, secondary_path) AS k, count(*) OVER () AS total FROM r),
+x AS (SELECT type, percent, CASE WHEN type IN ('file_end', 'result') THEN elapsed_ms END AS e, CASE WHEN type LIKE 'file_%' THEN primary_path END AS f, CASE WHEN type = 'progress' THEN primary_path END AS c,
+    CASE WHEN type = 'result' THEN primary_path END AS v, CASE WHEN type = 'progress' THEN k END AS p, CASE WHEN type = 'progress' THEN total END AS t
+  FROM o, (VALUES ('file_start', NULL), ('file_progress', 0), ('file_progress', 50), ('file_progress', 100), ('file_end', NULL), ('progress', NULL), ('result', NULL)) s(type, percent)
+  WHERE percent IS DISTINCT FROM 50 OR start_delay_ms IS NOT NULL),
+by_type AS (SELECT type, count(*) AS n, count(e) AS with_elapsed, count(f) AS with_file, count(c) AS with_current, count(v) AS with_video, 0 AS with_message, CAST(sum(percent) AS BIGINT) AS percent_sum, CAST(sum(p) AS BIGINT) AS processed_sum,
+    CAST(sum(t) AS BIGINT) AS total_sum, CAST(NULL AS BIGINT) AS listed FROM x GROUP BY type
+  UNION ALL SELECT 'log', 4, 0, 0, 0, 0, 4, NULL, NULL, NULL, NULL UNION ALL SELECT 'done', 1, 0, 0, 0, 0, 0, NULL, NULL, count(*), CASE WHEN count(*) <= 10000 THEN count(*) END FROM r)"""
+_STYLES_SQL = """p AS (SELECT c_custkey AS n FROM customer), s AS (SELECT s_suppkey AS n FROM supplier),
+a AS (SELECT 'cross' AS style, n % 40 AS key, '/v/Show ' || n || ' of 1x' || n % 40 || '.mkv' AS path FROM p UNION ALL SELECT 'part', n % 40, '/v/Show.' || n % 40 || '.take' || n || '.mkv' FROM p UNION ALL SELECT 'digits', n, '/v/Show' || n || '.mkv' FROM p),
+b AS (SELECT 'cross' AS style, n % 40 AS key, '/a/dub' || n || ' 1x' || n % 40 || '.aac' AS path FROM s UNION ALL SELECT 'part', n % 40, '/a/dub_' || n % 40 || '_by' || n || '.aac' FROM s UNION ALL SELECT 'digits', n, '/a/dub' || n || '.aac' FROM s),
+j AS (SELECT style, x.path AS primary_path, y.path AS secondary_path, CASE style WHEN 'cross' THEN '(\\d+)x(\\d+)' WHEN 'part' THEN '[._\\s-](\\d{1,3})[._\\s-]' ELSE 'digits' END AS step, CASE style WHEN 'cross' THEN 1 WHEN 'part' THEN 2 ELSE 3 END AS rank
+  FROM (SELECT style, key, max(path) AS path FROM a GROUP BY 1, 2) x JOIN (SELECT style, key, max(path) AS path FROM b GROUP BY 1, 2) y USING (style, key))"""
 _UI_SQL = "CASE WHEN ms IS NULL THEN '{1}' ELSE CASE WHEN ms {0} 0 THEN '+' ELSE '' END || printf('%.1fms', round(ms, 1)) END"
 _CLI_SQL = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE printf('%+.1f', round_even({0}, 1)) END"
 _PARENT_SQL = "nullif(regexp_extract(replace({0}, '\\', '/'), '^(.+)/[^/]*$', 1), '')"
@@ -435,7 +637,7 @@ ORACLES: dict[str, str] = {
     "znorm_stats": """WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY 1)
       SELECT vec_id, round(sum(CASE WHEN sd > 1e-8 THEN (v - m) / sd ELSE v - m END), 4) + 0.0 AS z_sum, round(sum(pow(CASE WHEN sd > 1e-8 THEN (v - m) / sd ELSE v - m END, 2)), 4) AS z_squares FROM x JOIN s USING (vec_id) GROUP BY vec_id""",
     "pair_regex_groups": """WITH k AS (SELECT url, regexp_extract(url, '/([a-z]{2})/(\\d+)', 0) AS key FROM pages WHERE regexp_matches(url, '/([a-z]{2})/(\\d+)'))
-      SELECT a.path AS primary_path, b.path AS secondary_path FROM (SELECT key, max(url) AS path FROM k WHERE url LIKE 'https:%' GROUP BY key) a JOIN (SELECT key, max(url) AS path FROM k GROUP BY key) b USING (key)""",
+      SELECT a.path AS primary_path, b.path AS secondary_path FROM (SELECT key, max(url) AS path FROM k GROUP BY key) a JOIN (SELECT key, max(url || '#copy') AS path FROM k GROUP BY key) b USING (key)""",
     "pair_waterfall": f"{_EPISODES_SQL} SELECT a.path AS primary_path, b.path AS secondary_path FROM a JOIN b USING (key)",
     "pair_one_plan": f"{_EPISODES_SQL} SELECT a.path AS primary_path, b.path AS secondary_path, CAST(0 AS BIGINT) AS pattern_rank FROM a JOIN b USING (key)",
     "pair_digits_fallback": """SELECT a.path AS primary_path, b.path AS secondary_path FROM (SELECT regexp_extract_all(c_name, '\\d+') AS key, max(c_name) AS path FROM customer GROUP BY 1) a
@@ -467,8 +669,10 @@ ORACLES: dict[str, str] = {
     "progress_running": """SELECT event_id, processed, total, CAST(floor(processed * 100.0 / total + 0.5) AS INTEGER) AS percent
       FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS processed, count(*) OVER (PARTITION BY user_id) AS total FROM events)""",
     "total_size_by_type": "SELECT lang, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total_size FROM documents GROUP BY lang",
-    "unique_parent": f"""WITH a AS (SELECT {_PARENT_SQL.format('url')} AS p FROM pages), b AS (SELECT {_PARENT_SQL.format('url')} AS p FROM (SELECT url FROM pages WHERE contains(url, '/en/') ORDER BY url LIMIT 1))
-      SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END AS parent, 'all' AS of FROM a UNION ALL SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END, 'first' FROM b""",
+    "unique_parent": f"""WITH a AS (SELECT {_PARENT_SQL.format('url')} AS p, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, regexp_extract(url, '/([a-z]{{2}})/', 1) AS lang FROM pages)
+      SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END AS parent, CAST(NULL AS VARCHAR) AS host, CAST(NULL AS VARCHAR) AS lang FROM a
+      UNION ALL SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END, host, NULL FROM a GROUP BY host
+      UNION ALL SELECT CASE WHEN count(DISTINCT p) = 1 THEN max(p) END, host, lang FROM a GROUP BY host, lang""",
     "basename_ext": f"""WITH x AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.MKV' WHEN 1 THEN '.eac3' ELSE '' END AS path FROM pages)
       SELECT page_id, regexp_extract(path, '[^/]*$', 0) AS name, {_PARENT_SQL.format('path')} AS parent, lower(regexp_extract(path, '\\.([^./\\\\]+)$', 1)) IN ('mp4', 'mkv', 'webm', 'avi', 'mov', 'eac3', 'ac3') AS is_video FROM x""",
     "remove_selected": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -483,6 +687,31 @@ ORACLES: dict[str, str] = {
     "csv_round_trip": f"""WITH {_DAYS_SQL} SELECT substr(primary_path, 4) AS video, substr(secondary_path, 4) AS audio, printf('%.1f', start_delay_ms) AS start_delay, CASE WHEN end_delay_ms IS NOT NULL THEN printf('%.1f', end_delay_ms) END AS end_delay,
       CAST(elapsed_ms AS VARCHAR) AS elapsed, nullif(error, '') AS error FROM r""",
     "stream_file_drop": "SELECT event_id, CASE WHEN value IS NULL THEN '--' ELSE CASE WHEN value > 0 THEN '+' ELSE '' END || printf('%.1fms', round(value, 1)) END AS shown FROM events",
-    "event_protocol": f"""WITH {_DAYS_SQL}, k AS (SELECT unnest(['file_start', 'file_progress', 'file_progress', 'file_end', 'progress', 'result']) AS type)
-      SELECT type, count(*) AS n, count(*) FILTER (type IN ('file_end', 'result')) AS with_elapsed, count(*) FILTER (type = 'file_progress') AS with_percent FROM r, k GROUP BY type""",
+    "event_protocol": f"WITH {_EVENTS_SQL} SELECT * FROM by_type",
+    "event_lines": f"WITH {_EVENTS_SQL} SELECT * FROM by_type UNION ALL SELECT NULL, count(*) FILTER (n_nationkey % 2 = 1), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL FROM nation",
+    "event_progress": f"WITH {_EVENTS_SQL} SELECT k AS processed, total, substr(primary_path, 4) AS current FROM o",
+    "list_recordings": """WITH f AS (SELECT CASE WHEN n_nationkey % 5 = 4 THEN '.' ELSE '' END || replace(n_name, ' ', '_') || ['.mkv', '.wav', '.EAC3', '.txt'][n_nationkey % 4 + 1] AS name, CAST(n_nationkey AS BIGINT) AS size,
+        n_nationkey % 4 AS kind, n_nationkey % 5 = 4 AS hidden FROM nation), v AS (SELECT * FROM f WHERE NOT hidden)
+      SELECT 'entries' AS listing, name, 'video' AS type, size FROM f UNION ALL SELECT 'entries', 'below', 'folder', NULL UNION ALL SELECT 'folder', name, 'video', size FROM v UNION ALL SELECT 'audio', name, 'audio', size FROM v
+      UNION ALL SELECT 'batch', name, 'video', size FROM v WHERE kind < 3 UNION ALL SELECT 'movies', name, 'video', size FROM v WHERE kind = 0 UNION ALL SELECT 'explicit', n_name || '.avi', 'video', NULL FROM nation
+      UNION ALL (SELECT 'first', name, 'video', size FROM v ORDER BY name LIMIT 1) UNION ALL SELECT 'dropped', name, 'audio', size FROM v WHERE kind = 0 UNION ALL SELECT 'dropped', name, 'video', size FROM v
+      UNION ALL (SELECT 'one dropped', name, 'audio', size FROM v WHERE kind = 0 ORDER BY name LIMIT 1) UNION ALL SELECT 'mp4 and mkv', NULL, NULL, count(*) FROM v WHERE kind = 0""",
+    "wav_pairs": """WITH n AS (SELECT n_nationkey AS k, replace(n_name, ' ', '_') || '.wav' AS name FROM nation),
+      r AS (SELECT *, CASE WHEN k % 7 = 3 THEN 'Failed to load start of secondary: a_' || name WHEN k % 5 = 1 THEN 'Insufficient audio at start for analysis.' END AS error FROM n)
+      SELECT 'v_' || name AS primary_name, 'a_' || name AS secondary_name, CASE WHEN error IS NULL THEN k * 7 / 8.0 END AS start_delay_ms, CASE WHEN error IS NULL THEN k * 7 / 8.0 END AS end_delay_ms, error,
+        CASE WHEN error IS NULL THEN false END AS degenerate, CASE WHEN error IS NULL THEN 'high' ELSE 'low' END AS confidence, error IS NOT NULL AS is_outlier, true AS completed FROM r""",
+    "waterfall_styles": f"WITH {_STYLES_SQL} SELECT style, primary_path, secondary_path, step FROM j",
+    "one_plan_styles": f"WITH {_STYLES_SQL} SELECT style, primary_path, secondary_path, CAST(rank AS BIGINT) AS pattern_rank FROM j",
+    "preview_movie": """SELECT c_name || '.mkv' AS primary_name, 'dub.aac' AS secondary_name, 'matched' AS status FROM customer UNION ALL SELECT c_name || '.mkv', 'No match', 'missing' FROM customer""",
+    "text_forms": """WITH p AS (SELECT page_id, url, url || CASE page_id % 3 WHEN 0 THEN '.MKV' WHEN 1 THEN '/.Hidden' ELSE '' END AS path FROM pages), q AS (SELECT *, regexp_extract(path, '[^/]*$', 0) AS name, regexp_extract(url, '[^/]*$', 0) AS base FROM p)
+      SELECT page_id AS id, CASE WHEN starts_with(name, '.') THEN '' ELSE lower(regexp_extract(name, '\\.[^.]*$', 0)) END AS a, upper(substr(base, 1, 1)) || substr(base, 2) AS b, contains(lower(url), 'example') AS c, 'page' AS of FROM q
+      UNION ALL SELECT event_id, strftime(ts, '%-m/%-d/%Y, %I:%M %p'), upper(substr(event_type, 1, 1)) || substr(event_type, 2), contains(lower(event_type), 'click'), 'event' FROM events""",
+    "result_status": f"WITH {_DAYS_SQL} SELECT primary_path, CASE WHEN {_BAD_SQL} THEN 'error' ELSE 'success' END AS status FROM r",
+    "probe_missing": "SELECT CAST(event_id AS VARCHAR) AS path, event_id % 3 <> 0 AS has_audio, false AS has_video, CASE WHEN event_id % 3 <> 0 THEN 1.5::DOUBLE END AS duration FROM events",
+    "csv_layouts": f"""WITH {_DAYS_SQL} SELECT substr(primary_path, 4) AS a, substr(secondary_path, 4) AS b, printf('%.1f', start_delay_ms) AS start_delay, CASE WHEN end_delay_ms IS NOT NULL THEN printf('%.1f', end_delay_ms) END AS end_delay,
+      nullif(error, '') AS error, layout FROM r, (SELECT unnest(['Primary File', 'Video File']) AS layout)""",
+    "history_round_trip": """WITH k AS (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id DESC),
+      e AS (SELECT conv_id FROM k WHERE conv_id % 2 = 0 ORDER BY conv_id DESC LIMIT 20), a AS (SELECT conv_id FROM (SELECT * FROM e UNION ALL SELECT conv_id FROM k WHERE conv_id % 2 = 1) ORDER BY conv_id DESC LIMIT 20)
+      SELECT CAST(conv_id AS VARCHAR) AS id, 'kept' AS list FROM a UNION ALL SELECT CAST(conv_id AS VARCHAR), 'shown' FROM (SELECT conv_id FROM a ORDER BY conv_id DESC LIMIT 10)""",
+    "history_export": """SELECT role AS video, 'x' AS audio, printf('%.1f', CAST(turn AS DOUBLE)) AS start_delay, printf('%.1f', turn * 40.0) AS end_delay, CAST(length(text) AS VARCHAR) AS elapsed, CAST(NULL AS VARCHAR) AS error FROM conversations""",
 }

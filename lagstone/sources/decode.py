@@ -1,28 +1,24 @@
 """Decoding of a window of a recording, and its duration, on executors.
 
-WAV is read by the standard library, through any file system that Arrow opens, and only the window asked for is read.  Other containers go
-to an external decoder where one is installed.  A failure is None, never an exception, as the pair processor turns it into a row.
+WAV is read by the standard library, through any file system that Arrow opens, and only the window asked for is read.  Other formats go
+to decoders that were added to ``DECODERS``, and to an external decoder where one is installed.  A failure is None, never an exception, as the pair processor turns it into a row.
 """
 
 from __future__ import annotations
 
-import json
 import shutil
 import subprocess
 import wave
+from collections.abc import Callable
 
 import numpy as np
 
-from lagstone.sources.files import VIDEO_EXTENSIONS
+from lagstone.sources.files import VIDEO_EXTENSIONS, arrow_path
 
 
 def _open(path: str):
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return open(path, "rb")  # noqa: SIM115
-    system, inner = fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file:///") else "file://" + path[5:])
-    return system.open_input_file(inner)
+    files, at = arrow_path(path)
+    return files.open_input_file(at)
 
 
 def _extension(path: str) -> str:
@@ -60,21 +56,25 @@ def _wav(path: str, rate: int, duration: float | None, offset: float) -> np.ndar
         return resample(to_float(frames, f.getsampwidth(), f.getnchannels()), own, rate)
 
 
-def _external(path: str, rate: int, duration: float | None, offset: float) -> np.ndarray | None:
+#: Further decoders (path, rate, duration or None, offset) -> mono floats or None, for formats that the standard library lacks.
+DECODERS: list[Callable[[str, int, float | None, float], np.ndarray | None]] = []
+
+
+def _external(path: str, rate: int, duration: float | None, offset: float) -> tuple[np.ndarray | None, str]:
+    """What an installed decoder gives, and what it says."""
     tool = shutil.which("ffmpeg")
     if tool is None:
-        return None
+        return None, ""
     window = [*(["-ss", str(offset)] if offset else []), *(["-t", str(duration)] if duration else [])]
     run = subprocess.run([tool, "-v", "error", *window, "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-f", "s16le", "-"], capture_output=True, check=False)
-    return np.frombuffer(run.stdout, "<i2").astype(np.float32) / 32768 if run.returncode == 0 and run.stdout else None
+    found = np.frombuffer(run.stdout, "<i2").astype(np.float32) / 32768 if run.returncode == 0 and run.stdout else None
+    return found, run.stderr.decode("utf-8", "replace")
 
 
-def load(path: str, rate: int, duration: float | None = None, offset: float = 0.0) -> np.ndarray | None:
-    """Mono floats at ``rate``; each decoder is tried in turn."""
-    routes = [_external] if _extension(path) in VIDEO_EXTENSIONS else [_wav, _external]
-    for route in routes:
+def _direct(path: str, rate: int, duration: float | None, offset: float) -> np.ndarray | None:
+    for decoder in (_wav, *DECODERS):
         try:
-            x = route(path, rate, duration, offset)
+            x = decoder(path, rate, duration, offset)
         except Exception:  # noqa: BLE001  the next decoder's turn
             continue
         if x is not None:
@@ -82,18 +82,48 @@ def load(path: str, rate: int, duration: float | None = None, offset: float = 0.
     return None
 
 
-def duration(path: str) -> float | None:
-    """Seconds: from the header, else from an external prober, else None."""
-    try:
-        with _open(path) as raw, wave.open(raw, "rb") as f:
-            return f.getnframes() / f.getframerate()
-    except Exception:  # noqa: BLE001  not a WAV file
-        pass
-    tool = shutil.which("ffprobe")
-    if tool is None:
-        return None
-    run = subprocess.run([tool, "-v", "error", "-print_format", "json", "-show_format", path], capture_output=True, check=False, text=True)
+def load(path: str, rate: int, duration: float | None = None, offset: float = 0.0) -> np.ndarray | None:
+    """Mono floats at ``rate``: directly, then by the external decoder; of video containers by that first, and directly only if it misses a video stream."""
+    video = _extension(path) in VIDEO_EXTENSIONS
+    x = None if video else _direct(path, rate, duration, offset)
+    if x is not None:
+        return x
     try:
-        return float(json.loads(run.stdout)["format"]["duration"])
-    except (ValueError, KeyError, TypeError):
+        x, said = _external(path, rate, duration, offset)
+    except Exception:  # noqa: BLE001  as if it were not installed
         return None
+    return _direct(path, rate, duration, offset) if x is None and "video stream" in said.lower() else x
+
+
+def _printed(tool: str, *args: str) -> str:
+    found = shutil.which(tool)
+    return subprocess.run([found, *args], capture_output=True, check=False, text=True).stdout.strip() if found else ""
+
+
+def _header(path: str) -> float:
+    with _open(path) as raw, wave.open(raw, "rb") as f:
+        return f.getnframes() / f.getframerate()
+
+
+def _decoded(path: str) -> float | None:
+    rate = 8000
+    x = _direct(path, rate, None, 0.0) if DECODERS else None
+    return None if x is None else len(x) / rate
+
+
+def duration(path: str) -> float | None:
+    """Seconds, by the first way that tells them: the header, an installed prober of tracks (milliseconds), one of formats, and the decoded samples."""
+    ways = (
+        lambda: _header(path),
+        lambda: float(_printed("mediainfo", "--Output=General;%Duration%", path)) / 1000,
+        lambda: float(_printed("ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "default=noprint_wrappers=1:nokey=1", path)),
+        lambda: _decoded(path),
+    )
+    for way in ways:
+        try:
+            found = way()
+        except Exception:  # noqa: BLE001  the next way's turn
+            continue
+        if found:
+            return found
+    return None

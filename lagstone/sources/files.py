@@ -1,12 +1,12 @@
-"""Listings of recordings as tables: name, path, type and size.
-
-Spark lists the folders; the content of the files is not read, since the column is pruned.
-"""
+"""Listings of recordings as tables: name, path, type and size; the content of the files is not read."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,23 +20,55 @@ MOVIE_EXTENSIONS = ("mp4", "mkv", "webm", "avi", "mov")
 VIDEO_EXTENSIONS = (*MOVIE_EXTENSIONS, "eac3", "ac3")
 
 
-def _any_case(extensions: Sequence[str]) -> str:
-    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """file, folder, or None for what isn't there."""
+    files, at = _at(spark, path)
+    return None if not files.exists(at) else "folder" if files.getFileStatus(at).isDirectory() else "file"
+
+
+def arrow_path(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; names are taken as they are, blanks and percent signs too."""
+    found = re.match(r"(\w+)://([^/]+)(/.*)", path, re.DOTALL)
+    if not found:
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    files, root = fs.FileSystem.from_uri(f"{found[1]}://{found[2]}/")
+    return files, root.rstrip("/") + found[3]
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def list_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry of a folder: files, empty ones too, subfolders (type folder, no size) and hidden ones.  A missing folder has none.
 
+    One task lists the folder; nothing goes through the driver.
+    """
 
-def list_folder(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None, *, kind: str = "video") -> DataFrame:
-    """Files of a folder, not of those below; with ``extensions`` those only, whatever their case.  A missing folder has no files."""
-    if not _exists(spark, folder):
-        return spark.createDataFrame([], schemas.FILES)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    if extensions:
-        reader = reader.option("pathGlobFilter", _any_case(extensions))
-    return reader.load(folder).select(text.basename("path").alias("name"), "path", F.lit(kind).alias("type"), F.col("length").alias("size"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = arrow_path(folder)
+        found = files.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        for k in range(0, len(found), 10_000):
+            part = found[k : k + 10_000]
+            kinds = ["folder" if x.type == fs.FileType.Directory else "video" for x in part]
+            yield pd.DataFrame({"name": [x.base_name for x in part], "path": [f"{folder.rstrip('/')}/{x.base_name}" for x in part], "type": kinds, "size": pd.array([x.size for x in part], "Int64")})
+
+    return spark.range(1, numPartitions=1).mapInPandas(run, schemas.FILES)
+
+
+def list_folder(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None, *, kind: str = "video", hidden: bool = False) -> DataFrame:
+    """Files of a folder, not of those below, without ``hidden`` ones whose names begin with a dot; with ``extensions`` those only, whatever
+    their case.  A missing folder has no files."""
+    found = list_entries(spark, folder).where("type <> 'folder'").withColumn("type", F.lit(kind))
+    if not hidden:
+        found = found.where(~F.col("name").startswith("."))
+    return found.where(text.has_extension("name", extensions)) if extensions else found
 
 
 def list_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,9 +98,11 @@ def single_file(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
 
 
 def drop_files(current: DataFrame, dropped: DataFrame, *, mode: str, kind: str) -> DataFrame:
-    """Append dropped files; in movie mode the audio list keeps the first only, in path order."""
-    both = current.unionByName(dropped)
-    return both.orderBy("path").limit(1) if mode == "movie" and kind == "audio" else both
+    """Append dropped files; in movie mode the audio list keeps the first only: one that was there before, else of the dropped ones, in path order."""
+    if mode != "movie" or kind != "audio":
+        return current.unionByName(dropped)
+    both = current.withColumn("__late", F.lit(0)).unionByName(dropped.withColumn("__late", F.lit(1)))
+    return both.orderBy("__late", "path").limit(1).drop("__late")
 
 
 def first_file(files: DataFrame) -> DataFrame:
@@ -87,3 +121,18 @@ def toggle(selected: DataFrame, clicked: DataFrame, on: str) -> DataFrame:
     """Ids in one of the two sets but not in both."""
     a, b = selected.select(on).distinct().withColumn("a", F.lit(True)), clicked.select(on).distinct().withColumn("b", F.lit(True))
     return a.join(b, on, "full").where("a IS NULL OR b IS NULL").select(on)
+
+
+def write_files(rows: DataFrame, folder: str, *, name: str = "name", content: str = "content") -> None:
+    """A file for each row, with its name and bytes, written by the executors; a file of that name is replaced."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = arrow_path(folder)
+        files.create_dir(at, recursive=True)
+        for frame in frames:
+            for n, data in zip(frame[name], frame[content], strict=True):
+                with files.open_output_stream(f"{at}/{n}") as out:
+                    out.write(data)
+            yield frame[[name]]
+
+    rows.select(F.col(name), F.col(content)).mapInPandas(run, f"{name} string").write.format("noop").mode("overwrite").save()

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from lagstone import schemas
+from lagstone.sources.files import exists, path_kind
 
 MODES = ("movie", "series", "batch", "single")
 
@@ -42,6 +43,16 @@ class SyncRequest:
         return self
 
 
+    def check_paths(self, spark: SparkSession) -> SyncRequest:
+        """As ``check``, and folders must be folders and files files."""
+        self.check()
+        wanted = [(self.video_folder, "folder"), (self.audio_folder, "folder"), (self.audio_file, "file"), *((x, "file") for x in self.video_files)]
+        for path, kind in wanted:
+            if path and path_kind(spark, path) != kind:
+                raise ValueError(f"{path} is not a {kind}")
+        return self
+
+
 def parse_request(line: str) -> SyncRequest:
     """From one JSON document; blank or invalid ones raise ValueError."""
     if not line.strip():
@@ -60,7 +71,6 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The kept runs, or none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.HISTORY)
     return spark.read.schema(schemas.HISTORY).parquet(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone.functions import text
+from lagstone.sources.files import exists
 from lagstone.sources.requests import read_history
 
 # The columns of the three CSV layouts.
@@ -21,9 +24,31 @@ def csv_rows(results: DataFrame, layout: tuple[str, ...] = CSV_SERIES) -> DataFr
     return results.select(*(text.csv_cell(c).alias(n) for c, n in zip(cells, layout, strict=True)))
 
 
-def write_csv(results: DataFrame, path: str, layout: tuple[str, ...] = CSV_SERIES) -> None:
-    """One CSV file with a header; quotes in a cell are doubled.  Reports are small; large results go to Parquet."""
-    csv_rows(results, layout).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def write_csv(results: DataFrame, path: str, layout: tuple[str, ...] = CSV_SERIES, *, one_file: bool = False) -> None:
+    """CSV files with headers, written in parallel; quotes in a cell are doubled.  ``one_file`` is for reports, which one task can write."""
+    rows = csv_rows(results, layout)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def run_path(folder: str, mode: str, started: datetime) -> str:
+    """The folder of one run's output: its mode and the second it started in."""
+    return f"{folder.rstrip('/')}/{mode}_{started:%Y%m%d_%H%M%S}"
+
+
+def export_history(history: DataFrame, path: str, *, one_file: bool = False) -> None:
+    """The results of all kept runs as one CSV table."""
+    rows = flatten_history(history).select(F.col("videoFile").alias("primary_path"), F.col("audioFile").alias("secondary_path"), F.col("startDelay").alias("start_delay_ms"), F.col("endDelay").alias("end_delay_ms"), "error", "elapsed_ms")
+    write_csv(rows, path, CSV_EXPORT, one_file=one_file)
+
+
+def remember_folder(spark: SparkSession, path: str, side: str, folder: str) -> None:
+    """Keep the folder last used on a side; each side has a row of its own."""
+    spark.createDataFrame([(side, folder)], "side string, folder string").coalesce(1).write.mode("overwrite").parquet(f"{path}/side={side}")
+
+
+def last_folder(spark: SparkSession, path: str, side: str) -> str | None:
+    at = f"{path}/side={side}"
+    return spark.read.parquet(at).first().folder if exists(spark, at) else None
 
 
 def read_csv(spark: SparkSession, path: str, layout: tuple[str, ...] = CSV_SERIES) -> DataFrame:

@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lagstone import schemas
 from lagstone.functions import text
 from lagstone.operators import pairs as pair_ops
+from lagstone.operators import summary
+from lagstone.sources.requests import SyncRequest
 
 
-def events_of(results: DataFrame, *, batch: int, before: int = 0) -> DataFrame:
-    """file_start, file_progress (50, 100), file_end, progress and result rows of a batch of results."""
+#: Results that the closing event lists itself; of larger runs it has the number only, and the results table is the list.
+LISTED = 10_000
+_ORDER = ["completed_at", "primary_path", "secondary_path"]
+
+
+def events_of(results: DataFrame, *, batch: int = 0, before: int = 0) -> DataFrame:
+    """The event rows of a batch of results, in order of completion: for each file_start, file_progress at 0, at 50 where the head was
+    compared, and at 100, file_end, progress (processed, total, current) and result.
+
+    ``before`` results have been processed by earlier batches.
+    """
     name = text.basename("primary_path")
-    kinds = [("file_start", None), ("file_progress", 50), ("file_progress", 100), ("file_end", None), ("progress", None), ("result", None)]
+    kinds = [("file_start", None), ("file_progress", 0), ("file_progress", 50), ("file_progress", 100), ("file_end", None), ("progress", None), ("result", None)]
     steps = F.array(*(F.struct(F.lit(k).alias("type"), F.lit(p).cast("int").alias("percent"), F.lit(i).alias("step")) for i, (k, p) in enumerate(kinds)))
-    rows = results.withColumn("e", F.explode(steps))
-    result = F.col("e.type") == "result"
+    rows = summary.progress(results, order=_ORDER, before=before).drop("percent").withColumn("e", F.explode(steps))
+    rows = rows.where((F.coalesce("e.percent", F.lit(0)) != 50) | F.col("start_delay_ms").isNotNull())
+    kind = F.col("e.type")
+
+    def where(*kinds: str, value) -> Column:
+        return F.when(kind.isin(*kinds), value)
+
     return rows.select(
-        F.lit(batch).cast("long").alias("batch"), F.col("e.step").alias("step"), F.col("e.type").alias("type"), F.when(~result, name).alias("file"), F.col("e.percent").alias("percent"),
-        F.when(F.col("e.type").isin("file_end", "result"), F.col("elapsed_ms")).alias("elapsed_ms"), F.when(result, name).alias("videoFile"),
-        F.when(result, text.basename("secondary_path")).alias("audioFile"), F.when(result, F.col("start_delay_ms")).alias("startDelay"),
-        F.when(result, F.col("end_delay_ms")).alias("endDelay"), F.when(result, F.col("error")).alias("error"),
+        F.lit(batch).cast("long").alias("batch"), F.col("processed").alias("number"), F.col("e.step").alias("step"), kind.alias("type"), where("file_start", "file_progress", "file_end", value=name).alias("file"),
+        F.col("e.percent").alias("percent"), where("progress", value=F.col("processed")).alias("processed"), where("progress", value=F.col("total")).alias("total"), where("progress", value=name).alias("current"),
+        where("file_end", "result", value=F.col("elapsed_ms")).alias("elapsed_ms"), where("result", value=name).alias("videoFile"), where("result", value=text.basename("secondary_path")).alias("audioFile"),
+        where("result", value=F.col("start_delay_ms")).alias("startDelay"), where("result", value=F.col("end_delay_ms")).alias("endDelay"), where("result", value=F.col("error")).alias("error"),
     )
 
 
+def messages(request: SyncRequest, total: int) -> list[str]:
+    """What a run says before it starts."""
+    # The wording of the lines.
+    if request.mode == "series":
+        if not total:
+            return ["No matching file pairs found."]
+        lines = [f"Series mode: matched {total} file pairs.", f"Video folder: {request.video_folder}", f"Audio folder: {request.audio_folder}"]
+        return lines + [f"Match pattern: {request.match_pattern}"] * bool(request.match_pattern)
+    name = (request.audio_file or "").replace("\\", "/").rsplit("/", 1)[-1]
+    return [f"Movie mode: {total} video files queued.", f"Audio file: {name}"] if total else []
+
+
+def run_events(results: DataFrame, request: SyncRequest) -> DataFrame:
+    """All event rows of a finished run: log lines, the events of its results, and done, which replaces what came before.
+
+    done lists the results in order of completion if there are ``LISTED`` or fewer, an empty list of an empty run; its total is their number.
+    Rows are in the order of number and step.
+    """
+    spark = results.sparkSession
+    total = results.count()
+    said = spark.createDataFrame([(0, k, "log", m) for k, m in enumerate(messages(request, total))], "number long, step int, type string, message string")
+    names = ["videoFile", "audioFile", "startDelay", "endDelay", "error", "elapsed_ms"]
+    cells = [text.basename("primary_path"), text.basename("secondary_path"), *map(F.col, ("start_delay_ms", "end_delay_ms", "error", "elapsed_ms"))]
+    entry = F.struct(*_ORDER, F.struct(*(c.alias(n) for c, n in zip(cells, names, strict=True))).alias("result"))
+    listed = results.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["result"]).alias("results")) if total <= LISTED else spark.range(1).select(F.lit(None).cast(schemas.RESULT_LIST).alias("results"))
+    done = listed.select(F.lit(total + 1).cast("long").alias("number"), F.lit(0).alias("step"), F.lit("done").alias("type"), F.lit(total).cast("long").alias("total"), "results")
+    return said.unionByName(events_of(results).drop("batch"), True).unionByName(done, True)
+
+
 def stream_pairs(spark: SparkSession, source: str, out: str, checkpoint: str, *, segment: float = 300.0) -> StreamingQuery:
     """Process pairs from Parquet drops; each batch's results go to ``out``/results and its events to ``out``/events.
 
@@ -38,7 +83,7 @@ def stream_pairs(spark: SparkSession, source: str, out: str, checkpoint: str, *,
         results = pair_ops.graded(pair_ops.process_pairs(batch, segment=segment))
         results.write.mode("overwrite").parquet(f"{out}/results/batch={number}")
         done = batch.sparkSession.read.parquet(f"{out}/results/batch={number}")
-        events_of(done, batch=number).drop("batch").write.mode("overwrite").json(f"{out}/events/batch={number}")
+        events_of(done, batch=number).drop("batch", "number").write.mode("overwrite").json(f"{out}/events/batch={number}")
 
     return drops.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lagstone import schemas
 from lagstone.operators import pairs, summary
+from lagstone.plans import api
 from lagstone.sources import files, probe, requests, sinks
 from lagstone.streaming import runs
 
@@ -32,6 +34,65 @@ def test_listing(spark, tmp_path):
     assert files.drop_files(movies, one, mode="series", kind="audio").count() == 3
 
 
+def test_entries(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    for n in (".hidden.mkv", "_a.mkv", "b c%.mp4"):
+        (tmp_path / n).write_bytes(b"")
+    folder = f"file://{tmp_path}"
+    assert sorted(map(tuple, files.list_entries(spark, folder).select("name", "type", "size").collect())) == [(".hidden.mkv", "video", 0), ("_a.mkv", "video", 0), ("b c%.mp4", "video", 0), ("below", "folder", None)]
+    assert sorted(r.name for r in files.list_folder(spark, folder).collect()) == ["_a.mkv", "b c%.mp4"]
+    assert sorted(r.name for r in files.list_folder(spark, str(tmp_path), hidden=True).collect()) == [".hidden.mkv", "_a.mkv", "b c%.mp4"]
+    assert [files.path_kind(spark, str(tmp_path / n)) for n in ("below", "_a.mkv", "none")] == ["folder", "file", None]
+    bad = requests.SyncRequest("batch", video_folder=str(tmp_path / "_a.mkv"), audio_file=str(tmp_path / "b c%.mp4"))
+    with pytest.raises(ValueError, match="not a folder"):
+        bad.check_paths(spark)
+    assert requests.SyncRequest("batch", video_folder=folder, audio_file=str(tmp_path / "_a.mkv")).check_paths(spark).mode == "batch"
+
+
+def test_run_output(spark, tmp_path):
+    """A run's output under a path of its own, and that of a run without pairs."""
+    for n in ("v", "a"):
+        (tmp_path / n).mkdir()
+    request = requests.SyncRequest("series", video_folder=str(tmp_path / "v"), audio_folder=str(tmp_path / "a"))
+    started = datetime(2024, 5, 6, 7, 8, 9)
+    path = api.run_to(spark, request, str(tmp_path / "out"), started=started)
+    assert path.endswith("/out/series_20240506_070809")
+    events = requests.read_events(spark, f"{path}/events").select("type", "message", "total", "results").collect()
+    assert [tuple(r) for r in events] == [("log", "No matching file pairs found.", None, None), ("done", None, 0, [])]
+    for n in ("v/s01e01.wav", "a/s01e01.wav", "v/s01e02.wav", "a/s01e02.wav"):
+        (tmp_path / n).write_bytes(b"no recording")
+    done = spark.sparkContext.accumulator(0)
+    path = api.run_to(spark, request, str(tmp_path / "out"), done=done, verbose=True)
+    assert done.value >= 2
+    events = requests.read_events(spark, f"{path}/events").where("type IS NOT NULL").collect()
+    assert [r.message for r in events[:3]] == ["Series mode: matched 2 file pairs.", f"Video folder: {tmp_path}/v", f"Audio folder: {tmp_path}/a"]
+    assert [r.type for r in events[3:]] == ["file_start", "file_progress", "file_progress", "file_end", "progress", "result"] * 2 + ["done"]
+    assert [(r.processed, r.total) for r in events if r.type == "progress"] == [(1, 2), (2, 2)]
+    assert len(events[-1].results) == 2
+    assert all(x.error.startswith("Failed to load start of primary") for x in events[-1].results)
+    assert sinks.read_csv(spark, f"{path}/csv").count() == 2
+
+
+def test_last_folder(spark, tmp_path):
+    path = str(tmp_path / "folders")
+    assert sinks.last_folder(spark, path, "video") is None
+    for side, folder in (("video", "/x"), ("audio", "/y"), ("video", "/z")):
+        sinks.remember_folder(spark, path, side, folder)
+    assert [sinks.last_folder(spark, path, x) for x in ("video", "audio")] == ["/z", "/y"]
+
+
+def test_a_shared_secondary_is_decoded_once():
+    calls = []
+    windows = pairs.Windows(lambda path, *rest: calls.append((path, rest)))
+    for k in range(50):
+        load = windows.of("/shared.wav")
+        for path in (f"/p{k}.wav", "/shared.wav"):
+            load(path, 8000, 300.0)
+            load(path, 8000, 300.0, 12.5)
+    assert sum(path == "/shared.wav" for path, _ in calls) == 2
+    assert len(calls) == 102
+
+
 def test_requests():
     r = requests.parse_request(json.dumps({"mode": "series", "video_folder": "/v", "audio_folder": "/a", "other": 1}))
     assert (r.mode, r.segment_duration) == ("series", 300.0)
@@ -60,7 +121,7 @@ def test_probe(spark):
 
 def test_csv(spark, tmp_path):
     rows = [("/v/a \"x\", y.mkv", "/a/b.aac", 1.5, None, None, 3, None), ("/v/c.mkv", "/a/d.aac", None, None, "bad", None, None)]
-    df = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], None) for r in rows], schemas.RESULTS)
+    df = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], None, None) for r in rows], schemas.RESULTS)
     for layout in (sinks.CSV_SERIES, sinks.CSV_MOVIE, sinks.CSV_EXPORT):
         sinks.write_csv(df, str(tmp_path / str(layout[0]) / str(len(layout))), layout)
         got = sinks.read_csv(spark, str(tmp_path / str(layout[0]) / str(len(layout))), layout).collect()

@@ -134,3 +134,26 @@ def test_series_offsets(spark):
     assert (got[0].start_delay_ms, got[0].end_delay_ms) == (5000.0, 5000.0)
     assert got[1].start_delay_ms is None
     assert got[1].error == "Insufficient audio at start for analysis."
+
+
+def test_decoders_in_turn(tmp_path, monkeypatch):
+    tool = tmp_path / "bin" / "ffmpeg"
+    tool.parent.mkdir()
+    sound = write(tmp_path / "sound.mkv", NOISE[:16000])
+    monkeypatch.setenv("PATH", str(tool.parent))
+    assert decode.load(sound, RATE) is None  # a container, and no external decoder
+    tool.write_text("#!/bin/sh\necho 'it has no VIDEO stream' >&2\nexit 1\n")
+    tool.chmod(0o755)
+    assert np.allclose(decode.load(sound, RATE), NOISE[:16000] / 32768)
+    tool.write_text("#!/bin/sh\necho 'broken' >&2\nexit 1\n")
+    assert decode.load(sound, RATE) is None
+    tool.write_text("#!/bin/sh\nprintf '\\000\\100'\n")
+    assert decode.load(sound, RATE).tolist() == [0.5]
+    assert decode.load(str(tmp_path / "other.flac"), RATE).tolist() == [0.5]
+    monkeypatch.setattr(decode, "DECODERS", [lambda path, rate, *window: np.zeros(2 * rate, np.float32) if path.endswith(".flac") else None])
+    assert len(decode.load(str(tmp_path / "other.flac"), RATE)) == 2 * RATE
+    assert decode.duration(str(tmp_path / "other.flac")) == 2.0
+    for name, line, seconds in (("ffprobe", "echo 7.5", 7.5), ("mediainfo", "echo 3250", 3.25)):
+        (tool.parent / name).write_text(f"#!/bin/sh\n{line}\n")
+        (tool.parent / name).chmod(0o755)
+        assert decode.duration(str(tmp_path / "other.flac")) == seconds
