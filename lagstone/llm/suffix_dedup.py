@@ -2,14 +2,17 @@
 
 Two suffixes matter to each other only if their first 100 bytes agree, and then these bytes have the same minimiser: the k-gram
 with the least hash.  So suffixes are dealt to buckets by their minimiser, and a bucket holds one row for all the suffixes of a document
-that share an occurrence of it.  A row carries a hash of its surroundings, all the bytes that those suffixes begin with.  Rows whose
-surroundings repeat earlier ones are covered; buckets with one kind of surroundings are done.  What is left is sorted: prefix polynomial
-hashes of the surroundings give the hash of any stretch, binary search over lengths the common extension of two suffixes, and
-a mergesort that compares by it puts equal beginnings next to each other, where their bytes are compared.  The earliest of
-a run of equal beginnings stays, and the others are covered.
-
-Buckets of more than ``HOT`` kinds of surroundings are grouped by the 128-bit hash of each 100-byte beginning instead, with partial
-aggregation and a join, so that no task holds them.
+that share an occurrence of it.  A row carries two hashes of its surroundings, all the bytes that those suffixes begin with: a
+polynomial one, by which rows are put together, and one of another kind that verifies it.  Rows whose surroundings repeat earlier ones
+are covered; buckets with one kind of surroundings are done.  What is left is sorted: prefix polynomial hashes of the surroundings
+give the hash of any stretch, binary search over lengths the common extension of two suffixes, and a mergesort that compares by it puts
+equal beginnings next to each other, where their bytes are compared.  The earliest of a run of equal beginnings stays, and the
+others are covered.
+
+A bucket of more than ``HOT`` kinds of surroundings is split: each of its suffixes becomes a row, dealt by a hash of its 100 bytes, so
+equal ones still meet in one sort.  A sort of more rows than a task should hold goes in runs, and what isn't covered is carried on.
+
+Texts are known by doc_id and 87 bits of hashes, so neither null nor repeated doc_ids mix them up.
 """
 
 from __future__ import annotations
@@ -27,13 +30,17 @@ from lagstone.llm import common
 
 LENGTH, GRAM = 100, 32
 HOT = 20_000
-#: Bytes of one piece of text that is hashed at a time, and suffixes of one sort.
-PIECE, SORT = 1 << 19, 150_000
+#: Bytes of one piece of text that is hashed at a time, and suffixes of one sort, about.
+PIECE, SORT = 1 << 19, 300_000
 
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 2**64)
 _U = np.uint64
 _POS_BITS = 20
+#: The bits of a place in a text; those above it are more bits of the text's hash.
+_PLACE = (1 << 40) - 1
+#: What a text is known by.
+KEY = ["id", "h", "t"]
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -98,8 +105,8 @@ def _found(data: np.ndarray, length: int, gram: int, hashes: bool = False) -> It
         yield (start, found, h, begin) if hashes else (start, found)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the minimisers of a text, the hashes of their k-grams and of their surroundings."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the minimisers of a text, the hashes of their k-grams and both hashes of their surroundings."""
     reach = length - gram
     places, grams, around = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
     for _, found, h, begin in _found(data, length, gram, hashes=True):
@@ -111,7 +118,9 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
             around.append(_mix(h.of(left, right) * _U(0xD6E8FEB86659FD93) + (p - left).astype(_U) * _U(65537) + (right - p).astype(_U)))
     p, g, a = map(np.concatenate, (places, grams, around))
     p, first = np.unique(p, return_index=True)
-    return p, g[first], a[first]
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    check = np.fromiter((digest(raw[x:y]) for x, y in zip(np.maximum(p - reach, 0).tolist(), (p + length).tolist(), strict=True)), _U, len(p))
+    return p, g[first], a[first], check
 
 
 class SuffixSort:
@@ -193,18 +202,18 @@ def suffixes_of(data: np.ndarray, places: np.ndarray, length: int = LENGTH, gram
     return first, last
 
 
-def covered_windows(rows: list[tuple[int, int, int, bytes, int, int, int]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """From (bucket, id, hp, surroundings, offset of the minimiser, first suffix and number of suffixes in the surroundings), in order:
-    (id, h, begin, end) of what repeats an earlier row."""
+def covered_windows(rows: list[tuple], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], list[tuple]]:
+    """From (bucket, id, h, tp, surroundings, offset of the minimiser, first suffix and number of suffixes in the surroundings), in order:
+    (id, h, t, begin, end) of what repeats an earlier row, and the rows that have suffixes left."""
     if not rows:
-        return []
-    data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    many = np.array([r[6] for r in rows], np.int64)
+        return [], []
+    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    many = np.array([r[7] for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), many)
-    off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.array([r[5] for r in rows], np.int64), many)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.array([r[6] for r in rows], np.int64), many)
     bucket = np.repeat(np.array([r[0] for r in rows], np.int64), many)
-    bases = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])[:-1]
-    marks = np.array([r[4] for r in rows])
+    bases = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])[:-1]
+    marks = np.array([r[5] for r in rows])
     ahead = marks[row] - off
     keep = np.lexsort((row, ahead, bucket))
     row, off, ahead, bucket = row[keep], off[keep], ahead[keep], bucket[keep]
@@ -215,153 +224,157 @@ def covered_windows(rows: list[tuple[int, int, int, bytes, int, int, int]], leng
     same = sorter.same_as_previous(starts[order], group[order])
     hit = order[same]
     row, ahead = row[hit], ahead[hit]
+    left = [r for r, n, k in zip(rows, many.tolist(), np.bincount(row, minlength=len(rows)).tolist(), strict=True) if k < n]
+    if not len(row):
+        return [], left
     keep = np.lexsort((-ahead, row))
     row, ahead = row[keep], ahead[keep]
-    breaks = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (ahead[1:] != ahead[:-1] - 1)])) if len(row) else []
+    breaks = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (ahead[1:] != ahead[:-1] - 1)]))
     out = []
     for a, b in zip(breaks, [*breaks[1:], len(row)], strict=True):
-        _, doc, hp, *_ = rows[row[a]]
-        pos = hp & ((1 << 40) - 1)
-        out.append((doc, hp >> 40, int(pos - ahead[a]), int(pos - ahead[b - 1]) + length))
-    return out
+        _, doc, h, tp, *_ = rows[row[a]]
+        pos = tp & _PLACE
+        out.append((doc, h, tp >> 40, int(pos - ahead[a]), int(pos - ahead[b - 1]) + length))
+    return out, left
 
 
 def _keyed(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """id, h, text and the ``keep`` columns under other names: rows of one doc_id with other texts are told apart by 23 bits of a hash of the text."""
+    """What a text is known by (id, a 64-bit hash and 23 bits of another), the text, and the ``keep`` columns under other names."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("h"), text.alias("text"), *(F.col(c).alias(f"__{c}") for c in keep))
+    more = F.xxhash64(F.lit("more"), text).bitwiseAND(F.lit((1 << 23) - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("id"), F.xxhash64(text).alias("h"), more.alias("t"), text.alias("text"), *(F.col(c).alias(f"__{c}") for c in keep))
 
 
 def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows (id, h, text), and what is covered: id, h, place of a minimiser or null, begin and end."""
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram, both hashes, id, h and tp.  Kind 0 repeats its surroundings; kind 1 is the first of one of several."""
+
+    def out(kind: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in rows)], names=["kind", "gram", "id", "h", "tp"])
+
+    last = first = None  # the previous row; the first row of its kind, until that is passed on
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        settled = rows[5] < 0
+        if settled.any():
+            yield out(np.zeros(settled.sum()), [rows[0][settled], rows[3][settled], rows[4][settled], ~rows[5][settled]])
+            rows = [x[~settled] for x in rows]
+        if not len(rows[0]):
+            continue
+        # the previous row is put before these, or at the start one of another bucket
+        rows = [np.concatenate([[x], y]) for x, y in zip(last if last is not None else [~rows[0][0], *(x[0] for x in rows[1:])], rows, strict=True)]
+        last = [x[-1] for x in rows]
+        equal = [x[1:] == x[:-1] for x in rows]
+        same = equal[0] & equal[1] & equal[2]
+        again = same & equal[3] & equal[4] & equal[5]
+        kind = np.full(len(same) + 1, -1)
+        kind[1:][same & ~again] = 0
+        turn = np.flatnonzero(equal[0] & ~same) + 1  # another kind of surroundings of one bucket begins
+        kind[turn] = 1
+        first_of = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(kind)), 0))
+        before = first_of[turn - 1]
+        kind[before[before > 0]] = 1
+        if (before == 0).any() and first is not None:
+            yield out(np.ones(1), [np.array([x]) for x in first])
+            first = None
+        now = int(first_of[-1])
+        if now > 0:
+            first = None if kind[now] == 1 else [rows[k][now] for k in (0, 3, 4, 5)]
+        found = np.flatnonzero(kind[1:] >= 0) + 1
+        yield out(kind[found], [rows[k][found] for k in (0, 3, 4, 5)])
+
+
+def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The keyed rows (id, h, t, text); what is covered (id, h, t, place of a minimiser or null, begin and end); the staged tables behind it."""
     spark = docs.sparkSession
     common.prepare(spark)
     base = _keyed(docs)
+    reach = length - gram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for doc, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, g, a = anchors(_bytes(text), length, gram)
-                for k, x in enumerate((g.view(np.int64), a.view(np.int64), np.full(len(p), doc), (h << 40) | p)):
+            out = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for doc, h, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, *hashes = anchors(_bytes(text), length, gram)
+                for k, x in enumerate((*(y.view(np.int64) for y in hashes), np.full(len(p), doc), np.full(len(p), h), (t << 40) | p)):
                     out[k].append(x)
-            g, a, d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            g, a, c, d, h, p = (np.concatenate(x) for x in out)
             # combined before the shuffle: what repeats earlier surroundings of this batch is settled; it is passed on under a key of its own
-            order = np.lexsort((p, d, a, g))
-            g, a, d, p = g[order], a[order], d[order], p[order]
-            again = np.concatenate([[False], (g[1:] == g[:-1]) & (a[1:] == a[:-1])]) if len(g) else np.zeros(0, bool)
-            again[1:] &= (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-            g[again], a[again] = _mix((d[again] ^ (p[again] << 1)).view(_U)).view(np.int64), 0
+            order = np.lexsort((p, h, d, c, a, g))
+            g, a, c, d, h, p = (x[order] for x in (g, a, c, d, h, p))
+            equal = [x[1:] == x[:-1] for x in (g, a, c, d, h, p)]
+            again = np.zeros(len(g), bool)
+            again[1:] = equal[0] & equal[1] & equal[2] & ~(equal[3] & equal[4] & equal[5])
+            g[again], a[again], c[again] = _mix((d[again] ^ h[again] ^ (p[again] << 1)).view(_U)).view(np.int64), 0, 0
             p[again] = ~p[again]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, a, d, p)], names=["gram", "around", "id", "hp"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, a, c, d, h, p)], names=["gram", "around", "check", "id", "h", "tp"])
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by gram, around, id, hp.  Kind 0 repeats its surroundings; kind 1 is the first of one of several."""
-        last = None  # the previous row, and whether it has been passed on
-        for batch in batches:
-            g, a, d, p = (c.to_numpy() for c in batch.columns)
-            settled = p < 0
-            if settled.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(settled.sum(), np.int32)), *(pa.array(c[settled]) for c in (g, d, ~p))], names=["kind", "gram", "id", "hp"])
-                g, a, d, p = (c[~settled] for c in (g, a, d, p))
-            if not len(g):
-                continue
-            if last is not None:
-                g, a, d, p = (np.concatenate([[x], y]) for x, y in zip(last[:4], (g, a, d, p), strict=True))
-            else:
-                last = (0, 0, 0, 0, False, True)
-                g, a, d, p = (np.concatenate([y[:1], y]) for y in (g, a, d, p))
-                g[0] = ~g[0]  # a row before the first, of another bucket
-            same_gram = g[1:] == g[:-1]
-            same = same_gram & (a[1:] == a[:-1])
-            again = same & (d[1:] == d[:-1]) & (p[1:] == p[:-1])
-            kind = np.full(len(g), -1, np.int8)
-            kind[1:][same & ~again] = 0
-            turn = np.flatnonzero(same_gram & ~same) + 1  # a second kind of surroundings begins here
-            kind[turn] = 1
-            # the first of the kind before it, which may lie in an earlier batch
-            first_of = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(g)), 0))
-            before = first_of[turn - 1]
-            kind[before[before > 0]] = 1
-            extra = None
-            if (before == 0).any() and not last[4]:
-                extra = last[5] if isinstance(last[5], tuple) else (g[0], d[0], p[0])
-            idx = np.flatnonzero(kind >= 0)
-            idx = idx[idx > 0]
-            cols = [kind[idx], g[idx], d[idx], p[idx]]
-            if extra is not None and last[5] is not True:
-                cols = [np.concatenate([[x], y]) for x, y in zip((1, *extra), cols, strict=True)]
-            f = int(first_of[-1])
-            if f > 0:
-                state = (bool(kind[f] == 1), (g[f], d[f], p[f]))
-            else:
-                state = (last[4] or bool((before == 0).any()), last[5])
-            last = (g[-1], a[-1], d[-1], p[-1], *state)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], names=["kind", "gram", "id", "hp"])
-
-    rows = base.mapInArrow(find, "gram long, around long, id long, hp long")
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "around", "id", "hp")
-    sifted = common.stage(rows.mapInArrow(sift, "kind int, gram long, id long, hp long"), "buckets")
-    sifted = sifted.withColumn("h", F.shiftright("hp", 40)).withColumn("pos", F.col("hp").bitwiseAND(F.lit((1 << 40) - 1)))
+    rows = base.mapInArrow(find, "gram long, around long, check long, id long, h long, tp long")
+    rows = rows.repartition("gram").sortWithinPartitions("gram", "around", "check", "id", "h", "tp")
+    sifted = buckets = common.stage(rows.mapInArrow(_sift, "kind int, gram long, id long, h long, tp long"), "buckets")
+    sifted = sifted.withColumn("t", F.shiftright("tp", 40)).withColumn("pos", F.col("tp").bitwiseAND(F.lit(_PLACE)))
     open_ = sifted.where("kind = 1")
     heavy = common.stage(open_.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("hot")), "hot")
     any_hot = heavy.limit(1).count() > 0
     wanted = open_.join(heavy, "gram", "left") if any_hot else open_.withColumn("hot", F.lit(None).cast("boolean"))
-    wanted = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
-    joined = base.join(wanted, ["id", "h"]).select("id", "h", "text", "places")
-    reach = length - gram
+    wanted = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
+    joined = base.join(wanted, KEY).select(*KEY, "text", "places")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of ordinary buckets with their surroundings; of heavy ones a row for each suffix with the hash of its beginning."""
-        names = ["gram", "id", "hp", "around", "off", "first", "many", "key", "begin"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        """Rows of ordinary buckets with their surroundings; of heavy ones a row for each suffix.  Of equal suffixes in a batch the first only; the
+        others are settled, with their beginnings."""
+        names = ["gram", "id", "h", "tp", "around", "off", "first", "many", "begin"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
-            out = []
-            for doc, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, single = [], []
+            for doc, h, t, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 places = sorted(places, key=lambda x: x["pos"])
                 first, last = suffixes_of(np.frombuffer(data, np.uint8), np.array([x["pos"] for x in places], np.int64), length, gram)
                 for x, a, b in zip(places, first.tolist(), last.tolist(), strict=True):
-                    pos, hp = x["pos"], (h << 40) | x["pos"]
                     if x["hot"]:
-                        out += [(None, doc, hp, None, None, None, None, xxhash.xxh3_128_digest(data[s : s + length]), s) for s in range(a, b)]
+                        single += [(data[s : s + length], doc, h, (t << 40) | s) for s in range(a, b)]
                     else:
-                        left = max(0, pos - reach)
-                        out.append((x["gram"], doc, hp, data[left : pos + length], pos - left, a - left, b - a, None, None))
+                        left = max(0, x["pos"] - reach)
+                        out.append((x["gram"], doc, h, (t << 40) | x["pos"], data[left : x["pos"] + length], x["pos"] - left, a - left, b - a, None))
+            before = None
+            for x, doc, h, tp in sorted(set(single)):  # repeated rows bring a suffix twice
+                if x == before:
+                    out.append((None, doc, h, tp, None, None, None, None, tp & _PLACE))
+                else:
+                    out.append((xxhash.xxh3_64_intdigest(x) - (1 << 63), doc, h, tp, x, 0, 0, 1, None))
+                before = x
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, size = [], 0
+        group, new, most = [], 0, max(1, SORT // reach)
 
-        def close() -> pa.RecordBatch:
-            got = covered_windows(group, length)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * 4)], names=["id", "h", "begin", "end"])
+        def close() -> tuple[pa.RecordBatch, list[tuple]]:
+            got, left = covered_windows(group, length)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * 5)], names=[*KEY, "begin", "end"]), left
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[0] != group[-1][0] and size > SORT // reach * 2:
-                    yield close()
-                    group, size = [], 0
-                if not group or row[:3] != group[-1][:3]:
+                if group and new >= most:
+                    windows, left = close()
+                    yield windows
+                    # in the same bucket, what isn't covered meets the rows to come
+                    group, new = [x for x in left if x[0] == row[0]], 0
+                if not group or row[:4] != group[-1][:4]:
                     group.append(row)
-                    size += 1
-        yield close()
-
-    cuts = common.stage(joined.mapInArrow(surroundings, "gram long, id long, hp long, around binary, off int, first int, many int, key binary, begin long"), "surroundings")
-    light = cuts.where("key IS NULL").select("gram", "id", "hp", "around", "off", "first", "many").repartition("gram").sortWithinPartitions("gram", "id", "hp")
-    windows = light.mapInArrow(settle, "id long, h long, begin long, end long")
-    if any_hot:
-        keys = cuts.where("key IS NOT NULL").select("key", "id", F.shiftright("hp", 40).alias("h"), "begin")
-        first = keys.groupBy("key").agg(F.min(F.struct("id", "h", "begin")).alias("first"))
-        later = keys.join(first, "key").where(F.struct("id", "h", "begin") > F.col("first")).select("id", "h", "begin", (F.col("begin") + length).alias("end"))
-        windows = windows.unionByName(later)
-    windows = common.stage(windows, "windows")
-    done = sifted.where("kind = 0").select("id", "h", "pos", F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
-    return base, done.unionByName(windows.select("id", "h", F.lit(None).cast("long").alias("pos"), "begin", "end"))
+                    new += 1
+        yield close()[0]
+
+    cuts = common.stage(joined.mapInArrow(surroundings, "gram long, id long, h long, tp long, around binary, off int, first int, many int, begin long"), "surroundings")
+    sorted_ = cuts.where("begin IS NULL").drop("begin").repartition("gram").sortWithinPartitions("gram", "id", "h", "tp")
+    windows = common.stage(sorted_.mapInArrow(settle, "id long, h long, t long, begin long, end long"), "windows")
+    ready = cuts.where("begin IS NOT NULL").select("id", "h", F.shiftright("tp", 40).alias("t"), "begin", (F.col("begin") + length).alias("end"))
+    none = F.lit(None).cast("long")
+    done = sifted.where("kind = 0").select(*KEY, "pos", none.alias("begin"), none.alias("end"))
+    return base, done.unionByName(windows.unionByName(ready).select(*KEY, none.alias("pos"), "begin", "end")), [buckets, heavy, cuts, windows]
 
 
 def removed_mask(data: np.ndarray, places: list[int], spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -385,44 +398,41 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int =
     """Remove every byte that a ``length``-byte string covers which also starts earlier (smaller doc_id, or earlier in the document).
 
     Returns doc_id, n_bytes, n_removed, n_spans (long), kept_sha256 and, with ``keep_text``, text: what remains, read as UTF-8 with bytes
-    that a cut left incomplete dropped, and the ``keep`` columns.  A null text counts as empty; a null doc_id comes before all others; of rows with one doc_id
-    the order is that of a hash of their texts, and of rows equal in both the first stays; texts under ``length`` bytes stay whole.
-    Other columns are ignored.
+    that a cut left incomplete dropped, and the ``keep`` columns.  A null text counts as empty; a null doc_id comes before all others (and so
+    does -2 ** 63, which counts as null); of rows with one doc_id the order is that of hashes of their texts, and of rows equal in both
+    the first stays; texts under ``length`` bytes stay whole.  Other columns are ignored.
     """
-    _, found = covered(docs, length=length, gram=gram, hot=hot)
+    _, found, staged = covered(docs, length=length, gram=gram, hot=hot)
     base = _keyed(docs, keep)
     hidden = [f"__{c}" for c in keep]
-    per_doc = found.groupBy("id", "h").agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("spans"))
-    joined = base.join(per_doc, ["id", "h"], "left").select("id", "h", "text", "places", "spans", *hidden)
+    per_doc = found.groupBy(*KEY).agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("spans"))
+    joined = base.join(per_doc, KEY, "left").select(*KEY, "text", "places", "spans", *hidden)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.select(*hidden).schema) if hidden else ""
-    fields = "id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text + kinds
+    fields = "id long, h long, t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text + kinds
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, h, text, places, spans in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            for doc, h, t, text, places, spans in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
                 data = _bytes(text)
                 mask = removed_mask(data, places or [], [(x["begin"], x["end"]) for x in spans or []], length, gram) if places or spans else np.zeros(len(data), bool)
                 kept = data[~mask].tobytes()
                 starts = int((mask[1:] & ~mask[:-1]).sum() + (mask[:1].sum()))
-                row = [doc, h, len(data), int(mask.sum()), starts, hashlib.sha256(kept).hexdigest()]
+                row = [doc, h, t, len(data), int(mask.sum()), starts, hashlib.sha256(kept).hexdigest()]
                 rows.append(row + [kept.decode("utf-8", "ignore")] * keep_text)
-            types = [*[pa.int64()] * 5, pa.string(), *[pa.string()] * keep_text]
-            names = ["id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
+            types = [*[pa.int64()] * 6, pa.string(), *[pa.string()] * keep_text]
+            names = [*KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[5:]], names=[*names, *hidden])
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[6:]], names=[*names, *hidden])
 
-    out = joined.mapInArrow(apply, fields)
+    out = common.stage(joined.mapInArrow(apply, fields).withColumn("__row", F.monotonically_increasing_id()), "deduplicated")
+    common.drop(*staged)
     # rows equal in doc_id and text: all but one are copies
-    out = common.stage(out, "deduplicated")
-    twice = out.groupBy("id", "h").count().where("count > 1")
+    twice = out.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"), F.min("__row").alias("stays")).where("rows > 1").select(*KEY, "stays")
     doc = F.when(F.col("id") != common.NULL_ID, F.col("id")).alias("doc_id")
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
     if twice.limit(1).count():
-        from pyspark.sql import Window
-
-        copy = (F.row_number().over(Window.partitionBy("id", "h").orderBy("n_bytes")) > 1) & (F.col("n_bytes") >= length)
-        out = out.withColumn("copy", copy)
+        out = out.join(common.stage(twice, "copies"), KEY, "left").withColumn("copy", (F.col("__row") != F.col("stays")) & (F.col("n_bytes") >= length))
         empty = hashlib.sha256(b"").hexdigest()
         for name, value in (("n_removed", F.col("n_bytes")), ("n_spans", F.lit(1).cast("long")), ("kept_sha256", F.lit(empty)), *[("text", F.lit(""))] * keep_text):
             out = out.withColumn(name, F.when(F.col("copy"), value).otherwise(F.col(name)))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagstone.llm import suffix_dedup
@@ -65,7 +66,7 @@ def documents(seed):
     return rows + [(60, rows[3][1]), (61, rows[3][1]), (62, None), (63, "ab" * 300), (64, "a" * 200), (None, rows[5][1])]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 20_000), (2, 1), (3, 3)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, 20_000), (2, 1), (3, 3), (4, 0)])
 def test_documents(make, seed, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORT", 400)
     rows = documents(seed)
@@ -77,15 +78,15 @@ def test_long_texts_in_pieces(make, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 200)
     rows = documents(4)
     rows.append((100, "".join(t or "" for _, t in rows)))
-    base, found = suffix_dedup.covered(make(rows), length=24, gram=8)
+    _, found, _ = suffix_dedup.covered(make(rows), length=24, gram=8)
     assert found.count()
     for _, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        places, grams, around = suffix_dedup.anchors(data, 24, 8)
+        places, *hashes = suffix_dedup.anchors(data, 24, 8)
         monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 19)
         whole = suffix_dedup.anchors(data, 24, 8)
         monkeypatch.setattr(suffix_dedup, "PIECE", 200)
-        assert all((a == b).all() for a, b in zip((places, grams, around), whole, strict=True))
+        assert all((a == b).all() for a, b in zip((places, *hashes), whole, strict=True))
         if len(places):
             mask = suffix_dedup.removed_mask(data, places[::2].tolist(), [], 24, 8)
             monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 19)
@@ -107,3 +108,57 @@ def test_repeated_rows(make):
     n = len(text)
     assert sum(got) in (4 * n, 3 * n + n)
     assert got.count(0) == 1
+
+
+def test_many_rows_of_one_doc_id(make):
+    """Null and repeated doc_ids in great numbers: as many near copies of texts that are long enough to repeat."""
+    r = random.Random(9)
+    texts = [" ".join(f"{r.randrange(10**6)}" for _ in range(20)) for _ in range(5000)]
+    rows = [(None, t) for t in texts] + [(None, t + " x") for t in texts] + [(7, t + " y") for t in texts] + [(7, t) for t in texts[:2500]]
+    got = suffix_dedup.dedup(make(rows).repartition(8)).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(t.encode())
+    total = sum(x.n_bytes - x.n_removed for x in got)
+    whole = sum(map(size, texts))
+    assert all(x.n_removed == 0 or x.n_removed >= 100 for x in got)
+    # of each family one text stays whole, and of the others what follows the common part at most
+    assert whole <= total <= whole + 4 * 2 * len(texts)
+    assert all(x.n_bytes - x.n_removed <= 2 or x.doc_id is None for x in got)
+
+
+def test_hash_collisions_are_seen(make, monkeypatch):
+    """With a polynomial hash that makes all surroundings alike, the other hash and the bytes tell them apart."""
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, begin, end: np.asarray(end - begin, np.uint64))
+    data = np.frombuffer("".join(documents(5)[0][1] * 3 + "tail").encode(), np.uint8)
+    p, g, a, check = suffix_dedup.anchors(data, 24, 8)
+    inner = (p >= 16) & (p + 24 <= len(data))
+    assert len(set(a[inner].tolist())) == 1
+    assert len(set(check[inner].tolist())) == len({data[x - 16 : x + 24].tobytes() for x in p[inner].tolist()})
+    rows = pa_batch([(1, 1, 5, 10, 0, 3), (1, 1, 5, 11, 0, 4), (1, 1, 6, 9, 0, 2), (2, 1, 5, 1, 1, 1)])
+    assert [tuple(x.values()) for b in suffix_dedup._sift(iter([rows])) for x in b.to_pylist()] == [(1, 1, 10, 0, 3), (0, 1, 11, 0, 4), (1, 1, 9, 0, 2)]
+    assert [tuple(x.values()) for b in suffix_dedup._sift(rows.slice(i, 1) for i in range(4)) for x in b.to_pylist()] == [(0, 1, 11, 0, 4), (1, 1, 10, 0, 3), (1, 1, 9, 0, 2)]
+
+
+def pa_batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["gram", "around", "check", "id", "h", "tp"])
+
+
+def test_bytes_decide_in_the_sort(monkeypatch):
+    """Suffixes that only a forced collision of hashes makes alike are not covered."""
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, begin, end: np.zeros(len(begin), np.uint64))
+    rows = [(1, 1, 0, 0, b"a" * 24, 0, 0, 1), (1, 2, 0, 0, b"b" * 24, 0, 0, 1), (1, 3, 0, 0, b"b" * 24, 0, 0, 1)]
+    got, left = suffix_dedup.covered_windows(rows, 24)
+    assert got == [(3, 0, 0, 0, 24)]
+    assert [x[1] for x in left] == [1, 2]
+
+
+def test_runs_of_a_large_bucket(make, monkeypatch):
+    """One line that stands in many documents between other text: split buckets and runs of few rows give the same."""
+    r = random.Random(11)
+    line = "".join(r.choice("abcdefgh ") for _ in range(40))
+    word = lambda: "".join(r.choice("rstuvwxyz") for _ in range(30))
+    rows = [(i, word() + line + word()) for i in range(300)]
+    want = brute(rows, 24)
+    for hot, run in ((20_000, 300_000), (20_000, 500), (5, 500), (0, 100)):
+        monkeypatch.setattr(suffix_dedup, "SORT", run)
+        assert sorted(map(tuple, suffix_dedup.dedup(make(rows).repartition(6), length=24, gram=8, hot=hot).collect()), key=repr) == want
