@@ -16,6 +16,7 @@ NULL_ID = -(2**63)
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,6 +50,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = _hadoop(spark, path)
     files.deleteOnExit(at)
+    _made.append(path)
     return path
 
 
@@ -71,5 +73,20 @@ def drop(*staged: DataFrame) -> None:
             files.delete(at, True)
 
 
+def made() -> int:
+    """A mark for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    """Delete what has been staged since ``mark``, but for ``keep``: all that it was made of."""
+    own = _paths.get(keep)
+    for path in _made[mark:]:
+        if path != own:
+            files, at = _hadoop(keep.sparkSession, path)
+            files.delete(at, True)
+    _made[mark:] = [own] if own in _made[mark:] else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -116,6 +116,18 @@ def test_against_brute_force(spark, make):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_run(spark):
+    """run() gives what the stages give, and leaves no more tables than the last stage reads."""
+    got = corpus_pipeline.run(spark, DATA)
+    folder = corpus_pipeline.common.shared_dir(spark).removeprefix("file://")
+    assert sorted(x.split("-")[0] for x in os.listdir(folder) if x.startswith("stage")) == ["stage3"]
+    docs = corpus_pipeline.common.table(spark, DATA, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.common.stage(stage(spark, docs, DATA), "test")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
 def test_empty(spark, make):
     docs = make([(1, "x")]).limit(0)
     for _, stage in corpus_pipeline.STAGES:
