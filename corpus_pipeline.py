@@ -59,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what each returns is written to the shared folder and read again."""
+    """The stages over ``documents``; what each returns is written to the shared folder and read again, and all that it was made of is deleted."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        mark = common.made()
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.stage(docs, f"stage{k}")
+            common.drop_since(mark, docs)
+            common.drop(before)
     return docs
