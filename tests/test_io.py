@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from lagstone import schemas
@@ -164,3 +166,36 @@ def test_selection_and_progress(spark):
     got = summary.progress(a.distinct(), order="i").orderBy("i").collect()
     assert [(r.processed, r.total, r.percent) for r in got] == [(1, 2, 50), (2, 2, 100)]
     assert [r.i for r in summary.last_lines(b, order="i", limit=1).collect()] == [3]
+
+
+def test_cancel(spark):
+    """A run under a job group is stopped by its name; other jobs go on."""
+    ended = []
+
+    def slow():
+        spark.sparkContext.setJobGroup("a run", "slow", interruptOnCancel=True)
+        try:
+            spark.range(4).repartition(4).mapInPandas(lambda frames: (time.sleep(60) or f for f in frames), "id long").collect()
+            ended.append("done")
+        except Exception as e:  # noqa: BLE001
+            ended.append(str(e))
+
+    thread = InheritableThread(target=slow)
+    thread.start()
+    while not spark.sparkContext.statusTracker().getJobIdsForGroup("a run"):
+        time.sleep(0.1)
+    runs.cancel(spark, "a run")
+    thread.join(50)
+    assert len(ended) == 1
+    assert "cancelled" in ended[0]
+    assert spark.range(3).count() == 3
+
+
+def test_progress_of_a_whole_table(spark):
+    """Ties, several ranges and what was processed before."""
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    got = summary.progress(rows.repartition(5), order=["k", "id"], before=20).orderBy("processed").collect()
+    assert [r.id for r in got] == sorted(range(1000), key=lambda i: (i % 7, i))
+    assert [r.processed for r in got] == list(range(21, 1021))
+    assert {r.total for r in got} == {1020}
+    assert summary.progress(rows.limit(0), order="id").count() == 0
