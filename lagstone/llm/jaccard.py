@@ -37,8 +37,10 @@ WORDS, SIMILAR = 3, 90
 BLOCK, BLOCK_NGRAMS = 2048, 1 << 21
 #: Ratio of the bounds of a class of sizes.
 RATIO = 1.25
-#: Tokens of a trie edge that are compared before the bound is looked at again.
-STEP = 64
+#: Tokens of a trie edge that are compared before the bound is looked at again, at most 255.
+STEP = 128
+#: Bytes of the table of the probes that traverse a trie together.
+TABLE = 1 << 25
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,19 +92,19 @@ def signatures(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray
             x = (sums[edges[use + 1]] - sums[edges[use]] + np.uint64(c * 1_000_003 + 1)) * _M + use.astype(np.uint64)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(x ^ (x >> np.uint64(27)))
-        quotas.append(np.full(len(use), (c << 32) | common_, np.int64))
+        quotas.append(np.full(len(use), (c << 24) | common_, np.int32))
         if 100 * n < similar * (_LARGEST[c] + 1):
             return np.concatenate(out), np.concatenate(quotas)
         c += 1
 
 
 class _Node:
-    """A path of tokens from depth ``start`` to ``end``; ``single``: all members below are known to be connected."""
+    """A path of tokens from depth ``start`` to ``end`` of the sets below; ``here``: those that end with it, ``only``: the one below, if it is one."""
 
-    __slots__ = ("children", "end", "first", "here", "least", "most", "single", "start")
+    __slots__ = ("children", "end", "first", "here", "least", "most", "only", "start")
 
-    def __init__(self, start: int, end: int, first: int, least: int, most: int, single: bool):
-        self.start, self.end, self.first, self.least, self.most, self.single = start, end, first, least, most, single
+    def __init__(self, start: int, end: int, first: int, least: int, most: int, only: int | None):
+        self.start, self.end, self.first, self.least, self.most, self.only = start, end, first, least, most, only
         self.children: list[_Node] = []
         self.here: list[int] = []
 
@@ -135,63 +137,70 @@ class Trie:
         n = min(len(a), len(b))
         off = np.flatnonzero(a[start:n] != b[start:n])
         sizes = [self.sizes[i] for i in members]
-        return _Node(start, start + int(off[0]) if len(off) else n, members[0], min(sizes), max(sizes), len(members) == 1)
-
-    def probe(self, q: np.ndarray, similar: int, find=None, own: int = 0) -> Iterator[int]:
-        """Members whose similarity to ``q`` is at least ``similar`` percent; with ``find``, those connected to ``own`` are left out."""
-        n = len(q)
-        stack = [(self.root, 0)]
+        return _Node(start, start + int(off[0]) if len(off) else n, members[0], min(sizes), max(sizes), members[0] if len(members) == 1 else None)
+
+
+class Group:
+    """The sets of a group in a trie, and which of them are known to be connected."""
+
+    def __init__(self, sets: list[np.ndarray], similar: int):
+        self.similar, self.sizes = similar, np.array([len(x) for x in sets], np.int64)
+        tokens, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+        self.tokens, self.sets = len(tokens), np.split(ranks, np.cumsum(self.sizes)[:-1])
+        self.trie = Trie(self.sets)
+        self.part = np.arange(len(sets))  # equal for sets that are connected
+
+    def links(self, probes: list[int]) -> Iterator[tuple[int, int]]:
+        """Links from ``probes`` to similar members; what is connected already is passed by, and of each connected part one link is given.
+
+        Many probes traverse the trie together: a table says which of them have a token, so an edge is compared with all at once.
+        """
+        at = 0
+        while at < len(probes):
+            width, total = 0, 0
+            while at + width < len(probes) and (not width or (total + self.sizes[probes[at + width]]) * (width + 1) <= TABLE):
+                total += int(self.sizes[probes[at + width]])
+                width += 1
+            yield from self._traverse(np.array(probes[at : at + width]))
+            at += width
+
+    def _traverse(self, probes: np.ndarray) -> Iterator[tuple[int, int]]:
+        used = np.unique(np.concatenate([self.sets[p] for p in probes]))
+        row = np.full(self.tokens, len(used))
+        row[used] = np.arange(len(used))
+        table = np.zeros((len(used) + 1, len(probes)), np.uint8)
+        for k, p in enumerate(probes):
+            table[row[self.sets[p]], k] = 1
+        similar, trie, part, sizes = self.similar, self.trie, self.part, self.sizes[probes]
+        stack = [(trie.root, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
         while stack:
-            node, overlap = stack.pop()
-            if 100 * min(n, node.most) < similar * max(n, node.least):
-                continue
-            if find is not None:
-                if not node.single and all(c.single for c in node.children):
-                    node.single = len({find(i) for i in (*node.here, *(c.first for c in node.children))}) == 1
-                if node.single and find(node.first) == find(own):
-                    continue
-            alive, source = True, self.sets[node.first]
-            for at in range(node.start, node.end, STEP):
-                part = source[at : min(at + STEP, node.end)]
-                pos = q.searchsorted(part)
-                hit = q[np.minimum(pos, n - 1)] == part
-                overlap += int(np.count_nonzero(hit))
-                left = min(n - int(pos[-1]) - int(hit[-1]), node.most - at - len(part))
-                if (overlap + left) * (100 + similar) < similar * (n + node.least):
-                    alive = False
+            node, alive, overlap = stack.pop()
+            n = sizes[alive]
+            keep = 100 * np.minimum(n, node.most) >= similar * np.maximum(n, node.least)
+            if node.only is not None:
+                keep &= part[probes[alive]] != part[node.only]
+            alive, overlap, n = alive[keep], overlap[keep], n[keep]
+            source = trie.sets[node.first]
+            for begin in range(node.start, node.end, STEP):
+                if not len(alive):
                     break
-            if not alive:
+                rows = table[row[source[begin : min(begin + STEP, node.end)]]]
+                overlap = overlap + (rows if len(alive) == len(probes) else rows[:, alive]).sum(axis=0, dtype=np.uint8)
+                # no more is common than the rest of the longest set below, nor than the probe has
+                most = np.minimum(overlap + node.most - begin - len(rows), n)
+                keep = most * (100 + similar) >= similar * (n + node.least)
+                if not keep.all():
+                    alive, overlap, n = alive[keep], overlap[keep], n[keep]
+            if not len(alive):
                 continue
             for i in node.here:
-                if 100 * overlap >= similar * (n + self.sizes[i] - overlap) and (find is None or find(i) != find(own)):
-                    yield i
-            stack += [(c, overlap) for c in node.children]
-
-
-class _Sets:
-    """Union-find over the members of a group."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
-
-
-def link_group(sets: list[np.ndarray], probes: list[int], similar: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar among a group: each of ``probes`` against all members, in order."""
-    trie, parts, links = Trie(sets), _Sets(len(sets)), []
-    for p in probes:
-        for i in trie.probe(sets[p], similar, parts.find, p):
-            parts.join(i, p)
-            links.append((p, i))
-    return links
+                found = probes[alive[100 * overlap >= similar * (n + self.sizes[i] - overlap)]]
+                found = found[part[found] != part[i]]
+                if len(found):
+                    parts, first = np.unique(part[found], return_index=True)
+                    yield from ((int(p), i) for p in found[first])
+                    part[np.isin(part, parts)] = part[i]
+            stack += [(c, alive, overlap) for c in node.children]
 
 
 def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
@@ -204,17 +213,16 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
         out: list[tuple] = []
 
         def close(key, group) -> None:
-            sets = [ngram_hashes(t, words) for _, _, t in group]
+            sets = Group([ngram_hashes(t, words) for _, _, t in group], similar)
             nodes, roles = [n for n, _, _ in group], [r for _, r, _ in group]
             foreign = [i for i, r in enumerate(roles) if r == 1]
             first = [i for i, r in enumerate(roles) if r == 0] if not foreign else foreign
-            links = link_group(sets, first, similar)
+            links = list(sets.links(first))
             if not foreign:
                 near = {i for link in links for i in link}
-                rest = [i for i in range(len(sets)) if i not in near and roles[i] != 0]
+                rest = [i for i in range(len(nodes)) if i not in near and roles[i] != 0]
                 out.extend((key[0], key[1], nodes[i], None) for i in rest)
-                if rest and len(sets) > 2:
-                    links = link_group(sets, first + rest, similar)
+                links += sets.links(rest) if len(nodes) > 2 else []
             out.extend((key[0], key[1], nodes[i], nodes[j]) for i, j in links)
 
         def flush() -> pa.RecordBatch:
@@ -242,60 +250,64 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by part and node: every node with the first of its part (kind 0), and parts of over ``block`` nodes with their size (kind 1)."""
-
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "center", "node"])
-
-    part = center = node = None
-    size = 0  # nodes of the current part so far
+    """From rows sorted by part and node: the first node of each part with every other (kind 0); of parts of over ``block`` nodes instead the
+    part with each node and its quota (kind 1)."""
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray, quota: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(quota)], names=["kind", "a", "b", "quota"])
+
+    def pairs(part: np.ndarray, node: np.ndarray, large: np.ndarray, starts: np.ndarray, sizes: np.ndarray, quota: np.ndarray) -> Iterator[pa.RecordBatch]:
+        big, center = np.repeat(large, sizes), np.repeat(node[starts], sizes)
+        if big.any():
+            yield out(1, part[big], node[big], quota[big])
+        some = ~big & (center != node)
+        got = np.unique(np.stack([center[some], node[some]], axis=1), axis=0)
+        yield out(0, got[:, 0], got[:, 1], np.zeros(len(got), np.int32))
+
+    held = None  # rows of the last part, which may go on, while it isn't large
+    hot = None  # the last part, if it is
     for batch in batches:
-        p, n = (c.to_numpy() for c in batch.columns)
-        if not len(p):
+        rows = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
             continue
-        first = np.concatenate([[part is None or p[0] != part], p[1:] != p[:-1]])
-        again = np.concatenate([[not first[0] and n[0] == node], ~first[1:] & (n[1:] == n[:-1])])
-        starts = np.flatnonzero(first)
-        at = np.maximum.accumulate(np.where(first, np.arange(len(p)), -1))
-        centers = np.where(at >= 0, n[np.maximum(at, 0)], center if center is not None else 0)
-        sizes = np.add.reduceat(~again, np.concatenate([[0], starts[starts > 0]])).astype(np.int64)
-        sizes[0] += 0 if first[0] else size
-        parts = p[np.concatenate([[0], starts[starts > 0]])]
-        ended = []
-        if first[0] and size > block:
-            ended.append((part, size))
-        part, center, node, size = p[-1], centers[-1], n[-1], int(sizes[-1])
-        full = np.flatnonzero(sizes[:-1] > block)
-        ended += zip(parts[full].tolist(), sizes[full].tolist(), strict=True)
-        if ended:
-            yield out(1, *(np.array(x, np.int64) for x in zip(*ended, strict=True)))
-        got = np.unique(np.stack([centers, n], axis=1)[centers != n], axis=0)
-        yield out(0, got[:, 0], got[:, 1])
-    if size > block:
-        yield out(1, np.array([part]), np.array([size]))
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        part, node, quota = (x[new] for x in rows)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sizes = np.diff(np.append(starts, len(part)))
+        large = sizes > block
+        large[0] |= part[0] == hot
+        held, hot = None, part[-1] if large[-1] else None
+        if hot is None:
+            held, starts, sizes, large = [x[starts[-1] :] for x in (part, node, quota)], starts[:-1], sizes[:-1], large[:-1]
+            part, node, quota = (x[: len(x) - len(held[0])] for x in (part, node, quota))
+        if len(part):
+            yield from pairs(part, node, large, starts, sizes, quota)
+    if held is not None:
+        yield from pairs(*held[:2], np.zeros(1, bool), np.zeros(1, np.int64), np.array([len(held[0])]), held[2])
 
 
 def _groups(rows: DataFrame, block: int) -> DataFrame:
     """center and node from the parts of nodes (part, node, quota).
 
-    Where parts of over ``block`` nodes are found, each node leaves out its most common ones up to its quota, and the others are grouped again.
+    Of parts of over ``block`` nodes each node leaves out its most common ones up to its quota; only rows of such parts travel again.
     """
-
-    def grouped(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.select("part", "node").repartition("part").sortWithinPartitions("part", "node")
-        return common.stage(rows.mapInArrow(lambda batches: _meet(batches, block), "kind int, center long, node long").distinct(), name)
-
-    found = grouped(rows, "groups")
-    large = found.where("kind = 1").select(F.col("center").alias("part"), F.col("node").alias("nodes"))
-    if large.limit(1).count():
-        mine = rows.join(large, "part")
-        order = Window.partitionBy("node", "quota").orderBy(F.col("nodes").desc(), "part")
-        # repeated rows of one node and part count once
-        mine = mine.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("quota").bitwiseAND(F.lit((1 << 32) - 1)))
-        few = rows.join(large, "part", "left_anti")
-        before, found = found, grouped(few.select("part", "node").unionByName(mine.select("part", "node")), "regrouped")
-        common.drop(before)
-    return found.where("kind = 0").select("center", "node")
+    rows = rows.repartition("part").sortWithinPartitions("part", "node")
+    found = common.stage(rows.mapInArrow(lambda batches: _meet(batches, block), "kind int, a long, b long, quota int").distinct(), "groups")
+    pairs = found.where("kind = 0").select(F.col("a").alias("center"), F.col("b").alias("node"))
+    large = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("node"), "quota")
+    if not large.limit(1).count():
+        return pairs
+    large = large.join(large.groupBy("part").agg(F.count(F.lit(1)).alias("nodes")), "part")
+    order = Window.partitionBy("node", "quota").orderBy(F.col("nodes").desc(), "part")
+    large = large.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("quota").bitwiseAND(F.lit((1 << 24) - 1))).select("part", "node")
+    large = common.stage(large, "large-parts")
+    large_pairs = large.join(large.groupBy("part").agg(F.min("node").alias("center")), "part").where("node != center").select("center", "node")
+    out = common.stage(pairs.unionByName(large_pairs).distinct(), "regrouped")
+    common.drop(found, large)
+    return out
 
 
 def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -307,33 +319,33 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set, with the parts of those that the task hasn't seen before."""
+        for batch in batches:
+            sets = [ngram_hashes(t or "", words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc_id", "th", "n_shingles", "node"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of each set that the task hasn't seen before."""
         seen: set[int] = set()
         for batch in batches:
-            sizes, nodes, parts, quotas, ends = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0]
-            for t in batch.column(2).to_pylist():
+            keys, nodes, quotas = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for t in batch.column(0).to_pylist():
                 h = ngram_hashes(t or "", words)
-                node, n = node_of(h), 0
-                if node is not None and node not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    x, q = signatures(h, similar)
-                    parts.append(x)
-                    quotas.append(q)
-                    n = len(x)
-                sizes.append(len(h))
-                nodes.append(node)
-                ends.append(ends[-1] + n)
-            ends = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).view(np.int64))) for x in (parts, quotas)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "th", "n_shingles", "node", "parts", "quotas"])
+                node = node_of(h)
+                if node is None or node in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(node)
+                x, q = signatures(h, similar)
+                keys.append(x)
+                quotas.append(q)
+                nodes.append(np.full(len(x), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(quotas))], names=["part", "node", "quota"])
 
     known = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    described = common.stage(known.mapInArrow(describe, "doc_id long, th long, n_shingles long, node long, parts array<long>, quotas array<long>"), "ngram-parts")
-    rows = described.select("node", F.explode(F.arrays_zip(F.col("parts").alias("part"), F.col("quotas").alias("quota"))).alias("x")).select("x.part", "node", "x.quota")
-    pairs = _groups(rows, block)
-    sets = described.select("doc_id", "th", "n_shingles", "node")
+    # texts are hashed twice: kept between, the parts would take more room than the texts
+    sets = common.stage(known.mapInArrow(describe, "doc_id long, th long, n_shingles long, node long"), "ngram-sets")
+    pairs = _groups(docs.select("text").mapInArrow(parts, "part long, node long, quota int"), block)
     # one text for each node that is in a group, with the size of its set
     wanted = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
     key = F.struct(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "th")
@@ -355,8 +367,8 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
         met = probes.select("center", "block").distinct()
         more = _link_blocks(members.join(met, ["center", "block"], "left_semi").unionByName(probes).join(texts, "node"), words, similar)
         links = links.unionByName(common.stage(more.where("b IS NOT NULL").select("a", "b"), "links"))
-    sets, links = common.stage(sets, "ngram-sets"), common.stage(links, "all-links")
-    common.drop(described, wanted, texts, sizes, found)
+    links = common.stage(links, "all-links")
+    common.drop(wanted, texts, sizes, found)
     return sets, links
 
 

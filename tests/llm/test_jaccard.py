@@ -92,17 +92,18 @@ def test_common_parts_can_be_left_out():
             left = []
             for q in np.unique(quotas):
                 mine = parts[quotas == q]
-                left.append(mine[np.argsort(mine ^ np.uint64(salt))][int(q) & 0xFFFFFFFF :])
+                left.append(mine[np.argsort(mine ^ np.uint64(salt))][int(q) & 0xFFFFFF :])
             kept.append(np.concatenate(left))
         assert len(np.intersect1d(*kept))
 
 
 def test_meet():
-    rows = [(1, 5), (1, 6), (1, 6), (1, 7), (2, 5), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3)]
-    want = [(0, 5, 6), (0, 5, 7), (0, 1, 2), (0, 0, 1), (0, 0, 2), (0, 0, 3), (1, 1, 3), (1, 4, 4)]
+    rows = [(1, 5), (1, 6), (1, 6), (1, 7), (2, 5), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3), (5, 8), (5, 9)]
+    want = {(0, 1, 2, 0), (0, 8, 9, 0), *((1, p, n, 10 * p + n) for p, n in rows if p in (1, 4))}
     for step in (1, 2, 3, 5, 20):
-        batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + step], strict=True)], names=["part", "node"]) for i in range(0, len(rows), step))
-        assert {tuple(x.values()) for b in jaccard._meet(batches, 2) for x in b.to_pylist()} == set(want)
+        batches = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([10 * r[0] + r[1] for r in part], pa.int32())], names=["part", "node", "quota"]) for part in (rows[i : i + step] for i in range(0, len(rows), step)))
+        assert {tuple(x.values()) for b in jaccard._meet(batches, 2) for x in b.to_pylist()} == want
+    assert not [x for b in jaccard._meet(iter([]), 2) for x in b.to_pylist()]
 
 
 def test_many_null_ids(make):
@@ -129,14 +130,28 @@ def test_one_part_of_very_many_sets(make):
     assert got == {i: i if i < 100_000 else i - 100_000 for i, _ in rows}
 
 
-def test_trie():
+@pytest.mark.parametrize("table", [1, 3000, 1 << 25])
+def test_trie(monkeypatch, table):
+    monkeypatch.setattr(jaccard, "TABLE", table)
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(80)]
-    trie = jaccard.Trie(sets)
-    for q in sets:
-        got = sorted(trie.probe(q, 60))
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 60 * len(np.union1d(q, s))]
-        assert got == want
+    sets += [np.unique(np.concatenate([rng.permutation(np.arange(1000, 1600))[:580].astype(np.uint64)])) for _ in range(20)]
+    alike = [{i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 60 * len(np.union1d(q, s))} for q in sets]
+    for k in range(len(sets)):
+        group = jaccard.Group(sets, 60)
+        assert {i for p, i in group.links([k])} == alike[k] - {k}
+    # all together: what is connected is that which is, by fewer links than members
+    links = list(jaccard.Group(sets, 60).links(list(range(len(sets)))))
+    assert all(i in alike[p] for p, i in links)
+    up = list(range(len(sets)))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for p, i in links:
+        assert find(p) != find(i)
+        up[find(p)] = find(i)
+    assert all(find(k) == find(i) for k in range(len(sets)) for i in alike[k])
 
 
 def test_components(spark):
