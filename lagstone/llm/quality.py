@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lagstone.llm import common
 
 ORDER = 5
-#: N-grams whose values are broadcast (12 MB at this bound).
-FREQUENT = 1 << 20
+#: N-grams whose values are broadcast (24 MB at this bound).
+FREQUENT = 1 << 21
 #: Values are whole multiples of a nat over this.
 SCALE = 1_000_000
 #: The probability of a character in a language that the model lacks.
@@ -182,11 +182,10 @@ def _smooth(grams: DataFrame, order: int, lower: DataFrame) -> tuple[DataFrame,
 
 
 class Model(NamedTuple):
-    """By order, ``probability``: lang, gram, n and p; by length of the context, ``weight``: lang, gram and the back-off weight p; ``counts``: what both were made of."""
+    """By order, ``probability``: lang, gram, n and p; by length of the context, ``weight``: lang, gram and the back-off weight p."""
 
     probability: dict[int, DataFrame]
     weight: dict[int, DataFrame]
-    counts: list[DataFrame]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -196,7 +195,7 @@ def fit(docs: DataFrame) -> Model:
         shorter = counts[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         counts[n] = common.stage(shorter, f"ngrams{n}")
     empty = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v")).select("lang", F.lit("").alias("gram"), F.lit(1).cast("long").alias("n"), (1.0 / (F.col("v") + 1)).alias("p"))
-    model = Model({0: common.stage(empty, "p0")}, {}, list(counts.values()))
+    model = Model({0: common.stage(empty, "p0")}, {})
     for n in range(1, ORDER + 1):
         p, weight = _smooth(counts[n], n, model.probability[n - 1])
         model.probability[n], model.weight[n - 1] = common.stage(p, f"p{n}"), weight
@@ -345,15 +344,18 @@ def quality(docs: DataFrame, *, reference: DataFrame | None = None, keep: list[s
     keep = keep or ["doc_id"]
     common.prepare(docs.sparkSession)
     docs, reference = (x.withColumns({"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")}) if x is not None else None for x in (docs, reference))
+    mark = common.made()
     model = fit(docs if reference is None else reference)
     # n-grams of the documents that were counted are all in the model
     known = model.probability[ORDER].select("lang", "gram", "n", _value(F.col("p"))) if reference is None else common.stage(values(count_ngrams(docs), model), "values")
     rows = score(docs, known, [*keep, *(c for c in ["lang"] if c not in keep)], frequent=frequent)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = common.stage(rows.withColumn("base_failed", failed), "perplexities")
-    common.drop(*model.probability.values(), *model.counts, known)
-    good = rows.where(~F.col("base_failed"))
-    out = _with_bands(rows, common.stage(_bands(good, band, least), "bands"))
+    common.drop_since(mark, rows)
+    mark = common.made()
+    bands = common.stage(_bands(rows.where(~F.col("base_failed")), band, least), "bands")
+    common.drop_since(mark, bands)
+    out = _with_bands(rows, bands)
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high")))
     return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"), "log_ppl", "low", "high")
 
