@@ -33,7 +33,7 @@ SCALE = 1_000_000
 #: The probability of a character in a language that the model lacks.
 UNKNOWN = 2.0**-20
 #: Characters worked on at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Distinct n-grams that a task gathers before it passes them on.
 GATHER = 1 << 21
 #: Stands before the first character of a text.
@@ -87,8 +87,8 @@ def _layout(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.n
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(starts, np.int64), seeds
 
 
-def _segments(texts: list[str], langs: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Code points with ORDER - 1 before the first position, hashes of each order by position, each position's text, positions of text."""
+def _segments(texts: list[str], langs: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points with ORDER - 1 before the first position, the n-gram's hash by position, each position's text, positions of text."""
     codes, starts, seeds = _layout(texts, langs)
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes + ORDER - 1)
@@ -101,12 +101,11 @@ def _segments(texts: list[str], langs: list[str | None]) -> Iterator[tuple[np.nd
         m = end - at
         x = c.astype(np.uint64)
         with np.errstate(over="ignore"):
-            h, power, hashes = seeds[owner[at:end]], np.uint64(1), []
+            h, power = seeds[owner[at:end]], np.uint64(1)
             for n in range(ORDER):
                 h = h + (x[ORDER - 1 - n : ORDER - 1 - n + m] + np.uint64(1)) * power
-                hashes.append(h)
                 power = power * _M
-        yield c, hashes, owner[at:end], np.flatnonzero(inside[at:end])
+        yield c, h, owner[at:end], np.flatnonzero(inside[at:end])
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -138,9 +137,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             langs = batch.column(1).to_pylist()
             names.update({_seed(x): x for x in set(langs)})
             own = np.array([_seed(x) for x in langs], np.uint64)
-            for c, hashes, owner, at in _segments(texts, langs):
+            for c, h, owner, at in _segments(texts, langs):
                 if len(at):
-                    u, first, n = np.unique(hashes[-1][at], return_index=True, return_counts=True)
+                    u, first, n = np.unique(h[at], return_index=True, return_counts=True)
                     where = at[first]
                     keys.append(u)
                     counts.append(n)
@@ -272,10 +271,10 @@ def score(docs: DataFrame, values_: DataFrame, keep: list[str], *, frequent: int
         """Of each text the sum of the values that are broadcast, and the other n-grams with their numbers."""
         keys, found = shared.value
         total, rest = np.zeros(len(texts), np.int64), [[] for _ in texts]
-        for c, hashes, owner, inside in _segments(texts, langs):
+        for c, h, owner, inside in _segments(texts, langs):
             if not len(inside):
                 continue
-            u, inv = np.unique(hashes[-1][inside], return_inverse=True)
+            u, inv = np.unique(h[inside], return_inverse=True)
             pos = np.minimum(np.searchsorted(keys, u), max(len(keys) - 1, 0))
             hit = keys[pos] == u if len(keys) else np.zeros(len(u), bool)
             value = np.where(hit, found[pos] if len(keys) else 0, 0)[inv]
