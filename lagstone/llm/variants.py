@@ -38,7 +38,7 @@ GATHER, EDITS = 200_000, 1 << 17
 
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BLOCKS = 1 << 14  # blocks of 64 bytes that one task fills
+_BLOCKS = 1 << 10  # blocks of 64 bytes that one task fills
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
