@@ -11,7 +11,7 @@ The number of parts follows from the sizes: sets are dealt to classes of size, a
 of that can be similar to it.  There are more parts than differences, by two quotas.  A set leaves out its smallest parts up to the one quota:
 they are what unrelated texts have in common.  It leaves out the parts that most sets have up to the other: so a passage of very many
 texts makes no group.  Similar sets have more equal parts than both quotas, and each leaves out a beginning of the same order, so one
-equal part stays in both.
+equal part stays in both.  Short sets have no parts: those that differ by one n-gram are joined by what they have without it.
 
 Groups that are large by sets or n-grams are dealt over several tasks, each with the centre; what isn't linked to the centre then
 meets the other blocks in a second round.  Only node ids travel until then; a text is fetched once for its node.  Links are joined to
@@ -65,6 +65,8 @@ def node_of(hashes: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
+#: In place of a quota: the part is the node itself, or a node that has one n-gram less.
+OWN, WITHOUT = -2, -1
 #: The largest size in each class.
 _LARGEST = sorted({int(RATIO**k) for k in range(1, 130)})
 
@@ -72,7 +74,9 @@ _LARGEST = sorted({int(RATIO**k) for k in range(1, 130)})
 def signatures(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the parts of a set in each of its classes, without the smallest; with each the class and its quota of common parts, as one number.
 
-    In a class whose sets have ``top`` n-grams at most, similar ones differ in ``off`` n-grams at most, and so in no more parts.
+    In a class whose sets have ``top`` n-grams at most, similar ones differ in ``off`` n-grams at most, and so in no more parts.  Where ``off`` is
+    0 only equal sets are similar, and these are one node: there are no parts.  Where it is 1, one set has all of the other and one n-gram more: in
+    place of parts there are the set itself and what it is without each of its n-grams, as nodes, marked by ``OWN`` and ``WITHOUT``.
     """
     n, out, quotas = len(hashes), [], []
     with np.errstate(over="ignore"):
@@ -81,7 +85,18 @@ def signatures(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray
     c = bisect_left(_LARGEST, n)
     while True:
         off = (100 - similar) * 2 * _LARGEST[c] // (100 + similar)
-        small, common_ = 1 + off * 3 // 20, 1 + off // 20
+        if off < 2:
+            if off and 100 * n >= similar * (n + 1) and not any(q[0] == OWN for q in quotas):  # a set with one n-gram more is similar
+                out.append(np.array([node_of(hashes)], np.int64).view(np.uint64))
+                quotas.append(np.array([OWN], np.int32))
+            if off and 100 * (n - 1) >= similar * n and not any(q[0] == WITHOUT for q in quotas):
+                out.append(np.array([node_of(np.delete(hashes, k)) for k in range(n)], np.int64).view(np.uint64))
+                quotas.append(np.full(n, WITHOUT, np.int32))
+            if 100 * n < similar * (_LARGEST[c] + 1):
+                break
+            c += 1
+            continue
+        small, common_ = 2 + off * 3 // 20, 1 + off // 20
         parts = off + 1 + small + common_
         edges = np.searchsorted(hashes >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
         edges[-1] = n
@@ -94,8 +109,9 @@ def signatures(hashes: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray
         out.append(x ^ (x >> np.uint64(27)))
         quotas.append(np.full(len(use), (c << 24) | common_, np.int32))
         if 100 * n < similar * (_LARGEST[c] + 1):
-            return np.concatenate(out), np.concatenate(quotas)
+            break
         c += 1
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, np.int32), *quotas])
 
 
 class _Node:
@@ -250,8 +266,8 @@ def _link_blocks(rows: DataFrame, words: int, similar: int) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by part and node: the first node of each part with every other (kind 0); of parts of over ``block`` nodes instead the
-    part with each node and its quota (kind 1)."""
+    """From rows sorted by part, quota and node: the first node of each part with every other (kind 0); of parts of over ``block`` nodes instead the
+    part with each node and its quota (kind 1); the nodes that are another one with one n-gram more, with that (kind 2)."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, quota: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(quota)], names=["kind", "a", "b", "quota"])
@@ -266,8 +282,18 @@ def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
 
     held = None  # rows of the last part, which may go on, while it isn't large
     hot = None  # the last part, if it is
+    own = None  # the last node that stands for itself
     for batch in batches:
         rows = [c.to_numpy() for c in batch.columns]
+        direct = rows[2] < 0
+        if direct.any():
+            part, node, quota = (x[direct] for x in rows)
+            rows = [x[~direct] for x in rows]
+            at = np.maximum.accumulate(np.where(quota == OWN, np.arange(len(part)), -1))
+            before = np.where(at >= 0, part[at], part[0] if part[0] == own else ~part)
+            found = (quota == WITHOUT) & (before == part)
+            yield out(2, part[found], node[found], np.zeros(found.sum(), np.int32))
+            own = part[at[-1]] if at[-1] >= 0 else own
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if not len(rows[0]):
@@ -289,25 +315,27 @@ def _meet(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBa
         yield from pairs(*held[:2], np.zeros(1, bool), np.zeros(1, np.int64), np.array([len(held[0])]), held[2])
 
 
-def _groups(rows: DataFrame, block: int) -> DataFrame:
-    """center and node from the parts of nodes (part, node, quota).
+def _groups(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """center and node from the parts of nodes (part, node, quota), and the links a, b that are known without their sets.
 
     Of parts of over ``block`` nodes each node leaves out its most common ones up to its quota; only rows of such parts travel again.
     """
-    rows = rows.repartition("part").sortWithinPartitions("part", "node")
+    rows = rows.repartition("part").sortWithinPartitions("part", "quota", "node")
     found = common.stage(rows.mapInArrow(lambda batches: _meet(batches, block), "kind int, a long, b long, quota int").distinct(), "groups")
     pairs = found.where("kind = 0").select(F.col("a").alias("center"), F.col("b").alias("node"))
     large = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("node"), "quota")
+    direct = found.where("kind = 2").select("a", "b")
     if not large.limit(1).count():
-        return pairs
+        return pairs, direct
     large = large.join(large.groupBy("part").agg(F.count(F.lit(1)).alias("nodes")), "part")
     order = Window.partitionBy("node", "quota").orderBy(F.col("nodes").desc(), "part")
     large = large.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("quota").bitwiseAND(F.lit((1 << 24) - 1))).select("part", "node")
     large = common.stage(large, "large-parts")
     large_pairs = large.join(large.groupBy("part").agg(F.min("node").alias("center")), "part").where("node != center").select("center", "node")
+    direct = common.stage(direct, "direct-links")
     out = common.stage(pairs.unionByName(large_pairs).distinct(), "regrouped")
     common.drop(found, large)
-    return out
+    return out, direct
 
 
 def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -345,13 +373,13 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
     known = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     # texts are hashed twice: kept between, the parts would take more room than the texts
     sets = common.stage(known.mapInArrow(describe, "doc_id long, th long, n_shingles long, node long"), "ngram-sets")
-    pairs = _groups(docs.select("text").mapInArrow(parts, "part long, node long, quota int"), block)
+    pairs, direct = _groups(docs.select("text").mapInArrow(parts, "part long, node long, quota int"), block)
     # one text for each node that is in a group, with the size of its set
     wanted = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
     key = F.struct(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "th")
     wanted = sets.join(wanted, "node").groupBy("node", "n_shingles").agg(F.min(key).alias("key"))
     wanted = common.stage(wanted.select("node", "n_shingles", "key.id", "key.th"), "wanted")
-    texts = known.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted, ["id", "th"]).groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = known.withColumn("id", F.coalesce("doc_id", F.lit(common.NULL_ID))).join(wanted.hint("merge"), ["id", "th"]).groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     texts = common.stage(texts.select("node", "text"), "texts")
     sizes = pairs.join(wanted.select("node", "n_shingles"), "node").groupBy("center").agg(F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / BLOCK_NGRAMS).cast("int").alias("last"))
     sizes = common.stage(sizes, "group-sizes")
@@ -367,7 +395,7 @@ def ngram_links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR,
         met = probes.select("center", "block").distinct()
         more = _link_blocks(members.join(met, ["center", "block"], "left_semi").unionByName(probes).join(texts, "node"), words, similar)
         links = links.unionByName(common.stage(more.where("b IS NOT NULL").select("a", "b"), "links"))
-    links = common.stage(links, "all-links")
+    links = common.stage(links.unionByName(direct), "all-links")
     common.drop(wanted, texts, sizes, found)
     return sets, links
 
