@@ -28,11 +28,11 @@ def plan_pairs(spark: SparkSession, request: SyncRequest) -> DataFrame:
 
 
 def run(spark: SparkSession, request: SyncRequest, *, exact: bool = False, done: Accumulator | None = None, verbose: bool = False) -> DataFrame:
-    """Graded results of a request; no pairs, no rows.
+    """Graded results of a request, whose folders and files must be there; no pairs, no rows.
 
     ``done`` counts finished pairs for the driver; ``verbose`` logs the request and the plan of its pairs.
     """
-    found = plan_pairs(spark, request)
+    found = plan_pairs(spark, request.check_paths(spark))
     if verbose:
         logging.getLogger(__name__).info("%s\n%s", request, found._jdf.queryExecution().simpleString())
     return pairs.graded(pairs.process_pairs(found, segment=request.segment_duration, exact=exact, done=done))
@@ -43,6 +43,6 @@ def run_to(spark: SparkSession, request: SyncRequest, folder: str, *, started: d
     path = sinks.run_path(folder, request.mode, started or datetime.now(timezone.utc))
     run(spark, request, **how).write.parquet(f"{path}/results")
     results = spark.read.parquet(f"{path}/results")
-    sinks.write_events(runs.run_events(results, request).orderBy("number", "step").drop("number", "step"), f"{path}/events")
+    runs.write_in_order(runs.run_events(results, request), f"{path}/events")
     sinks.write_csv(results, f"{path}/csv", sinks.CSV_MOVIE if request.mode == "movie" else sinks.CSV_SERIES, one_file=True)
     return path

@@ -17,7 +17,7 @@ from lagstone.operators import pairs as pair_ops
 from lagstone.sources import files, probe, requests, sinks
 from lagstone.sources.requests import SyncRequest
 from lagstone.sources.scratch import scratch_path
-from lagstone.streaming import runs
+from lagstone.streaming import consume, runs
 
 #: Hours of a head or tail, hours that one needs more than, and the milliseconds that an hour of the event series stands for.
 SEGMENT, LEAST, UNIT = 168, 24, 10
@@ -426,7 +426,7 @@ def _days_run(spark: SparkSession, d: str) -> DataFrame:
 def _by_type(events: DataFrame) -> DataFrame:
     counts = {"with_elapsed": "elapsed_ms", "with_file": "file", "with_current": "current", "with_video": "videoFile", "with_message": "message"}
     sums = [F.sum(F.col(c).cast("long")).alias(f"{c}_sum") for c in ("percent", "processed", "total")]
-    return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(n) for n, c in counts.items()), *sums, F.max(F.size("results")).cast("long").alias("listed"))
+    return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(n) for n, c in counts.items()), *sums, F.sum(F.size("results")).cast("long").alias("listed"))
 
 
 def event_protocol(spark: SparkSession, d: str) -> DataFrame:
@@ -437,11 +437,52 @@ def event_protocol(spark: SparkSession, d: str) -> DataFrame:
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
     """The same written as lines, with blank lines and others that are no events between them, and read back; those have a null type."""
     path = scratch_path(spark, "lines")
-    sinks.write_events(_days_run(spark, d).drop("number", "step"), path)
+    runs.write_in_order(_days_run(spark, d), path)
     _t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.concat(F.lit("no event "), "n_name")).alias("value")).write.mode("append").text(path)
     return _by_type(requests.read_events(spark, path))
 
 
+def _lines_of_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a whole run, and those of one that is half done: a file has begun, another one's progress comes late, and a line is no event."""
+    path, events = scratch_path(spark, "runs"), _days_run(spark, d)
+    runs.write_in_order(events, f"{path}/run=whole")
+    half = day_results(spark, d).count() // 2
+    runs.write_in_order(events.where((F.col("number") <= half) & (F.col("type") != "done")), f"{path}/run=cut/batch=9")
+    more = [("file_start", "late.mkv", None), ("file_progress", "late.mkv", 50), ("file_progress", "old.mkv", 100)]
+    more = spark.createDataFrame([(0, k, *x) for k, x in enumerate(more)], "number long, step int, type string, file string, percent int")
+    runs.write_in_order(more, f"{path}/run=cut/batch=10")
+    spark.createDataFrame([("no event",)], "value string").write.text(f"{path}/run=cut/batch=11")
+    return requests.read_lines(spark, path).withColumn("run", F.regexp_extract("line.file", "/run=([a-z]+)/", 1))
+
+
+def consumed_state(spark: SparkSession, d: str) -> DataFrame:
+    """What a viewer shows of both runs once it has taken in all their lines."""
+    return consume.run_state(_lines_of_two_runs(spark, d), by=["run"])
+
+
+def consumed_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results of both runs: those of done where it came, else those that came one by one."""
+    return consume.run_results(_lines_of_two_runs(spark, d), by=["run"]).drop("line", "place")
+
+
+def consumed_log(spark: SparkSession, d: str) -> DataFrame:
+    """The last 200 log lines of both runs."""
+    return consume.run_log(_lines_of_two_runs(spark, d), by=["run"])
+
+
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of missing recordings, streamed in three batches in two starts: the lines of the run by type, and how far the numbers go."""
+    drops, out, marks = (scratch_path(spark, x) for x in ("drops", "out", "marks"))
+    request = SyncRequest("series", video_folder="/v", audio_folder="/a", match_pattern="x")
+    pairs = _t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("/none/"), "s_name", F.lit(".wav")).alias("primary_path"), F.lit("/none/a.wav").alias("secondary_path"))
+    for k in range(3):
+        pairs.where(F.col("s_suppkey") % 3 == k).drop("s_suppkey").coalesce(1).write.mode("append").parquet(drops)
+        if k:
+            runs.stream_pairs(spark, drops, out, marks, request=request, at_once=1).awaitTermination()
+    runs.finish(spark, out, part=7)
+    return _by_type(requests.read_lines(spark, f"{out}/events")).drop("with_elapsed")
+
+
 def event_progress(spark: SparkSession, d: str) -> DataFrame:
     """The progress events of a run."""
     return runs.events_of(day_results(spark, d)).where("type = 'progress'").select("processed", "total", "current")
@@ -602,7 +643,7 @@ QUERIES = {
         sync_series_events, tail_correction, head_tail_slices, xcorr_embeddings, xcorr_embeddings_udf, batch_one_to_many, degenerate_signals, znorm_stats, pair_regex_groups, pair_waterfall, pair_one_plan,
         pair_digits_fallback, pair_dedupe_last, pair_dedupe_first, preview_left_join, key_intersection, confidence_tiers, outlier_flag, status_cli, result_counts, success_counts, warn_any_low, filter_by_confidence,
         format_delay_ui, format_delay_cli, format_size, format_eta, progress_running, total_size_by_type, unique_parent, basename_ext, remove_selected, toggle_selection, probe_streams, history_top20,
-        history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, event_protocol, event_lines,
+        history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, stream_progress, event_protocol, event_lines, consumed_state, consumed_results, consumed_log,
         event_progress, list_recordings, wav_pairs, waterfall_styles, one_plan_styles, preview_movie, text_forms, result_status, probe_missing, csv_layouts, history_round_trip, history_export,
     )
 }
@@ -615,7 +656,9 @@ x AS (SELECT type, percent, CASE WHEN type IN ('file_end', 'result') THEN elapse
   WHERE percent IS DISTINCT FROM 50 OR start_delay_ms IS NOT NULL),
 by_type AS (SELECT type, count(*) AS n, count(e) AS with_elapsed, count(f) AS with_file, count(c) AS with_current, count(v) AS with_video, 0 AS with_message, CAST(sum(percent) AS BIGINT) AS percent_sum, CAST(sum(p) AS BIGINT) AS processed_sum,
     CAST(sum(t) AS BIGINT) AS total_sum, CAST(NULL AS BIGINT) AS listed FROM x GROUP BY type
-  UNION ALL SELECT 'log', 4, 0, 0, 0, 0, 4, NULL, NULL, NULL, NULL UNION ALL SELECT 'done', 1, 0, 0, 0, 0, 0, NULL, NULL, count(*), CASE WHEN count(*) <= 10000 THEN count(*) END FROM r)"""
+  UNION ALL SELECT 'log', 4, 0, 0, 0, 0, 4, NULL, NULL, NULL, NULL UNION ALL SELECT 'done', greatest(1, CAST(ceil(count(*) / 10000.0) AS BIGINT)), 0, 0, 0, 0, 0, NULL, NULL, CAST(count(*) * greatest(1, ceil(count(*) / 10000.0)) AS BIGINT), count(*) FROM r),
+lines AS (SELECT 'whole' AS run, k * 2 AS pos, 'Starting: ' || substr(primary_path, 4) AS message FROM o UNION ALL SELECT 'whole', k * 2 + 1, 'Finished: ' || substr(primary_path, 4) || ' (' || printf('%.1f', round(elapsed_ms / 1000.0, 1)) || 's)' FROM o)"""
+_CUT_SQL = "(SELECT count(*) // 2 FROM r)"
 _STYLES_SQL = """p AS (SELECT c_custkey AS n FROM customer), s AS (SELECT s_suppkey AS n FROM supplier),
 a AS (SELECT 'cross' AS style, n % 40 AS key, '/v/Show ' || n || ' of 1x' || n % 40 || '.mkv' AS path FROM p UNION ALL SELECT 'part', n % 40, '/v/Show.' || n % 40 || '.take' || n || '.mkv' FROM p UNION ALL SELECT 'digits', n, '/v/Show' || n || '.mkv' FROM p),
 b AS (SELECT 'cross' AS style, n % 40 AS key, '/a/dub' || n || ' 1x' || n % 40 || '.aac' AS path FROM s UNION ALL SELECT 'part', n % 40, '/a/dub_' || n % 40 || '_by' || n || '.aac' FROM s UNION ALL SELECT 'digits', n, '/a/dub' || n || '.aac' FROM s),
@@ -689,6 +732,18 @@ ORACLES: dict[str, str] = {
     "stream_file_drop": "SELECT event_id, CASE WHEN value IS NULL THEN '--' ELSE CASE WHEN value > 0 THEN '+' ELSE '' END || printf('%.1fms', round(value, 1)) END AS shown FROM events",
     "event_protocol": f"WITH {_EVENTS_SQL} SELECT * FROM by_type",
     "event_lines": f"WITH {_EVENTS_SQL} SELECT * FROM by_type UNION ALL SELECT NULL, count(*) FILTER (n_nationkey % 2 = 1), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL FROM nation",
+    "consumed_state": f"""WITH {_EVENTS_SQL} SELECT 'whole' AS run, arg_max(substr(primary_path, 4), k) AS current_file, 100 AS file_percent, count(*) AS processed, count(*) AS total, 100 AS percent, true AS finished FROM o
+      UNION ALL SELECT 'cut', 'late.mkv', 50, count(*) // 2, count(*), CAST(floor(count(*) // 2 * 100.0 / count(*) + 0.5) AS INTEGER), false FROM o""",
+    "consumed_results": f"""WITH {_EVENTS_SQL}, b AS (SELECT k, substr(primary_path, 4) AS videoFile, substr(secondary_path, 4) AS audioFile, start_delay_ms AS startDelay, end_delay_ms AS endDelay, error, elapsed_ms, {_CONFIDENCE_SQL.format('start_delay_ms', 'end_delay_ms')} AS confidence FROM o)
+      SELECT 'whole' AS run, b.* EXCLUDE k FROM b UNION ALL SELECT 'cut', b.* EXCLUDE k FROM b WHERE k <= {_CUT_SQL}""",
+    "consumed_log": f"""WITH {_EVENTS_SQL}, m AS (SELECT * FROM lines UNION ALL SELECT 'whole', -k, t FROM (VALUES (4, 'Series mode: matched ' || (SELECT count(*) FROM r) || ' file pairs.'), (3, 'Video folder: /v'), (2, 'Audio folder: /a'), (1, 'Match pattern: x')) v(k, t)),
+      c AS (SELECT * FROM m UNION ALL SELECT 'cut', pos, message FROM m WHERE pos < 2 * {_CUT_SQL} + 2 UNION ALL SELECT 'cut', 2000000000, 'Starting: late.mkv' UNION ALL SELECT 'cut', 2000000001, 'Invalid bridge message: no event')
+      SELECT run, row_number() OVER (PARTITION BY run ORDER BY pos DESC) AS back, message FROM c QUALIFY back <= 200""",
+    "stream_progress": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 3 < 2) AS two FROM supplier)
+      SELECT 'log' AS type, 4 AS n, 0 AS with_file, 0 AS with_current, 0 AS with_video, 4 AS with_message, CAST(NULL AS BIGINT) AS percent_sum, CAST(NULL AS BIGINT) AS processed_sum, CAST(NULL AS BIGINT) AS total_sum, CAST(NULL AS BIGINT) AS listed
+      UNION ALL SELECT 'file_start', n, n, 0, 0, 0, NULL, NULL, NULL, NULL FROM n UNION ALL SELECT 'file_progress', 2 * n, 2 * n, 0, 0, 0, 100 * n, NULL, NULL, NULL FROM n UNION ALL SELECT 'file_end', n, n, 0, 0, 0, NULL, NULL, NULL, NULL FROM n
+      UNION ALL SELECT 'progress', n, 0, n, 0, 0, NULL, n * (n + 1) // 2, two * two + (n - two) * n, NULL FROM n UNION ALL SELECT 'result', n, 0, 0, n, 0, NULL, NULL, NULL, NULL FROM n
+      UNION ALL SELECT 'done', (n + 6) // 7, 0, 0, 0, 0, NULL, NULL, n * ((n + 6) // 7), n FROM n""",
     "event_progress": f"WITH {_EVENTS_SQL} SELECT k AS processed, total, substr(primary_path, 4) AS current FROM o",
     "list_recordings": """WITH f AS (SELECT CASE WHEN n_nationkey % 5 = 4 THEN '.' ELSE '' END || replace(n_name, ' ', '_') || ['.mkv', '.wav', '.EAC3', '.txt'][n_nationkey % 4 + 1] AS name, CAST(n_nationkey AS BIGINT) AS size,
         n_nationkey % 4 AS kind, n_nationkey % 5 = 4 AS hidden FROM nation), v AS (SELECT * FROM f WHERE NOT hidden)

@@ -11,6 +11,6 @@ _RESULT = "struct<videoFile:string,audioFile:string,startDelay:double,endDelay:d
 RESULT_LIST = f"array<{_RESULT}>"
 EVENTS = (
     "type string, file string, percent int, processed bigint, total bigint, current string, elapsed_ms bigint, message string, "
-    f"videoFile string, audioFile string, startDelay double, endDelay double, error string, results {RESULT_LIST}"
+    f"videoFile string, audioFile string, startDelay double, endDelay double, error string, part bigint, parts bigint, results {RESULT_LIST}"
 )
 HISTORY = f"id string, date timestamp, mode string, results {RESULT_LIST}, fileCount bigint"

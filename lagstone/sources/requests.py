@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagstone import schemas
 from lagstone.sources.files import exists, path_kind
@@ -69,6 +70,16 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EVENTS + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Event lines of a run or of all runs below ``path``, with ``line``, by which they sort as they were written: by the number of the batch, by file
+    (files of a batch are named in order) and by the place in it.  Lines that are no events keep their place.
+    """
+    found = spark.read.schema(schemas.EVENTS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+    batch = F.expr("coalesce(try_cast(nullif(regexp_extract(_metadata.file_path, '/batch=(-?[0-9]+)/', 1), '') AS BIGINT), 0)")
+    line = F.struct(batch.alias("batch"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return found.withColumn("line", line)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The kept runs, or none."""
     if not exists(spark, path):
