@@ -6,6 +6,7 @@ says that the content stands later in the first signal, so the second has to be
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql.types import LongType
 FLAT = 1e-8
 #: Correlations are rounded to so many digits before they are compared, so that equal ones are ties.
 DIGITS = 6
+#: Samples that are transformed at once.
+BLOCK = 1 << 18
 
 
 def normalise(x: np.ndarray) -> np.ndarray:
@@ -34,8 +37,47 @@ def correlation(p: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(p, size) * np.fft.rfft(s[::-1], size), size)[:n]
 
 
-def lag(p: np.ndarray, s: np.ndarray, digits: int | None = None) -> int:
-    """The lag of the highest correlation, the smallest of equals, in samples."""
+def _normaliser(x: np.ndarray, block: int):
+    """A function that gives block k of the normalised signal; sums are made block by block, so no copy of the signal is."""
+    mean = float(x.mean(dtype=np.float64))
+    std = math.sqrt(sum(float(((x[k : k + block] - mean) ** 2).sum(dtype=np.float64)) for k in range(0, len(x), block)) / len(x))
+    scale = std if std > FLAT else 1.0
+    return lambda k: (x[k * block : (k + 1) * block].astype(np.float64) - mean) / scale
+
+
+def _partitioned_lag(p: np.ndarray, s: np.ndarray, block: int, digits: int | None = None) -> int:
+    """The same lag as of the whole transform, by blocks: the spectra of blocks that are as far apart are multiplied and added, and one inverse
+    transform gives their part of the lags around that distance.
+
+    Besides the signals it holds a spectrum of each block (8 bytes a sample, single precision) and a few transforms of two blocks.
+    """
+    spectra = []
+    for x in (p, s):
+        part = _normaliser(x, block)
+        spectra.append([np.fft.rfft(part(k), 2 * block).astype(np.complex64) for k in range(-(-len(x) // block))])
+    first, second = spectra
+    best, found, carried = -np.inf, 0, np.zeros(block)
+    for d in range(1 - len(second), len(first) + 1):
+        total = np.zeros(block + 1, np.complex128)
+        for b in range(max(0, -d), min(len(second), len(first) - d)):
+            total += first[b + d] * np.conj(second[b])
+        c = np.fft.irfft(total, 2 * block)
+        # lags from (d - 1) blocks on: the later half of the last distance and the earlier half of this one
+        carried[1:] += c[block + 1 :]
+        low, high = max(0, 1 - len(s) - (d - 1) * block), min(block, len(p) - (d - 1) * block)
+        if low < high:
+            some = carried[low:high] if digits is None else np.round(carried[low:high], digits)
+            k = int(np.argmax(some))
+            if some[k] > best:
+                best, found = some[k], (d - 1) * block + low + k
+        carried = c[:block].copy()
+    return found
+
+
+def lag(p: np.ndarray, s: np.ndarray, digits: int | None = None, block: int = BLOCK) -> int:
+    """The lag of the highest correlation, the smallest of equals, in samples.  Signals of more than ``block`` samples are transformed in blocks."""
+    if max(len(p), len(s)) > block:
+        return _partitioned_lag(np.asarray(p), np.asarray(s), block, digits)
     c = correlation(normalise(p), normalise(s))
     return int(np.argmax(c if digits is None else np.round(c, digits))) - (len(s) - 1)
 

@@ -7,14 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone import schemas
 from lagstone.functions import grades, text
 from lagstone.operators import correlate
 from lagstone.sources import decode
+from lagstone.sources.files import arrow_path
+from lagstone.sources.scratch import scratch_path
 
 # Fixed value: the analysis rate; more than a second at it is needed.
 RATE = 8000
@@ -70,10 +73,22 @@ def process(primary: str, secondary: str, segment: float, *, rate: int = RATE, e
 
 
 class Windows:
-    """Decoded windows: those of the last secondary stay, since many primaries may share it; a primary's are for its pair only."""
+    """Decoded windows: those of the last secondary stay, since many primaries may share it; a primary's are for its pair only.
 
-    def __init__(self, load: Callable = decode.load):
-        self.decode, self.secondary, self.kept = load, None, {}
+    Of a secondary that ``staged`` names (a table of ``stage_secondary``) none is decoded at all.
+    """
+
+    def __init__(self, load: Callable = decode.load, duration: Callable = decode.duration, staged: str | None = None, decoded: Accumulator | None = None):
+        self.decode, self.length, self.secondary, self.kept, self.decoded = load, duration, None, {}, decoded
+        self.staged, self.shared = staged, None
+
+    def _shared(self) -> tuple[str, float | None, dict]:
+        """Path, duration and windows of the staged secondary; a task reads them once."""
+        if self.shared is None:
+            files, at = arrow_path(self.staged)
+            rows = pq.read_table(at, filesystem=files).to_pylist()
+            self.shared = rows[0]["path"], rows[0]["seconds"], {r["begin"]: None if r["samples"] is None else np.frombuffer(r["samples"], np.float32) for r in rows}
+        return self.shared
 
     def of(self, secondary: str) -> Callable:
         """A loader for a pair with this secondary."""
@@ -83,30 +98,63 @@ class Windows:
         def load(path: str, rate: int, duration: float | None = None, offset: float = 0.0):
             if path != secondary:
                 return self.decode(path, rate, duration, offset)
+            if self.staged is not None and self._shared()[0] == path and offset in self.shared[2]:
+                return self.shared[2][offset]
             key = (rate, duration, offset)
             if key not in self.kept:
                 self.kept[key] = self.decode(path, rate, duration, offset)
+                if self.decoded is not None:
+                    self.decoded.add(1)
             return self.kept[key]
 
         return load
 
+    def duration(self, path: str) -> float | None:
+        return self._shared()[1] if self.staged is not None and self._shared()[0] == path else self.length(path)
+
+
+def stage_secondary(spark: SparkSession, path: str, *, segment: float, rate: int = RATE, decoded: Accumulator | None = None) -> str:
+    """Decode the head and the tail of a recording that many pairs share, once and on an executor, into a table in the shared folder; returns its path.
+
+    Its two rows, of ``segment`` seconds each at most, are all that a task reads of it.  A window that can't be decoded is null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p in frame["path"]:
+                try:
+                    seconds = decode.duration(p)
+                except Exception:  # noqa: BLE001  as if it were unknown
+                    seconds = None
+                for begin in sorted({0.0, max(0.0, seconds - segment)} if seconds is not None else {0.0}):
+                    x = decode.load(p, rate, segment, begin)
+                    if decoded is not None:
+                        decoded.add(1)
+                    yield pd.DataFrame({"path": [p], "seconds": pd.array([seconds], "Float64"), "begin": [begin], "samples": [None if x is None else x.astype(np.float32).tobytes()]})
+
+    out = scratch_path(spark, "secondary")
+    one = spark.createDataFrame([(path,)], "path string").coalesce(1)
+    one.mapInPandas(run, "path string, seconds double, begin double, samples binary").coalesce(1).write.parquet(out)
+    return out
+
 
-def process_pairs(pairs: DataFrame, *, segment: float = 300.0, rate: int = RATE, exact: bool = False, tasks: int | None = None, done: Accumulator | None = None) -> DataFrame:
+def process_pairs(pairs: DataFrame, *, segment: float = 300.0, rate: int = RATE, exact: bool = False, tasks: int | None = None, done: Accumulator | None = None, staged: str | None = None, decoded: Accumulator | None = None) -> DataFrame:
     """Results of all pairs, with the time of completion.  Only paths travel; a task decodes what it works on.
 
     Pairs are dealt round robin, so a secondary that all primaries share is no one task's work; within a task the pairs of a secondary
-    follow each other, and its windows are decoded once.  ``done`` counts finished pairs, for a driver that shows progress (a repeated
-    task counts again).
+    follow each other, and its windows are decoded once.  With ``staged``, the table of ``stage_secondary``, that one's are not decoded again at all.
+    ``done`` counts finished pairs, for a driver that shows progress, ``decoded`` the windows of secondaries that were decoded (a repeated task counts
+    again).
     """
     tasks = tasks or pairs.sparkSession.sparkContext.defaultParallelism * 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = Windows()
+        windows = Windows(staged=staged, decoded=decoded)
         for frame in frames:
             rows = []
             for p, s in zip(frame.primary_path, frame.secondary_path, strict=True):
                 began = time.perf_counter()
-                got = process(p, s, segment, rate=rate, exact=exact, load=windows.of(s))
+                got = process(p, s, segment, rate=rate, exact=exact, load=windows.of(s), duration=windows.duration)
                 rows.append((p, s, got["start_delay_ms"], got["end_delay_ms"], got["error"], int((time.perf_counter() - began) * 1000), got["degenerate"], pd.Timestamp.now(tz="UTC")))
                 if done is not None:
                     done.add(1)

@@ -28,14 +28,18 @@ def plan_pairs(spark: SparkSession, request: SyncRequest) -> DataFrame:
 
 
 def run(spark: SparkSession, request: SyncRequest, *, exact: bool = False, done: Accumulator | None = None, verbose: bool = False) -> DataFrame:
-    """Graded results of a request, whose folders and files must be there; no pairs, no rows.
+    """Graded results of a request; the folders and the file of batch and series mode must be there.  No pairs, no rows.
 
     ``done`` counts finished pairs for the driver; ``verbose`` logs the request and the plan of its pairs.
     """
-    found = plan_pairs(spark, request.check_paths(spark))
+    if request.mode in ("batch", "series"):  # of single files the pair itself says what is missing
+        request.check_paths(spark)
+    found = plan_pairs(spark, request)
     if verbose:
         logging.getLogger(__name__).info("%s\n%s", request, found._jdf.queryExecution().simpleString())
-    return pairs.graded(pairs.process_pairs(found, segment=request.segment_duration, exact=exact, done=done))
+    # one recording that all pairs share is decoded once for all tasks
+    staged = pairs.stage_secondary(spark, request.audio_file, segment=request.segment_duration) if request.mode in ("batch", "movie") else None
+    return pairs.graded(pairs.process_pairs(found, segment=request.segment_duration, exact=exact, done=done, staged=staged))
 
 
 def run_to(spark: SparkSession, request: SyncRequest, folder: str, *, started: datetime | None = None, **how) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.types import BinaryType
 from lagstone.functions import grades, text
 from lagstone.operators import correlate, matching, summary
 from lagstone.operators import pairs as pair_ops
-from lagstone.sources import files, probe, requests, sinks
+from lagstone.sources import files, probe, requests, sinks, wav_source
 from lagstone.sources.requests import SyncRequest
 from lagstone.sources.scratch import scratch_path
 from lagstone.streaming import consume, runs
@@ -553,6 +554,44 @@ def wav_pairs(spark: SparkSession, d: str) -> DataFrame:
     return got.select("primary_name", "secondary_name", "start_delay_ms", "end_delay_ms", "error", "degenerate", "confidence", "is_outlier", F.col("completed_at").isNotNull().alias("completed"))
 
 
+@F.pandas_udf(BinaryType())
+def _ramp(seconds: pd.Series, rate: pd.Series, width: pd.Series) -> pd.Series:
+    """WAV files of so many seconds: sample k is k % 1000, as integers of 16 bits, or as floats (width 4) of k % 1000 / 32768."""
+
+    def one(n: int, r: int, w: int) -> bytes:
+        x = (np.arange(int(n) * int(r)) % 1000).astype("<i2")
+        data = x.tobytes() if w == 2 else (x / 32768).astype("<f4").tobytes()
+        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1 if w == 2 else 3, 1, int(r), int(r * w), int(w), int(8 * w), b"data", len(data))
+        return head + data
+
+    return pd.Series([one(*x) for x in zip(seconds, rate, width, strict=True)])
+
+
+def _ramps(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A folder and name and content of a file for each nation: every third holds 2 bytes of nothing, the others 1 to 5 seconds; the last third isn't written."""
+    folder, k = scratch_path(spark, "ramps"), F.col("n_nationkey")
+    rows = _t(spark, d, "nation").select(k.alias("k"), F.concat(F.translate("n_name", " ", "_"), F.lit(".wav")).alias("name"))
+    content = F.when(F.col("k") % 3 == 1, F.lit(b"no")).otherwise(_ramp(F.col("k") % 5 + 1, F.lit(8000), F.when(F.col("k") % 2 == 0, 2).otherwise(4)))
+    files.write_files(rows.where("k % 3 < 2").select("name", content.alias("content")), folder)
+    return folder, rows
+
+
+def probe_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of recordings, of files that are none and of files that aren't there."""
+    folder, rows = _ramps(spark, d)
+    listed = rows.select("name", F.concat(F.lit(f"{folder}/"), "name").alias("path"))
+    return probe.with_probes(listed, probe.probe_files(listed)).drop("path")
+
+
+def wav_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The tails of recordings of over 2 seconds through the data source, and the sum of their samples."""
+    folder, _ = _ramps(spark, d)
+    wav_source.register(spark)
+    windows = spark.read.format("wav_windows").option("path", folder).option("window", 1.5).load().where("part = 'tail' AND seconds > 2")
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 32768).cast("long"))
+    return windows.select(text.basename("path").alias("name"), "part", "begin", "seconds", F.size("samples").cast("long").alias("n"), total.alias("total"))
+
+
 def _styled(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Names that meet by the second pattern, by the third, by all digits, and not at all, as the digit of an extension counts."""
     n = F.col("n").cast("string")
@@ -644,7 +683,7 @@ QUERIES = {
         pair_digits_fallback, pair_dedupe_last, pair_dedupe_first, preview_left_join, key_intersection, confidence_tiers, outlier_flag, status_cli, result_counts, success_counts, warn_any_low, filter_by_confidence,
         format_delay_ui, format_delay_cli, format_size, format_eta, progress_running, total_size_by_type, unique_parent, basename_ext, remove_selected, toggle_selection, probe_streams, history_top20,
         history_flatten, high_per_run, log_tail_200, upsert_latest, csv_round_trip, stream_file_drop, stream_progress, event_protocol, event_lines, consumed_state, consumed_results, consumed_log,
-        event_progress, list_recordings, wav_pairs, waterfall_styles, one_plan_styles, preview_movie, text_forms, result_status, probe_missing, csv_layouts, history_round_trip, history_export,
+        event_progress, list_recordings, wav_pairs, probe_recordings, wav_windows, waterfall_styles, one_plan_styles, preview_movie, text_forms, result_status, probe_missing, csv_layouts, history_round_trip, history_export,
     )
 }
 
@@ -755,6 +794,10 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, CASE WHEN k % 7 = 3 THEN 'Failed to load start of secondary: a_' || name WHEN k % 5 = 1 THEN 'Insufficient audio at start for analysis.' END AS error FROM n)
       SELECT 'v_' || name AS primary_name, 'a_' || name AS secondary_name, CASE WHEN error IS NULL THEN k * 7 / 8.0 END AS start_delay_ms, CASE WHEN error IS NULL THEN k * 7 / 8.0 END AS end_delay_ms, error,
         CASE WHEN error IS NULL THEN false END AS degenerate, CASE WHEN error IS NULL THEN 'high' ELSE 'low' END AS confidence, error IS NOT NULL AS is_outlier, true AS completed FROM r""",
+    "probe_recordings": """SELECT replace(n_name, ' ', '_') || '.wav' AS name, n_nationkey % 3 = 0 AS has_audio, false AS has_video, CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey % 5 + 1 AS DOUBLE) END AS duration FROM nation""",
+    "wav_windows": """WITH f AS (SELECT replace(n_name, ' ', '_') || '.wav' AS name, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS seconds FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 5 > 1),
+      s AS (SELECT name, seconds, unnest(range(CAST((seconds - 1.5) * 8000 AS BIGINT), CAST(seconds * 8000 AS BIGINT))) % 1000 AS x FROM f)
+      SELECT name, 'tail' AS part, seconds - 1.5 AS "begin", seconds, count(*) AS n, CAST(sum(x) AS BIGINT) AS total FROM s GROUP BY name, seconds""",
     "waterfall_styles": f"WITH {_STYLES_SQL} SELECT style, primary_path, secondary_path, step FROM j",
     "one_plan_styles": f"WITH {_STYLES_SQL} SELECT style, primary_path, secondary_path, CAST(rank AS BIGINT) AS pattern_rank FROM j",
     "preview_movie": """SELECT c_name || '.mkv' AS primary_name, 'dub.aac' AS secondary_name, 'matched' AS status FROM customer UNION ALL SELECT c_name || '.mkv', 'No match', 'missing' FROM customer""",

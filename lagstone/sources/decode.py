@@ -1,15 +1,17 @@
 """Decoding of a window of a recording, and its duration, on executors.
 
-WAV is read by the standard library, through any file system that Arrow opens, and only the window asked for is read.  Other formats go
+WAV (integers of 8 to 32 bits, floats of 32 and 64) is read through any file system that Arrow opens, and only the window asked for.  Other formats go
 to decoders that were added to ``DECODERS``, and to an external decoder where one is installed.  A failure is None, never an exception, as the pair processor turns it into a row.
 """
 
 from __future__ import annotations
 
+import math
 import shutil
+import struct
 import subprocess
-import wave
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -39,21 +41,89 @@ def to_float(frames: bytes, width: int, channels: int) -> np.ndarray:
     return x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
 
 
+#: Zero crossings of the resampling filter on each side, its window's shape, and outputs of a phase that are made at a time.
+ZEROS, SHAPE, STEP = 16, 8.0, 4096
+
+
+@lru_cache(maxsize=8)
+def _phases(up: int, down: int) -> np.ndarray:
+    """A windowed sinc that passes what both rates can hold, as one row of weights for each of ``up`` phases; each row sums to 1."""
+    wide = max(up, down)
+    half = ZEROS * wide
+    reach = half // up + 1
+    place = np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up
+    weights = np.where(np.abs(place) <= half, np.sinc(place / wide) * np.i0(SHAPE * np.sqrt(np.maximum(0, 1 - (place / half) ** 2))), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """By the spectrum: what the target rate can't hold is cut off."""
+    """To another rate by a polyphase filter: what the lower rate can't hold is damped, and memory beyond input and output is that of ``STEP`` outputs."""
     if rate == target or not len(x):
         return x
     n = max(1, round(len(x) * target / rate))
-    spectrum = np.fft.rfft(x)
-    return (np.fft.irfft(spectrum[: n // 2 + 1], n) * (n / len(x))).astype(np.float32)
+    up, down = target // math.gcd(rate, target), rate // math.gcd(rate, target)
+    phases = _phases(up, down)
+    width = phases.shape[1]
+    reach = width // 2
+    padded = np.concatenate([np.zeros(reach, np.float32), x, np.zeros(reach + down, np.float32)])
+    seen = np.lib.stride_tricks.sliding_window_view(padded, width)
+    out = np.empty(n, np.float32)
+    # outputs ``up`` apart have one phase, and their inputs begin ``down`` apart
+    for first in range(min(up, n)):
+        many, begin, weights = -(-(n - first) // up), first * down // up, phases[first * down % up]
+        for k in range(0, many, STEP):
+            some = min(STEP, many - k)
+            at = begin + k * down
+            out[first + k * up : first + (k + some) * up : up] = seen[at : at + some * down : down][:some] @ weights
+    return out
+
+
+class Wav:
+    """The header of a WAV file that is open, and any window of its frames."""
+
+    # The tags of integer and float samples, and of the longer header that names one of them.
+    INTEGER, FLOAT, LONGER = 1, 3, 0xFFFE
+
+    def __init__(self, raw):
+        self.raw, size = raw, raw.size()
+        head = raw.read(12)
+        if head[:4] not in (b"RIFF", b"RF64") or head[8:] != b"WAVE":
+            raise ValueError("no WAV file")
+        self.tag = None
+        while True:
+            name, length = struct.unpack("<4sI", raw.read(8))
+            if name == b"data":
+                break
+            body = raw.read(length + length % 2)
+            if name == b"fmt ":
+                self.tag, self.channels, self.rate, _, self.align = struct.unpack_from("<HHIIH", body)
+                self.tag = struct.unpack_from("<H", body, 24)[0] if self.tag == self.LONGER else self.tag
+        self.width = self.align // self.channels  # of fewer bits, the upper ones hold the sample
+        if (self.tag, self.width) not in {*((self.INTEGER, w) for w in (1, 2, 3, 4)), (self.FLOAT, 4), (self.FLOAT, 8)} or not self.rate:
+            raise ValueError("samples of another kind")
+        self.begin = raw.tell()
+        # a file that is still written, or too long for its header, has what is there
+        self.frames = min(length, size - self.begin) // self.align
+
+    @property
+    def seconds(self) -> float:
+        return self.frames / self.rate
+
+    def read(self, first: int, frames: int) -> np.ndarray:
+        """Mono floats."""
+        first = min(first, self.frames)
+        self.raw.seek(self.begin + first * self.align)
+        data = self.raw.read(min(frames, self.frames - first) * self.align)
+        if self.tag == self.INTEGER:
+            return to_float(data, self.width, self.channels)
+        x = np.frombuffer(data, f"<f{self.width}").astype(np.float32)
+        return x.reshape(-1, self.channels).mean(axis=1) if self.channels > 1 else x
 
 
 def _wav(path: str, rate: int, duration: float | None, offset: float) -> np.ndarray:
-    with _open(path) as raw, wave.open(raw, "rb") as f:
-        own = f.getframerate()
-        f.setpos(min(int(offset * own), f.getnframes()))
-        frames = f.readframes(int(duration * own) if duration else f.getnframes())
-        return resample(to_float(frames, f.getsampwidth(), f.getnchannels()), own, rate)
+    with _open(path) as raw:
+        f = Wav(raw)
+        return resample(f.read(int(offset * f.rate), int(duration * f.rate) if duration else f.frames), f.rate, rate)
 
 
 #: Further decoders (path, rate, duration or None, offset) -> mono floats or None, for formats that the standard library lacks.
@@ -65,6 +135,7 @@ def _external(path: str, rate: int, duration: float | None, offset: float) -> tu
     tool = shutil.which("ffmpeg")
     if tool is None:
         return None, ""
+    # The options that make the decoder give mono samples of 16 bits.
     window = [*(["-ss", str(offset)] if offset else []), *(["-t", str(duration)] if duration else [])]
     run = subprocess.run([tool, "-v", "error", *window, "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-f", "s16le", "-"], capture_output=True, check=False)
     found = np.frombuffer(run.stdout, "<i2").astype(np.float32) / 32768 if run.returncode == 0 and run.stdout else None
@@ -101,8 +172,8 @@ def _printed(tool: str, *args: str) -> str:
 
 
 def _header(path: str) -> float:
-    with _open(path) as raw, wave.open(raw, "rb") as f:
-        return f.getnframes() / f.getframerate()
+    with _open(path) as raw:
+        return Wav(raw).seconds
 
 
 def _decoded(path: str) -> float | None:

@@ -30,6 +30,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the entries of a small folder; a missing one has none."""
+    files, at = _at(spark, folder)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """file, folder, or None for what isn't there."""
     files, at = _at(spark, path)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone import schemas
-from lagstone.sources.files import exists, path_kind
+from lagstone.sources.files import exists, names, path_kind
 
 MODES = ("movie", "series", "batch", "single")
 
@@ -80,8 +81,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("line", line)
 
 
+def history_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the lists that are complete, in order; the last one counts."""
+    found = (re.fullmatch(r"version=(\d+)", x) for x in names(spark, path))
+    return sorted(int(m[1]) for m in found if m and exists(spark, f"{path}/{m[0]}/_SUCCESS"))
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The kept runs, or none."""
-    if not exists(spark, path):
+    found = history_versions(spark, path)
+    if not found:
         return spark.createDataFrame([], schemas.HISTORY)
-    return spark.read.schema(schemas.HISTORY).parquet(path)
+    return spark.read.schema(schemas.HISTORY).parquet(f"{path}/version={found[-1]}")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagstone.functions import text
-from lagstone.sources.files import exists
-from lagstone.sources.requests import read_history
+from lagstone.sources.files import exists, remove
+from lagstone.sources.requests import history_versions, read_history
 
 # The columns of the three CSV layouts.
 CSV_SERIES = ("Primary File", "Secondary File", "Start Delay (ms)", "End Delay (ms)", "Error")
@@ -62,13 +62,27 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def keep_history(spark: SparkSession, path: str, entry: DataFrame, *, limit: int = 20) -> DataFrame:
-    """Add a run and keep the newest ``limit``; the new list is written beside the old one and then takes its place."""
+    """Add a run and keep the newest ``limit``.
+
+    Each list is a version with a number of its own.  It counts from when it is complete, and only then the older ones go, so a stop at any
+    moment leaves a whole list.
+    """
+    now = history_versions(spark, path)
     rows = newest(read_history(spark, path).unionByName(entry), limit)
-    rows.write.mode("overwrite").parquet(path + ".new")
-    spark.read.parquet(path + ".new").coalesce(1).write.mode("overwrite").parquet(path)
+    _write_version(rows, f"{path}/version={now[-1] + 1 if now else 0}")
+    _drop_versions(spark, path, now)
     return read_history(spark, path)
 
 
+def _write_version(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _drop_versions(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    for k in numbers:
+        remove(spark, f"{path}/version={k}")
+
+
 def newest(history: DataFrame, limit: int = 20) -> DataFrame:
     return history.orderBy(F.col("date").desc(), "id").limit(limit)
 

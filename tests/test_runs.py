@@ -164,7 +164,7 @@ def slow_pairs(monkeypatch):
     real = pairs.process_pairs
 
     def process_pairs(frame, **how):
-        slow = F.pandas_udf(lambda x: (time.sleep(60), x)[1], "string")
+        slow = F.pandas_udf(lambda x: (time.sleep(20), x)[1], "string")
         late = frame.where("primary_path >= '/none/0010'").limit(1).count() > 0
         return real(frame.withColumn("primary_path", slow("primary_path")) if late else frame, **how)
 
