@@ -173,16 +173,20 @@ def series_offsets(pairs: DataFrame, *, rate: float, segment: int, least: int, e
 
     ``rate``: samples a second.  A head or tail needs more than ``least`` samples.  Only the slices travel to Python.
     """
-    n_head = common_length(head("p", segment), head("s", segment))
-    n_tail = common_length(tail("p", segment), tail("s", segment))
-    rows = pairs.withColumns({"__h": n_head, "__t": n_tail})
+    cut = {f"__{c}{k}": x for c in ("p", "s") for k, x in (("h", head(c, segment)), ("t", tail(c, segment)), ("n", F.size(c)))}
+    return slice_offsets(pairs.withColumns(cut), rate=rate, segment=segment, least=least, exact=exact).drop(*cut)
+
+
+def slice_offsets(pairs: DataFrame, *, rate: float, segment: int, least: int, exact: bool = False) -> DataFrame:
+    """The same from heads (__ph, __sh), tails (__pt, __st) and lengths (__pn, __sn) of the signals, so that whole ones need not be brought together."""
+    rows = pairs.withColumns({"__h": common_length(F.col("__ph"), F.col("__sh")), "__t": common_length(F.col("__pt"), F.col("__st"))})
     usable_head, usable_tail = F.col("__h") > least, F.col("__t") > least
     lags = {
-        "__hl": estimate_lag(F.when(usable_head, F.slice("p", F.lit(1), F.col("__h"))), F.when(usable_head, F.slice("s", F.lit(1), F.col("__h")))),
-        "__tl": estimate_lag(*(F.when(usable_head & usable_tail, F.slice(tail(c, segment), F.lit(1), F.col("__t"))) for c in ("p", "s"))),
+        "__hl": estimate_lag(*(F.when(usable_head, F.slice(c, F.lit(1), F.col("__h"))) for c in ("__ph", "__sh"))),
+        "__tl": estimate_lag(*(F.when(usable_head & usable_tail, F.slice(c, F.lit(1), F.col("__t"))) for c in ("__pt", "__st"))),
     }
     rows = rows.withColumns(lags)
-    durations = [F.size(c) / F.lit(float(rate)) for c in ("p", "s")]
+    durations = [F.col(c) / F.lit(float(rate)) for c in ("__pn", "__sn")]
     end = tail_correction(lag_ms("__tl", rate), *durations, exact=exact, segment=segment / rate)
     error = F.when(~usable_head, "Insufficient audio at start for analysis.").when(~usable_tail, "Insufficient audio at end for analysis.")
     return rows.withColumns({"start_delay_ms": lag_ms("__hl", rate), "end_delay_ms": end, "error": error}).drop("__h", "__t", "__hl", "__tl")

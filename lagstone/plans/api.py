@@ -42,11 +42,12 @@ def run(spark: SparkSession, request: SyncRequest, *, exact: bool = False, done:
     return pairs.graded(pairs.process_pairs(found, segment=request.segment_duration, exact=exact, done=done, staged=staged))
 
 
-def run_to(spark: SparkSession, request: SyncRequest, folder: str, *, started: datetime | None = None, **how) -> str:
-    """Run a request once and keep all its output under a path of its own, which is returned: results, event lines and the CSV report."""
+def run_to(spark: SparkSession, request: SyncRequest, folder: str, *, started: datetime | None = None, one_file: bool = False, **how) -> str:
+    """Run a request once and keep all its output under a path of its own, which is returned: results, event lines and the CSV report, as one file
+    only where that is asked for."""
     path = sinks.run_path(folder, request.mode, started or datetime.now(timezone.utc))
     run(spark, request, **how).write.parquet(f"{path}/results")
     results = spark.read.parquet(f"{path}/results")
     runs.write_in_order(runs.run_events(results, request), f"{path}/events")
-    sinks.write_csv(results, f"{path}/csv", sinks.CSV_MOVIE if request.mode == "movie" else sinks.CSV_SERIES, one_file=True)
+    sinks.write_csv(results, f"{path}/csv", sinks.CSV_MOVIE if request.mode == "movie" else sinks.CSV_SERIES, one_file=one_file)
     return path

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import struct
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -30,32 +32,43 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def hourly_series(events: DataFrame) -> DataFrame:
-    """id and samples: events per hour of each user, from the first hour to the last.
+def hourly_ends(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """id, head, tail (the first and last ``segment`` values) and n of the events per hour of each user, from the first hour to the last.
 
-    Counted before they are collected, so a user's row holds one entry an hour; each entry then brings the zeros up to the next one, in one
-    pass over the sorted entries.
+    Counted before they are collected, so a user's row holds one entry an hour with events; the gaps are filled in the ends only, which
+    is all that goes on from here.
     """
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
     counts = events.where("ts IS NOT NULL AND user_id IS NOT NULL").groupBy("user_id", hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    user = counts.groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("hour", "n"))).alias("hours"))
-
-    def filled(entry, k):
-        gap = F.coalesce(F.get("hours", k + 1)["hour"] - entry["hour"] - 1, F.lit(0)).cast("int")
-        return F.concat(F.array(entry["n"].cast("double")), F.array_repeat(F.lit(0.0), gap))
-
-    return user.select("id", F.flatten(F.transform("hours", filled)).alias("samples"))
-
-
-def _neighbours(signals: DataFrame) -> DataFrame:
-    """p_id, s_id, p and s of signals with ids k and k + 1: each signal is made once and sent to both pairs that it belongs to."""
-    own, last = F.struct(F.col("id").alias("p_id"), F.col("samples").alias("p"), F.lit(None).alias("s")), F.struct((F.col("id") - 1).alias("p_id"), F.lit(None).alias("p"), F.col("samples").alias("s"))
-    kind = "array<struct<p_id:bigint,p:array<double>,s:array<double>>>"
-    sides = signals.select(F.explode(F.array(own.cast(kind[6:-1]), last.cast(kind[6:-1]))).alias("x")).select("x.*")
-    pairs = sides.groupBy("p_id").agg(F.first("p", ignorenulls=True).alias("p"), F.first("s", ignorenulls=True).alias("s"))
-    return pairs.where("p IS NOT NULL AND s IS NOT NULL").select("p_id", (F.col("p_id") + 1).alias("s_id"), "p", "s")
-
-
+    users = counts.groupBy(F.col("user_id").alias("id")).agg(F.collect_list("hour").alias("hours"), F.collect_list("n").alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).offsets.to_numpy()
+            hours, counts = (batch.column(k).values.to_numpy() for k in (1, 2))
+            heads, tails, lengths = [], [], []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                h, n = hours[a:b], counts[a:b]
+                first, last = int(h.min()), int(h.max())
+                width = min(segment, last - first + 1)
+                for out, begin in ((heads, first), (tails, last - width + 1)):
+                    here = (h >= begin) & (h < begin + width)
+                    out.append(np.bincount(h[here] - begin, n[here], width))
+                lengths.append(last - first + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.float64())) for x in (heads, tails)), pa.array(lengths, pa.int64())], names=["id", "head", "tail", "n"])
+
+    return users.mapInArrow(run, "id long, head array<double>, tail array<double>, n long")
+
+
+def _neighbours(ends: DataFrame) -> DataFrame:
+    """p_id, s_id and the ends of series with ids k and k + 1: each series' ends are made once and sent to both pairs that it belongs to."""
+    x = F.struct("head", "tail", "n")
+    sides = ends.select(F.explode(F.array(F.struct(F.col("id").alias("p_id"), x.alias("p"), F.lit(None).cast(_ENDS).alias("s")), F.struct((F.col("id") - 1).alias("p_id"), F.lit(None).cast(_ENDS).alias("p"), x.alias("s")))).alias("x")).select("x.*")
+    pairs = sides.groupBy("p_id").agg(F.first("p", ignorenulls=True).alias("p"), F.first("s", ignorenulls=True).alias("s")).where("p IS NOT NULL AND s IS NOT NULL")
+    return pairs.select("p_id", (F.col("p_id") + 1).alias("s_id"), *(F.col(f"{c}.{name}").alias(f"__{c}{name[0]}") for c in ("p", "s") for name in ("head", "tail", "n")))
+
+
+_ENDS = "struct<head:array<double>,tail:array<double>,n:bigint>"
 _SERIES_SQL = """
 hourly AS (SELECT user_id AS id, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
 spans AS (SELECT id, min(hour) AS first, max(hour) - min(hour) + 1 AS dur FROM hourly GROUP BY id),
@@ -84,7 +97,7 @@ _CONFIDENCE_SQL = "CASE WHEN abs({0} - {1}) < 50 THEN 'high' WHEN abs({0} - {1})
 
 def sync_series_events(spark: SparkSession, d: str, *, exact: bool = False) -> DataFrame:
     """Offsets of the hourly event counts of neighbouring users, from head and tail, with confidence."""
-    got = correlate.series_offsets(_neighbours(hourly_series(_t(spark, d, "events"))), rate=1000 / UNIT, segment=SEGMENT, least=LEAST, exact=exact)
+    got = correlate.slice_offsets(_neighbours(hourly_ends(_t(spark, d, "events"))), rate=1000 / UNIT, segment=SEGMENT, least=LEAST, exact=exact)
     rounded = {c: F.round(c, 3) for c in ("start_delay_ms", "end_delay_ms")}
     return got.withColumns(rounded).select("p_id", "s_id", "start_delay_ms", "end_delay_ms", "error", grades.confidence("start_delay_ms", "end_delay_ms").alias("confidence"))
 
@@ -96,13 +109,12 @@ def tail_correction(spark: SparkSession, d: str) -> DataFrame:
 
 def head_tail_slices(spark: SparkSession, d: str) -> DataFrame:
     """Lengths and sums of heads and tails, and whether they suffice."""
-    x = hourly_series(_t(spark, d, "events"))
-    h, t = correlate.head("samples", SEGMENT), correlate.tail("samples", SEGMENT)
+    x = hourly_ends(_t(spark, d, "events"))
 
     def total(a):
         return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
-    return x.select("id", F.size(h).cast("long").alias("head_n"), F.size(t).cast("long").alias("tail_n"), total(h).alias("head_sum"), total(t).alias("tail_sum"), (F.size(h) > LEAST).alias("usable"))
+    return x.select("id", F.size("head").cast("long").alias("head_n"), F.size("tail").cast("long").alias("tail_n"), total("head").alias("head_sum"), total("tail").alias("tail_sum"), (F.size("head") > LEAST).alias("usable"))
 
 
 def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -108,12 +108,21 @@ def single_file(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
     return files, path.replace("\\", "/").rpartition("/")[0] or None
 
 
+def dropped_paths(spark: SparkSession, paths: Sequence[str], *, kind: str = "audio") -> DataFrame:
+    """Dropped files with ordinal: the order in which they were dropped."""
+    rows = spark.createDataFrame(list(enumerate(paths)), "ordinal long, path string")
+    return rows.select(text.basename("path").alias("name"), "path", F.lit(kind).alias("type"), F.lit(None).cast("long").alias("size"), "ordinal")
+
+
 def drop_files(current: DataFrame, dropped: DataFrame, *, mode: str, kind: str) -> DataFrame:
-    """Append dropped files; in movie mode the audio list keeps the first only: one that was there before, else of the dropped ones, in path order."""
+    """Append dropped files; in movie mode the audio list keeps the first only: one that was there before, else the first that was dropped, by its
+    ordinal where the dropped files have one, and by path."""
+    order = F.col("ordinal") if "ordinal" in dropped.columns else F.lit(0).cast("long")
+    dropped = dropped.withColumn("__at", order).drop("ordinal")
     if mode != "movie" or kind != "audio":
-        return current.unionByName(dropped)
-    both = current.withColumn("__late", F.lit(0)).unionByName(dropped.withColumn("__late", F.lit(1)))
-    return both.orderBy("__late", "path").limit(1).drop("__late")
+        return current.unionByName(dropped.drop("__at"))
+    both = current.withColumns({"__late": F.lit(0), "__at": F.lit(0).cast("long")}).unionByName(dropped.withColumn("__late", F.lit(1)))
+    return both.orderBy("__late", "__at", "path").limit(1).drop("__late", "__at")
 
 
 def first_file(files: DataFrame) -> DataFrame:

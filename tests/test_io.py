@@ -34,6 +34,10 @@ def test_listing(spark, tmp_path):
     both = files.drop_files(files.as_audio(movies), files.as_audio(one), mode="movie", kind="audio")
     assert [r.name for r in both.collect()] == ["a.mp4"]
     assert files.drop_files(movies, one, mode="series", kind="audio").count() == 3
+    given = files.dropped_paths(spark, ["/d/z.wav", "/d/a.wav"])
+    assert [r.name for r in files.drop_files(movies.limit(0), given, mode="movie", kind="audio").collect()] == ["z.wav"]
+    assert [r.name for r in files.drop_files(one, given, mode="movie", kind="audio").collect()] == ["c.wav"]
+    assert sorted(r.name for r in files.drop_files(one, given, mode="series", kind="audio").collect()) == ["a.wav", "c.wav", "z.wav"]
 
 
 def test_entries(spark, tmp_path):
