@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +22,8 @@ LAST = 2**63 - 1
 # Fixed value: what a canceled run says.
 CANCELED = "Sync canceled by user."
 _ORDER = ["completed_at", "primary_path", "secondary_path"]
+#: Tags that were canceled, for runs between two jobs.
+_canceled: set[str] = set()
 
 
 def events_of(results: DataFrame, *, batch: int = 0, before: int = 0, total: int | None = None) -> DataFrame:
@@ -167,8 +171,11 @@ def run_blocks(spark: SparkSession, pairs: DataFrame, out: str, tag: str, *, req
         _note(spark, messages(request, total), f"{out}/events/batch=-1")
     context = spark.sparkContext
     context.addJobTag(tag)
+    _canceled.discard(tag)
     try:
         for k in range(-(-total // block)):
+            if tag in _canceled:  # between two blocks no job could be stopped
+                raise InterruptedError("canceled")
             if exists(spark, f"{out}/events/batch={k}/_SUCCESS"):
                 continue
             path = f"{out}/results/batch={k}"
@@ -196,7 +203,14 @@ def current_progress(events: DataFrame, current: str) -> DataFrame:
     return events.where((F.col("type") == "file_progress") & (F.col("file") == current))
 
 
-def cancel(spark: SparkSession, tag: str) -> None:
-    """Stop the runs that were started under a job group or a tag of this name; what they have committed stays."""
-    spark.sparkContext.cancelJobGroup(tag)
-    spark.sparkContext.cancelJobsWithTag(tag)
+def cancel(spark: SparkSession, tag: str, *, seconds: float = 1.0) -> None:
+    """Stop the runs that were started under a job group or a tag of this name; what they have committed stays.
+
+    A query is several jobs, and one may begin as another ends, so jobs are looked for again and again for some time.
+    """
+    _canceled.add(tag)
+    until = time.monotonic() + seconds
+    while time.monotonic() < until:
+        spark.sparkContext.cancelJobGroup(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
+        time.sleep(0.1)
