@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -16,7 +17,16 @@ NULL_ID = -(2**63)
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_made: list[str] = []
+
+
+class _Made(threading.local):
+    """What the calling thread has staged: operators that run beside it in one session keep their own tables."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -50,7 +60,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = _hadoop(spark, path)
     files.deleteOnExit(at)
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
@@ -74,18 +84,18 @@ def drop(*staged: DataFrame) -> None:
 
 
 def made() -> int:
-    """A mark for ``drop_since``."""
-    return len(_made)
+    """A mark for ``drop_since``, in the calling thread."""
+    return len(_made.paths)
 
 
 def drop_since(mark: int, keep: DataFrame) -> None:
-    """Delete what has been staged since ``mark``, but for ``keep``: all that it was made of."""
+    """Delete what this thread has staged since ``mark``, but for ``keep``: all that it was made of."""
     own = _paths.get(keep)
-    for path in _made[mark:]:
+    for path in _made.paths[mark:]:
         if path != own:
             files, at = _hadoop(keep.sparkSession, path)
             files.delete(at, True)
-    _made[mark:] = [own] if own in _made[mark:] else []
+    _made.paths[mark:] = [own] if own in _made.paths[mark:] else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
