@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -55,6 +56,54 @@ def test_gadgets_against_merging():
             assert own.decode(ids) == word
 
 
+def merged(ids, merges):
+    for a, b, w in merges:
+        out, i = [], 0
+        while i < len(ids):
+            if ids[i : i + 2] == [a, b]:
+                out.append(w)
+                i += 2
+            else:
+                out.append(ids[i])
+                i += 1
+        ids = out
+    return ids
+
+
+def test_transitions_against_merging():
+    """The table has an arc from a token's state exactly where merging the two tokens' symbols gives the two tokens."""
+    r = random.Random(11)
+    lacking = 0
+    for _ in range(40):
+        labels, merges = list("abc"), []
+        for _ in range(r.randint(1, 14)):
+            a, b = r.randrange(len(labels)), r.randrange(len(labels))
+            if labels[a] + labels[b] not in labels:
+                labels.append(labels[a] + labels[b])
+                merges.append((a, b, len(labels) - 1))
+        own = bpe.Automaton(labels, merges)
+        alive = [i for i, x in enumerate(labels) if merged([labels.index(c) for c in x], merges) == [i]]
+        for a in alive:
+            for b in alive:
+                want = merged([labels.index(c) for c in labels[a] + labels[b]], merges) == [a, b]
+                assert own.has_arc(a, b) == want, (labels, merges, a, b)
+                lacking += not want
+    assert lacking > 500
+
+
+def test_long_word_takes_linear_time():
+    """A word of many ambiguous places is read once: four times the length takes about four times as long."""
+    own = bpe.load(P.path("byte_bpe_50k.json")).automaton
+    times = []
+    for n in (40_000, 160_000):
+        word = "".join(random.Random(n).choice("aethrsin") for _ in range(n))
+        begin = time.process_time()
+        ids = own.encode_word(word)
+        times.append(time.process_time() - begin)
+        assert own.decode(ids) == word
+    assert times[1] < 12 * times[0]
+
+
 def test_improper_merges():
     with pytest.raises(ValueError, match="proper"):
         bpe.Automaton(["a", "b", "ab", "abb"], [(2, 1, 3), (0, 1, 2)])
