@@ -8,7 +8,7 @@ encoded, without a count of all sequences first: ids travel once, and are never
 Ranges of slots are shards, one file each with its records in the order of slots; all records have one length.  The slots in use
 are spread evenly over a space far larger than their number, so a record's position in the training order is the number of records
 in the shards before it, which follows from the sizes of the files, plus its place in its own.  A reader resumes at any position with one
-look at the list of files and one seek.
+look at the table of files and one seek.
 
 A record: slot and doc_id (int64), flag for a doc_id (uint8), number of the sequence in its text and number of ids (int32), the ids
 (uint16), filled with 0, and a line end.  Little-endian.  The files are written by Spark's text sink, so they can lie on any file system.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -27,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagstone.llm import bpe, common
 
 #: Ids of a record, and records of a shard, about.
 LENGTH, SHARD = 512, 16_384
+#: Shards that one task writes or reads at most, and shards whose positions are summed up together.
+SHARDS_A_TASK, MANIFEST_BLOCK = 8, 4_096
 ROUNDS, KEY = 4, 20_240_229
 #: The space of indices: input partitions, and sequences of each.
 PARTITIONS, LOCAL = 10**6, 10**12
@@ -105,59 +106,75 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, *, length: int = L
             yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(slots), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
     placed = source.mapInArrow(encode, "shard long, slot long, record binary")
-    tasks = min(files, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-files // SHARDS_A_TASK))
     ranges = placed.repartitionById(tasks, (F.col("shard") * tasks / files).cast("int")).sortWithinPartitions("shard", "slot")
     # filled up here: only ids travel
     whole = F.expr(f"rpad(record, {record_type(length).itemsize - 1}, X'00')").cast("string").alias("value")
     ranges.select(whole, "shard").write.partitionBy("shard").text(path, lineSep="\n")
 
 
-def manifest(spark: SparkSession, path: str, *, length: int = LENGTH) -> list[tuple[int, int, str]]:
-    """Of each shard the position of its first record, its number of records and its file, in order: a list of files, not of records."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length")
-    rows = sorted((int(r.path.rsplit("shard=", 1)[1].split("/")[0]), r.length // record_type(length).itemsize, r.path) for r in files.collect())
-    out, first = [], 0
-    for _, n, name in rows:
-        out.append((first, n, name))
-        first += n
-    return out
+def manifest(spark: SparkSession, path: str, *, length: int = LENGTH) -> DataFrame:
+    """shard long, first long (position of its first record), n long (records) and file string of each shard; the sizes of files tell.
+
+    Positions are summed up in two steps, over blocks of shards and within each, so no task has the rows of all shards.
+    """
+    # the schema is given, so that a folder without shards is an empty table; sizes only: no content is read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    rows = files.select(
+        F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long").alias("shard"), F.expr(f"length div {record_type(length).itemsize}").alias("n"), F.col("path").alias("file")
+    ).withColumn("block", F.expr(f"shard div {MANIFEST_BLOCK}"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(F.sum("n").alias("all")).select("block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(blocks, "block")
+    return placed.select("shard", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first"), "n", "file")
+
+
+def _open(name: str):
+    files, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+    return files.open_input_file(unquote(at))
 
 
-def read_from(shards: list[tuple[int, int, str]], position: int, *, length: int = LENGTH, block: int = 1024) -> Iterator[np.ndarray]:
-    """Blocks of records from ``position`` on, in training order: opens the shard that has it and seeks; then shard after shard."""
+def read_from(shards: DataFrame, position: int, *, length: int = LENGTH, block: int = 1024) -> Iterator[np.ndarray]:
+    """Blocks of records from ``position`` on, in training order: opens the shard that has it and seeks; then shard after shard.
+
+    ``shards`` is the manifest; its rows come partition by partition as they are needed.
+    """
     kind = record_type(length)
-    k = max(0, bisect_right([first for first, _, _ in shards], position) - 1)
-    for first, n, name in shards[k:]:
-        files, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
-        with files.open_input_file(unquote(at)) as f:
-            place = max(0, position - first)
+    for row in shards.where(F.col("first") + F.col("n") > position).orderBy("shard").toLocalIterator():
+        with _open(row.file) as f:
+            place = max(0, position - row.first)
             f.seek(place * kind.itemsize)
-            while place < n:
-                got = np.frombuffer(f.read(min(block, n - place) * kind.itemsize), kind)
+            while place < row.n:
+                got = np.frombuffer(f.read(min(block, row.n - place) * kind.itemsize), kind)
                 yield got
                 place += len(got)
 
 
 def read_shards(spark: SparkSession, path: str, *, length: int = LENGTH) -> DataFrame:
-    """position, slot, shard, offset (of the record in its file), doc_id, seq, n_tokens and ids_sha256 of every record."""
+    """position, slot, shard, offset (of the record in its file), doc_id, seq, n_tokens and ids_sha256 of every record.
+
+    Tasks get rows of the manifest and stream the files that these name, in blocks of records.
+    """
     kind = record_type(length)
-    first = spark.sparkContext.broadcast({name: (k, at) for k, (at, _, name) in enumerate(manifest(spark, path, length=length))})
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = np.frombuffer(content, kind)
-                shard, begin = first.value[name]
-                for at in range(0, len(whole), 4096):
-                    got = whole[at : at + 4096]
-                    place = np.arange(at, at + len(got))
-                    hashes = [hashlib.sha256(x[:n].astype("<u4").tobytes()).hexdigest() for x, n in zip(got["ids"], got["n"].tolist(), strict=True)]
-                    doc = pa.array(got["doc_id"].astype(np.int64), mask=got["known"] == 0)
-                    columns = [pa.array(begin + place), pa.array(got["slot"].astype(np.int64)), pa.array(np.full(len(got), shard)), pa.array(place * kind.itemsize), doc, pa.array(got["seq"].astype(np.int32)), pa.array(got["n"].astype(np.int64)), pa.array(hashes, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["position", "slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids_sha256"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(parse, "position long, slot long, shard long, offset long, doc_id long, seq int, n_tokens long, ids_sha256 string")
+            for shard, first, n, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _open(name) as f:
+                    for at in range(0, n, 4096):
+                        got = np.frombuffer(f.read(min(4096, n - at) * kind.itemsize), kind)
+                        place = np.arange(at, at + len(got))
+                        hashes = [hashlib.sha256(x[:m].astype("<u4").tobytes()).hexdigest() for x, m in zip(got["ids"], got["n"].tolist(), strict=True)]
+                        doc = pa.array(got["doc_id"].astype(np.int64), mask=got["known"] == 0)
+                        columns = [pa.array(first + place), pa.array(got["slot"].astype(np.int64)), pa.array(np.full(len(got), shard)), pa.array(place * kind.itemsize), doc, pa.array(got["seq"].astype(np.int32)), pa.array(got["n"].astype(np.int64)), pa.array(hashes, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["position", "slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids_sha256"])
+
+    # staged: a table of files, a row each; spread so that each task opens a few of them
+    rows = common.stage(manifest(spark, path, length=length), "manifest")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARDS_A_TASK))
+    spread = rows.select("shard", "first", "n", "file").repartition(tasks, "shard")
+    return spread.mapInArrow(parse, "position long, slot long, shard long, offset long, doc_id long, seq int, n_tokens long, ids_sha256 string")
 
 
 def op6_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
