@@ -36,7 +36,7 @@ from lagstone.llm import common
 #: Ends the last symbol of a word in vocabularies that mark word ends (a private-use character, never produced by byte symbols).
 WORD_END = ""
 #: Words remembered by a worker, in each of two generations.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 700_000
 
 # White space as the tokenizers' regular expressions define it.
 SPACE = r"\t-\r \x85\xa0  -     　"
