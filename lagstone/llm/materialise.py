@@ -33,7 +33,7 @@ from lagstone.llm import bpe, common
 
 #: Ids of a record, and records of a shard, about.
 LENGTH, SHARD = 512, 16_384
-#: Shards that one task writes or reads at most, and shards whose positions are summed up together.
+#: Shards that one task writes or reads, about, and shards whose positions are summed up together.
 SHARDS_A_TASK, MANIFEST_BLOCK = 8, 4_096
 ROUNDS, KEY = 4, 20_240_229
 #: The space of indices: input partitions, and sequences of each.
