@@ -12,7 +12,8 @@ a bit of the table says whether a state has an arc for a letter.  The table's si
 50,000 merges).
 
 Encoding reads a word once, from left to right.  A trie of the arc labels with links to the longest suffix tells which tokens end at a
-place; the one among them whose arc leaves the state before it is the last token of that prefix.  Nothing is tried twice.
+place; the one among them whose arc leaves the state before it is the last token of that prefix.  Nothing is tried twice.  The words
+that a batch of texts brings anew go through the tables together, a symbol of all of them at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from lagstone.llm import common
 WORD_END = ""
 #: Words remembered by a worker, in each of two generations.
 CACHE_WORDS = 350_000
+#: Words that go through the tables together, at most and at least (fewer are encoded one by one), and bytes of a word that is kept.
+TOGETHER, FEW, KEPT = 16_384, 64, 64
 
 # White space as the tokenizers' regular expressions define it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -232,24 +236,129 @@ class Automaton:
         return joint.join(map(self.labels.__getitem__, ids))
 
 
+class Columns:
+    """An automaton's tables as arrays, by which many words take a step at a time.
+
+    ``alphabet[i]`` is the symbol that code ``i`` stands for.  Rows of ``step`` are complete: a node's row is that of its link with the node's own
+    arcs, and a node without arcs shares its link's row, so a symbol is one look-up.
+    """
+
+    def __init__(self, automaton: Automaton, alphabet: str):
+        codes = {c: i for i, c in enumerate(alphabet)}
+        n = len(automaton.step)
+        self.row, self.depth = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.step = np.zeros((sum(map(bool, automaton.step)) + 1, len(alphabet)), np.int32)
+        self.ends = np.zeros(n, np.int32)  # the longest suffix that is a token, and after that the next shorter one; 0 for none
+        self.shorter = np.zeros(n, np.int32)
+        self.token = np.full(n, -1, np.int32)
+        rows, level = 0, [0]
+        while level:
+            deeper = []
+            for node in level:
+                link, arcs = automaton.link[node], automaton.step[node]
+                ending = automaton.ending[node]
+                whole = bool(ending) and ending[0][1] == self.depth[node]
+                self.token[node] = ending[0][0] if whole else -1
+                self.shorter[node] = self.ends[link] if node else 0
+                self.ends[node] = node if whole else self.shorter[node]
+                if not arcs:
+                    self.row[node] = self.row[link]
+                    continue
+                if node:
+                    rows += 1
+                    self.step[rows] = self.step[self.row[link]]
+                    self.row[node] = rows
+                for c, after in arcs.items():
+                    self.depth[after] = self.depth[node] + 1
+                    deeper.append(after)
+                    if c in codes:
+                        self.step[rows, codes[c]] = after
+            level = deeper
+        self.letter, self.state = np.array(automaton.letter, np.int64), np.array(automaton.state, np.int64)
+        self.table = np.frombuffer(automaton.table, np.uint8)
+
+    def encode(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words, one after the other, and how many each has; words come longest first, their codes one after the other."""
+        n, longest = len(lengths), int(lengths[0])
+        symbols = np.zeros((n, longest), np.uint8)
+        symbols[np.arange(longest) < lengths[:, None]] = codes
+        symbols = np.ascontiguousarray(symbols.T)
+        alive = np.searchsorted(-lengths, -np.arange(longest), "left")  # how many words have a symbol at each place
+        last = np.zeros((longest, n), np.int32)  # the node of the token that ends each prefix
+        states = np.full((longest + 1) * n, -1, np.int64)
+        states[:n] = -2  # the first state, which has all arcs
+        at = np.zeros(n, np.int32)
+        for end, m in enumerate(alive.tolist()):
+            at = self.step[self.row[at[:m]], symbols[end, :m]]
+            if not at.all():
+                raise ValueError("the word has symbols that the vocabulary lacks")
+            word, node = np.arange(m), self.ends[at]
+            while True:
+                found = node > 0
+                if not found.all():
+                    word, node = word[found], node[found]
+                if not len(word):
+                    break
+                x = self.token[node]
+                before = states[(end + 1 - self.depth[node]) * n + word]
+                bit = np.maximum(before, 0) + self.letter[x]
+                fits = (before == -2) | ((before >= 0) & (self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0))
+                done = word[fits]
+                last[end, done] = node[fits]
+                states[(end + 1) * n + done] = self.state[x[fits]]
+                word, node = word[~fits], self.shorter[node[~fits]]
+        counts = np.zeros(n, np.int64)
+        word, left, found = np.arange(n), lengths.astype(np.int64), []
+        while len(word):
+            node = last[left - 1, word]
+            if not node.all():
+                raise ValueError("the word has symbols that the vocabulary lacks")
+            found.append((word, self.token[node]))
+            counts[word] += 1
+            left = left - self.depth[node]
+            word, left = word[left > 0], left[left > 0]
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]), np.int32)
+        for k, (word, x) in enumerate(found, 1):
+            out[ends[word] - k] = x
+        return out, counts
+
+
 class WordCache(dict):
-    """Word -> value, two generations, so memory is bounded and frequent words stay."""
+    """Word -> value, two generations, so memory is bounded and frequent words stay.
 
-    def __init__(self, make, limit: int = CACHE_WORDS):
+    ``make`` gives the value of a word, ``make_all`` those of many words.
+    """
+
+    def __init__(self, make, make_all=None, limit: int = CACHE_WORDS):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.make_all, self.limit, self.old = make, make_all, limit, {}
+
+    def _keep(self, word, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(word) < 64:
-            self[word] = value
+        if len(word) < KEPT:
+            self._keep(word, value)
         return value
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Make the values that ``words`` lack together; long words are left to be made when they are asked for."""
+        old = self.old
+        lacking = [w for w in set(words).difference(self) if w not in old and len(w) < KEPT]
+        if len(lacking) < FEW:
+            return
+        for at in range(0, len(lacking), TOGETHER):
+            part = lacking[at : at + TOGETHER]
+            for word, value in zip(*self.make_all(part), strict=True):
+                self._keep(word, value)
+
 
 class Tokenizer:
     """A byte-level BPE vocabulary of a ``.json`` file, encoded by the automaton.
@@ -288,7 +397,11 @@ class Tokenizer:
         self.any = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
         self.ascii = re.compile(WORD_PATTERN_ASCII if self.words else BYTE_PATTERN_ASCII, re.ASCII)
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.packed = {code: WordCache(lambda w, code=code: struct.pack(f"<{len(x := self.encode_piece(w))}{code}", *x)) for code in "IH"}
+        self.columns = None
+        self.packed = {
+            code: WordCache(lambda w, code=code: struct.pack(f"<{len(x := self.encode_piece(w))}{code}", *x), lambda words, code=code: self.pack_pieces(words, code))
+            for code in "IH"
+        }
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k in ("words", "special", "automaton", "decoder")}
@@ -319,6 +432,51 @@ class Tokenizer:
         word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes_to_symbols)
         return self.automaton.encode_word(word + WORD_END if self.words else word)
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The order in which the pieces (none of them empty) are taken, their tokens in that order, and how many each has."""
+        # byte 255 is in no UTF-8 text, so its place is free for the mark of a word's end
+        if self.columns is None:
+            symbols = byte_symbols()
+            self.columns = Columns(self.automaton, symbols[:255] + WORD_END if self.words else symbols)
+        words = [w.encode("utf-8", "surrogatepass") for w in pieces]
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + self.words
+        order = np.argsort(-lengths, kind="stable").tolist()
+        end = b"\xff" * self.words
+        codes = np.frombuffer(end.join([words[k] for k in order]) + end, np.uint8)
+        return order, *self.columns.encode(codes, lengths[order])
+
+    def pack_pieces(self, pieces: list[str], code: str) -> tuple[list[str], list[bytes]]:
+        """The pieces in some order, and the packed ids of each."""
+        order, tokens, counts = self.encode_pieces(pieces)
+        width = struct.calcsize(f"<{code}")
+        packed = tokens.astype(f"<u{width}").tobytes()
+        ends = (np.cumsum(counts) * width).tolist()
+        return [pieces[k] for k in order], [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        """How many ids each piece has."""
+        out = [0] * len(pieces)
+        short = [k for k, w in enumerate(pieces) if 0 < len(w) < KEPT]
+        for k, w in enumerate(pieces):
+            if len(w) >= KEPT:
+                out[k] = len(self.encode_piece(w))
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            order, _, counts = self.encode_pieces([pieces[k] for k in part])
+            for k, n in zip(order, counts.tolist(), strict=True):
+                out[part[k]] = n
+        return out
+
+    def encode_all(self, texts: Sequence[str], code: str = "I") -> list[bytes]:
+        """``encode_packed`` of each text; what words they bring anew is encoded together."""
+        cache, split = self.packed[code], []
+        for text in texts:
+            plain = "<|" not in text and not any(x in text for x in self.special)
+            split.append(self.pieces(text) if plain else None)
+        cache.learn(chain.from_iterable(x for x in split if x is not None))
+        get = cache.__getitem__
+        return [b"".join(map(get, x)) if x is not None else self.encode_packed(text, code) for text, x in zip(texts, split, strict=True)]
+
     def encode_packed(self, text: str, code: str = "I") -> bytes:
         """The ids of a text as little-endian unsigned integers of 32 bits, or with code H of 16 bits."""
         get = self.packed[code].__getitem__
@@ -372,8 +530,7 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True, keep:
         tokenizer = shared.value
         for batch in batches:
             counts, ids, hashes, decoded = [], [], [], []
-            for text in batch.column(n).to_pylist():
-                packed = tokenizer.encode_packed(text or "")
+            for packed in tokenizer.encode_all([text or "" for text in batch.column(n).to_pylist()]):
                 counts.append(len(packed) // 4)
                 if keep_ids:
                     ids.append(packed)

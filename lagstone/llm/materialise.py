@@ -92,8 +92,8 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, *, length: int = L
         step = 2 * length
         for batch in batches:
             heads, ids = [], []
-            for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = shared.value.encode_packed(t or "", "H")
+            packed = shared.value.encode_all([t or "" for t in batch.column(1).to_pylist()], "H")
+            for d, x in zip(batch.column(0).to_pylist(), packed, strict=True):
                 for k in range(max(1, -(-len(x) // step))):
                     heads.append((d or 0, d is not None, k))
                     ids.append(x[step * k : step * (k + 1)])

@@ -60,7 +60,8 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 1024, frequent: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.value
         for batch in batches:
-            lengths = [1 if w in tokenizer.special else len(tokenizer.encode_piece(w)) for w in batch.column(0).to_pylist()]
+            words = batch.column(0).to_pylist()
+            lengths = [1 if w in tokenizer.special else k for w, k in zip(words, tokenizer.count_pieces(words), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int64())], names=["piece", "n", "length"])
 
     distinct = source.select("text").mapInArrow(gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ import random
 import struct
 import time
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,6 +29,61 @@ def test_as_the_library(name):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_many_words_together(name):
+    """Words of a batch go through the tables together; the library says what each text gives, long words and special strings included."""
+    own, lib = bpe.Tokenizer(open(P.path(name), encoding="utf-8").read()), Tokenizer.from_file(P.path(name))
+    some = ["", "a", "ab" * 40, "x" * 63, "y" * 64, "", *texts(3000), "a", "日本" * 40]
+    expected = [lib.encode(t, add_special_tokens=False).ids for t in some]
+    for code, width in ("I", 4), ("H", 2), ("I", 4):
+        got = own.encode_all(some, code)
+        assert [list(struct.unpack(f"<{len(x) // width}{code}", x)) for x in got] == expected
+    assert own.encode_all([]) == []
+    pieces = sorted({p for t in some for p in own.pieces(t)})
+    assert len(pieces) > bpe.FEW
+    assert own.count_pieces(pieces) == [len(own.encode_piece(p)) for p in pieces]
+    words, packed = own.pack_pieces(pieces, "I")
+    assert sorted(words) == pieces
+    assert packed == [struct.pack(f"<{len(x := own.encode_piece(w))}I", *x) for w in words]
+    assert own.count_pieces([]) == []
+
+
+def test_many_words_over_random_merges():
+    """All words over three letters, some of them without a symbol of the vocabulary, together and one by one."""
+    r = random.Random(5)
+    for _ in range(60):
+        labels, merges = list("abc"), []
+        for _ in range(r.randint(0, 12)):
+            a, b = r.randrange(len(labels)), r.randrange(len(labels))
+            if labels[a] + labels[b] not in labels:
+                labels.append(labels[a] + labels[b])
+                merges.append((a, b, len(labels) - 1))
+        try:
+            automaton = bpe.Automaton(labels, merges)
+        except ValueError:
+            continue
+        columns = bpe.Columns(automaton, "abcd")
+        words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(300)}, key=lambda w: (-len(w), w))
+        codes = np.array(["abcd".index(c) for w in words for c in w], np.uint8)
+        tokens, counts = columns.encode(codes, np.array([len(w) for w in words]))
+        assert [x.tolist() for x in np.split(tokens, np.cumsum(counts)[:-1])] == [automaton.encode_word(w) for w in words]
+        with pytest.raises(ValueError):
+            columns.encode(np.array([0, 3], np.uint8), np.array([2]))
+
+
+def test_cache_keeps_two_generations():
+    made = []
+    cache = bpe.WordCache(lambda w: made.append(w) or w.upper(), lambda words: (words, [w.upper() for w in words]), limit=100)
+    words = [f"w{k}" for k in range(250)]
+    cache.learn(words[:100])
+    assert [cache[w] for w in words[:100]] == [w.upper() for w in words[:100]] and not made
+    cache.learn(words)
+    assert [cache[w] for w in words] == [w.upper() for w in words]
+    assert len(cache) <= 100 and len(cache.old) <= 100
+    cache.learn(words[:3])
+    assert cache["z" * 80] == "Z" * 80 and "z" * 80 not in cache
+
+
 def test_gadgets_against_merging():
     """All words over three letters, with random merge lists, against merging in rank order."""
     r = random.Random(9)
