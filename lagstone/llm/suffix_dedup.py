@@ -6,8 +6,9 @@ that share an occurrence of it.  A row carries two hashes of its surroundings, a
 polynomial one, by which rows are put together, and one of another kind that verifies it.  Rows whose surroundings repeat earlier ones
 are covered; buckets with one kind of surroundings are done.  What is left is sorted: prefix polynomial hashes of the surroundings
 give the hash of any stretch, binary search over lengths the common extension of two suffixes, and a mergesort that compares by it puts
-equal beginnings next to each other, where their bytes are compared.  The earliest of a run of equal beginnings stays, and the
-others are covered.
+equal beginnings next to each other, where their bytes are compared.  Rows are sorted, not each of their suffixes: once by what follows
+the minimiser's beginning, and once by what precedes it, read backwards.  Lengths that neighbours have in common then tell which suffixes
+are equal, as these agree on both sides.  The earliest of equal suffixes stays, and the others are covered.
 
 A bucket of more than ``HOT`` kinds of surroundings is split: each of its suffixes becomes a row, dealt by a hash of its 100 bytes, so
 equal ones still meet in one sort.  A sort of more rows than a task should hold goes in runs, and what isn't covered is carried on.
@@ -30,8 +31,8 @@ from lagstone.llm import common
 
 LENGTH, GRAM = 100, 32
 HOT = 20_000
-#: Bytes of one piece of text that is hashed at a time, and suffixes of one sort, about.
-PIECE, SORT = 1 << 19, 300_000
+#: Bytes of one piece of a long text that is hashed at a time, of short texts that are hashed together, and suffixes of one sort, about.
+PIECE, BLOCK, SORT = 1 << 19, 1 << 16, 300_000
 
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 2**64)
@@ -63,13 +64,21 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         self.n = len(data)
         self.inverse = _powers(_INV, self.n + 1)
-        with np.errstate(over="ignore"):
-            self.prefix = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * _powers(_M, self.n + 1)[: self.n], dtype=_U)])
+        terms = np.add(data, 1, dtype=_U)
+        terms *= _powers(_M, self.n + 1)[: self.n]
+        self.prefix = np.zeros(self.n + 1, _U)
+        np.cumsum(terms, out=self.prefix[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (self.prefix[end] - self.prefix[begin]) * self.inverse[begin]
 
+    def all_of(self, size: int) -> np.ndarray:
+        """The hashes of all stretches of ``size`` bytes."""
+        out = self.prefix[size:] - self.prefix[: self.n + 1 - size]
+        out *= self.inverse[: len(out)]
+        return out
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -78,20 +87,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def minimisers(hashes: Hashes, length: int, gram: int) -> np.ndarray:
-    """For each stretch of ``length`` bytes the place of its least k-gram, the first of equals.  At most 2 ** 20 bytes."""
+def _least(hashes: Hashes, length: int, gram: int) -> np.ndarray:
+    """For each stretch of ``length`` bytes its least k-gram: bits of a hash above the place."""
     n, width = hashes.n, length - gram + 1
-    if n < length:
-        return np.zeros(0, np.int64)
-    at = np.arange(n - gram + 1)
-    low = (_mix(hashes.of(at, at + gram)) & ~_U((1 << _POS_BITS) - 1)) | at.astype(_U)
+    low = hashes.all_of(gram)
+    low ^= low >> _U(32)
+    low *= _U(0xD6E8FEB86659FD93)
+    low &= ~_U((1 << _POS_BITS) - 1)
+    low |= np.arange(len(low), dtype=_U)
     size = 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     rest = width - size
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    return (low[: n - length + 1] & _U((1 << _POS_BITS) - 1)).astype(np.int64)
+    return low[: n - length + 1]
+
+
+def minimisers(hashes: Hashes, length: int, gram: int) -> np.ndarray:
+    """For each stretch of ``length`` bytes the place of its least k-gram, the first of equals.  At most 2 ** 20 bytes."""
+    if hashes.n < length:
+        return np.zeros(0, np.int64)
+    return (_least(hashes, length, gram) & _U((1 << _POS_BITS) - 1)).view(np.int64)
 
 
 def _found(data: np.ndarray, length: int, gram: int, hashes: bool = False) -> Iterator[tuple]:
@@ -105,22 +122,62 @@ def _found(data: np.ndarray, length: int, gram: int, hashes: bool = False) -> It
         yield (start, found, h, begin) if hashes else (start, found)
 
 
+def _keys(raw: bytes, h: Hashes, p: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the k-grams at ``p`` and both hashes of the bytes from ``left`` to ``right``."""
+    digest = xxhash.xxh3_64_intdigest
+    around = _mix(h.of(left, right) * _U(0xD6E8FEB86659FD93) + (p - left).astype(_U) * _U(65537) + (right - p).astype(_U))
+    check = np.array([digest(raw[x:y]) for x, y in zip(left.tolist(), right.tolist(), strict=True)], _U)
+    return _mix(h.of(p, p + gram)), around, check
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the minimisers of a text, the hashes of their k-grams and both hashes of their surroundings."""
-    reach = length - gram
-    places, grams, around = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
+    out = [(np.zeros(0, np.int64), *[np.zeros(0, _U)] * 3)]
+    after = 0
     for _, found, h, begin in _found(data, length, gram, hashes=True):
-        p = np.unique(found) - begin
-        left, right = np.maximum(p - reach, 0), np.minimum(p + length, h.n)
-        places.append(p + begin)
-        grams.append(_mix(h.of(p, p + gram)))
-        with np.errstate(over="ignore"):
-            around.append(_mix(h.of(left, right) * _U(0xD6E8FEB86659FD93) + (p - left).astype(_U) * _U(65537) + (right - p).astype(_U)))
-    p, g, a = map(np.concatenate, (places, grams, around))
-    p, first = np.unique(p, return_index=True)
-    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-    check = np.fromiter((digest(raw[x:y]) for x, y in zip(np.maximum(p - reach, 0).tolist(), (p + length).tolist(), strict=True)), _U, len(p))
-    return p, g[first], a[first], check
+        # minimisers of later suffixes are never earlier
+        p = found[np.concatenate([[True], found[1:] != found[:-1]])]
+        p = p[p >= after] - begin
+        left, right = np.maximum(p - (length - gram), 0), np.minimum(p + length, h.n)
+        out.append((p + begin, *_keys(data[begin : begin + h.n].tobytes(), h, p, left, right, gram)))
+        after = int(found[-1]) + 1
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def anchors_of(texts: Sequence[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of each text, in order, after the text's number.  Short texts go together."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, _U)] * 3)]
+
+    def together(which: list[int]) -> None:
+        raw = b"".join(texts[i] for i in which)
+        h = Hashes(np.frombuffer(raw, np.uint8))
+        sizes = np.array([len(texts[i]) for i in which], np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        low = _least(h, length, gram)
+        turns = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        p = (low[turns] & _U((1 << _POS_BITS) - 1)).view(np.int64)
+        # a minimiser counts if one of its stretches lies in a text; those of two texts are further apart than stretches that share one
+        text = np.searchsorted(ends - length, turns)
+        some = begins[text] < np.append(turns[1:], len(low))
+        p, text = p[some], text[some]
+        left, right = np.maximum(p - (length - gram), begins[text]), np.minimum(p + length, ends[text])
+        out.append((np.array(which)[text], p - begins[text], *_keys(raw, h, p, left, right, gram)))
+
+    block, size = [], 0
+    for i, x in enumerate(texts):
+        if block and size + len(x) > BLOCK:
+            together(block)
+            block, size = [], 0
+        if len(x) > BLOCK:
+            p, *keys = anchors(np.frombuffer(x, np.uint8), length, gram)
+            out.append((np.full(len(p), i), p, *keys))
+        elif len(x) >= length:
+            block.append(i)
+            size += len(x)
+    if block:
+        together(block)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 class SuffixSort:
@@ -177,16 +234,20 @@ class SuffixSort:
             width *= 2
         return order
 
-    def same_as_previous(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """For sorted suffixes: whether each begins as the one before it in its group does, by hash and then by bytes."""
-        same = np.zeros(len(starts), bool)
+    def common(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """For sorted suffixes: how many bytes each has in common with the one before it, by the bytes; -1 for the first of a group."""
+        out = np.full(len(starts), -1, np.int64)
         near = np.flatnonzero(group[1:] == group[:-1]) + 1
-        near = near[self.extension(starts[near - 1], starts[near]) == self.length]
+        span = np.arange(self.length)
         for i in range(0, len(near), 20_000):
             k = near[i : i + 20_000]
-            span = np.arange(self.length)
-            same[k] = (self.data[starts[k][:, None] + span] == self.data[starts[k - 1][:, None] + span]).all(axis=1)
-        return same
+            other = self.data[starts[k][:, None] + span] != self.data[starts[k - 1][:, None] + span]
+            out[k] = np.where(other.any(axis=1), other.argmax(axis=1), self.length)
+        return out
+
+    def same_as_previous(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """For sorted suffixes: whether each begins as the one before it in its group does."""
+        return self.common(starts, group) == self.length
 
 
 def suffixes_of(data: np.ndarray, places: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -202,26 +263,44 @@ def suffixes_of(data: np.ndarray, places: np.ndarray, length: int = LENGTH, gram
     return first, last
 
 
+def _classes(lines: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the lines of each group.  For each of ``sizes`` and each place of that order, the number of the class of lines that begin with the same
+    so many bytes; and the lines' places."""
+    n, width = lines.shape
+    sorter, starts = SuffixSort(np.ascontiguousarray(lines).reshape(-1), width), np.arange(n) * width
+    order = sorter.order(starts, group)
+    common = sorter.common(starts[order], group[order])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return np.cumsum(common < sizes[:, None], axis=1, dtype=np.int32), place
+
+
 def covered_windows(rows: list[tuple], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], list[tuple]]:
     """From (bucket, id, h, tp, surroundings, offset of the minimiser, first suffix and number of suffixes in the surroundings), in order:
     (id, h, t, begin, end) of what repeats an earlier row, and the rows that have suffixes left."""
     if not rows:
         return [], []
+    count = len(rows)
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    many = np.array([r[7] for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), many)
+    many, marks = np.array([r[7] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+    sizes = np.array([len(r[4]) for r in rows], np.int64)
+    row = np.repeat(np.arange(count), many)
     off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.array([r[6] for r in rows], np.int64), many)
-    bucket = np.repeat(np.array([r[0] for r in rows], np.int64), many)
-    bases = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])[:-1]
-    marks = np.array([r[5] for r in rows])
     ahead = marks[row] - off
-    keep = np.lexsort((row, ahead, bucket))
-    row, off, ahead, bucket = row[keep], off[keep], ahead[keep], bucket[keep]
-    group = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (ahead[1:] != ahead[:-1])])) if len(row) else row
-    starts = bases[row] + off
-    sorter = SuffixSort(data, length)
-    order = sorter.order(starts, group)
-    same = sorter.same_as_previous(starts[order], group[order])
+    reach = int(ahead.max(initial=1))
+    bucket = np.array([r[0] for r in rows], np.int64)
+    bucket = np.cumsum(np.concatenate([[False], bucket[1:] != bucket[:-1]]))
+    # a line for each row, its minimiser in one column: suffixes that begin ``ahead`` of it are equal if so many bytes to its left are and the rest to its right
+    column = np.arange(len(data)) + np.repeat(reach - marks - (np.cumsum(sizes) - sizes), sizes)
+    inside = (column >= 0) & (column < reach + length)
+    lines = np.zeros((count, reach + length), np.uint8)
+    lines[np.repeat(np.arange(count), sizes)[inside], column[inside]] = data[inside]
+    after, of_after = _classes(lines[:, reach:], bucket, length - np.arange(reach + 1))
+    before, of_before = _classes(lines[:, :reach][:, ::-1], bucket, np.arange(reach + 1))
+    # of equal suffixes that of the first row stays
+    alike = (ahead * (count + 1) + after[ahead, of_after[row]]) * (count + 1) + before[ahead, of_before[row]]
+    order = np.argsort(alike, kind="stable")
+    same = np.concatenate([[False], alike[order[1:]] == alike[order[:-1]]]) if len(order) else np.zeros(0, bool)
     hit = order[same]
     row, ahead = row[hit], ahead[hit]
     left = [r for r, n, k in zip(rows, many.tolist(), np.bincount(row, minlength=len(rows)).tolist(), strict=True) if k < n]
@@ -296,15 +375,15 @@ def covered(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, hot: int
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[np.zeros(0, np.int64)] for _ in range(6)]
-            for doc, h, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, *hashes = anchors(_bytes(text), length, gram)
-                for k, x in enumerate((*(y.view(np.int64) for y in hashes), np.full(len(p), doc), np.full(len(p), h), (t << 40) | p)):
-                    out[k].append(x)
-            g, a, c, d, h, p = (np.concatenate(x) for x in out)
+            d, h, t = (c.to_numpy() for c in batch.columns[:3])
+            turn = np.lexsort((t, h, d))
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            which, p, *keys = anchors_of([texts[i] for i in turn.tolist()], length, gram)
+            which = turn[which]
+            d, h, p = d[which], h[which], (t[which] << 40) | p
             # combined before the shuffle: what repeats earlier surroundings of this batch is settled; it is passed on under a key of its own
-            order = np.lexsort((p, h, d, c, a, g))
-            g, a, c, d, h, p = (x[order] for x in (g, a, c, d, h, p))
+            order = np.argsort(keys[0] + keys[1] * _U(_M) + keys[2] * _U(_INV), kind="stable")
+            g, a, c, d, h, p = (x[order] for x in (*(y.view(np.int64) for y in keys), d, h, p))
             equal = [x[1:] == x[:-1] for x in (g, a, c, d, h, p)]
             again = np.zeros(len(g), bool)
             again[1:] = equal[0] & equal[1] & equal[2] & ~(equal[3] & equal[4] & equal[5])
@@ -386,8 +465,8 @@ def removed_mask(data: np.ndarray, places: list[int], spans: list[tuple[int, int
         wanted[places] = True
         for start, found in _found(data, length, gram):
             s = np.flatnonzero(wanted[found]) + start
-            np.add.at(change, s, 1)
-            np.add.at(change, s + length, -1)
+            change[s] += 1
+            change[s + length] -= 1
     for a, b in spans:
         change[a] += 1
         change[b] -= 1
