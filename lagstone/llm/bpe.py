@@ -23,6 +23,8 @@ import json
 import re
 import struct
 import unicodedata
+import weakref
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -41,6 +43,8 @@ WORD_END = ""
 CACHE_WORDS = 350_000
 #: Words that go through the tables together, at most and at least (fewer are encoded one by one), and bytes of a word that is kept.
 TOGETHER, FEW, KEPT = 16_384, 64, 64
+#: Symbols whose steps are kept together.
+BLOCK = 16
 
 # White space as the tokenizers' regular expressions define it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -239,15 +243,18 @@ class Automaton:
 class Columns:
     """An automaton's tables as arrays, by which many words take a step at a time.
 
-    ``alphabet[i]`` is the symbol that code ``i`` stands for.  Rows of ``step`` are complete: a node's row is that of its link with the node's own
-    arcs, and a node without arcs shares its link's row, so a symbol is one look-up.
+    ``alphabet[i]`` is the symbol that code ``i`` stands for.  A node's row is that of its link with the node's own arcs, and a node without arcs
+    shares its link's row.  Rows are lists of blocks of 16 symbols, and a block without own arcs is the link's: ``step`` has the distinct blocks,
+    ``block`` those of each row, so a symbol is two look-ups in tables that grow with the arcs.
     """
 
     def __init__(self, automaton: Automaton, alphabet: str):
         codes = {c: i for i, c in enumerate(alphabet)}
         n = len(automaton.step)
         self.row, self.depth = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.step = np.zeros((sum(map(bool, automaton.step)) + 1, len(alphabet)), np.int32)
+        wide = -(-len(alphabet) // BLOCK)
+        self.block = np.zeros((sum(map(bool, automaton.step)) + 1, wide), np.int32)
+        blocks = [array("i", bytes(4 * BLOCK))]
         self.ends = np.zeros(n, np.int32)  # the longest suffix that is a token, and after that the next shorter one; 0 for none
         self.shorter = np.zeros(n, np.int32)
         self.token = np.full(n, -1, np.int32)
@@ -266,14 +273,21 @@ class Columns:
                     continue
                 if node:
                     rows += 1
-                    self.step[rows] = self.step[self.row[link]]
+                    self.block[rows] = self.block[self.row[link]]
                     self.row[node] = rows
+                own = set()
                 for c, after in arcs.items():
                     self.depth[after] = self.depth[node] + 1
                     deeper.append(after)
                     if c in codes:
-                        self.step[rows, codes[c]] = after
+                        k = codes[c] // BLOCK
+                        if k not in own:
+                            own.add(k)
+                            blocks.append(blocks[self.block[rows, k]][:])
+                            self.block[rows, k] = len(blocks) - 1
+                        blocks[self.block[rows, k]][codes[c] % BLOCK] = after
             level = deeper
+        self.step = np.frombuffer(b"".join(blocks), np.int32).reshape(-1, BLOCK)
         self.letter, self.state = np.array(automaton.letter, np.int64), np.array(automaton.state, np.int64)
         self.table = np.frombuffer(automaton.table, np.uint8)
 
@@ -289,7 +303,8 @@ class Columns:
         states[:n] = -2  # the first state, which has all arcs
         at = np.zeros(n, np.int32)
         for end, m in enumerate(alive.tolist()):
-            at = self.step[self.row[at[:m]], symbols[end, :m]]
+            c = symbols[end, :m]
+            at = self.step[self.block[self.row[at[:m]], c // BLOCK], c % BLOCK]
             if not at.all():
                 raise ValueError("the word has symbols that the vocabulary lacks")
             word, node = np.arange(m), self.ends[at]
@@ -398,8 +413,10 @@ class Tokenizer:
         self.ascii = re.compile(WORD_PATTERN_ASCII if self.words else BYTE_PATTERN_ASCII, re.ASCII)
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.columns = None
+        # no strong reference back: a worker gives a tokenizer up when its next task begins, and only a task's end collects cycles
+        own = weakref.proxy(self)
         self.packed = {
-            code: WordCache(lambda w, code=code: struct.pack(f"<{len(x := self.encode_piece(w))}{code}", *x), lambda words, code=code: self.pack_pieces(words, code))
+            code: WordCache(lambda w, code=code: struct.pack(f"<{len(x := own.encode_piece(w))}{code}", *x), lambda words, code=code: own.pack_pieces(words, code))
             for code in "IH"
         }
 
@@ -540,7 +557,7 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True, keep:
             names = [*keep, "n_tokens", *["ids"] * keep_ids, "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(common.lean(run), out)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

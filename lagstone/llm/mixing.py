@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +110,9 @@ def _plan(sums: DataFrame, *, repeat_limit: float, target_entropy: float | None,
         tokens = {r.source: r.n for r in few if r.n}
         reps = repetitions(tokens, weights(tokens, temperature(tokens, **how)), budget) if tokens else {}
         plan = [(r.source, float(reps.get(r.source, 1.0)), 1 + r.docs // BLOCK_DOCS) for r in few]
-        return F.broadcast(sums.sparkSession.createDataFrame(plan, "__source string, __rep double, __blocks long"))
+        # as an Arrow table: from a list of rows Spark starts Python workers of another kind on all executors, only to pass them on
+        columns = [pa.array([x[k] for x in plan], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
+        return F.broadcast(sums.sparkSession.createDataFrame(pa.table(columns, names=["__source", "__rep", "__blocks"])))
     if sums.where("n > 0").limit(1).count():
         exponent, greatest, z = _distributed(sums, **how)
         used = F.lit(greatest * z if budget is None else float(budget)) / F.lit(greatest * z)

@@ -34,8 +34,8 @@ SCALE = 1_000_000
 UNKNOWN = 2.0**-20
 #: Characters worked on at a time.
 SEGMENT = 1 << 19
-#: Distinct n-grams that a task gathers before it passes them on.
-GATHER = 1 << 21
+#: Distinct n-grams that a task gathers before it passes them on, and how many more wait to be merged with them.
+GATHER, WAITING = 1 << 20, 1 << 19
 #: Stands before the first character of a text.
 PAD = 2
 #: Width of the band on either side, in median deviations of that side; in nats per character only where no text of the language deviates.
@@ -108,6 +108,13 @@ def _segments(texts: list[str], langs: list[str | None]) -> Iterator[tuple[np.nd
         yield c, h, owner[at:end], np.flatnonzero(inside[at:end])
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array.  The list is emptied, so they don't stand beside it while it is worked on."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """lang, gram (ORDER characters, pads included) and n over all whole texts; partial counts are summed before the shuffle."""
 
@@ -116,10 +123,12 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         keys, counts, grams, seeds = [], [], [], []
 
         def merge() -> None:
-            k, s, g = np.concatenate(keys), np.concatenate(seeds), np.concatenate(grams)
-            u, first, inv = np.unique(k, return_index=True, return_inverse=True)
-            n = np.bincount(inv, np.concatenate(counts), len(u)).astype(np.int64)
-            keys[:], counts[:], grams[:], seeds[:] = [u], [n], [g[first]], [s[first]]
+            if len(keys) > 1:
+                u, first, inv = np.unique(_joined(keys), return_index=True, return_inverse=True)
+                keys[:], counts[:] = [u], [np.bincount(inv, _joined(counts), len(u)).astype(np.int64)]
+                del inv
+                grams[:] = [_joined(grams)[first]]
+                seeds[:] = [_joined(seeds)[first]]
 
         def out() -> Iterator[pa.RecordBatch]:
             if keys:
@@ -145,13 +154,13 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                     counts.append(n)
                     grams.append(np.stack([c[where + k] for k in range(ORDER)], axis=1))
                     seeds.append(own[owner[where]])
-            if sum(map(len, keys)) > GATHER:
+            if sum(map(len, keys[1:])) > WAITING:
                 merge()
-                if len(keys[0]) > GATHER // 2:
+                if len(keys[0]) > GATHER:
                     yield from out()
         yield from out()
 
-    counted = docs.select("text", "lang").mapInArrow(run, "lang string, gram binary, n long")
+    counted = docs.select("text", "lang").mapInArrow(common.lean(run), "lang string, gram binary, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", F.col("gram").cast("string").alias("gram"), "n")
 
 
@@ -294,7 +303,7 @@ def score(docs: DataFrame, values_: DataFrame, keep: list[str], *, frequent: int
             columns = [*batch.columns[:at], *(pa.array(base[:, k]) for k in range(5)), batch.column(at + 1), pa.array(list(map(len, texts)), pa.int64()), pa.array(total), pa.array([len(t).bit_length() for t in texts], pa.int32()), pa.array(rest, rest_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *features, "__lang", "__chars", "__sum", "__size", "__rest"])
 
-    rows = docs.select(*keep, F.col("text").alias("__text"), F.col("lang").alias("__lang")).mapInArrow(run, ", ".join(fields))
+    rows = docs.select(*keep, F.col("text").alias("__text"), F.col("lang").alias("__lang")).mapInArrow(common.lean(run), ", ".join(fields))
     if others is not None:
         parts = common.stage(rows.withColumn("__row", F.monotonically_increasing_id()), "partly-scored")
         rare = parts.select("__row", "__lang", F.explode("__rest").alias("x")).select("__row", "__lang", "x.gram", "x.times")

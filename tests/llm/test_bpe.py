@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import struct
 import time
+import weakref
 
 import numpy as np
 import pytest
@@ -71,6 +73,20 @@ def test_many_words_over_random_merges():
             columns.encode(np.array([0, 3], np.uint8), np.array([2]))
 
 
+def test_memory_of_a_tokenizer():
+    """Its tables are small, and it goes when the last one who holds it lets go: a worker collects no cycles while a task runs."""
+    own = bpe.Tokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    own.encode_all(texts(300))
+    assert sum(x.nbytes for x in vars(own.columns).values()) < 40 << 20
+    gc.disable()
+    try:
+        gone = weakref.ref(own)
+        del own
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_cache_keeps_two_generations():
     made = []
     cache = bpe.WordCache(lambda w: made.append(w) or w.upper(), lambda words: (words, [w.upper() for w in words]), limit=100)

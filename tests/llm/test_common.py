@@ -37,3 +37,22 @@ def test_two_operators_in_one_session(spark, make):
     for t in threads:
         t.join(300)
     assert found == {"near": near, "good": good}
+
+
+def test_lean_tasks(spark):
+    """Rows pass unchanged, and what a task has freed is not kept by its process."""
+    docs = spark.range(1000)
+    assert sorted(x.id for x in docs.mapInArrow(common.lean(lambda batches: batches), "id long").collect()) == list(range(1000))
+    kept = [b"x" * 1000 for _ in range(200_000)]
+    last = kept[-1]
+    del kept
+    common.give_back()
+    with open("/proc/self/statm") as f:
+        before = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    kept = [b"x" * 1000 for _ in range(200_000)]
+    last = kept[-1]
+    del kept
+    common.give_back()
+    with open("/proc/self/statm") as f:
+        after = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    assert last and after - before < 50 << 20

@@ -64,3 +64,10 @@ def test_tokens_and_places(make):
         blocks.setdefault(r.block, []).append(r.place)
     assert all(sorted(x) == list(range(1, len(x) + 1)) for x in blocks.values())
     assert max(map(len, blocks.values())) < 1500
+
+
+def test_plan_needs_no_python_workers(make):
+    """The plan of the sources goes to Spark as an Arrow table, not as a list that Python workers pass on."""
+    rows = [(i, "w " * (1 + i % 7), "en", ["a", "b", None][i % 3]) for i in range(60)]
+    plan = mixing.mix(make(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation [__source" in plan and "LogicalRDD [__source" not in plan

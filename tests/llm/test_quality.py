@@ -3,9 +3,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from functools import lru_cache
+from unittest.mock import MagicMock
 
+import pyarrow as pa
 import pytest
 
 from lagstone.llm import quality
@@ -208,3 +211,26 @@ def test_verdicts_against_brute_force(make, corpus, odd_rows):
     got = quality.quality(make(rows)).collect()
     assert sorted(((x.doc_id, x.kept) for x in got), key=repr) == sorted(((x[0], k) for x, k in zip(rows, want, strict=True)), key=repr)
     assert not all(k for x, k in zip(rows, want, strict=True) if len(brute_features(x[1] or "")) and brute_features(x[1] or "")[0] >= 50)
+
+
+def test_memory_of_counting(spark):
+    """Millions of n-grams, of which few are distinct, are counted in bounded memory."""
+    docs = MagicMock()
+    quality.count_ngrams(docs)
+    run = docs.select.return_value.mapInArrow.call_args[0][0]
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijkl", k=150_000)) for _ in range(28)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 7]), pa.array(["en"] * 7)], names=["text", "lang"]) for k in range(0, 28, 7)]
+    got = Counter()
+    tracemalloc.start()
+    try:
+        for b in run(iter(batches)):
+            got.update(dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
+            if tracemalloc.is_tracing():
+                peak = tracemalloc.get_traced_memory()[1]
+                tracemalloc.stop()
+    finally:
+        tracemalloc.stop()
+    padded = [chr(quality.PAD) * (quality.ORDER - 1) + t for t in texts]
+    assert got == Counter(t[i : i + quality.ORDER].encode() for t in padded for i in range(len(t) - quality.ORDER + 1))
+    assert peak < 180 << 20
