@@ -13,7 +13,9 @@ a bit of the table says whether a state has an arc for a letter.  The table's si
 
 Encoding reads a word once, from left to right.  A trie of the arc labels with links to the longest suffix tells which tokens end at a
 place; the one among them whose arc leaves the state before it is the last token of that prefix.  Nothing is tried twice.  The words
-that a batch of texts brings anew go through the tables together, a symbol of all of them at a time.
+that a batch of texts brings anew go through the tables together, a symbol of all of them at a time.  Where pre-tokens leave no
+character out (byte-level pieces), all texts of a call are cut as one array of code points, Arrow numbers the distinct pieces, and these are
+encoded together and gathered by their numbers.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import unicodedata
 import weakref
 from array import array
@@ -39,7 +42,7 @@ from lagstone.llm import common
 
 #: Ends the last symbol of a word in vocabularies that mark word ends (a private-use character, never produced by byte symbols).
 WORD_END = ""
-#: Words remembered by a worker, in each of two generations.
+#: Words remembered by a worker, in each of two generations; byte-level pieces only of texts with special strings.
 CACHE_WORDS = 350_000
 #: Words that go through the tables together, at most and at least (fewer are encoded one by one), and bytes of a word that is kept.
 TOGETHER, FEW, KEPT = 16_384, 64, 64
@@ -64,6 +67,54 @@ def byte_symbols() -> str:
     return "".join(chr(b) if b in shown else chr(next(others)) for b in range(256))
 
 
+#: What a code point is to the pre-tokenization patterns.
+OTHER, LETTER, NUMBER, GAP = range(4)
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """The kind of each code point, as the patterns' classes have it."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (GAP, f"[{SPACE}]+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def cut(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``BYTE_PATTERN`` begin; ``first`` has the places where a text begins, and the end.
+
+    Runs of a kind are pieces.  The last gap of a run belongs to what follows it if it is a blank, else it is a piece.  An apostrophe
+    that begins a piece takes the letters of its contraction with it.
+    """
+    n = len(codes)
+    kind = kinds()[codes]
+    gap = kind == GAP
+    starts = np.ones(n, bool)
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    last = gap[:-1] & ~gap[1:]
+    starts[:-1] |= last
+    starts[1:] &= ~(last & (codes[:-1] == 32))
+    # nothing goes from one text to the next
+    edges = first[(first > 0) & (first < n)]
+    alone = edges[gap[edges - 1]] - 1
+    starts[alone] = (alone == 0) | ~gap[alone - 1]
+    starts[first[first < n]] = True
+    marks = np.flatnonzero(codes == 39)
+    if len(marks):
+        left = first[np.searchsorted(first, marks, "right")] - marks  # code points of its text from the mark on
+        after = codes[np.minimum(marks[:, None] + (1, 2), n - 1)]
+        one = np.isin(after[:, 0], [ord(c) for c in "stmd"]) & (left > 1)
+        two = np.isin(after[:, 0] * 256 + after[:, 1], [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")]) & (after[:, 1] < 256) & (left > 2)
+        width = np.where(starts[marks], 2 * one + 3 * two, 0)
+        taken = width > 0
+        starts[marks[taken] + 1] = False
+        ends = (marks + width)[taken]
+        starts[ends[ends < n]] = True
+    return np.flatnonzero(starts)
+
+
 class _Gadgets:
     """The gadgets of the merges so far: which arc each cut, and of which halves a token is made.
 
@@ -449,18 +500,21 @@ class Tokenizer:
         word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes_to_symbols)
         return self.automaton.encode_word(word + WORD_END if self.words else word)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """The order in which the pieces (none of them empty) are taken, their tokens in that order, and how many each has."""
-        # byte 255 is in no UTF-8 text, so its place is free for the mark of a word's end
+    def _columns(self) -> Columns:
         if self.columns is None:
             symbols = byte_symbols()
+            # byte 255 is in no UTF-8 text, so its place is free for the mark of a word's end
             self.columns = Columns(self.automaton, symbols[:255] + WORD_END if self.words else symbols)
+        return self.columns
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The order in which the pieces (none of them empty) are taken, their tokens in that order, and how many each has."""
         words = [w.encode("utf-8", "surrogatepass") for w in pieces]
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + self.words
         order = np.argsort(-lengths, kind="stable").tolist()
         end = b"\xff" * self.words
         codes = np.frombuffer(end.join([words[k] for k in order]) + end, np.uint8)
-        return order, *self.columns.encode(codes, lengths[order])
+        return order, *self._columns().encode(codes, lengths[order])
 
     def pack_pieces(self, pieces: list[str], code: str) -> tuple[list[str], list[bytes]]:
         """The pieces in some order, and the packed ids of each."""
@@ -486,6 +540,8 @@ class Tokenizer:
 
     def encode_all(self, texts: Sequence[str], code: str = "I") -> list[bytes]:
         """``encode_packed`` of each text; what words they bring anew is encoded together."""
+        if not self.words:
+            return self._encode_cut(texts, code)
         cache, split = self.packed[code], []
         for text in texts:
             plain = "<|" not in text and not any(x in text for x in self.special)
@@ -494,6 +550,59 @@ class Tokenizer:
         get = cache.__getitem__
         return [b"".join(map(get, x)) if x is not None else self.encode_packed(text, code) for text, x in zip(texts, split, strict=True)]
 
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode_pieces`` of the pieces that lie in ``data`` between one offset and the next, as UTF-8."""
+        lengths = np.diff(offsets)
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        ends = np.cumsum(lengths)
+        codes = data[np.arange(ends[-1]) + np.repeat(offsets[:-1][order] - ends + lengths, lengths)]
+        tokens, counts, at = [], [], 0
+        while at < len(order):
+            longest, together = int(lengths[at]), lengths[at : at + FEW]
+            # a word that is far longer than those after it, or very long, goes alone: each symbol of it would be a step for it only
+            if len(together) < FEW or longest > 2 * together[-1] or longest * FEW > TOGETHER * KEPT:
+                upto = at + 1
+                word = codes[ends[at] - longest : ends[at]].tobytes().decode("latin-1").translate(self.bytes_to_symbols)
+                x = np.array(self.automaton.encode_word(word), np.int32)
+                n = [len(x)]
+            else:
+                upto = min(len(order), at + min(TOGETHER, TOGETHER * KEPT // longest))
+                x, n = self._columns().encode(codes[ends[at] - longest : ends[upto - 1]], lengths[at:upto])
+            tokens.append(x)
+            counts.append(n)
+            at = upto
+        return order, np.concatenate(tokens), np.concatenate(counts)
+
+    def _encode_cut(self, texts: Sequence[str], code: str) -> list[bytes]:
+        """``encode_all`` where pieces leave nothing out: the pieces of all texts are numbered, each distinct one encoded, and ids gathered."""
+        plain = [k for k, text in enumerate(texts) if text and "<|" not in text and not any(x in text for x in self.special)]
+        whole = "".join([texts[k] for k in plain])
+        try:
+            data = np.frombuffer(whole.encode(), np.uint8)
+        except UnicodeEncodeError:  # lone surrogates, which Arrow has no strings for
+            plain, whole = [], ""
+        out = {}
+        if whole:
+            codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            first = np.cumsum([0, *(len(texts[k]) for k in plain)])
+            begins = cut(codes, first)
+            widths = (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF) + np.uint8(1)
+            offsets = np.append(0, np.cumsum(np.add.reduceat(widths, begins, dtype=np.int64)))
+            pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+            _, offsets, distinct = pieces.dictionary.buffers()
+            n, width = len(pieces.dictionary), struct.calcsize(f"<{code}")
+            order, tokens, counts = self.encode_bytes(np.frombuffer(distinct, np.uint8), np.frombuffer(offsets, np.int64)[: n + 1])
+            ends = np.append(0, np.cumsum(counts)) * width
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(tokens.astype(f"<u{width}"))])
+            rank = np.empty(n, np.int32)
+            rank[order] = np.arange(n)
+            _, offsets, packed = ids.take(pa.array(rank[pieces.indices.to_numpy()])).buffers()
+            ends = np.frombuffer(offsets, np.int64)[np.searchsorted(begins, first)].tolist()
+            packed = memoryview(packed)
+            out = {k: bytes(packed[a:b]) for k, a, b in zip(plain, ends, ends[1:], strict=False)}
+        return [out[k] if k in out else self.encode_packed(text, code) for k, text in enumerate(texts)]
+
     def encode_packed(self, text: str, code: str = "I") -> bytes:
         """The ids of a text as little-endian unsigned integers of 32 bits, or with code H of 16 bits."""
         get = self.packed[code].__getitem__

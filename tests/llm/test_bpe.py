@@ -50,6 +50,44 @@ def test_many_words_together(name):
     assert own.count_pieces([]) == []
 
 
+def test_cut_as_the_pattern():
+    """Texts that lie one after the other are cut as the pattern cuts each of them: contractions, gaps and kinds at every edge."""
+    r, own = random.Random(7), bpe.load(P.path("byte_bpe_50k.json"))
+    pool = ["'", "'s", "'re", "'l", "l", "'ll", "'ve", "'S", "t'", "d", " ", " ", "\n", "\xa0", "　", "a", "é", "日", "7", "²", "!", "-", "\x1c", "🎉", "ǅ"]
+    for _ in range(3000):
+        some = ["".join(r.choice(pool) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6))]
+        whole = "".join(some)
+        begins = bpe.cut(np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, some)])).tolist()
+        assert [whole[a:b] for a, b in zip(begins, [*begins[1:], len(whole)], strict=True)] == [p for t in some for p in own.any.findall(t)], some
+
+
+def test_a_batch_is_cut_as_one_array(monkeypatch):
+    """Byte-level texts don't go through the pattern one by one, but for those with special strings; each distinct piece is encoded once."""
+    own = bpe.Tokenizer(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    some = [f"the word {k % 90} l'été 'tis " * 20 for k in range(300)] + ["x" * 5000, "a<|endoftext|>b", "\x00 \x00\x00"]
+    searched, encoded, pieces = [], [], own.pieces
+    monkeypatch.setattr(own, "pieces", lambda text: searched.append(text) or pieces(text))
+    encode = getattr(own, "encode_bytes", None)
+    monkeypatch.setattr(own, "encode_bytes", lambda data, offsets: encoded.append(len(offsets) - 1) or encode(data, offsets), raising=False)
+    got = own.encode_all(some, "H")
+    assert [list(struct.unpack(f"<{len(x) // 2}H", x)) for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+    assert sorted(searched) == ["a", "b"]
+    assert encoded == [len({p for t in some if "<|" not in t for p in pieces(t)})]
+
+
+def test_long_words_beside_short_ones(monkeypatch):
+    """Words far longer than the others of a batch go one by one, so that no batch takes a step of all for each symbol of one."""
+    own, lib = bpe.Tokenizer(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r, longest = random.Random(2), []
+    some = ["".join(r.choice("aethrsin") for _ in range(n)) for n in (20_000, 3_000, 700, 300, 299, *[150] * 70, *[9] * 200)]
+    encode = bpe.Columns.encode
+    monkeypatch.setattr(bpe.Columns, "encode", lambda self, codes, lengths: longest.append(int(lengths[0])) or encode(self, codes, lengths))
+    got = own.encode_all(some)
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+    assert longest == [300]
+
+
 def test_many_words_over_random_merges():
     """All words over three letters, some of them without a symbol of the vocabulary, together and one by one."""
     r = random.Random(5)
