@@ -77,9 +77,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, *, length: int = L
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    shared = spark.sparkContext.broadcast(bpe.load(vocabulary))
     if len(bpe.load(vocabulary).automaton.labels) > 1 << 16:
         raise ValueError("ids must fit 16 bits")
+    shared = bpe.share(spark, vocabulary)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     about = source.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / (3 * length))))).first()[0] or 0
     files = max(1, -(-about // shard))

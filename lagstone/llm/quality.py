@@ -254,13 +254,18 @@ def _table(values_: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray, D
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), values_ if sizes else None
     got = values_.where(bucket >= least).select("lang", "gram", "value").mapInArrow(hashed, "key long, value int").toArrow()
     keys, found = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    del got  # each array goes as soon as the next one stands: the driver has little memory
     order = np.argsort(keys)
-    keys, found = keys[order], found[order]
+    keys = keys[order]
+    found = found[order]
+    del order
     twice = np.zeros(len(keys), bool)
     twice[1:] = keys[1:] == keys[:-1]
     twice[:-1] |= twice[1:]
     others = values_ if twice.any() else values_.where(bucket < least) if least > sizes[-1][0] else None
-    return keys[~twice], found[~twice], others
+    if twice.any():
+        keys, found = keys[~twice], found[~twice]
+    return keys, found, others
 
 
 def score(docs: DataFrame, values_: DataFrame, keep: list[str], *, frequent: int = FREQUENT) -> DataFrame:
@@ -270,6 +275,8 @@ def score(docs: DataFrame, values_: DataFrame, keep: list[str], *, frequent: int
     """
     keys, found, others = _table(values_, frequent)
     shared = docs.sparkSession.sparkContext.broadcast((keys, found))
+    del keys, found
+    common.give_back()
     schema = docs.select(*keep).schema
     features = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rest_type = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))

@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 1024, frequent: int
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    shared = spark.sparkContext.broadcast(bpe.load(path))
+    shared = bpe.share(spark, path)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,3 +247,31 @@ def test_counts(spark, make, odd_rows, frequent):
         want.append((r[0], len((r[1] or "").encode()), n, n > 20))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert token_counts.token_counts(make(rows).limit(0), path).count() == 0
+
+
+def test_the_driver_keeps_no_tokenizer(spark, monkeypatch):
+    """Once a vocabulary is shared no process holds its objects for later, and it is still compiled only once."""
+    path, made = P.path("word_bpe_49k.json"), []
+    load = bpe.load
+
+    def watched(path):
+        own = load(path)
+        made.append(weakref.ref(own))
+        return own
+
+    first = load(path)
+    kept = weakref.ref(first)
+    want = first.encode_all(texts(300))
+    del first
+    assert kept() is None
+    monkeypatch.setattr(bpe, "load", watched)
+    monkeypatch.setattr(bpe.Tokenizer, "__init__", lambda self, spec: pytest.fail("compiled again"))
+    shared = bpe.share(spark, path)
+    assert [x() for x in made] == [None]
+    assert spark.range(1).rdd.map(lambda _: shared.value.encode_all(texts(300)) == want).collect() == [True]
+
+
+def test_a_kept_tokenizer_is_small():
+    path = P.path("byte_bpe_50k.json")
+    bpe.load(path)
+    assert len(bpe._compiled[path]) < 12 << 20
