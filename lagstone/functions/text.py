@@ -11,12 +11,12 @@ def _col(c) -> Column:
 
 
 def slashed(path) -> Column:
-    return F.translate(_col(path), "\\", "/")
+    return F.replace(_col(path), F.lit("\\"), F.lit("/"))
 
 
 def basename(path) -> Column:
     """What follows the last slash."""
-    return F.element_at(F.split(slashed(path), "/"), -1)
+    return F.substring_index(slashed(path), "/", -1)
 
 
 def parent_folder(path) -> Column:

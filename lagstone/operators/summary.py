@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstone.functions import grades, text
-from lagstone.sources.scratch import scratch_path
+from lagstone.sources.scratch import brief_shuffles, scratch_path
 
 
 def result_counts(results: DataFrame) -> DataFrame:
@@ -45,11 +45,12 @@ def unique_parent(files: DataFrame, *by: str, path: str = "path") -> DataFrame:
     return parents.groupBy(*by).agg(F.when(F.min("p") == F.max("p"), F.max("p")).alias("parent"))
 
 
-def progress(events: DataFrame, *, order: str | Sequence[str], by: str | None = None, before: int = 0) -> DataFrame:
+def progress(events: DataFrame, *, order: str | Sequence[str], by: str | None = None, before: int = 0, path: str | None = None) -> DataFrame:
     """Adds processed, total and percent of each event, in order; with ``by`` the counts run within each of its values.
 
-    Over a whole table the events are dealt to ranges of the order and written; the counts of the ranges, one number a task, say where each
-    range begins, so no task sees all events.  ``before`` have been processed already and count in both.
+    Over a whole table the events are dealt to ranges of the order, sorted and written, a file for each range; the counts of the ranges, one number
+    a task, say where each begins, and an event's place in its file the rest, so no task sees all events and they are shuffled once.  ``before`` have
+    been processed already and count in both.  ``path``: where the ranges are written, for callers that remove them when they are done.
     """
     order = [order] if isinstance(order, str) else list(order)
     if by:
@@ -57,17 +58,18 @@ def progress(events: DataFrame, *, order: str | Sequence[str], by: str | None =
         done, total = F.row_number().over(part.orderBy(*order)).cast("long"), F.count(F.lit(1)).over(part)
         return events.withColumns({"processed": done, "total": total}).withColumn("percent", text.percent("processed", "total"))
     spark = events.sparkSession
-    path = scratch_path(spark, "ranges")
-    ranged = events.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    ranged.write.parquet(path)
+    path = path or scratch_path(spark, "ranges")
+    ranged = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    with brief_shuffles(spark):
+        # a file for each range, however many rows it has: the place in the file is the place in the range
+        ranged.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
     starts, total = [], before
     for r, n in sorted(map(tuple, ranged.groupBy("__range").count().collect())):
         starts.append((r, total))
         total += n
     starts = spark.createDataFrame(starts, "__range int, __start long")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    out = ranged.withColumn("__place", place).join(F.broadcast(starts), "__range")
+    out = ranged.withColumn("__place", F.col("_metadata.row_index") + 1).join(F.broadcast(starts), "__range")
     out = out.withColumns({"processed": F.col("__start") + F.col("__place"), "total": F.lit(total).cast("long")}).drop("__range", "__start", "__place")
     return out.withColumn("percent", text.percent("processed", "total"))
 

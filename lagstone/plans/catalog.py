@@ -432,8 +432,19 @@ def stream_file_drop(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+#: What the runs over order and shipping dates were asked for.
+_REQUEST = SyncRequest("series", video_folder="/v", audio_folder="/a", match_pattern="x")
+
+
 def _days_run(spark: SparkSession, d: str) -> DataFrame:
-    return runs.run_events(day_results(spark, d), SyncRequest("series", video_folder="/v", audio_folder="/a", match_pattern="x"))
+    return runs.run_events(day_results(spark, d), _REQUEST)
+
+
+def _numbered_days(spark: SparkSession, d: str, path: str) -> tuple[DataFrame, int]:
+    """The numbered results, kept under ``path``, and how many there are."""
+    numbered = runs.numbered_results(day_results(spark, d), path)
+    first = numbered.select("total").first()
+    return numbered, first.total if first else 0
 
 
 def _by_type(events: DataFrame) -> DataFrame:
@@ -457,15 +468,16 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _lines_of_two_runs(spark: SparkSession, d: str) -> DataFrame:
     """The lines of a whole run, and those of one that is half done: a file has begun, another one's progress comes late, and a line is no event."""
-    path, events = scratch_path(spark, "runs"), _days_run(spark, d)
-    runs.write_in_order(events, f"{path}/run=whole")
-    half = day_results(spark, d).count() // 2
-    runs.write_in_order(events.where((F.col("number") <= half) & (F.col("type") != "done")), f"{path}/run=cut/batch=9")
+    path, ranges = scratch_path(spark, "runs"), scratch_path(spark, "ranges")
+    numbered, total = _numbered_days(spark, d, ranges)
+    runs.write_run(numbered, total, _REQUEST, f"{path}/run=whole", compression="gzip")
+    runs.write_run(numbered.where(F.col("processed") <= total // 2), total, _REQUEST, f"{path}/run=cut", closed=False, compression="gzip")
+    files.remove(spark, ranges)
     more = [("file_start", "late.mkv", None), ("file_progress", "late.mkv", 50), ("file_progress", "old.mkv", 100)]
     more = spark.createDataFrame([(0, k, *x) for k, x in enumerate(more)], "number long, step int, type string, file string, percent int")
     runs.write_in_order(more, f"{path}/run=cut/batch=10")
     spark.createDataFrame([("no event",)], "value string").write.text(f"{path}/run=cut/batch=11")
-    return requests.read_lines(spark, path).withColumn("run", F.regexp_extract("line.file", "/run=([a-z]+)/", 1))
+    return requests.read_lines(spark, path).withColumn("run", F.substring_index(F.substring_index("line.file", "/run=", -1), "/", 1))
 
 
 def consumed_state(spark: SparkSession, d: str) -> DataFrame:

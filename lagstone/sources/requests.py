@@ -76,8 +76,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     (files of a batch are named in order) and by the place in it.  Lines that are no events keep their place.
     """
     found = spark.read.schema(schemas.EVENTS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
-    batch = F.expr("coalesce(try_cast(nullif(regexp_extract(_metadata.file_path, '/batch=(-?[0-9]+)/', 1), '') AS BIGINT), 0)")
-    line = F.struct(batch.alias("batch"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    # without patterns, as it is done for each line; a path that names no batch gives its scheme, which is no number
+    batch = F.expr("coalesce(try_cast(substring_index(substring_index(input_file_name(), '/batch=', -1), '/', 1) AS BIGINT), 0)")
+    line = F.struct(batch.alias("batch"), F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("at"))
     return found.withColumn("line", line)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,3 +22,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written within gives its shuffle files up as soon as it is there, so those of several steps never lie on disk together."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """A table written and read back: what it was made of is not read again, and joins know how large it is."""
+    path = scratch_path(rows.sparkSession, name)
+    with brief_shuffles(rows.sparkSession):
+        rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -60,10 +60,10 @@ def run_results(events: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 def run_log(events: DataFrame, *, by: Sequence[str] = (), limit: int = 200) -> DataFrame:
     """The last ``limit`` log lines of each run with back: 1 for the last one.  Starts and ends of files are lines, and so are lines that are no events."""
     # The wording of the lines.
-    end = F.concat(F.lit("Finished: "), "file", F.lit(" ("), text.seconds_text("elapsed_ms"), F.lit("s)"))
-    bad = F.concat(F.lit("Invalid bridge message: "), "_corrupt_record")
-    said = F.when(_is("log"), F.col("message")).when(_is("file_start"), F.concat(F.lit("Starting: "), "file")).when(_is("file_end"), end).when(F.col("type").isNull(), bad)
-    lines = events.select(*by, "line", said.alias("message")).where("message IS NOT NULL")
+    end = F.concat(F.lit("Finished: "), "what", F.lit(" ("), text.seconds_text("elapsed_ms"), F.lit("s)"))
+    said = F.when(_is("log"), F.col("what")).when(_is("file_start"), F.concat(F.lit("Starting: "), "what")).when(_is("file_end"), end).otherwise(F.concat(F.lit("Invalid bridge message: "), "what"))
+    what = F.when(_is("log"), F.col("message")).when(_is("file_start") | _is("file_end"), F.col("file")).when(F.col("type").isNull(), F.col("_corrupt_record"))
+    lines = events.select(*by, "line", "type", what.alias("what"), "elapsed_ms").where("what IS NOT NULL")
     # a limited row number: each task keeps its last lines only, before any of them travel
     back = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("line").desc()))
-    return lines.withColumn("back", back).where(F.col("back") <= limit).select(*by, "back", "message")
+    return lines.withColumn("back", back).where(F.col("back") <= limit).select(*by, "back", said.alias("message"))

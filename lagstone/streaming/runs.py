@@ -14,6 +14,7 @@ from lagstone.operators import pairs as pair_ops
 from lagstone.operators import summary
 from lagstone.sources.files import exists
 from lagstone.sources.requests import SyncRequest
+from lagstone.sources.scratch import brief_shuffles
 
 #: Results that one closing event lists.
 PART = 10_000
@@ -38,10 +39,12 @@ def events_of(results: DataFrame, *, batch: int = 0, before: int = 0, total: int
 
 def _steps(rows: DataFrame, batch: int) -> DataFrame:
     """The events of numbered results."""
-    name = text.basename("primary_path")
+    # names are cut before a result becomes seven rows
+    rows = rows.withColumns({"name": text.basename("primary_path"), "other": text.basename("secondary_path")})
+    name = F.col("name")
     kinds = [("file_start", None), ("file_progress", 0), ("file_progress", 50), ("file_progress", 100), ("file_end", None), ("progress", None), ("result", None)]
     steps = F.array(*(F.struct(F.lit(k).alias("type"), F.lit(p).cast("int").alias("percent"), F.lit(i).alias("step")) for i, (k, p) in enumerate(kinds)))
-    rows = rows.drop("percent").withColumn("e", F.explode(steps))
+    rows = rows.drop("percent", "primary_path", "secondary_path").withColumn("e", F.explode(steps))
     rows = rows.where((F.coalesce("e.percent", F.lit(0)) != 50) | F.col("start_delay_ms").isNotNull())
     kind = F.col("e.type")
 
@@ -51,7 +54,7 @@ def _steps(rows: DataFrame, batch: int) -> DataFrame:
     return rows.select(
         F.lit(batch).cast("long").alias("batch"), F.col("processed").alias("number"), F.col("e.step").alias("step"), kind.alias("type"), where("file_start", "file_progress", "file_end", value=name).alias("file"),
         F.col("e.percent").alias("percent"), where("progress", value=F.col("processed")).alias("processed"), where("progress", value=F.col("total")).alias("total"), where("progress", value=name).alias("current"),
-        where("file_end", "result", value=F.col("elapsed_ms")).alias("elapsed_ms"), where("result", value=name).alias("videoFile"), where("result", value=text.basename("secondary_path")).alias("audioFile"),
+        where("file_end", "result", value=F.col("elapsed_ms")).alias("elapsed_ms"), where("result", value=name).alias("videoFile"), where("result", value=F.col("other")).alias("audioFile"),
         where("result", value=F.col("start_delay_ms")).alias("startDelay"), where("result", value=F.col("end_delay_ms")).alias("endDelay"), where("result", value=F.col("error")).alias("error"),
     )
 
@@ -74,7 +77,9 @@ def _closing(numbered: DataFrame, total: int, part: int) -> DataFrame:
     cells = [text.basename("primary_path"), text.basename("secondary_path"), *map(F.col, ("start_delay_ms", "end_delay_ms", "error", "elapsed_ms"))]
     entry = F.struct("processed", F.struct(*(c.alias(n) for c, n in zip(cells, names, strict=True))).alias("result"))
     if total:
-        listed = numbered.groupBy(F.expr(f"(processed - 1) DIV {part}").alias("k")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["result"]).alias("results"))
+        # dealt by ranges of parts, so that they are made and put in order where their results are, and not shuffled as lists once more
+        ranged = numbered.select(F.expr(f"(processed - 1) DIV {part}").alias("k"), entry.alias("entry")).repartitionByRange("k")
+        listed = ranged.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("entry")), lambda x: x["result"]).alias("results")).sortWithinPartitions("k")
     else:
         listed = numbered.sparkSession.range(1).select(F.col("id").alias("k"), F.array().cast(schemas.RESULT_LIST).alias("results"))
     return listed.select(
@@ -98,7 +103,35 @@ def run_events(results: DataFrame, request: SyncRequest, *, part: int = PART) ->
 
 def write_in_order(events: DataFrame, path: str) -> None:
     """Event rows as lines, in their order: by file, and by line within a file.  What was there is replaced."""
-    events.orderBy("number", "step").drop("number", "step", "batch").write.mode("overwrite").json(path)
+    _write_lines(events.orderBy("number", "step"), path)
+
+
+def _write_lines(events: DataFrame, path: str, compression: str = "uncompressed") -> None:
+    """Event rows that are in order already."""
+    with brief_shuffles(events.sparkSession):
+        events.drop("number", "step", "batch").write.mode("overwrite").option("compression", compression).json(path)
+
+
+def numbered_results(results: DataFrame, path: str) -> DataFrame:
+    """The results of a run with processed and total, in order of completion, kept under ``path`` for what is written of them."""
+    columns = ["primary_path", "secondary_path", "start_delay_ms", "end_delay_ms", "error", "elapsed_ms", "completed_at"]
+    return summary.progress(results.select(columns), order=_ORDER, path=path).drop("completed_at", "percent")
+
+
+def write_result_lines(numbered: DataFrame, path: str, *, compression: str = "uncompressed") -> None:
+    """The events of numbered results, as ``run_events`` has them.  Results are put in order, not their events, which are seven times as many."""
+    _write_lines(_steps(numbered.orderBy("processed"), 0), path, compression)
+
+
+def write_run(numbered: DataFrame, total: int, request: SyncRequest, path: str, *, closed: bool = True, part: int = PART, compression: str = "uncompressed") -> None:
+    """The lines of a run, as ``run_events`` has them, below ``path``: what it says first, the events of its results and, where it is ``closed``, done.
+
+    They are written one after the other as batches, as those of a stream, so only one of their shuffles is on disk at a time.
+    """
+    _note(numbered.sparkSession, messages(request, total), f"{path}/batch=-1")
+    write_result_lines(numbered, f"{path}/batch=0", compression=compression)
+    if closed:
+        _write_lines(_closing(numbered, total, part), f"{path}/batch={LAST}", compression)
 
 
 def _note(spark: SparkSession, lines: list[str], path: str) -> None:
