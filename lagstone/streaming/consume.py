@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagstone.functions import grades, text
+from lagstone.sources.scratch import kept
 
 _RESULT = ["videoFile", "audioFile", "startDelay", "endDelay", "error", "elapsed_ms"]
 
@@ -51,10 +52,12 @@ def run_results(events: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     opened = F.max(F.when(F.coalesce("part", F.lit(1)) == 1, F.col("line"))).over(Window.partitionBy(*key).orderBy("line"))
     parts = done.select(*key, "line", "part", "parts").withColumn("opened", opened).where("opened IS NOT NULL")
     whole = parts.groupBy(*key, "opened").agg(F.count_distinct(F.coalesce("part", F.lit(1))).alias("there"), F.coalesce(F.max("parts"), F.lit(1)).alias("parts"), F.max("line").alias("closed"))
-    whole = whole.where("there >= parts").groupBy(*key).agg(F.max(F.struct("opened", "closed")).alias("x")).select(*key, "x.*")
-    listed = done.join(whole, key).where("line >= opened AND line <= closed").select(*key, "line", F.posexplode("results").alias("place", "r")).select(*key, "line", F.col("place").cast("long").alias("place"), "r.*")
-    single = events.where(_is("result")).join(whole, key, "left").where("closed IS NULL OR line > closed").select(*key, "line", F.lit(0).cast("long").alias("place"), *_RESULT)
-    return listed.select(single.columns).unionByName(single).select(*by, "line", "place", *_RESULT, grades.confidence("startDelay", "endDelay").alias("confidence"))
+    # a row a run, whose size is known once it is kept: the lines stay where they are unless there are very many runs
+    whole = kept(whole.where("there >= parts").groupBy(*key).agg(F.max(F.struct("opened", "closed")).alias("x")).select(*key, "x.*"), "whole")
+    counts = F.when(_is("done"), F.expr("line >= opened AND line <= closed")).otherwise(F.expr("closed IS NULL OR line > closed"))
+    lists = F.when(_is("done"), F.col("results")).otherwise(F.array(F.struct(*_RESULT)))
+    found = events.where(_is("done") | _is("result")).join(whole, key, "left").where(counts).select(*key, "line", F.posexplode(lists).alias("place", "r"))
+    return found.select(*key, "line", F.col("place").cast("long").alias("place"), "r.*").select(*by, "line", "place", *_RESULT, grades.confidence("startDelay", "endDelay").alias("confidence"))
 
 
 def run_log(events: DataFrame, *, by: Sequence[str] = (), limit: int = 200) -> DataFrame:
