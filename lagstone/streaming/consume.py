@@ -28,14 +28,19 @@ def run_state(events: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     A start makes its file the current one, at 0 percent.  Progress counts only if it is the current file's: what comes late, of a file before it, or after
     the run was done, is left out.  done brings the file to 100 percent.
     """
-    # by file first, so that the start and the progress of a file meet; a file that is started twice counts from the second start
-    seen = F.max(F.when(_is("file_progress"), F.struct("line", "percent")))
-    files = events.groupBy(*by, "file").agg(
-        F.max(F.when(_is("file_start"), F.col("line"))).alias("started"), seen.alias("seen"), F.max(F.when(_is("progress"), F.struct("line", "processed", "total"))).alias("progress"), F.max(F.when(_is("done"), F.col("line"))).alias("done")
-    )
-    runs = files.groupBy(*by).agg(F.max(F.when(F.col("started").isNotNull(), F.struct("started", "file", "seen"))).alias("now"), F.max("progress").alias("progress"), F.max("done").alias("done"))
-    over = F.coalesce(F.col("done") > F.col("now.started"), F.col("done").isNotNull())
-    shown = F.when(over, 100).when(F.col("now").isNull(), F.lit(None)).when(F.col("now.seen.line") > F.col("now.started"), F.col("now.seen.percent")).otherwise(0)
+    # one row a run first; only the progress of the file that is current by then is looked for, so no state of all files is shuffled
+    latest = {
+        "now": F.max(F.when(_is("file_start"), F.struct("line", "file"))), "progress": F.max(F.when(_is("progress"), F.struct("line", "processed", "total"))),
+        "done": F.max(F.when(_is("done"), F.col("line"))),
+    }
+    runs = kept(events.groupBy(*by).agg(*(c.alias(n) for n, c in latest.items())), "state")
+    current = runs.where("now IS NOT NULL").select(*(F.col(c).alias(f"__{c}") for c in by), F.col("now.line").alias("__started"), F.col("now.file").alias("__file"))
+    same = [F.col("file").eqNullSafe(F.col("__file")), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)]
+    late = events.where(_is("file_progress")).select(*by, "line", "file", "percent").join(current, same).where("line > __started")
+    seen = late.groupBy(*(f"__{c}" for c in by)).agg(F.max(F.struct("line", "percent")).alias("seen"))
+    runs = runs.join(seen, F.lit(True) if not by else [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
+    over = F.coalesce(F.col("done") > F.col("now.line"), F.col("done").isNotNull())
+    shown = F.when(over, 100).when(F.col("now").isNull(), F.lit(None)).when(F.col("seen").isNotNull(), F.col("seen.percent")).otherwise(0)
     processed, total = F.coalesce("progress.processed", F.lit(0)), F.coalesce("progress.total", F.lit(0))
     return runs.select(*by, F.col("now.file").alias("current_file"), shown.cast("int").alias("file_percent"), processed.alias("processed"), total.alias("total"), text.percent(processed, total).cast("int").alias("percent"), over.alias("finished"))
 
