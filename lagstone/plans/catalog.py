@@ -460,10 +460,11 @@ def event_protocol(spark: SparkSession, d: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, d: str) -> DataFrame:
     """The same written as lines, with blank lines and others that are no events between them, and read back; those have a null type."""
-    path = scratch_path(spark, "lines")
-    runs.write_in_order(_days_run(spark, d), path)
-    _t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.concat(F.lit("no event "), "n_name")).alias("value")).write.mode("append").text(path)
-    return _by_type(requests.read_events(spark, path))
+    path, ranges = scratch_path(spark, "lines"), scratch_path(spark, "ranges")
+    runs.write_run(*_numbered_days(spark, d, ranges), _REQUEST, path, compression="gzip")
+    files.remove(spark, ranges)
+    _t(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.concat(F.lit("no event "), "n_name")).alias("value")).write.text(f"{path}/batch=1")
+    return _by_type(requests.read_events(spark, f"{path}/*"))
 
 
 def _lines_of_two_runs(spark: SparkSession, d: str) -> DataFrame:
